@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Odd multipliers of the two hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, np.ndarray] = {}
@@ -33,19 +34,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of non-empty spans, in slices so that long texts take bounded memory besides their own."""
+    """64-bit hashes of non-empty spans that ascend and do not overlap: differences of a running polynomial, brought to the
+    span's start by an inverse power. In slices, so that long texts take bounded memory besides their own."""
+    base = MULTIPLIERS[which]
+    inverse = pow(base, -1, 1 << 64)
     out = np.empty(len(starts), dtype=np.uint64)
-    at, lens = 0, ends - starts
-    until = np.cumsum(lens)
+    at = 0
     with np.errstate(over="ignore"):
         while at < len(starts):
-            to = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + (4 << 20), "right")))
-            n = lens[at:to]
-            first = np.cumsum(n) - n
-            rel = np.arange(int(n.sum())) - np.repeat(first, n)
-            data = buf[np.repeat(starts[at:to], n) + rel].astype(np.uint64) + np.uint64(1)
-            data *= powers(MULTIPLIERS[which], int(n.max()) + 1)[rel]
-            out[at:to] = mixed(np.add.reduceat(data, first) + n.astype(np.uint64))
+            origin = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(ends, origin + (1 << 20), "right")))
+            n = int(ends[to - 1]) - origin
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((buf[origin : origin + n].astype(np.uint64) + np.uint64(1)) * powers(base, n)[:n], out=total[1:])
+            s, e = starts[at:to] - origin, ends[at:to] - origin
+            out[at:to] = mixed((total[e] - total[s]) * powers(inverse, n)[s] + (e - s).astype(np.uint64))
             at = to
     return out
 
@@ -88,32 +91,54 @@ def blocks(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = B
             at = to
 
 
+def grown(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.empty(max(n - len(x), len(x)), x.dtype)])
+
+
 class UnitIds:
-    """Ids of texts that are joined of units which encode independently of each other. encode gets a list of distinct units. The cache is emptied when it holds most units or over 8 ids for each of them."""
+    """Ids of texts that are joined of units which encode independently of each other. encode and places get lists of distinct units. When the cache holds over most units, or 8 ids for each, those that only one block has had leave it, and all if those that stay are over half."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[bytes]], list], most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.first, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.first, self.count, self.seen = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def trim(self) -> None:
+        stay = np.flatnonzero(self.seen[: len(self.place)] > 1)
+        if len(stay) > self.most // 2 or self.count[stay].sum() > 4 * self.most:
+            return self.clear()
+        names = list(self.place)
+        count = self.count[stay]
+        first = np.cumsum(count) - count
+        flat = self.flat[np.repeat(self.first[stay] - first, count) + np.arange(int(count.sum()))]
+        self.place = {names[i]: k for k, i in enumerate(stay.tolist())}
+        self.flat, self.used, self.first, self.count, self.seen = flat, len(flat), first, count, np.ones(len(stay), np.int32)
 
     def places(self, units: list[bytes]) -> np.ndarray:
         if len(self.place) > self.most or self.used > 8 * self.most:
-            self.clear()
-        missing = [u for u in dict.fromkeys(units) if u not in self.place]
-        for u, ids in zip(missing, self.encode(missing) if missing else [], strict=True):
-            n, k = len(ids), len(self.place)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if k == len(self.first):
-                self.first, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.count))
-            self.flat[self.used : self.used + n] = ids
-            self.first[k], self.count[k], self.place[u] = self.used, n, k
-            self.used += n
-        return np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+            self.trim()
+        missing = [u for u in units if u not in self.place]
+        for i in range(0, len(missing), 4096):
+            some = missing[i : i + 4096]
+            found = self.encode(some)
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
+            k = len(self.place)
+            self.flat = grown(self.flat, self.used + len(flat))
+            self.first, self.count, self.seen = (grown(x, k + len(some)) for x in (self.first, self.count, self.seen))
+            self.seen[k : k + len(some)] = 0
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.first[k : k + len(some)] = self.used + np.cumsum(count) - count
+            self.count[k : k + len(some)] = count
+            self.place.update(zip(some, range(k, k + len(some)), strict=True))
+            self.used += len(flat)
+        places = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+        self.seen[places] += 1
+        return places
 
     def ids(self, buf: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """starts: of units that cover buf; a document's start is one of them. The ids of all, and len(offs) offsets of documents in them."""

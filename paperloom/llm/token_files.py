@@ -11,10 +11,11 @@ hash of the text, then the text; equal rows are all kept; an empty table gives n
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -108,22 +109,53 @@ class TokenFile:
 
 #: Bytes before which a space begins a unit: no white space of Unicode starts with them.
 AFTER_SPACE = B.table(lambda b: 0x21 <= b < 0x7F or 0xC3 <= b < 0xE0 or 0xE4 <= b < 0xF5)
+ASCII_LETTER = B.table(lambda b: 0x41 <= b < 0x5B or 0x61 <= b < 0x7B)
+#: ASCII marks but the apostrophe, which can begin a token with the letters after it.
+MARK = B.table(lambda b: 0x21 <= b < 0x30 and b != 0x27 or 0x3A <= b < 0x41 or 0x5B <= b < 0x61 or 0x7B <= b < 0x7F)
+ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 def space_units(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Starts of units: at documents, and at a space before something that isn't white space. The vocabulary's own splitting always cuts there."""
+    """Starts of units: at documents, at a space before something that isn't white space, between a letter (ASCII or Latin-1) and
+    a mark either way, and around a single line feed beside letters or marks. The vocabulary's own splitting always cuts there."""
     cut = np.zeros(len(buf) + 1, bool)
-    cut[:-2] |= (buf[:-1] == 0x20) & AFTER_SPACE[buf[1:]]
+    if len(buf) > 1:
+        here, last = buf[1:], buf[:-1]
+        ended = ASCII_LETTER[last]
+        ended[1:] |= (buf[:-2] == 0xC3) & (last[1:] >= 0x80) & (last[1:] != 0x97) & (last[1:] != 0xB7)
+        mark, feed = MARK[buf], buf == 0x0A
+        letter = ASCII_LETTER[here] | (here == 0xC3)
+        cut[: len(here)] |= (last == 0x20) & AFTER_SPACE[here]
+        cut[1:-1] |= ended & (mark[1:] | feed[1:]) | mark[:-1] & (ASCII_LETTER[here] | feed[1:])
+        cut[offs] = True
+        cut[1:-1] |= cut[:-2] & feed[:-1] & (letter | mark[1:])  # one line feed only: of several the last is a token of its own
     cut[offs] = True
     return np.flatnonzero(cut[:-1])
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones of Latin-1 stand for themselves, the others, in order, for those from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) if b in shown else chr(256 + sum(x not in shown for x in range(b))) for b in range(256)}
+
+
+@lru_cache(maxsize=2)
 def byte_bpe(path: str) -> B.UnitIds:
+    """Units that are one word go to the vocabulary's merges at once; its splitting would not cut them."""
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
+    made, shown = Tokenizer.from_file(path), byte_characters()
     made.encode_special_tokens = True
-    return B.UnitIds(lambda units: [e.ids for e in made.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)])
+    merges = made.model.tokenize
+
+    def encode(units: list[bytes]) -> list[list[int]]:
+        out = [[t.id for t in merges(u.decode("latin-1").translate(shown))] if ONE_WORD.fullmatch(u) else None for u in units]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, made.encode_batch_fast([units[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    return B.UnitIds(encode)
 
 
 def tokenized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:

@@ -59,3 +59,15 @@ def test_files_and_random_access(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert T.read_documents(spark, T.write_token_files(docs, PATH, 2)).collect() == []
+
+
+def test_cache_is_trimmed():
+    from paperloom.llm._bytes import UnitIds
+
+    codec = UnitIds(lambda units: [list(u) for u in units], most=50)
+    rng = random.Random(1)
+    for _ in range(60):
+        units = list({bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 6))) for _ in range(20)})
+        places = codec.places(units)
+        assert [codec.flat[codec.first[p] : codec.first[p] + codec.count[p]].tolist() for p in places] == [list(u) for u in units]
+        assert len(codec.place) <= 70
