@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import fm_index, token_files
+from paperloom.llm import decision_lists, fm_index, token_files
 
 BYTE_BPE, END_OF_DOCUMENT = "byte_bpe_50k.json", 2
 
@@ -47,9 +47,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (k) LEFT JOIN item USING (k)
 """
 
+def op9_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = decision_lists.fitted(docs, table(spark, sf_dir, "labels"))
+    return decision_lists.judged(docs, rules).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op7_fm_index": op7_fm_index,
+    "op9_decision_lists": op9_decision_lists,
 }
 
 ORACLE_SQL: dict[str, str] = {
