@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decision_lists, fm_index, token_files
+from paperloom.llm import decision_lists, fm_index, order_minhash, token_files
 
 BYTE_BPE, END_OF_DOCUMENT = "byte_bpe_50k.json", 2
 
@@ -22,6 +22,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder)
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = fm_index.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -55,6 +59,7 @@ def op9_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op6_order_minhash": op6_order_minhash,
     "op7_fm_index": op7_fm_index,
     "op9_decision_lists": op9_decision_lists,
 }
