@@ -48,7 +48,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
             total = np.zeros(n + 1, np.uint64)
             np.cumsum((buf[origin : origin + n].astype(np.uint64) + np.uint64(1)) * powers(base, n)[:n], out=total[1:])
             s, e = starts[at:to] - origin, ends[at:to] - origin
-            out[at:to] = mixed((total[e] - total[s]) * powers(inverse, n)[s] + (e - s).astype(np.uint64))
+            out[at:to] = mixed((total[e] - total[s]) * powers(inverse, n + 1)[s] + (e - s).astype(np.uint64))
             at = to
     return out
 

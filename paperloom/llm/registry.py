@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decision_lists, fm_index, order_minhash, token_files
+from paperloom.llm import decision_lists, fm_index, line_dedup, order_minhash, substring_dedup, token_files
 
 BYTE_BPE, END_OF_DOCUMENT = "byte_bpe_50k.json", 2
 
@@ -22,6 +22,30 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "kept_text")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (
+  SELECT k, doc_id, i, l[i:i + 2] AS s FROM (SELECT k, doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d)
+  WHERE regexp_matches(array_to_string(l[i:i + 2], ''), '[^ \t\n\x0B\f\r]')),
+m AS (SELECT *, min(doc_id) OVER (PARTITION BY s) AS low, min(i) OVER (PARTITION BY k, s) AS own FROM w),
+gone AS (SELECT k, list(DISTINCT p) AS r FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM m WHERE doc_id > low OR i > own) GROUP BY k)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(r), 0)::BIGINT AS n_removed,
+  CASE WHEN r IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(r, i)), chr(10)) END AS kept_text
+FROM d LEFT JOIN gone USING (k)
+"""
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("row.doc_id", "n_units", "n_words", "n_removed_words", F.array_join(spans, ",").alias("removed_spans"), "kept_text")
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -59,11 +83,14 @@ def op9_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_order_minhash": op6_order_minhash,
     "op7_fm_index": op7_fm_index,
     "op9_decision_lists": op9_decision_lists,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
     "op7_fm_index": OP7_SQL,
 }
