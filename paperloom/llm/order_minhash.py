@@ -6,11 +6,12 @@ text. Nodes with an equal sketch are candidates. A candidate pair is verified by
 labelled shingles in the order of both texts, no match further off the diagonal than a pair of the wanted similarity can have.
 Similarity is chain / (shingles of both - chain): that of Jaccard, but sensitive to order.
 
-Nodes of a bucket are not compared pair by pair. First each is compared with the least node of the bucket that it shares most
-sketches with; links so found are joined to classes. Only buckets that still hold several classes go on: a growing number of
-their nodes is compared with all of another class and a length that allows the similarity, until every such pair of a bucket has
-been, so that no link between classes is lost. Texts of up to 25 shingles, where few can be sampled, have twelve sketches of two
-more.
+Nodes of a bucket are not paired off as rows. First each is compared with a central node (the one that shares most sketches with
+others) of one of its buckets, that with which it shares most; links so found are joined to classes. Only buckets that still hold
+several classes go on. They are dealt in blocks of 512 nodes, each pair of blocks to a task that compares nodes of different
+classes there, a pair in the first bucket that it shares, until they are linked: no pair of the wanted similarity that shares a
+sketch is left out, and what leaves a task are links that join classes. Texts of up to 25 shingles, where few can be sampled,
+have twelve sketches of two more.
 
 Null texts are empty; texts without a word are only grouped with equal ones; texts of fewer than five words have one shingle, of
 all; a null doc_id is allowed, and is never the one that stays if a copy has an id; equal rows fall in one class; an empty table
@@ -35,6 +36,9 @@ from paperloom.llm.components import components
 SHINGLE, SIMILARITY = 5, (4, 5)
 SKETCHES, SAMPLED = 32, 5
 SHORT, SHORT_SKETCHES, SHORT_SAMPLED = 25, 12, 2
+#: Nodes of a bucket that are compared with as many others at once; rows that go to one call.
+BLOCK, GROUP_ROWS = 512, 4096
+NO_ID = -(1 << 63)
 IS_WORD = B.table(lambda b: not (b == 0x20 or 0x09 <= b < 0x0E))
 LOWER = np.array([b + 32 if 0x41 <= b < 0x5B else b for b in range(256)], np.uint8)
 SEEDS = B.mixed(np.arange(1, SKETCHES + SHORT_SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -141,73 +145,99 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a binary, b binary, linked boolean, similarity double")
 
 
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _joined(table: pa.Table) -> pa.Table:
+    """Links between classes in pairs of blocks (s, i, j): of the nodes with an equal sketch s those of block i with those of block j."""
+    s, i, j, block, n = (table.column(x).to_numpy() for x in ("s", "i", "j", "block", "n"))
+    keys, classes = table.column("k").to_pylist(), table.column("c").to_pylist()
+    numbers = {c: x for x, c in enumerate(dict.fromkeys(classes))}
+    own_class = np.array([numbers[c] for c in classes])
+    root = list(range(len(numbers)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sketches = np.zeros((len(keys), SKETCHES + SHORT_SKETCHES), np.int64)
+    lists = table.column("sketches").combine_chunks()
+    count = np.diff(np.asarray(lists.offsets))
+    column = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    sketches[np.repeat(np.arange(len(keys)), count), column] = lists.flatten().to_numpy()
+    texts = table.column("text").combine_chunks()
+    cache: dict[bytes, np.ndarray] = {}
+
+    def labelled(row: int) -> np.ndarray:
+        if keys[row] not in cache:
+            text = texts[row].as_buffer().to_pybytes()
+            cache[keys[row]] = shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        return cache[keys[row]]
+
+    p, q = SIMILARITY
+    links = []
+    order = np.lexsort((j, i, s))
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(s[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)]))
+    for rows in np.split(order, new[1:]):
+        left, right = (rows[block[rows] == x[rows[0]]] for x in (i, j))
+        found = []
+        for at, x in enumerate(left.tolist()):
+            others = right[at + 1 :] if i[x] == j[x] else right
+            others = others[(own_class[others] != own_class[x]) & (q * np.minimum(n[others], n[x]) >= p * np.maximum(n[others], n[x]))]
+            same = (sketches[others] == sketches[x]) & (sketches[x] != 0)
+            here = same.any(axis=1) & (sketches[x][same.argmax(axis=1)] == s[x])
+            found += [(-int(m), x, y) for m, y in zip(same[here].sum(axis=1), others[here].tolist(), strict=True)]
+        for _, x, y in sorted(found):
+            u, v = find(int(own_class[x])), find(int(own_class[y]))
+            if u != v and similar(labelled(x), labelled(y))[0]:
+                root[u] = v
+                links.append((keys[x], keys[y]))
+    return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
-    """k (key of a text), rep (least doc_id of its copies), n (shingles), c (key of its class), n_links (links it was verified to have) for each distinct text of docs (doc_id, text)."""
+    """k (key of a text), rep (least doc_id of its copies), n (shingles), c (key of its class) for each distinct text of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("k", text_key(F.col("text")))
     sketched = rows.select("k", "doc_id", "text").mapInArrow(_sketches, "k binary, doc_id long, n int, sketches array<long>")
     nodes = kept(sketched.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
 
     spread = nodes.select("k", "n", F.explode("sketches").alias("s"))
-    shared = spread.groupBy("s").agg(F.count("*").alias("m"), F.min("k").alias("hub")).where("m > 1")
-    members = kept(spread.join(shared.select("s", "hub"), "s"), "members")
-    needed = nodes.join(members.select("k").distinct(), "k", "left_semi").select("k", F.coalesce("rep", F.lit(-(1 << 63))).alias("d"))
-    texts = kept(rows.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(needed, ["k", "d"]).dropDuplicates(["k", "d"]).select("k", F.encode("text", "UTF-8").alias("text")), "texts")
+    members = kept(spread.join(spread.groupBy("s").agg(F.count("*").alias("m")).where("m > 1"), "s"), "members")
+    needed = nodes.join(members.select("k").distinct(), "k", "left_semi").select("k", F.coalesce("rep", F.lit(NO_ID)).alias("d"))
+    texts = kept(rows.withColumn("d", F.coalesce("doc_id", F.lit(NO_ID))).join(needed, ["k", "d"]).dropDuplicates(["k", "d"]).select("k", F.encode("text", "UTF-8").alias("text")), "texts")
 
-    # each with the hub that it shares most sketches with
-    counted = members.where("k <> hub").groupBy("k", "hub").agg(F.count("*").alias("m"))
+    central = members.join(members.groupBy("k").agg(F.sum("m").alias("shares")), "k")
+    hubs = central.groupBy("s").agg(F.max_by("k", F.struct("shares", "k")).alias("hub"))
+    counted = members.join(hubs, "s").where("k <> hub").groupBy("k", "hub").agg(F.count("*").alias("m"))
     best = counted.groupBy("k").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub"))
-    done = kept(_verify(best.select(*_pair("k", "hub")).distinct(), texts), "verified")
-    classes = components(done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    classes, hubs = kept(classes, "classes"), 1
-    members = members.select("s", "k", "n").join(classes.select(F.col("node").alias("k"), "root"), "k", "left").select("s", "k", "n", F.coalesce("root", "k").alias("c"))
-    while True:
-        mixed = members.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
-        members = kept(members.join(mixed, "s", "left_semi"), "mixed")
-        total = members.count()
-        if not total:
-            break
-        chosen = members.groupBy("s", F.pmod(F.xxhash64("k"), F.lit(hubs)).alias("part")).agg(F.min(F.struct("k", "n", "c")).alias("h"))
-        chosen = kept(chosen.select("s", F.col("h.k").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.c").alias("hub_c")), "hubs")
-        p, q = SIMILARITY
-        pairs = members.join(chosen, "s").where(f"c <> hub_c AND {q} * least(n, hub_n) >= {p} * greatest(n, hub_n)").select(*_pair("k", "hub")).distinct()
-        found = kept(_verify(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), texts), "verified")
-        done = done.union(found)
-        new = found.where("linked").join(_roots(classes, "a", "u"), "a", "left").join(_roots(classes, "b", "v"), "b", "left").select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v"))
-        if not new.isEmpty():
-            moved = kept(components(new).select(F.col("node").alias("c"), F.col("root").alias("to")), "moved")
-            old = classes.select("node", F.col("root").alias("c")).join(moved, "c", "left").select("node", F.coalesce("to", "c").alias("root"))
-            classes = kept(old.union(moved.join(classes.select(F.col("node").alias("c")), "c", "left_anti").select(F.col("c").alias("node"), F.col("to").alias("root"))), "classes")
-            members = members.join(moved, "c", "left").select("s", "k", "n", F.coalesce("to", "c").alias("c"))
-        if chosen.count() == total:
-            break
-        hubs *= 16
-    links = done.where("linked")
-    degree = links.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n_links"))
-    return nodes.select("k", "rep", "n").join(classes.select(F.col("node").alias("k"), "root"), "k", "left").join(degree, "k", "left").select("k", "rep", "n", F.coalesce("root", "k").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def _roots(classes: DataFrame, name: str, to: str) -> DataFrame:
-    return classes.select(F.col("node").alias(name), F.col("root").alias(to))
+    links = kept(_verify(best.select(F.least("k", "hub").alias("a"), F.greatest("k", "hub").alias("b")).distinct(), texts).where("linked").select("a", "b"), "links")
+    classes = kept(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "classes")
+
+    sorted_out = members.join(classes.select(F.col("node").alias("k"), "root"), "k", "left").select("s", "k", "n", "m", F.coalesce("root", "k").alias("c"))
+    several = sorted_out.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
+    blocked = sorted_out.join(several, "s", "left_semi").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("k", "s"), "blocks"))
+    spread = kept(blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("s", "k", "n", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "blocks")
+    groups = max(1, spread.count() // GROUP_ROWS)
+    full = spread.join(nodes.select("k", "sketches").join(texts, "k"), "k").withColumn("g", F.pmod(F.xxhash64("s", "i", "j"), F.lit(groups)))
+    more = kept(full.groupBy("g").applyInArrow(_joined, "a binary, b binary"), "links")
+    if not more.isEmpty():
+        classes = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return nodes.select("k", "rep", "n").join(classes.select(F.col("node").alias("k"), "root"), "k", "left").select("k", "rep", "n", F.coalesce("root", "k").alias("c"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, class_id (the least doc_id of its class), n_links (of its text, verified), stays (true for the row or equal rows that stand for the class)."""
+    """A row for each document: doc_id, class_id (the least doc_id of its class), stays (true for the row or equal rows that stand for the class)."""
     nodes = kept(text_classes(docs), "text-classes")
     first = nodes.groupBy("c").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "k")).alias("m")).select("c", F.col("m.rep").alias("class_id"), F.col("m.k").alias("class_k"))
-    found = nodes.join(first, "c").select("k", "class_id", "n_links", (F.col("k") == F.col("class_k")).alias("own"))
+    found = nodes.join(first, "c").select("k", "class_id", (F.col("k") == F.col("class_k")).alias("own"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("k"))
-    return rows.join(found, "k").select("doc_id", "class_id", "n_links", (F.col("own") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"))
+    return rows.join(found, "k").select("doc_id", "class_id", (F.col("own") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each class."""
     nodes = text_classes(docs)
     first = nodes.groupBy("c").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "k")).alias("m"))
-    stay = first.select(F.col("m.k").alias("_k"), F.coalesce("m.rep", F.lit(-(1 << 63))).alias("_d"))
+    stay = first.select(F.col("m.k").alias("_k"), F.coalesce("m.rep", F.lit(NO_ID)).alias("_d"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.select("row", text_key(F.col("row.text")).alias("_k"), F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63))).alias("_d"))
+    rows = rows.select("row", text_key(F.col("row.text")).alias("_k"), F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("_d"))
     return rows.join(stay, ["_k", "_d"]).dropDuplicates(["_k", "_d"]).select("row.*")

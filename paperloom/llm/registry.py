@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decision_lists, fm_index, line_dedup, order_minhash, substring_dedup, token_files
+from paperloom.llm import decision_lists, fm_index, line_dedup, order_minhash, substring_dedup, token_files, unigram
 
 BYTE_BPE, END_OF_DOCUMENT = "byte_bpe_50k.json", 2
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_units", "n_words", "n_removed_words", F.array_join(spans, ",").alias("removed_spans"), "kept_text")
 
 
+def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = unigram.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(PIECES), decode=True)
+    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), (F.coalesce("row.text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_unigram": op5_unigram,
     "op6_order_minhash": op6_order_minhash,
     "op7_fm_index": op7_fm_index,
     "op9_decision_lists": op9_decision_lists,
