@@ -6,8 +6,8 @@ piece covers costs ten less than the worst score and becomes its bytes' pieces.
 texts are cut before each run of spaces and units encode on their own: a task runs Viterbi once for each distinct unit, over all
 of them in step as arrays.
 
-The public model is trained for another way of joining pieces; its scores serve as log scores here, so ids are those of
-SentencePiece's own unigram search over these pieces, which the tests compare with.
+The public model is trained for another way of joining pieces; its scores serve as log scores here, so ids are not those of that
+way but the best path over its pieces, which the tests compare with brute force and the library's own unigram search.
 
 Null and empty texts have no pieces; decoding gives the text back, but a marker that was in it becomes a space, as in the library;
 equal rows get equal results; other columns are passed on inside `row`.

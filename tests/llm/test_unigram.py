@@ -26,7 +26,33 @@ def as_unigram():
         if field == 2:
             value += bytes([3 << 3, 1])
         out += varint(field << 3 | 2) + varint(len(value)) + value
-    return sentencepiece.SentencePieceProcessor(model_proto=out)
+    made = sentencepiece.SentencePieceProcessor(model_proto=out)
+    return made.encode
+
+
+def brute(text):
+    """Viterbi over characters with a dictionary of pieces: the greatest sum and its path, longer last pieces first."""
+    model = unigram.codec(PATH)[0]
+    known = {model.pieces[i][0].decode(): i for i in model.ids.tolist()}
+    text = ("▁" + text.replace(" ", "▁")) if text else ""
+    best = [(0.0, [])] + [(float("-inf"), [])] * len(text)
+    for end in range(1, len(text) + 1):
+        for start in range(max(0, end - 20), end):
+            piece = text[start:end]
+            if piece in known:
+                score, ids = model.pieces[known[piece]][1], [known[piece]]
+            elif end - start == 1:
+                score, ids = model.unknown, [model.bytes[b] for b in piece.encode()]
+            else:
+                continue
+            if best[start][0] + score > best[end][0]:
+                best[end] = (best[start][0] + score, best[start][1] + ids)
+    return best[-1][1]
+
+
+def score(ids):
+    model = unigram.codec(PATH)[0]
+    return sum(model.pieces[i][1] for i in ids)
 
 
 def ids_of(texts):
@@ -52,12 +78,12 @@ def test_trie():
     assert all((find(k) >= 0) == (k in set(keys)) for k in (bytes(rng.choice(b"ab\xffq") for _ in range(rng.randrange(1, 8))) for _ in range(500)))
 
 
-def test_ids_equal_the_librarys_unigram_search():
+def test_ids_equal_brute_force_and_the_library():
     rng = random.Random(2)
     texts = ["", " ", "a", "Hello world", "  two  spaces   three ", "l'été où ça", "한국어 텍스트", "😀 x😀", "tab\tnew\nline\n", "▁ marker▁x", "naïve　wide", "ﬁ ﬃ ①", "x" * 300]
     texts += ["".join(rng.choice("abcdeé 한\n.😀tion") for _ in range(rng.randrange(1, 60))) for _ in range(400)]
     library = as_unigram()
-    assert ids_of(texts) == [library.encode(t) for t in texts]
+    assert ids_of(texts) == [brute(t) for t in texts] == [library(t) for t in texts]
 
 
 def test_round_trip(spark):
@@ -76,6 +102,7 @@ def test_query_on_documents(spark):
     assert len(got) == len(texts) and all(r.round_trip for r in got)
     library = as_unigram()
     for r in got[:60]:
-        # the library adds up in single precision, which a character without a piece (a thousand million below) uses up
-        short = " ".join(texts[r.doc_id].split("\n")[0].split(" ")[:60])
-        assert ids_of([short])[0] == library.encode(short)
+        short = texts[r.doc_id].split("\n")[0][:1500]
+        ids = ids_of([short])[0]
+        assert ids == brute(short)
+        assert score(ids) >= score(library(short))  # its search misses some sums by a little
