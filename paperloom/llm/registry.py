@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decision_lists, fm_index, line_dedup, order_minhash, substring_dedup, token_files, unigram
+from paperloom.llm import decision_lists, fm_index, line_dedup, order_minhash, substring_dedup, token_files, toxicity, unigram
 
 BYTE_BPE, END_OF_DOCUMENT = "byte_bpe_50k.json", 2
 PIECES = "piece_bpe_32k.model"
@@ -87,6 +87,13 @@ def op9_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_lists.judged(docs, rules).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+    evidence = F.transform("evidence", lambda e: e["doc_id"])
+    return found.select("row.doc_id", (~toxicity.training_row("row.doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), evidence.alias("evidence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_line_dedup": op3_line_dedup,
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_order_minhash": op6_order_minhash,
     "op7_fm_index": op7_fm_index,
     "op9_decision_lists": op9_decision_lists,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
