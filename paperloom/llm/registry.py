@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decision_lists, fm_index, line_dedup, order_minhash, substring_dedup, token_files, toxicity, unigram, warc_zip
+from paperloom.llm import decision_lists, fm_index, line_dedup, order_minhash, separator_scan, substring_dedup, token_files, toxicity, unigram, warc_zip
 
 BYTE_BPE, END_OF_DOCUMENT = "byte_bpe_50k.json", 2
+#: <|endoftext|> of the byte-level vocabulary: no text encodes to it.
+SEPARATOR = 50256
 PIECES = "piece_bpe_32k.model"
 
 
@@ -98,6 +100,11 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (k) LEFT JOIN item USING (k)
 """
 
+def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = separator_scan.write_flat_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), SEPARATOR)
+    return separator_scan.document_counts(spark, folder, SEPARATOR)
+
+
 def op9_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = decision_lists.fitted(docs, table(spark, sf_dir, "labels"))
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_unigram": op5_unigram,
     "op6_order_minhash": op6_order_minhash,
     "op7_fm_index": op7_fm_index,
+    "op8_separator_scan": op8_separator_scan,
     "op9_decision_lists": op9_decision_lists,
     "op10_toxicity": op10_toxicity,
 }
