@@ -1,0 +1,9 @@
+"""Schemas of the data model."""
+
+COLLECTION = "id long, name string, xai_id string, description string, category string, tags string, created_at timestamp"
+DOCUMENT = "id long, name string, xai_doc_id string, collection_id long, status string, created_at timestamp"
+USER = "id long, email string, hashed_password string, full_name string"
+USAGE_EVENT = "id long, endpoint string, model string, collection_id long, prompt_tokens int, completion_tokens int, total_tokens int, cost_usd double, latency_ms int, cached boolean"
+POINT = "collection string, point_id string, embedding array<float>, text string, source string, page string, chunk_index int, total_chunks int, filepath string, category string, tags array<string>, extra map<string,string>"
+MESSAGE = "conv_id long, turn long, role string, text string"
+CALL = "provider string, ts double, seq long, ok boolean, latency_ms long, event string"
