@@ -6,8 +6,8 @@ is stitched by prefix scans over the blocks of its file: the last separator befo
 row there; its separators stay an array until the lengths are known.
 
 Tokens after a file's last separator are a document that is not closed. A file without tokens has no row. Writing: a null text is
-empty, a null doc_id comes first, rows of equal doc_id are ordered by a hash of the text and the text, equal rows each have a
-document.
+empty, a null doc_id stays null, equal rows each have a document; in ascending order a null doc_id comes first, and rows of equal
+doc_id are ordered by a hash of the text and the text.
 """
 
 from __future__ import annotations
@@ -51,10 +51,11 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
         yield close()
 
 
-def write_flat_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, dtype: str = DTYPE, file_tokens: int = FILE_TOKENS) -> str:
-    """Ids of docs (doc_id, text) in ascending doc_id order, end_id after each. Beside the *.tokens the folder gets _documents: which doc_id is which document of which file."""
+def write_flat_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, dtype: str = DTYPE, file_tokens: int = FILE_TOKENS, ordered: bool = False) -> str:
+    """Ids of docs (doc_id, text), end_id after each: as the documents are read, without a shuffle, or in ascending doc_id order. Beside the *.tokens the folder gets _documents: which doc_id is which document of which file."""
     folder = folder or new_folder(docs.sparkSession, "flat")
-    made = token_files.in_order(docs).mapInArrow(partial(_write, folder=folder, path=tokenizer, end_id=end_id, dtype=dtype, most=file_tokens), "file string, number long, doc_id long")
+    rows = token_files.in_order(docs) if ordered else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = rows.mapInArrow(partial(_write, folder=folder, path=tokenizer, end_id=end_id, dtype=dtype, most=file_tokens), "file string, number long, doc_id long")
     made.write.parquet(f"{folder}/_documents")
     return folder
 

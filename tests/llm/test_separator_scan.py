@@ -33,6 +33,9 @@ def test_documents(spark):
     folder = S.write_flat_files(docs, PATH, 50256, file_tokens=60)
     got = sorted(((r.doc_id, r.n_tokens) for r in S.document_counts(spark, folder, 50256, block_tokens=16).collect()), key=str)
     assert got == sorted(((r[0], len(ids) - 1) for r, ids in zip(rows, whole([r[1] for r in rows]))), key=str)
+    folder = S.write_flat_files(docs, PATH, 50256, ordered=True)
+    found = S.document_counts(spark, folder, 50256).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in found), key=str) == got
     with pytest.raises(Exception, match="does not fit"):
         S.write_flat_files(docs, PATH, 50256, dtype="<u1")
 
