@@ -43,7 +43,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     with np.errstate(over="ignore"):
         while at < len(starts):
             origin = int(starts[at])
-            to = max(at + 1, int(np.searchsorted(ends, origin + (1 << 20), "right")))
+            to = max(at + 1, int(np.searchsorted(ends, origin + (1 << 18), "right")))
             n = int(ends[to - 1]) - origin
             total = np.zeros(n + 1, np.uint64)
             np.cumsum((buf[origin : origin + n].astype(np.uint64) + np.uint64(1)) * powers(base, n)[:n], out=total[1:])

@@ -48,6 +48,18 @@ def write_whole(uri: str, parts: list[bytes], attempt: int) -> None:
     store.move(draft, path)
 
 
+#: Rows of an Arrow batch, at most: texts can be long.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df; batches between Spark and Python have at most BATCH_ROWS rows in its session from now on, fewer if fewer were set."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 class Ranges:
     """Positional reads of a file."""
 

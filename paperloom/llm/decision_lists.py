@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm import _bytes as B
+from paperloom.llm._shared import bounded_batches
 
 #: Labelled rows that rules are learned from, at most: those with the smallest hashes of doc_id.
 FIT_ROWS = 20_000
@@ -113,7 +114,7 @@ def _statistics(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Rec
 
 def statistics(docs: DataFrame) -> DataFrame:
     """row (all columns of docs) and STATS."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([rows.schema["row"], *(T.StructField(k, T.LongType()) for k in STATS)])
     return rows.mapInArrow(partial(_statistics, text=docs.columns.index("text")), schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm import _bytes as B
-from paperloom.llm._shared import Ranges, new_folder, write_whole
+from paperloom.llm._shared import Ranges, bounded_batches, new_folder, write_whole
 
 WINDOW = 13
 #: Characters of benchmark texts that are searched for at once.
@@ -251,7 +251,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         if (what := phrases(items, window))["items"]:
             write_whole(f"{folder}/{k:06d}.pickle", [pickle.dumps(what)], 0)
             paths.append(f"{folder}/{k:06d}.pickle")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([rows.schema["row"], *FOUND.fields])
     return rows.mapInArrow(partial(_hits, paths=paths, text=docs.columns.index("text"), schema=to_arrow_schema(FOUND)), schema)
 

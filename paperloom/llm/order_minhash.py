@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import _bytes as B
-from paperloom.llm._shared import kept
+from paperloom.llm._shared import bounded_batches, kept
 from paperloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -196,7 +196,7 @@ def _joined(table: pa.Table) -> pa.Table:
 
 def text_classes(docs: DataFrame) -> DataFrame:
     """k (key of a text), rep (least doc_id of its copies), n (shingles), c (key of its class) for each distinct text of docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("k", text_key(F.col("text")))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("k", text_key(F.col("text")))
     sketched = rows.select("k", "doc_id", "text").mapInArrow(_sketches, "k binary, doc_id long, n int, sketches array<long>")
     nodes = kept(sketched.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
 

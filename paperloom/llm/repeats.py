@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm._shared import bounded_batches
+
 #: The rank of rows without one.
 LAST = (1 << 63) - 1
 
 
 def ranked(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
     """row (all columns), d (rank), t (hash of the text), text."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = F.col("row.text").cast("string")
     return rows.select("row", F.coalesce(F.col(f"row.{rank}").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
 

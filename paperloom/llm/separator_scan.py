@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import token_files
-from paperloom.llm._shared import Ranges, new_folder, write_whole
+from paperloom.llm._shared import Ranges, bounded_batches, new_folder, write_whole
 
 DTYPE, BLOCK_TOKENS, FILE_TOKENS = "<u2", 1 << 20, 1 << 23
 
@@ -54,7 +54,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
 def write_flat_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, dtype: str = DTYPE, file_tokens: int = FILE_TOKENS, ordered: bool = False) -> str:
     """Ids of docs (doc_id, text), end_id after each: as the documents are read, without a shuffle, or in ascending doc_id order. Beside the *.tokens the folder gets _documents: which doc_id is which document of which file."""
     folder = folder or new_folder(docs.sparkSession, "flat")
-    rows = token_files.in_order(docs) if ordered else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = token_files.in_order(docs) if ordered else bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = rows.mapInArrow(partial(_write, folder=folder, path=tokenizer, end_id=end_id, dtype=dtype, most=file_tokens), "file string, number long, doc_id long")
     made.write.parquet(f"{folder}/_documents")
     return folder

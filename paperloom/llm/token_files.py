@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import _bytes as B
-from paperloom.llm._shared import Ranges, new_folder, write_whole
+from paperloom.llm._shared import Ranges, bounded_batches, new_folder, write_whole
 
 MAGIC = b"PLDAC01\n"
 WIDTHS = (8, 8, 16)
@@ -172,7 +172,7 @@ def with_end(ids: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray
 
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id and text, dealt by ranges of doc_id and sorted; a doc_id that many rows share is dealt by its texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keys = ["doc_id", F.xxhash64("text")]
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
 

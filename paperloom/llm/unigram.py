@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm import _bytes as B
+from paperloom.llm._shared import bounded_batches
 
 MARKER = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -251,7 +252,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, text: int, back: bool)
 
 def pieces(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
     """row, ids (of the pieces) and, if asked for, decoded (the text from the ids) for each document."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     fields = [rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decode
     return rows.mapInArrow(partial(_pieces, path=path, text=docs.columns.index("text"), back=decode), T.StructType(fields))
 

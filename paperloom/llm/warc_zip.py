@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm._shared import Ranges, new_folder, write_whole
+from paperloom.llm._shared import Ranges, bounded_batches, new_folder, write_whole
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: A package is closed when its archive has so many bytes.
@@ -185,7 +185,7 @@ def write_packages(pages: DataFrame, folder: str | None = None, least_bytes: int
     """A record for each row of pages (page_id, url, html), in packages; the folder gets *.wacz and _packages, the list of them."""
     folder = folder or new_folder(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha1", F.sha1("html"))
+    rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha1", F.sha1("html"))
     shared = rows.where(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).where("m > 1 AND first IS NOT NULL").select("sha1", "first")
     known = rows.join(shared.hint("shuffle_hash"), "sha1", "left")
     refers = F.when(F.octet_length("html") >= least_bytes, F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")))
