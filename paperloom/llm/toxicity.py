@@ -2,8 +2,9 @@
 
 Examples are a bounded sample of labelled documents, 3,000 of either label at most, without near copies of each other (which would
 make any rare word of theirs look telling). Terms are lower-cased words and their
-beginnings of four to seven bytes (stems); those that the labels depend on most (G-squared over 20) make the vectors, by
-(1 + ln tf) * idf at length one. Similarity is the cosine. The 15 nearest examples are found exactly: blocks of 64 examples have
+beginnings of four to seven bytes (stems); those that the labels depend on most (G-squared over 20, and three times as
+common with one label as with the other) make the vectors, by
+(1 + ln tf) * idf at length one. Similarity is the cosine. The 15 nearest examples are found exactly: blocks of 256 examples have
 the greatest weight of each term, blocks are scored in the order of the bound that follows, and the search ends where a bound is
 below the fifteenth similarity so far. Votes are weighted by 1 / (1.05 - cosine); isotonic regression over the examples' own votes
 (each left out of its neighbours), weighted to the labels' shares, makes them probabilities. The neighbours are the evidence.
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm import _bytes as B
-from paperloom.llm._shared import kept
+from paperloom.llm._shared import bounded_batches, kept
 from paperloom.llm.order_minhash import SEEDS, shingles
 
 #: Examples of each label, and terms, at most.
 EXAMPLES, TERMS = 3_000, 1_024
-NEIGHBOURS, BLOCK, LEAST_G2, EVIDENCE = 15, 64, 20.0, 3
+NEIGHBOURS, BLOCK, LEAST_G2, LEAST_RATIO, EVIDENCE = 15, 256, 20.0, 3.0, 3
 THRESHOLD = 0.7
 STEMS = (4, 5, 6, 7)
 IS_WORD = B.table(lambda b: 0x41 <= b < 0x5B or 0x61 <= b < 0x7B or b >= 0x80)
@@ -197,7 +198,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, most_terms:
     n0, n1 = known.agg(F.count_if(~F.col("toxic")), F.count_if("toxic")).first()
     share = n1 / max(n0 + n1, 1)
     drawn = [known.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for mark in (False, True)]
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = kept(texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select("doc_id", "toxic", "text"), "examples")  # at most 2 * most rows of 9 bytes
     apart = _apart(sample.select("doc_id", "text").mapInArrow(_least_shingles, "doc_id long, least array<long>").collect())  # of the bounded sample
     sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in apart], "doc_id long")), "doc_id")
@@ -207,7 +208,8 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, most_terms:
     n = max(m0 + m1, 1)
     cells = [("pos", f"(pos + neg) * {m1 / n!r}D"), ("neg", f"(pos + neg) * {m0 / n!r}D"), (f"{m1} - pos", f"({n} - pos - neg) * {m1 / n!r}D"), (f"{m0} - neg", f"({n} - pos - neg) * {m0 / n!r}D")]
     g2 = 2 * (part(*cells[0]) + part(*cells[1]) + part(*cells[2]) + part(*cells[3]))
-    top = counted.withColumn("g2", g2).where(F.col("g2") > LEAST_G2).orderBy(F.desc("g2"), "term").limit(most_terms).collect() if m0 and m1 else []
+    rate1, rate0 = F.col("pos") / max(m1, 1), F.col("neg") / max(m0, 1)
+    top = counted.withColumn("g2", g2).where((F.col("g2") > LEAST_G2) & (F.greatest(rate1, rate0) >= LEAST_RATIO * F.least(rate1, rate0))).orderBy(F.desc("g2"), "term").limit(most_terms).collect() if m0 and m1 else []
     terms = np.sort(np.array([r.term for r in top], np.int64).view(np.uint64))
     rows = sample.mapInArrow(partial(_example_rows, terms=terms), "doc_id long, toxic boolean, terms array<int>, counts array<int>").collect()
     rows.sort(key=lambda r: (r.terms, r.counts, r.doc_id))  # alike ones share blocks, so bounds are close
@@ -249,6 +251,6 @@ EVIDENCE_TYPE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()),
 def scored(docs: DataFrame, model: Examples) -> DataFrame:
     """row, score (0 to 1), evidence (the three nearest examples)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE_TYPE)])
     return rows.mapInArrow(partial(_scored, model=sent, text=docs.columns.index("text")), schema)
