@@ -111,4 +111,5 @@ def flat_files(spark: SparkSession, folder: str) -> DataFrame:
 def document_counts(spark: SparkSession, folder: str, end_id: int, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, n_tokens for each document of a folder that write_flat_files has written."""
     found = counts(spark, flat_files(spark, folder), end_id, dtype, block_tokens)
-    return spark.read.parquet(f"{folder}/_documents").join(found, ["file", "number"], "left").select("doc_id", "n_tokens")
+    # small as a file, as its columns repeat or count up, but a row for each document: not to be broadcast
+    return spark.read.parquet(f"{folder}/_documents").hint("merge").join(found, ["file", "number"], "left").select("doc_id", "n_tokens")
