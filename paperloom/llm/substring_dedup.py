@@ -4,7 +4,7 @@ Units are compared by their normalised words: ASCII lower case, marks and white
 globally; the occurrence of least rank stays, the rest is removed, with the spans in the original text kept. Passages that lie
 inside a line are no line or paragraph of their own, so by default lines are cut on into segments at words whose hash is the
 least among four neighbours on either side: such cuts depend on the words around only, so two copies of a passage are cut alike
-wherever they stand. Removed is what has at least 16 words of adjoining repeated units; shorter ones, such as common phrases and
+wherever they stand. Removed is what has at least 20 words of adjoining repeated units; shorter ones, such as common phrases and
 licence lines, stay.
 
 Null texts stay null, texts without words have no unit. Rows of one rank are not compared with each other, nor are rows without
@@ -25,7 +25,7 @@ from paperloom.llm import _bytes as B
 from paperloom.llm._shared import kept
 from paperloom.llm.repeats import gathered, later, ranked
 
-LEAST_WORDS, NEIGHBOURS = 16, 4
+LEAST_WORDS, NEIGHBOURS = 20, 4
 IS_WORD = B.table(lambda b: 0x30 <= b < 0x3A or 0x61 <= b < 0x7B or b >= 0x80)
 LOWER = np.array([b + 32 if 0x41 <= b < 0x5B else b for b in range(256)], np.uint8)
 
