@@ -105,11 +105,16 @@ def tool_analyze_prompt(text: Column) -> Column:
     return F.concat(F.lit("다음 문서를 분석하세요:\n\n"), cut(text, 4000))
 
 
+def document_lists(documents: DataFrame) -> DataFrame:
+    """id (of a collection), lines (its documents, a line each, by id) and n."""
+    line = F.concat(F.lit("- "), "name", F.lit(" (상태: "), "status", F.lit(")"))
+    rows = documents.select("collection_id", "id", line.alias("line"))
+    return rows.groupBy(F.col("collection_id").alias("id")).agg(F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY id)").alias("lines"), F.count("*").alias("n"))
+
+
 def collection_prompts(collections: DataFrame, documents: DataFrame) -> DataFrame:
     """id, prompt: a collection's fields and its documents, by id."""
-    line = F.concat(F.lit("- "), "name", F.lit(" (상태: "), "status", F.lit(")"))
-    listed = documents.select("collection_id", "id", line.alias("line")).groupBy(F.col("collection_id").alias("id")).agg(F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY id)").alias("lines"), F.count("*").alias("n"))
-    rows = collections.join(listed, "id", "left")
+    rows = collections.join(document_lists(documents), "id", "left")
     parts = [F.lit("컬렉션 이름: "), F.col("name"), F.lit("\n현재 설명: "), or_label(F.col("description")), F.lit("\n현재 카테고리: "), or_label(F.col("category")), F.lit("\n현재 태그: "), or_label(F.col("tags")), F.lit("\n문서 수: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit("\n\n포함된 문서 목록:\n"), F.coalesce("lines", F.lit(NO_DOCUMENTS))]
     return rows.select("id", F.concat(*parts).alias("prompt"))
 

@@ -87,6 +87,22 @@ def breaker_replay(calls: DataFrame, failures: int = FAILURES, recovery: float =
     return folded(calls, "provider", ["ts", "seq"], schema, lambda: Breaker(failures, recovery), step)
 
 
+@dataclass
+class Run:
+    length: int = 0
+
+
+def failure_runs(calls: DataFrame) -> DataFrame:
+    """provider, seq, run: how many calls have failed in a row, up to each."""
+
+    def step(r: Run, row) -> tuple:
+        r.length = 0 if row.ok else r.length + 1
+        return row.provider, row.seq, r.length
+
+    schema = T.StructType([calls.schema["provider"], calls.schema["seq"], T.StructField("run", T.LongType())])
+    return folded(calls, "provider", ["ts", "seq"], schema, Run, step)
+
+
 def breaker_status(replayed: DataFrame, providers: DataFrame) -> DataFrame:
     """provider, state, failure_count, success_count, available: the last state of each of providers (provider, available); closed if it never had a call. Reading the status moves nothing."""
     last = replayed.groupBy("provider").agg(F.max_by(F.struct("state", "failure_count", "success_count"), "seq").alias("s"))
@@ -144,5 +160,3 @@ def cache_replay(requests: DataFrame, ttl: float = CACHE_TTL_S) -> DataFrame:
 
     schema = T.StructType([requests.schema["key"], requests.schema["seq"], T.StructField("hit", T.BooleanType())])
     return folded(requests, "key", ["ts", "seq"], schema, Entry, step)
-
-

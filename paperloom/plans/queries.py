@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import chunking, embedding, text
 from paperloom.operators import agents, catalog, generation, router, search
 from paperloom.plans import views as V
+from paperloom.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -492,6 +493,28 @@ def g10(spark, d):
     return V.docs(spark, d).select("id", md5(generation.analyze_prompt(F.col("name"), F.col("text")), "prompt_md5"))
 
 
+@query("ag8_tool_prompt", f"WITH {V.DOCS} SELECT id, md5('다음 문서를 분석하세요:' || chr(10) || chr(10) || left(text, 4000)) AS prompt_md5 FROM docs")
+def ag8(spark, d):
+    return V.docs(spark, d).select("id", md5(generation.tool_analyze_prompt(F.col("text")), "prompt_md5"))
+
+
+@query("f20_point_ids", f"WITH {V.CHUNKS} SELECT id, chunk_index, sha256(collection || chr(31) || name || chr(31) || chunk_index || chr(31) || text) AS point_id FROM chunks")
+def f20(spark, d):
+    rows = chunk_rows(spark, d)
+    return rows.select("id", F.col("chunk_index").cast("long").alias("chunk_index"), sinks.point_id(F.col("collection"), F.col("name"), F.col("chunk_index"), F.col("text")).alias("point_id"))
+
+
+@query("f22_document_list", f"WITH {V.DOCS} SELECT collection_id, count(*) AS n, md5(string_agg('- ' || name || ' (상태: ' || status || ')', chr(10) ORDER BY id)) AS list_md5 FROM docs GROUP BY collection_id")
+def f22(spark, d):
+    made = generation.document_lists(V.docs(spark, d))
+    return made.select(F.col("id").alias("collection_id"), "n", md5("lines", "list_md5"))
+
+
+@query("k9_usage_by_endpoint", f"WITH {V.USAGE} SELECT endpoint, count(*) AS n, sum(prompt_tokens)::BIGINT AS prompt_tokens, trunc(avg(latency_ms))::INTEGER AS avg_latency_ms FROM usage GROUP BY endpoint")
+def k9(spark, d):
+    return V.usage(spark, d).groupBy("endpoint").agg(F.count("*").alias("n"), F.sum("prompt_tokens").alias("prompt_tokens"), F.avg("latency_ms").cast("int").alias("avg_latency_ms"))
+
+
 @query("g13_metering", f"WITH {V.USAGE} SELECT id, '/chat' AS endpoint, 'primary' AS model, user_id % 6 AS collection_id, prompt_tokens, completion_tokens, prompt_tokens + completion_tokens AS total_tokens, round(CASE WHEN prompt_tokens > 0 AND completion_tokens > 0 THEN prompt_tokens / 1e6 * 1.0 + completion_tokens / 1e6 * 2.0 ELSE 0.0 END, 9) AS cost_usd, latency_ms, false AS cached FROM usage WHERE user_id % 6 <> 0 AND endpoint <> 'view'")
 def g13(spark, d):
     asked = V.usage(spark, d).withColumn("collection_id", F.col("user_id") % 6).withColumn("ready", F.col("collection_id") != 0).withColumn("cached", F.col("endpoint") == "view").withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
@@ -518,6 +541,18 @@ def st1(spark, d):
     return replayed(spark, d)
 
 
+@query("w4_failure_runs", f"WITH {V.CALLS}, g AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY provider ORDER BY n) AS wins FROM calls) SELECT provider, seq, count(*) FILTER (WHERE NOT ok) OVER (PARTITION BY provider, wins ORDER BY n) AS run FROM g")
+def w4(spark, d):
+    return router.failure_runs(V.calls(spark, d))
+
+
+@query("g9_reset_replay")
+def g9(spark, d):
+    """Breakers with a manual reset at every thousandth event."""
+    rows = V.calls(spark, d).withColumn("event", F.when(F.col("seq") % 1000 == 0, "reset").otherwise("call"))
+    return router.breaker_replay(rows, recovery=3600.0)
+
+
 @query("g8_breaker_status", BREAKER_SQL + "SELECT provider, state, failed AS failure_count, succeeded AS success_count, true AS available FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY seq DESC) AS k FROM r WHERE n > 0) WHERE k = 1 UNION ALL SELECT 'p9', 'closed', 0, 0, true")
 def g8(spark, d):
     known = V.calls(spark, d).select("provider").distinct().union(spark.sql("SELECT 'p9'")).withColumn("available", F.lit(True))
