@@ -2,9 +2,9 @@
 
 Pieces and scores are read from a .model file. A text gets a space in front, spaces become the marker U+2581, and the path of
 pieces with the greatest sum of scores wins; of equal sums the one whose last piece is longer, from the left. A character that no
-piece covers costs ten less than the worst score and becomes its bytes' pieces. No piece has a marker after another character, so
-texts are cut before each run of spaces and units encode on their own: a task runs Viterbi once for each distinct unit, over all
-of them in step as arrays.
+piece covers costs ten less than the worst score and becomes its bytes' pieces. Texts are cut between characters whose bytes no
+piece has side by side, such as before a space; no piece can lie over a cut, so units encode on their own: a task runs Viterbi once
+for each distinct unit, over many of them in step as arrays.
 
 The public model is trained for another way of joining pieces; its scores serve as log scores here, so ids are not those of that
 way but the best path over its pieces, which the tests compare with brute force and the library's own unigram search.
@@ -31,6 +31,8 @@ from paperloom.llm._shared import bounded_batches
 MARKER = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNKNOWN_PENALTY = 10.0
+#: Units times bytes that are searched at once.
+CELLS = 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -134,6 +136,20 @@ class Unigram:
         self.unknown_id = next(i for i, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN)
         self.text = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARKER, b" ") for p, _, kind in self.pieces]
 
+        #: Bytes that follow each other in a piece, the marker as a space.
+        self.adjoin = np.zeros(1 << 16, bool)
+        for i in known:
+            own = np.frombuffer(self.pieces[i][0].replace(MARKER, b" "), np.uint8).astype(np.int64)
+            self.adjoin[own[:-1] * 256 + own[1:]] = True
+
+    def units(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Starts of units: at texts, and at each character that no piece has after the byte before it."""
+        cut = np.zeros(len(buf) + 1, bool)
+        if len(buf) > 1:
+            cut[1:-1] = ~self.adjoin[buf[:-1].astype(np.int32) * 256 + buf[1:]] & ((buf[1:] & 0xC0) != 0x80)
+        cut[offs] = True
+        return np.flatnonzero(cut[:-1])
+
     def encode_units(self, units: list[bytes]) -> list[list[int]]:
         """Units with spaces; lengths alike go together, so that short ones don't wait for long ones."""
         out: list[list[int]] = [[]] * len(units)
@@ -143,7 +159,7 @@ class Unigram:
         while at < len(order):
             longest = max(16, 2 * len(marked[order[at]]))
             to = at + 1
-            while to < len(order) and to - at < 8192 and len(marked[order[to]]) <= longest:
+            while to < len(order) and (to - at) * longest < CELLS and len(marked[order[to]]) <= longest:
                 to += 1
             for i, ids in zip(order[at:to], self._best([marked[i] for i in order[at:to]]), strict=True):
                 out[i] = ids
@@ -213,15 +229,6 @@ class Unigram:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-def space_run_units(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Starts of units: at texts, and at each space that no space is before."""
-    cut = np.zeros(len(buf) + 1, bool)
-    space = buf == 0x20
-    cut[1:-1] = space[1:] & ~space[:-1]
-    cut[offs] = True
-    return np.flatnonzero(cut[:-1])
-
-
 @lru_cache(maxsize=2)
 def codec(path: str) -> tuple[Unigram, B.UnitIds]:
     model = Unigram(path)
@@ -236,7 +243,8 @@ def encoded(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     marked = pc.replace_substring(texts, MARKER.decode(), " ")
     fronted = pc.if_else(pc.equal(marked, ""), marked, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), marked, pa.scalar("", pa.large_string())))
     buf, offs = B.text_of(fronted)
-    return codec(path)[1].ids(buf, offs, space_run_units(buf, offs))
+    model, cache = codec(path)
+    return cache.ids(buf, offs, model.units(buf, offs))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, text: int, back: bool) -> Iterator[pa.RecordBatch]:
