@@ -74,15 +74,16 @@ def sketch(labelled: np.ndarray) -> np.ndarray:
     """The sketches of one text: numbers that texts share where the sampled shingles and their order are the same."""
     out = []
     plans = [(0, SKETCHES, SAMPLED)] + [(SKETCHES, SKETCHES + SHORT_SKETCHES, SHORT_SAMPLED)] * (len(labelled) <= SHORT)
+    some = max(1, (1 << 18) // max(len(labelled), 1))  # sketches at once, fewer of a long text
     with np.errstate(over="ignore"):
-        for low, high, sampled in plans:
+        for low, high, sampled in ((x, min(x + some, high), sampled) for low, high, sampled in plans for x in range(low, high, some)):
             seeds = SEEDS[low:high, None]
             if len(labelled) > sampled:
                 taken = np.argpartition(labelled[None, :] * seeds, sampled - 1, axis=1)[:, :sampled]
                 values = labelled[np.sort(taken, axis=1)]
             else:
                 values = np.broadcast_to(labelled, (high - low, len(labelled)))
-            key = np.broadcast_to(seeds[:, 0], high - low).copy()
+            key = seeds[:, 0].copy()
             for column in values.T:
                 key = B.mixed(key * ODD + column)
             out.append(key)
