@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import stripped
@@ -28,7 +28,6 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return rows.withColumn("page", (F.col("chunk_index") + 1).cast("string"))
 
 
-def upsert_batches(points: DataFrame, partition: str, order: list[str], batch: int = 100) -> DataFrame:
-    """batch_no of each point within its collection: 100 to a batch, in order."""
-    number = F.row_number().over(Window.partitionBy(partition).orderBy(*order))
-    return points.withColumn("batch_no", F.floor((number - 1) / batch))
+def upsert_batches(chunks: DataFrame, batch: int = 100) -> DataFrame:
+    """batch_no of each chunk of a file, as files are written by so many points at a time."""
+    return chunks.withColumn("batch_no", F.floor(F.col("chunk_index") / batch))

@@ -5,7 +5,7 @@ with sources.sinks.current."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import collection_name, stripped
@@ -78,15 +78,17 @@ def new_collections(collections: DataFrame, asked: DataFrame) -> DataFrame:
     earlier one of asked (by name, then seq)."""
     named = asked.withColumn("clean", collection_name(F.col("name")))
     taken = named.join(collections.select(F.col("xai_id").alias("clean")).distinct().withColumn("taken", F.lit(True)), "clean", "left")
-    number = F.row_number().over(Window.partitionBy("clean").orderBy("name", "seq"))
+    first = named.groupBy("clean").agg(F.min(F.struct("name", "seq")).alias("first"))  # however many share a name, one row for each task
+    rows = taken.join(first, "clean")
     extra = F.concat(F.lit("_"), F.left(F.sha2(F.concat_ws("\x1f", "name", F.col("seq").cast("string")), 256), F.lit(6)))
-    return taken.withColumn("xai_id", F.when(F.coalesce("taken", F.lit(False)) | (number > 1), F.concat("clean", extra)).otherwise(F.col("clean"))).drop("clean", "taken")
+    repeated = F.coalesce("taken", F.lit(False)) | (F.struct("name", "seq") != F.col("first"))
+    return rows.withColumn("xai_id", F.when(repeated, F.concat("clean", extra)).otherwise(F.col("clean"))).drop("clean", "taken", "first")
 
 
 def missing(existing: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """Of wanted, one row for each key that existing does not have: ensure-exists, and register without repeated emails."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy(*wanted.columns))
-    return wanted.join(existing.select(key), key, "left_anti").withColumn("_n", number).where("_n = 1").drop("_n")
+    least = F.min(F.struct(*[F.col(c) for c in wanted.columns])).alias("row")
+    return wanted.join(existing.select(key), key, "left_anti").groupBy(F.col(key).alias("_key")).agg(least).select("row.*")
 
 
 def patched(collections: DataFrame, patches: DataFrame) -> DataFrame:

@@ -101,10 +101,9 @@ def a9(spark, d):
     return chunk_rows(spark, d).groupBy("id").agg(F.count("*").alias("chunks"), F.max("total_chunks").cast("long").alias("total_chunks"))
 
 
-@query("w2_upsert_batches", f"WITH {V.CHUNKS} SELECT collection, batch_no, count(*) AS n, min(id) AS first_id FROM (SELECT collection, id, (row_number() OVER (PARTITION BY collection ORDER BY id, chunk_index) - 1) // 100 AS batch_no FROM chunks) GROUP BY ALL")
+@query("w2_upsert_batches", f"WITH {V.CHUNKS} SELECT id, chunk_index // 100 AS batch_no, count(*) AS n FROM chunks GROUP BY ALL")
 def w2(spark, d):
-    made = chunking.upsert_batches(chunk_rows(spark, d), "collection", ["id", "chunk_index"])
-    return made.groupBy("collection", "batch_no").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return chunking.upsert_batches(chunk_rows(spark, d)).groupBy("id", "batch_no").agg(F.count("*").alias("n"))
 
 
 @query("a8_ingest_totals", f"WITH {V.CHUNKS} SELECT count(DISTINCT id) AS files, count(*) AS chunks FROM chunks")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,8 +39,8 @@ def append_versions(rows: DataFrame, path: str, version: int, deleted: bool = Fa
 
 def current(versions: DataFrame, key: str = "id") -> DataFrame:
     """The latest version of each key that is not deleted."""
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_version"), F.desc("_deleted")))
-    return versions.withColumn("_n", last).where("_n = 1 AND NOT _deleted").drop("_n", "_version", "_deleted")
+    last = versions.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*versions.columns), F.struct("_version", "_deleted")).alias("row"))
+    return last.where("NOT row._deleted").select("row.*").drop("_version", "_deleted")
 
 
 def compact(spark: SparkSession, path: str, to: str, key: str = "id") -> None:
