@@ -18,8 +18,20 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_folders(spark: SparkSession) -> None:
+    """Deletes what this process has put into the shared folder. Results read it until they are written, so call this after."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

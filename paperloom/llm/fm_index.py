@@ -13,7 +13,6 @@ finds nothing. All columns of the documents are passed on inside `row`, so their
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 import re
 from collections.abc import Iterator
@@ -267,7 +266,3 @@ def without_spans(text: str = "text", spans: str = "spans"):
     edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"]))), F.array(length))
     pieces = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.substring(F.col(text), (F.get(edges, 2 * i) + 1).cast("int"), (F.get(edges, 2 * i + 1) - F.get(edges, 2 * i)).cast("int")))
     return F.array_join(pieces, "")
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
