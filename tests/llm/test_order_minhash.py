@@ -97,8 +97,10 @@ def test_sketches_meet():
         assert missed <= 1, (n, missed)
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_classes_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "block", "rows_"), [(4, 512, 4096), (5, 3, 10)])
+def test_classes_equal_brute_force(spark, monkeypatch, seed, block, rows_):
+    monkeypatch.setattr(O, "BLOCK", block)
+    monkeypatch.setattr(O, "GROUP_ROWS", rows_)
     texts = corpus(seed)
     rows = [(i, t, "k") for i, t in enumerate(texts)] + [(None, texts[12], "k"), (10, texts[10], "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, k string").repartition(3)
