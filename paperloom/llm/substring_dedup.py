@@ -4,7 +4,7 @@ Units are compared by their normalised words: ASCII lower case, marks and white
 globally; the occurrence of least rank stays, the rest is removed, with the spans in the original text kept. Passages that lie
 inside a line are no line or paragraph of their own, so by default lines are cut on into segments at words whose hash is the
 least among four neighbours on either side: such cuts depend on the words around only, so two copies of a passage are cut alike
-wherever they stand. Removed is what has at least 20 words of adjoining repeated units; shorter ones, such as common phrases and
+wherever they stand. Equal words are all least, so words that repeat with a short period are cut in each period. Removed is what has at least 20 words of adjoining repeated units; shorter ones, such as common phrases and
 licence lines, stay.
 
 Null texts stay null, texts without words have no unit. Rows of one rank are not compared with each other, nor are rows without
@@ -48,7 +48,7 @@ def units_of(buf: np.ndarray, offs: np.ndarray, unit: str) -> tuple[np.ndarray,
         least = np.ones(n, bool)
         for k in range(2 * NEIGHBOURS + 1):
             if k != NEIGHBOURS:
-                least &= hashes < padded[k : k + n]
+                least &= hashes <= padded[k : k + n]
         cut[:-1] |= least
     begin = np.flatnonzero(cut)
     begin = begin if begin[-1] == n else np.append(begin, n)

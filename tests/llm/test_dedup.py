@@ -97,6 +97,19 @@ def test_passages_inside_lines(spark):
         substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), "word")
 
 
+@pytest.mark.parametrize("period", [1, 2, 3, 4, 5])
+def test_words_that_repeat_with_a_short_period(spark, period):
+    rng = random.Random(period)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    again = lambda words, n: " ".join((words * n)[:n])
+    rows = []
+    for i in range(20):
+        words = text(period).split()
+        rows += [(i, f"{text(40)} {again(words, 240)} {text(30)}"), (100 + i, f"{text(50)} {again(words, 300)} {text(20)}")]
+    got = {r.row.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(270 <= got[100 + i].n_removed_words <= 300 for i in range(20))
+
+
 def test_query_equals_sql(spark):
     import duckdb
 
