@@ -97,6 +97,21 @@ def test_passages_inside_lines(spark):
         substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), "word")
 
 
+@pytest.mark.parametrize("unit", ["line", "paragraph", "segment"])
+def test_whole_lines_of_few_words(spark, unit):
+    rng = random.Random(10)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    short = [text(n) for n in range(1, 16)]
+    rows = [(i, f"{text(9)}\n\n{s}\n\n{text(9)}") for i, s in enumerate(short)] + [(100 + i, f"{text(30)}\n\n{s}\n\n{text(30)}") for i, s in enumerate(short)]
+    rows += [(200 + i, s.upper()) for i, s in enumerate(short)] + [(300 + i, f"{text(20)} {s} {text(20)}") for i, s in enumerate(short)]
+    got = {r.row.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), unit).collect()}
+    for i, s in enumerate(short):
+        assert not got[i].removed and not got[300 + i].removed
+        a, b, c = got[100 + i].row.text.split("\n\n")
+        assert got[100 + i].kept_text == f"{a}\n\n\n\n{c}" and got[100 + i].n_removed_words == i + 1
+        assert got[200 + i].kept_text == "" and got[200 + i].n_removed_words == i + 1
+
+
 @pytest.mark.parametrize("period", [1, 2, 3, 4, 5])
 def test_words_that_repeat_with_a_short_period(spark, period):
     rng = random.Random(period)
