@@ -4,7 +4,7 @@ Examples are a bounded sample of labelled documents, 3,000 of either label at mo
 make any rare word of theirs look telling). Terms are lower-cased words and their
 beginnings of four to seven bytes (stems); those that the labels depend on most (G-squared over 20, and three times as
 common with one label as with the other) make the vectors, by
-(1 + ln tf) * idf at length one. Similarity is the cosine. The 15 nearest examples are found exactly: blocks of 256 examples have
+(1 + ln tf) * idf at length one, with the document frequencies of all documents. Similarity is the cosine. The 15 nearest examples are found exactly: blocks of 256 examples have
 the greatest weight of each term, blocks are scored in the order of the bound that follows, and the search ends where a bound is
 below the fifteenth similarity so far. Votes are weighted by 1 / (1.05 - cosine); isotonic regression over the examples' own votes
 (each left out of its neighbours), weighted to the labels' shares, makes them probabilities. The neighbours are the evidence.
@@ -171,6 +171,15 @@ def _example_rows(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(numbers.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int32)))], names=["doc_id", "toxic", "terms", "counts"])
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Texts with each term; term -1 counts all."""
+    n = np.zeros(len(terms) + 1, np.int64)
+    for batch, buf, offs in B.blocks(batches):
+        n[0] += batch.num_rows
+        n[1:] += np.bincount(vectors(buf, offs, terms)[1], minlength=len(terms))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms), dtype=np.int32)), pa.array(n)], names=["term", "n"])
+
+
 def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, buf, offs in B.blocks(batches):
         labelled, bounds = shingles(buf, offs)
@@ -213,8 +222,9 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, most_terms:
     terms = np.sort(np.array([r.term for r in top], np.int64).view(np.uint64))
     rows = sample.mapInArrow(partial(_example_rows, terms=terms), "doc_id long, toxic boolean, terms array<int>, counts array<int>").collect()
     rows.sort(key=lambda r: (r.terms, r.counts, r.doc_id))  # alike ones share blocks, so bounds are close
-    df = np.bincount([t for r in rows for t in r.terms], minlength=len(terms)) if rows else np.zeros(len(terms))
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    df = texts.select("text").mapInArrow(partial(_frequencies, terms=terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy("term").collect() if len(terms) else []
+    df = np.array([r.n for r in df] or [0], float)  # of all documents
+    idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
     made = Examples([r.doc_id for r in rows], np.array([r.toxic for r in rows], bool), terms, idf, [], share)
     made.rows = [(np.array(r.terms, np.int64), made.weights(np.array(r.terms, np.int64), np.array(r.counts, float))) for r in rows]
     made.__post_init__()

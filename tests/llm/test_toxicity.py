@@ -1,8 +1,10 @@
+import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from paperloom.llm import registry, toxicity
 from paperloom.llm import _bytes as B
@@ -70,6 +72,15 @@ def test_nulls_and_no_labels(spark):
     assert toxicity.scored(docs.limit(0), model).collect() == []
 
 
+def test_document_frequencies_of_all_documents(spark):
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    rows = [(i, f"{'xyz' if i % 2 else 'uvw'} " + " ".join(word(10_000 * i + k) for k in range(8))) for i in range(200)]
+    rows += [(None, "xyz xyz x")] * 70 + [(1000, None), (1001, "q")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    made = toxicity.fitted(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert sorted(made.idf) == pytest.approx(sorted(math.log(273 / (1 + n)) + 1 for n in (170, 100)))
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in registry.op10_toxicity(spark, d).collect()}
