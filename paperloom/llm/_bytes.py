@@ -1,8 +1,14 @@
-"""Words and units of UTF-8 text as numpy arrays: spans, hashes, and ids of units from a bounded cache."""
+"""Words and units of UTF-8 text as numpy arrays: spans, hashes, exact numbers of spans, and ids of units from a bounded cache.
+
+A hash only groups: where spans count as equal inside a task (distinct, Vocabulary) their bytes are compared as well, and what
+leaves a task to be grouped with others is a cryptographic digest of 128 bits (digests). Plain hashes (span_hashes) are for
+sketches and cuts, which decide nothing by themselves.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -10,19 +16,12 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; one longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
-#: Odd multipliers of the two hashes.
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.full(max(64, 2 * n), base, dtype=np.uint64)
-            have[0] = 1
-            _POWERS[base] = have = np.multiply.accumulate(have)
-    return have
+#: Spans above so many bytes are hashed and compared one by one.
+LONG = 256
+#: Spans that are hashed at once.
+SLICE = 1 << 16
+ODD = np.uint64(0x9E3779B97F4A7C15)
+LANES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -33,26 +32,133 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of non-empty spans that ascend and do not overlap: differences of a running polynomial, brought to the
-    span's start by an inverse power. In slices, so that long texts take bounded memory besides their own."""
-    base = MULTIPLIERS[which]
-    inverse = pow(base, -1, 1 << 64)
-    out = np.empty(len(starts), dtype=np.uint64)
-    at = 0
+class Lanes:
+    """Eight bytes from any place of buf as one number."""
+
+    def __init__(self, buf: np.ndarray):
+        self.padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+        self.view = np.ndarray((len(buf) + 1,), "<u8", buffer=self.padded, strides=(1,))
+
+    def at(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The first bytes from starts, eight or what sizes leaves."""
+        return self.view[starts] & LANES[np.minimum(sizes, 8)]
+
+    def bytes(self, start: int, end: int) -> bytes:
+        return self.padded[start:end].tobytes()
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans, by eight bytes at a time. Spans with equal hashes need not be equal."""
+    out, lanes = np.empty(len(starts), np.uint64), Lanes(buf)
     with np.errstate(over="ignore"):
-        while at < len(starts):
-            origin = int(starts[at])
-            to = max(at + 1, int(np.searchsorted(ends, origin + (1 << 18), "right")))
-            n = int(ends[to - 1]) - origin
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((buf[origin : origin + n].astype(np.uint64) + np.uint64(1)) * powers(base, n)[:n], out=total[1:])
-            s, e = starts[at:to] - origin, ends[at:to] - origin
-            out[at:to] = mixed((total[e] - total[s]) * powers(inverse, n + 1)[s] + (e - s).astype(np.uint64))
-            at = to
+        for low in range(0, len(starts), SLICE):
+            s, size = starts[low : low + SLICE], ends[low : low + SLICE] - starts[low : low + SLICE]
+            value = mixed(lanes.at(s, size) + size.astype(np.uint64) * ODD)
+            open_, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+            while len(open_):
+                value[open_] = mixed(value[open_] ^ lanes.at(s[open_] + k, size[open_] - k)) * ODD
+                k += 8
+                open_ = open_[size[open_] > k]
+            for i in np.flatnonzero(size > LONG).tolist():
+                value[i] = int.from_bytes(blake2b(lanes.bytes(s[i], s[i] + size[i]), digest_size=8).digest(), "little")
+            out[low : low + SLICE] = value
+    return out
+
+
+def same_bytes(a: Lanes, starts_a: np.ndarray, ends_a: np.ndarray, b: Lanes, starts_b: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
+    """Whether spans with equal hashes have equal bytes. The hash of up to eight bytes can be undone if their number is known, so
+    only longer spans are read again."""
+    size = ends_a - starts_a
+    out = size == ends_b - starts_b
+    open_, k = np.flatnonzero(out & (size > 8) & (size <= LONG)), 0
+    for i in np.flatnonzero(out & (size > LONG)).tolist():
+        out[i] = a.bytes(starts_a[i], ends_a[i]) == b.bytes(starts_b[i], ends_b[i])
+    while len(open_):
+        equal = a.at(starts_a[open_] + k, size[open_] - k) == b.at(starts_b[open_] + k, size[open_] - k)
+        out[open_[~equal]] = False
+        k += 8
+        open_ = open_[equal & (size[open_] > k)]
     return out
 
 
+def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each distinct text, and for each span which of these it equals: grouped by hash, then byte by byte."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = span_hashes(buf, starts, ends)
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    index, inverse = order[new], np.empty(n, np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    lanes, other = Lanes(buf), order[~new]
+    first = index[inverse[other]]
+    odd = other[~same_bytes(lanes, starts[other], ends[other], lanes, starts[first], ends[first])]
+    if len(odd):  # texts that only share a hash
+        names: dict[bytes, int] = {}
+        more = []
+        for i in odd.tolist():
+            inverse[i] = names.setdefault(lanes.bytes(starts[i], ends[i]), len(index) + len(names))
+            if len(names) > len(more):
+                more.append(i)
+        index = np.concatenate([index, np.array(more, np.int64)])
+    return index, inverse
+
+
+class Vocabulary:
+    """Numbers of known words, by their order: found by hash, then byte by byte."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+        self.lanes = Lanes(np.frombuffer(b"".join(words), np.uint8))
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64) if words else np.zeros(0, np.int64)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if words else ends
+        hashes = span_hashes(self.lanes.padded[:-8], starts, ends)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes, self.starts, self.ends = hashes[self.order], starts[self.order], ends[self.order]
+        self.places: dict[bytes, int] | None = None
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def numbers(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each span, -1 of unknown ones."""
+        out = np.full(len(starts), -1, np.int64)
+        if not len(self.words) or not len(starts):
+            return out
+        hashes = span_hashes(buf, starts, ends)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        lanes, at = Lanes(buf), at[hit]
+        equal = same_bytes(lanes, starts[hit], ends[hit], self.lanes, self.starts[at], self.ends[at])
+        out[hit[equal]] = self.order[at[equal]]
+        for i in hit[~equal].tolist():  # of another word with the same hash
+            if self.places is None:
+                self.places = {w: k for k, w in enumerate(self.words)}
+            out[i] = self.places.get(lanes.bytes(starts[i], ends[i]), -1)
+        return out
+
+
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of spans as two columns of 64-bit integers."""
+    parts = [blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    both = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def seen_before(owner: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Whether the same owner has the same keys earlier."""
+    order = np.lexsort((*keys, owner))  # stable
+    again = np.zeros(len(owner), bool)
+    same = owner[order][1:] == owner[order][:-1]
+    for key in keys:
+        same &= key[order][1:] == key[order][:-1]
+    again[order[1:]] = same
+    return again
+
+
 def table(pattern: Callable[[int], bool]) -> np.ndarray:
     return np.array([pattern(b) for b in range(256)])
 
@@ -145,8 +251,7 @@ class UnitIds:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
         ends = np.append(starts[1:], len(buf))
-        hashes = span_hashes(buf, starts, ends)
-        _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        index, inverse = distinct(buf, starts, ends)
         data = buf.tobytes()
         places = self.places([data[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])[inverse]
         count = self.count[places]

@@ -66,6 +66,15 @@ def _pairs_seen(docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return count, first
 
 
+def _triples(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Numbers that are equal if and only if all three are."""
+    base = int(max(a.max(initial=0), b.max(initial=0), c.max(initial=0))) + 1
+    if base >= 1 << 21:  # a very long text: pairs are numbered first
+        a, base = np.unique(a * base + b, return_inverse=True)[1], max(base, len(a) + 1)
+        return a * base + c
+    return (a * base + b) * base + c
+
+
 def statistics_of(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """STATS of the texts in buf. Words: runs without ASCII white space; word_chars in code points."""
     n = len(offs) - 1
@@ -73,12 +82,10 @@ def statistics_of(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     starts, ends, first = B.word_spans(buf, offs, ~SPACE)
     n_words = np.diff(first)
     owner = np.repeat(np.arange(n), n_words)
-    hashes = B.span_hashes(buf, starts, ends)
+    words = B.distinct(buf, starts, ends)[1]  # equal numbers are equal words
     # windows of three words that are in the text at least twice cover their words
     at = np.flatnonzero(owner[2:] == owner[:-2]) if len(owner) > 2 else np.zeros(0, np.int64)
-    with np.errstate(over="ignore"):
-        windows = B.mixed(B.mixed(B.mixed(hashes[at]) + hashes[at + 1]) + hashes[at + 2])
-    twice = at[_pairs_seen(owner[at], windows)[0] > 1]
+    twice = at[_pairs_seen(owner[at], _triples(words[at], words[at + 1], words[at + 2]))[0] > 1]
     covered = np.zeros(len(owner), bool)
     for k in range(3):
         covered[twice + k] = True
@@ -86,9 +93,8 @@ def statistics_of(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     line_starts, line_ends, line_first = B.word_spans(buf, offs, B.table(lambda b: b != 0x0A))
     with_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_owner = np.repeat(np.arange(n), np.diff(line_first))[with_word]
-    line_hashes = B.span_hashes(buf, line_starts[with_word], line_ends[with_word])
-    later = ~_pairs_seen(line_owner, line_hashes)[1]
-    distinct = _pairs_seen(owner, hashes)[1]
+    later = ~_pairs_seen(line_owner, B.distinct(buf, line_starts[with_word], line_ends[with_word])[1])[1]
+    distinct = _pairs_seen(owner, words)[1]
     last = buf[ends - 1] if len(ends) else buf[:0]
     return {
         "n_words": n_words,

@@ -6,16 +6,19 @@ are searched backward, all at once, through ranks in a wavelet matrix of the Bur
 by walking to the next sampled suffix; the words they cover are merged to spans. Documents are dealt as they are read and never
 split, so nothing is shuffled. The benchmark is read in blocks of bounded size, each a file in the shared folder.
 
-A word of a document is found in the vocabulary by a 64-bit hash. Null or empty texts have no words and no hits; items without a
+A word of a document is found in the vocabulary by a hash and its bytes. A window with a word that the shard has not is not
+searched for. A very long text is a shard of its own, with an index as long as its words. Null or empty texts have no words and no hits; items without a
 word have no window; item_ids that are null are searched but not named; repeated rows each get their row; an empty benchmark
-finds nothing. All columns of the documents are passed on inside `row`, so their names cannot clash.
+finds nothing, and an empty table of documents gives none; equal windows of several items are found for each of them. All columns of the documents are passed on inside `row`, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-import pickle
+import io
+import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
@@ -144,47 +147,66 @@ class FMIndex:
         return places
 
 
-def phrases(items: list[tuple], window: int = WINDOW) -> dict:
-    """What tasks need of some items (id, text): the vocabulary's hashes, the distinct windows as symbols, and the ids of each window's items."""
+@dataclass
+class Phrases:
+    """What tasks need of some items: the vocabulary, the distinct windows as symbols (a word's number and one, 0 after the end), and the ids of each window's items."""
+
+    vocabulary: B.Vocabulary
+    patterns: np.ndarray
+    lengths: np.ndarray
+    items: list[list[str]]
+
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        sizes = np.array([len(w) for w in self.vocabulary.words], np.int64)
+        np.savez(out, words=np.frombuffer(b"".join(self.vocabulary.words), np.uint8), sizes=sizes, patterns=self.patterns, lengths=self.lengths, items=np.frombuffer(json.dumps(self.items).encode(), np.uint8))
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Phrases:
+        with np.load(io.BytesIO(data), allow_pickle=False) as x:
+            flat, ends = x["words"].tobytes(), np.cumsum(x["sizes"]).tolist()
+            words = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            return cls(B.Vocabulary(words), x["patterns"], x["lengths"], json.loads(x["items"].tobytes()))
+
+
+def phrases(items: list[tuple], window: int = WINDOW) -> Phrases:
+    """Of items (id, text)."""
     words: dict[bytes, int] = {}
     found: dict[tuple, set] = {}
     for name, text in items:
         own = [words.setdefault(w, len(words) + 1) for w in WORDS.findall((text or "").encode().translate(LOWER.tobytes()))]
         for i in range(max(1, len(own) - window + 1)) if own else ():
             found.setdefault(tuple(own[i : i + window]), set()).update([] if name is None else [str(name)])
-    data = b"".join(words)
-    ends = np.cumsum([len(w) for w in words], dtype=np.int64) if words else np.zeros(0, np.int64)
-    hashes = B.span_hashes(np.frombuffer(data, np.uint8), np.concatenate([[0], ends[:-1]]), ends) if words else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    lengths = np.array([len(k) for k in found], np.int64)
-    patterns = np.zeros((len(found), window), np.int64)
+    patterns = np.zeros((len(found), window), np.int32)
     for i, k in enumerate(found):
         patterns[i, : len(k)] = k
-    return {"hashes": hashes[order], "symbols": order + 1, "patterns": patterns, "lengths": lengths, "items": [sorted(v) for v in found.values()]}
+    return Phrases(B.Vocabulary(list(words)), patterns, np.array([len(k) for k in found], np.int64), [sorted(v) for v in found.values()])
 
 
 @lru_cache(maxsize=1)
-def _loaded(path: str) -> dict:
+def _loaded(path: str) -> Phrases:
     source = Ranges(path)
     try:
-        return pickle.loads(source.read(0, source.size))
+        return Phrases.unpacked(source.read(0, source.size))
     finally:
         source.close()
 
 
-def occurrences(hashes: np.ndarray, docs: np.ndarray, what: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hashes of a shard's words, docs: number of the first word of each document, one more at the end. Arrays of first word, window, length."""
+def occurrences(symbols: np.ndarray, docs: np.ndarray, what: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """symbols of a shard's words (0: not in the vocabulary), docs: number of the first word of each document, one more at the end. Arrays of first word, window, length."""
     none = np.zeros(0, np.int64)
-    if not len(hashes) or not len(what["hashes"]):
+    there = np.zeros(len(what.vocabulary) + 1, bool)
+    there[symbols] = there[0] = True
+    wanted = np.flatnonzero(there[what.patterns].all(axis=1))
+    if not len(symbols) or not len(wanted):
         return none, none, none
-    at = np.minimum(np.searchsorted(what["hashes"], hashes), len(what["hashes"]) - 1)
-    symbols = np.where(what["hashes"][at] == hashes, what["symbols"][at], 0)
     first = np.zeros(len(symbols) + 1, bool)
     first[docs] = True
     known = symbols > 0
     begin = np.flatnonzero(known & (first[:-1] | ~np.concatenate([[False], known[:-1]])))
     end = np.flatnonzero(known & (first[1:] | ~np.concatenate([known[1:], [False]]))) + 1
-    long = end - begin >= what["lengths"].min()
+    long = end - begin >= what.lengths[wanted].min()
     begin, end = begin[long], end[long]
     if not len(begin):
         return none, none, none
@@ -193,12 +215,12 @@ def occurrences(hashes: np.ndarray, docs: np.ndarray, what: dict) -> tuple[np.nd
     word = np.repeat(begin - starts, sizes) + np.arange(int(sizes.sum()))
     text = symbols[np.minimum(word, len(symbols) - 1)]
     text[starts + sizes - 1] = 0
-    index = FMIndex(text, len(what["hashes"]))
-    low, high = index.ranges(what["patterns"], what["lengths"])
+    index = FMIndex(text, len(what.vocabulary))
+    low, high = index.ranges(what.patterns[wanted], what.lengths[wanted])
     count = np.maximum(high - low, 0)
-    window = np.repeat(np.arange(len(count)), count)
+    window = np.repeat(wanted, count)
     rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    return word[index.locate(rows)], window, what["lengths"][window]
+    return word[index.locate(rows)], window, what.lengths[window]
 
 
 def _hits(batches: Iterator[pa.RecordBatch], paths: list[str], text: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -206,16 +228,15 @@ def _hits(batches: Iterator[pa.RecordBatch], paths: list[str], text: int, schema
     for batch, buf, offs in B.blocks(unrowed, limit=SHARD_BYTES):
         buf = LOWER[buf]
         starts, ends, docs = B.word_spans(buf, offs, IS_WORD)
-        hashes = B.span_hashes(buf, starts, ends)
         cover, items = np.zeros(len(starts) + 1, np.int64), [set() for _ in range(batch.num_rows)]
         for path in paths:
             what = _loaded(path)
-            at, window, length = occurrences(hashes, docs, what)
+            at, window, length = occurrences(what.vocabulary.numbers(buf, starts, ends) + 1, docs, what)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + length, -1)
-            pairs = np.unique((np.searchsorted(docs, at, "right") - 1) * len(what["lengths"]) + window)
+            pairs = np.unique((np.searchsorted(docs, at, "right") - 1) * len(what.lengths) + window)
             for pair in pairs.tolist():
-                items[pair // len(what["lengths"])].update(what["items"][pair % len(what["lengths"])])
+                items[pair // len(what.lengths)].update(what.items[pair % len(what.lengths)])
         hit = np.cumsum(cover[:-1]) > 0
         total = np.concatenate([[0], np.cumsum(hit)])
         n_hit = total[docs[1:]] - total[docs[:-1]]
@@ -247,9 +268,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     for k in range(n):
         block = asked.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else asked
         items = [tuple(r) for r in block.toLocalIterator()]
-        if (what := phrases(items, window))["items"]:
-            write_whole(f"{folder}/{k:06d}.pickle", [pickle.dumps(what)], 0)
-            paths.append(f"{folder}/{k:06d}.pickle")
+        if (what := phrases(items, window)).items:
+            write_whole(f"{folder}/{k:06d}.npz", [what.packed()], 0)
+            paths.append(f"{folder}/{k:06d}.npz")
     rows = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([rows.schema["row"], *FOUND.fields])
     return rows.mapInArrow(partial(_hits, paths=paths, text=docs.columns.index("text"), schema=to_arrow_schema(FOUND)), schema)

@@ -1,12 +1,13 @@
 """Line dedup by overlapping windows of three lines.
 
-Every three consecutive lines of a text are hashed (two 64-bit hashes); windows are grouped globally, the occurrence in the
+Every three consecutive lines of a text are hashed (a digest of 128 bits); windows are grouped globally, the occurrence in the
 document with the least doc_id, and there the first, stays; all lines that another occurrence covers are removed, overlapping
 windows merged. A line that is removed is in an earlier place, so nothing is lost from the whole.
 
 Lines end at line feeds; windows without a character other than white space do not count; texts of under three lines have none.
-Null texts stay null. Rows of one doc_id are not compared with each other, nor are rows without one (these come last); equal rows
-get equal results; an empty table gives none. All columns are passed on inside `row`.
+Null texts stay null. Rows without a doc_id come last. Of rows with one doc_id, or without one, the text with the least hash comes
+first; rows that are equal in both are not compared with each other and get equal results. A very long text is worked on as one
+block, of several times its size. An empty table gives none. All columns are passed on inside `row`, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,27 +49,19 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         words = np.concatenate([[0], np.cumsum(~BLANK[buf])])
         at = np.flatnonzero(owner[size - 1 :] == owner[: len(owner) - size + 1]) if len(owner) >= size else np.zeros(0, np.int64)
         at = at[words[ends[at + size - 1]] > words[starts[at]]]
-        hashes = []
-        with np.errstate(over="ignore"):
-            for which in (0, 1):
-                lines, value = B.span_hashes(buf, starts, ends, which), np.zeros(len(at), np.uint64)
-                for k in range(size):
-                    value = B.mixed(value * np.uint64(B.MULTIPLIERS[which]) + lines[at + k] + np.uint64(1))
-                hashes.append(value)
-        order = np.lexsort((hashes[0], owner[at]))
-        again = np.zeros(len(at), bool)
-        again[order[1:]] = (hashes[0][order][1:] == hashes[0][order][:-1]) & (owner[at][order][1:] == owner[at][order][:-1])
+        h, g = B.digests(buf.tobytes(), starts[at], ends[at + size - 1])  # three lines with their feeds
+        again = B.seen_before(owner[at], h, g)
         d, t = (batch.column(i).take(pa.array(owner[at])) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in hashes), d, t, pa.array((at - first[owner[at]]).astype(np.int32)), pa.array(again)], names=["h", "g", "d", "t", "at", "again"])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), d, t, pa.array((at - first[owner[at]]).astype(np.int32)), pa.array(again)], names=["h", "g", "d", "t", "at", "again"])
 
 
-def _without(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _without(batches: Iterator[pa.RecordBatch], size: int, text: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, total, gone = [], [], []
-        for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            lines = text.split("\n") if text is not None else []
+        for own, starts in zip(batch.column(0).field(text).cast(pa.string()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            lines = own.split("\n") if own is not None else []
             removed = {i for at in starts or () for i in range(at, at + size)}
-            out.append(text if not removed else "\n".join(x for i, x in enumerate(lines) if i not in removed))
+            out.append(own if not removed else "\n".join(x for i, x in enumerate(lines) if i not in removed))
             total.append(len(lines))
             gone.append(sorted(removed))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, schema.field("kept_text").type), pa.array(total, pa.int64()), pa.array(gone, schema.field("removed").type)], schema=pa.schema([pa.field("row", batch.column(0).type), *list(schema)[1:]]))
@@ -79,8 +72,8 @@ def deduplicated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     rows = ranked(docs)
-    units = kept(rows.select("d", "t", "text").mapInArrow(partial(_windows, size=size), "h long, g long, d long, t long, at int, again boolean"), "windows")
+    units = kept(rows.select("d", "t", F.col("row.text").cast("string").alias("text")).mapInArrow(partial(_windows, size=size), "h long, g long, d long, t long, at int, again boolean"), "windows")
     places = gathered(later(units, ["h", "g"]))
-    joined = rows.join(places.hint("shuffle_hash"), ["d", "t"], "left").select("row", "text", "later")
+    joined = rows.join(places.hint("shuffle_hash"), ["d", "t"], "left").select("row", "later")
     schema = T.StructType([rows.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
-    return joined.mapInArrow(partial(_without, size=size, schema=to_arrow_schema(schema)), schema)
+    return joined.mapInArrow(partial(_without, size=size, text=docs.columns.index("text"), schema=to_arrow_schema(schema)), schema)

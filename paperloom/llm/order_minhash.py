@@ -1,28 +1,30 @@
 """Near duplicates by Order MinHash.
 
 Texts of equal bytes are one node, so a group of copies is one row from the start. A node's shingles (five words) are labelled by
-their occurrence; each of 32 sketches takes the five labelled shingles with the least hashes and keeps them in the order of the
-text. Nodes with an equal sketch are candidates. A candidate pair is verified by banded alignment: the longest chain of equal
-labelled shingles in the order of both texts, no match further off the diagonal than a pair of the wanted similarity can have.
-Similarity is chain / (shingles of both - chain): that of Jaccard, but sensitive to order.
+their occurrence; each of 32 sketches takes the four labelled shingles with the least hashes and keeps them in the order of the
+text. Nodes with an equal sketch are candidates. A candidate pair is verified by banded alignment of its words: the longest chain
+of equal labelled shingles in the order of both texts, no match further off the diagonal than a pair of the wanted similarity can
+have, anchors the alignment; the words between two anchors are aligned by their longest common subsequence (a gap of over 4,096
+words on one side, in which no five words agree, counts as different). Similarity is the share of the longer text's words that are
+aligned, 0.8 or more; words are compared themselves, not by hash.
 
 Nodes of a bucket are not paired off as rows. First each is compared with a central node (the one that shares most sketches with
 others) of one of its buckets, that with which it shares most; links so found are joined to classes. Only buckets that still hold
-several classes go on. They are dealt in blocks of 512 nodes, each pair of blocks to a task that compares nodes of different
-classes there, a pair in the first bucket that it shares, until they are linked: no pair of the wanted similarity that shares a
-sketch is left out, and what leaves a task are links that join classes. Texts of up to 25 shingles, where few can be sampled,
-have twelve sketches of two more.
+several classes go on. They are dealt in blocks of at most 512 nodes, fewer of long texts, each pair of blocks to a task that
+compares nodes of different classes there, a pair in the first bucket that it shares, until they are linked: no similar pair that
+shares a sketch is left out, and what leaves a task are links that join classes. Texts of up to 64 shingles, where few can be
+sampled, have twelve sketches of two more.
 
 Null texts are empty; texts without a word are only grouped with equal ones; texts of fewer than five words have one shingle, of
-all; a null doc_id is allowed, and is never the one that stays if a copy has an id; equal rows fall in one class; an empty table
-gives none.
+all; a null doc_id is allowed, and is never the one that stays if a copy has an id; equal rows fall in one class, and so do rows of
+one doc_id only if their texts are similar; a very long text is sketched as one block, in several times its size, and columns
+other than doc_id and text may have any name; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,12 @@ from paperloom.llm._shared import bounded_batches, kept
 from paperloom.llm.components import components
 
 SHINGLE, SIMILARITY = 5, (4, 5)
-SKETCHES, SAMPLED = 32, 5
-SHORT, SHORT_SKETCHES, SHORT_SAMPLED = 25, 12, 2
-#: Nodes of a bucket that are compared with as many others at once; rows that go to one call.
-BLOCK, GROUP_ROWS = 512, 4096
+SKETCHES, SAMPLED = 32, 4
+SHORT, SHORT_SKETCHES, SHORT_SAMPLED = 64, 12, 2
+#: Nodes of a bucket that are compared with as many others at once, and shingles of these; rows and shingles that go to one call.
+BLOCK, BLOCK_SHINGLES, GROUP_ROWS, GROUP_SHINGLES = 512, 1 << 20, 4096, 1 << 23
+#: Words between anchors that are aligned at most, and words of texts that a task remembers.
+GAP, CACHED = 4096, 1 << 22
 NO_ID = -(1 << 63)
 IS_WORD = B.table(lambda b: not (b == 0x20 or 0x09 <= b < 0x0E))
 LOWER = np.array([b + 32 if 0x41 <= b < 0x5B else b for b in range(256)], np.uint8)
@@ -104,37 +108,105 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds).astype(np.int32)), pa.ListArray.from_arrays(counts, np.concatenate(out) if out else np.zeros(0, np.int64))], names=["k", "doc_id", "n", "sketches"])
 
 
-def chain(a: np.ndarray, b: np.ndarray, share: tuple[int, int] = SIMILARITY) -> int:
-    """The longest chain of equal labelled shingles (unique in each text) in the order of both, within the band."""
-    p, q = share
+def chain(a: np.ndarray, b: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a and in b of the longest chain of equal labelled shingles (unique in each text) in the order of both, within the band."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    band = (len(a) + len(b)) * (q - p) // (p + q)
     near = np.abs(i - j) <= band
     i, j = i[near], j[near]
-    j = j[np.argsort(i)]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
     if (np.diff(j) > 0).all():
-        return len(j)
+        return i, j
     tails: list[int] = []
-    for x in j.tolist():
+    last: list[int] = []
+    came = np.full(len(j), -1)
+    for at, x in enumerate(j.tolist()):
         k = bisect_left(tails, x)
-        tails[k : k + 1] = [x]
-    return len(tails)
-
-
-def similar(a: np.ndarray, b: np.ndarray, share: tuple[int, int] = SIMILARITY) -> tuple[bool, float]:
-    both = len(a) + len(b)
-    c = chain(a, b, share)
-    return share[1] * c >= share[0] * (both - c), c / max(both - c, 1)
+        came[at] = last[k - 1] if k else -1
+        tails[k : k + 1], last[k : k + 1] = [x], [at]
+    at, own = last[-1], []
+    while at >= 0:
+        own.append(at)
+        at = int(came[at])
+    return i[own[::-1]], j[own[::-1]]
+
+
+def common(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence: a bit for each word of a, one step for each of b."""
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = open_ = (1 << len(a)) - 1
+    for x in b:
+        if at := places.get(x):
+            hit = open_ & at
+            open_ = ((open_ + hit) | (open_ - hit)) & every
+    return len(a) - open_.bit_count()
+
+
+class Texts:
+    """Words of texts as numbers, equal if and only if the words are, and labelled shingles; those of recent texts are remembered."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.size = 0
+
+    def of(self, key: bytes, text) -> tuple[np.ndarray, np.ndarray]:
+        """text: a scalar of Arrow."""
+        if key not in self.known:
+            data = text.as_buffer().to_pybytes()
+            words = data.translate(LOWER.tobytes()).split()
+            put = self.numbers.setdefault
+            own = np.array([put(w, len(self.numbers)) for w in words], np.int64)
+            self.known[key] = own, shingles(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
+            self.size += len(own)
+        return self.known[key]
+
+    def similar(self, x: tuple[bytes, object], y: tuple[bytes, object], share: tuple[int, int] = SIMILARITY) -> bool:
+        if self.size > CACHED:
+            self.clear()
+        return aligned(*self.of(*x), *self.of(*y), share)[0]
+
+
+def aligned(words_a: np.ndarray, shingles_a: np.ndarray, words_b: np.ndarray, shingles_b: np.ndarray, share: tuple[int, int] = SIMILARITY) -> tuple[bool, int]:
+    """Whether the share of the longer text's words that are aligned is reached, and how many are (0 where it can't be)."""
+    p, q = share
+    longer, shorter = max(len(words_a), len(words_b)), min(len(words_a), len(words_b))
+    if not shorter or q * shorter < p * longer:
+        return False, 0
+    i, j = chain(shingles_a, shingles_b, longer * (q - p) // q)
+    size = min(SHINGLE, shorter)
+    equal = np.ones(len(i), bool)
+    for k in range(size):
+        equal &= words_a[np.minimum(i + k, len(words_a) - 1)] == words_b[np.minimum(j + k, len(words_b) - 1)]
+    i, j = i[equal], j[equal]
+    runs = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1), [True]])) if len(i) else np.zeros(1, np.int64)
+    at_a = at_b = total = 0
+    gaps = []
+    for low, high in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+        first_a, first_b, n = int(i[low]), int(j[low]), high - low - 1 + size
+        over = max(at_a - first_a, at_b - first_b, 0)
+        if over < n:
+            gaps.append((at_a, first_a + over, at_b, first_b + over))
+            total += n - over
+            at_a, at_b = first_a + n, first_b + n
+    gaps.append((at_a, len(words_a), at_b, len(words_b)))
+    gaps = [g for g in gaps if 0 < g[1] - g[0] <= GAP and 0 < g[3] - g[2] <= GAP]
+    if q * (total + sum(min(g[1] - g[0], g[3] - g[2]) for g in gaps)) < p * longer:
+        return False, 0
+    total += sum(common(words_a[g[0] : g[1]].tolist(), words_b[g[2] : g[3]].tolist()) for g in gaps)
+    return q * total >= p * longer, total
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    @lru_cache(maxsize=64)
-    def labelled(text: bytes) -> np.ndarray:
-        return shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
-
+    texts = Texts()
     for batch in batches:
-        found = [similar(labelled(x.as_buffer().to_pybytes()), labelled(y.as_buffer().to_pybytes())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1] for f in found], pa.float64())], names=["a", "b", "linked", "similarity"])
+        found = [texts.similar((a, x), (b, y)) for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], names=["a", "b", "linked"])
 
 
 def text_key(text: Column) -> Column:
@@ -143,7 +215,7 @@ def text_key(text: Column) -> Column:
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sides = pairs.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a binary, b binary, linked boolean, similarity double")
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a binary, b binary, linked boolean")
 
 
 def _joined(table: pa.Table) -> pa.Table:
@@ -161,19 +233,14 @@ def _joined(table: pa.Table) -> pa.Table:
         return x
 
     sketches = np.zeros((len(keys), SKETCHES + SHORT_SKETCHES), np.int64)
-    lists = table.column("sketches").combine_chunks()
-    count = np.diff(np.asarray(lists.offsets))
-    column = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    sketches[np.repeat(np.arange(len(keys)), count), column] = lists.flatten().to_numpy()
-    texts = table.column("text").combine_chunks()
-    cache: dict[bytes, np.ndarray] = {}
-
-    def labelled(row: int) -> np.ndarray:
-        if keys[row] not in cache:
-            text = texts[row].as_buffer().to_pybytes()
-            cache[keys[row]] = shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
-        return cache[keys[row]]
-
+    low = 0
+    for lists in table.column("sketches").chunks:
+        count = np.diff(np.asarray(lists.offsets))
+        column = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        sketches[low + np.repeat(np.arange(len(lists)), count), column] = lists.flatten().to_numpy()
+        low += len(lists)
+    data = [x for chunk in table.column("text").chunks for x in chunk]  # scalars: the bytes stay where they are
+    texts = Texts()
     p, q = SIMILARITY
     links = []
     order = np.lexsort((j, i, s))
@@ -183,13 +250,13 @@ def _joined(table: pa.Table) -> pa.Table:
         found = []
         for at, x in enumerate(left.tolist()):
             others = right[at + 1 :] if i[x] == j[x] else right
-            others = others[(own_class[others] != own_class[x]) & (q * np.minimum(n[others], n[x]) >= p * np.maximum(n[others], n[x]))]
+            others = others[(own_class[others] != own_class[x]) & (q * (np.minimum(n[others], n[x]) + SHINGLE - 1) >= p * (np.maximum(n[others], n[x]) + SHINGLE - 1))]
             same = (sketches[others] == sketches[x]) & (sketches[x] != 0)
             here = same.any(axis=1) & (sketches[x][same.argmax(axis=1)] == s[x])
             found += [(-int(m), x, y) for m, y in zip(same[here].sum(axis=1), others[here].tolist(), strict=True)]
         for _, x, y in sorted(found):
             u, v = find(int(own_class[x])), find(int(own_class[y]))
-            if u != v and similar(labelled(x), labelled(y))[0]:
+            if u != v and texts.similar((keys[x], data[x]), (keys[y], data[y])):
                 root[u] = v
                 links.append((keys[x], keys[y]))
     return pa.table({"a": pa.array([x[0] for x in links], pa.binary()), "b": pa.array([x[1] for x in links], pa.binary())})
@@ -202,7 +269,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     nodes = kept(sketched.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
 
     spread = nodes.select("k", "n", F.explode("sketches").alias("s"))
-    members = kept(spread.join(spread.groupBy("s").agg(F.count("*").alias("m")).where("m > 1"), "s"), "members")
+    members = kept(spread.join(spread.groupBy("s").agg(F.count("*").alias("m"), F.sum("n").alias("size")).where("m > 1"), "s"), "members")
     needed = nodes.join(members.select("k").distinct(), "k", "left_semi").select("k", F.coalesce("rep", F.lit(NO_ID)).alias("d"))
     texts = kept(rows.withColumn("d", F.coalesce("doc_id", F.lit(NO_ID))).join(needed, ["k", "d"]).dropDuplicates(["k", "d"]).select("k", F.encode("text", "UTF-8").alias("text")), "texts")
 
@@ -213,11 +280,12 @@ def text_classes(docs: DataFrame) -> DataFrame:
     links = kept(_verify(best.select(F.least("k", "hub").alias("a"), F.greatest("k", "hub").alias("b")).distinct(), texts).where("linked").select("a", "b"), "links")
     classes = kept(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "classes")
 
-    sorted_out = members.join(classes.select(F.col("node").alias("k"), "root"), "k", "left").select("s", "k", "n", "m", F.coalesce("root", "k").alias("c"))
+    sorted_out = members.join(classes.select(F.col("node").alias("k"), "root"), "k", "left").select("s", "k", "n", "m", "size", F.coalesce("root", "k").alias("c"))
     several = sorted_out.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
-    blocked = sorted_out.join(several, "s", "left_semi").withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("k", "s"), "blocks"))
+    blocked = sorted_out.join(several, "s", "left_semi").withColumn("blocks", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SHINGLES))).withColumn("block", F.pmod(F.xxhash64("k", "s"), "blocks"))
     spread = kept(blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("s", "k", "n", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "blocks")
-    groups = max(1, spread.count() // GROUP_ROWS)
+    rows, size = spread.agg(F.count("*"), F.sum("n")).first()
+    groups = max(1, rows // GROUP_ROWS, (size or 0) // GROUP_SHINGLES)
     full = spread.join(nodes.select("k", "sketches").join(texts, "k"), "k").withColumn("g", F.pmod(F.xxhash64("s", "i", "j"), F.lit(groups)))
     more = kept(full.groupBy("g").applyInArrow(_joined, "a binary, b binary"), "links")
     if not more.isEmpty():

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from paperloom.llm import decision_lists, fm_index, line_dedup, order_minhash, separator_scan, substring_dedup, token_files, toxicity, unigram, warc_zip
 
 BYTE_BPE, END_OF_DOCUMENT = "byte_bpe_50k.json", 2
-#: <|endoftext|> of the byte-level vocabulary: no text encodes to it.
+#: <|endoftext|> of the byte-level vocabulary, which op8 has no text encode to.
 SEPARATOR = 50256
 PIECES = "piece_bpe_32k.model"
+#: Repeated sentences go if so many words of them adjoin: passages of over 50 words go, common short sentences stay.
+PASSAGE_WORDS = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +63,37 @@ FROM d LEFT JOIN gone USING (k)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = substring_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), "sentence", least_words=PASSAGE_WORDS)
     spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
     return found.select("row.doc_id", "n_units", "n_words", "n_removed_words", F.array_join(spans, ",").alias("removed_spans"), "kept_text")
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, text, regexp_replace(coalesce(text, ''), '([.!?])[ \t\x0B\f\r]', '\1' || chr(10), 'g') AS s FROM documents),
+piece AS (SELECT k, doc_id, unnest(string_split(s, chr(10))) AS p, generate_subscripts(string_split(s, chr(10)), 1) AS i FROM d),
+placed AS (
+  SELECT k, doc_id, i, p, coalesce(sum(length(p) + 1) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o,
+    regexp_extract_all(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM piece),
+unit AS (
+  SELECT k, doc_id, row_number() OVER (PARTITION BY k ORDER BY i) AS u, len(w) AS n, array_to_string(w, ' ') AS x,
+    o + length(p) - length(regexp_replace(p, '^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+', '')) AS a,
+    o + length(regexp_replace(p, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$', '')) AS b
+  FROM placed WHERE len(w) > 0),
+marked AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY x) OR u > min(u) OVER (PARTITION BY k, x) AS again FROM unit),
+run AS (
+  SELECT k, min(a) AS a, max(b) AS b, sum(n) AS n FROM (SELECT *, u - row_number() OVER (PARTITION BY k ORDER BY u) AS run FROM marked WHERE again)
+  GROUP BY k, run HAVING sum(n) >= PASSAGE_WORDS),
+cut AS (
+  SELECT k, sum(n) AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS spans, string_agg(substr(text, last + 1, a - last), '' ORDER BY a) || substr(any_value(text), max(b) + 1) AS kept
+  FROM (SELECT k, a::BIGINT AS a, b::BIGINT AS b, n, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0)::BIGINT AS last FROM run) JOIN d USING (k) GROUP BY k),
+total AS (SELECT k, count(*) AS units, sum(n) AS words FROM unit GROUP BY k)
+SELECT doc_id, coalesce(units, 0)::BIGINT AS n_units, coalesce(words, 0)::BIGINT AS n_words, coalesce(cut.n, 0)::BIGINT AS n_removed_words,
+  coalesce(spans, '') AS removed_spans, coalesce(kept, text) AS kept_text
+FROM d LEFT JOIN total USING (k) LEFT JOIN cut USING (k)
+""".replace("PASSAGE_WORDS", str(PASSAGE_WORDS))
+
+
 def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = unigram.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(PIECES), decode=True)
     return found.select("row.doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), (F.coalesce("row.text", F.lit("")) == F.col("decoded")).alias("round_trip"))
@@ -134,5 +162,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_zip": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op7_fm_index": OP7_SQL,
 }

@@ -12,19 +12,18 @@ LAST = (1 << 63) - 1
 
 
 def ranked(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
-    """row (all columns), d (rank), t (hash of the text), text."""
+    """row (all columns), d (rank), t (hash of the text)."""
     rows = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    text = F.col("row.text").cast("string")
-    return rows.select("row", F.coalesce(F.col(f"row.{rank}").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return rows.select("row", F.coalesce(F.col(f"row.`{rank}`").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.col("row.text").cast("string")).alias("t"))
 
 
 def later(units: DataFrame, keys: list[str]) -> DataFrame:
     """units (keys, d, t, at, again) that are not the first of their keys: again marks those that their own text has before, the
-    others are compared by d. Least ranks are gathered before rows move; only keys that two ranks have are joined back, and a
-    common key is a large partition of a plain join, which Spark can split."""
-    first = units.where("not again")
-    shared = first.groupBy(*keys).agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select(*keys, "low")
-    return first.join(shared, keys).where("d > low").select("d", "t", "at").union(units.where("again").select("d", "t", "at"))
+    others are compared by d, and those of one d by t. Least ranks are gathered before rows move; only keys that two ranks have
+    are joined back, and a common key is a large partition of a plain join, which Spark can split."""
+    first = units.where("not again").withColumn("r", F.struct("d", "t"))
+    shared = first.groupBy(*keys).agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select(*keys, "low")
+    return first.join(shared, keys).where("r > low").select("d", "t", "at").union(units.where("again").select("d", "t", "at"))
 
 
 def gathered(places: DataFrame) -> DataFrame:

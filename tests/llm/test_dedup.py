@@ -6,6 +6,8 @@ import pytest
 
 from paperloom.llm import line_dedup, registry, substring_dedup
 
+#: Two words of which a polynomial modulo 2^64 has the same value, whatever its base.
+TWINS = ["".join("ab"[i.bit_count() % 2 ^ k] for i in range(1024)) for k in (0, 1)]
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -27,7 +29,7 @@ def brute_lines(rows):
 def test_lines_equal_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, "\n".join(rng.choice(["a", "bé", "c c", "", " "]) for _ in range(rng.randrange(0, 12)))) for i in range(60)]
-    rows += [(70, None), (71, ""), (72, "x\n" * 50), (None, rows[5][1]), (None, "p\nq\nr"), (73, "p\nq\nr"), (73, "p\nq\nr\ns"), (73, "p\nq\nr\ns")]
+    rows += [(70, None), (71, ""), (72, "x\n" * 50), (None, rows[5][1]), (None, "p\nq\nr"), (73, "p\nq\nr"), (74, "p\nq\nr\ns"), (74, "p\nq\nr\ns"), (75, f"{TWINS[0]}\n1\n2"), (76, f"{TWINS[1]}\n1\n2")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, removed int").repartition(3)
     got, want = line_dedup.deduplicated(docs).collect(), brute_lines(rows)
     assert len(got) == len(rows)
@@ -39,13 +41,13 @@ def test_lines_equal_brute_force(spark):
 
 
 def brute_units(rows, unit, least):
-    """Lines and paragraphs only: spans that are removed."""
+    """Spans that are removed."""
     own = {}
     for d, t in rows:
         units = []
         for m in WORD.finditer("".join(c.lower() if c.isascii() else c for c in t or "")):
-            gap = (t or "")[units[-1][2] : m.start()].count("\n") if units else 9
-            if gap >= (2 if unit == "paragraph" else 1):
+            gap = (t or "")[units[-1][2] : m.start()] if units else "\n\n"
+            if gap.count("\n") >= (2 if unit == "paragraph" else 1) or unit == "sentence" and re.search(r"[.!?][ \t\x0B\f\r]", gap):
                 units.append([[], m.start(), m.end()])
             units[-1][0].append(m.group())
             units[-1][2] = m.end()
@@ -69,68 +71,62 @@ def brute_units(rows, unit, least):
     return out
 
 
-@pytest.mark.parametrize("unit", ["line", "paragraph"])
-def test_units_equal_brute_force(spark, unit):
+@pytest.mark.parametrize(("unit", "least"), [("line", 1), ("paragraph", 1), ("sentence", 1), ("sentence", 4)])
+def test_units_equal_brute_force(spark, unit, least):
     rng = random.Random(8)
-    line = lambda: " ".join(rng.choice(["A", "b,", "çç"]) for _ in range(rng.choice([0, 1, 2, 5])))
-    rows = [(i, rng.choice(["\n", "\n\n"]).join(line() for _ in range(rng.randrange(0, 9)))) for i in range(60)] + [(90, None), (91, ""), (92, "A b\n\na, B!")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got, want = substring_dedup.deduplicated(docs, unit, least_words=3).collect(), brute_units(rows, unit, 3)
+    line = lambda: " ".join(rng.choice(["A", "b,", "çç", "d.", "?! e", "f.) g"]) for _ in range(rng.choice([0, 1, 2, 5])))
+    rows = [(i, rng.choice(["\n", "\n\n", ".\t"]).join(line() for _ in range(rng.randrange(0, 9)))) for i in range(80)] + [(90, None), (91, ""), (92, "A b\n\na, B!"), (93, TWINS[0]), (94, TWINS[1]), (95, TWINS[1])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, later string")
+    got, want = substring_dedup.deduplicated(docs, unit, least_words=least).collect(), brute_units(rows, unit, least)
     assert len(got) == len(rows) and any(want.values())
     for r in got:
         assert [(s.start, s.end) for s in r.removed] == want[r.row.doc_id, r.row.text]
         edges = [0, *(x for s in r.removed for x in (s.start, s.end)), len(r.row.text or "")]
         assert (r.kept_text or "") == "".join((r.row.text or "")[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    assert substring_dedup.deduplicated(docs.limit(0), unit).collect() == []
+    with pytest.raises(ValueError):
+        substring_dedup.deduplicated(docs, "word")
 
 
-def test_passages_inside_lines(spark):
+def test_passages_of_sentences(spark):
+    """The query's setting: passages of over 50 words inside lines go, common sentences and lines stay."""
     rng = random.Random(9)
     text = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 7))) for _ in range(n))
-    passages = [text(rng.randint(51, 70)) for _ in range(60)]
-    rows = [(i, f"{text(40)} {passages[i % 60]} {text(30)}") for i in range(180)] + [(1000 + i, text(120)) for i in range(50)]
-    got = {r.row.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sentences = lambda n: " ".join(text(rng.randint(4, 14)).capitalize() + "." for _ in range(n))
+    passages = [f"{sentences(7)} {text(20)}." for _ in range(60)]
+    rows = [(i, f"{sentences(4)} {passages[i % 60]} {sentences(3)}\nAll rights reserved.") for i in range(180)] + [(1000 + i, f"{sentences(9)}\nAll rights reserved.") for i in range(50)]
+    got = {r.row.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), "sentence", least_words=registry.PASSAGE_WORDS).collect()}
     assert all(not got[i].removed for i in range(60)) and all(not got[1000 + i].removed for i in range(50))
-    assert sum(bool(got[i].removed) for i in range(60, 180)) >= 119
-    cut = [got[i].n_removed_words / len(passages[i % 60].split()) for i in range(60, 180)]
-    assert sum(cut) / len(cut) > 0.6 and max(cut) <= 1
-    with pytest.raises(ValueError):
-        substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), "word")
+    for i in range(60, 180):
+        assert got[i].n_removed_words == len(passages[i % 60].split()) and passages[i % 60][:-1] not in got[i].kept_text
 
 
-@pytest.mark.parametrize("unit", ["line", "paragraph", "segment"])
-def test_whole_lines_of_few_words(spark, unit):
-    rng = random.Random(10)
-    text = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 7))) for _ in range(n))
-    short = [text(n) for n in range(1, 16)]
-    rows = [(i, f"{text(9)}\n\n{s}\n\n{text(9)}") for i, s in enumerate(short)] + [(100 + i, f"{text(30)}\n\n{s}\n\n{text(30)}") for i, s in enumerate(short)]
-    rows += [(200 + i, s.upper()) for i, s in enumerate(short)] + [(300 + i, f"{text(20)} {s} {text(20)}") for i, s in enumerate(short)]
-    got = {r.row.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), unit).collect()}
-    for i, s in enumerate(short):
-        assert not got[i].removed and not got[300 + i].removed
-        a, b, c = got[100 + i].row.text.split("\n\n")
-        assert got[100 + i].kept_text == f"{a}\n\n\n\n{c}" and got[100 + i].n_removed_words == i + 1
-        assert got[200 + i].kept_text == "" and got[200 + i].n_removed_words == i + 1
-
-
-@pytest.mark.parametrize("period", [1, 2, 3, 4, 5])
-def test_words_that_repeat_with_a_short_period(spark, period):
-    rng = random.Random(period)
-    text = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(2, 7))) for _ in range(n))
-    again = lambda words, n: " ".join((words * n)[:n])
-    rows = []
-    for i in range(20):
-        words = text(period).split()
-        rows += [(i, f"{text(40)} {again(words, 240)} {text(30)}"), (100 + i, f"{text(50)} {again(words, 300)} {text(20)}")]
-    got = {r.row.doc_id: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(270 <= got[100 + i].n_removed_words <= 300 for i in range(20))
+def test_rows_without_or_of_one_doc_id(spark):
+    a, b = "p q\nr s\nt u", "v w\np q\nr s\nt u"
+    for d in (None, 5):
+        docs = spark.createDataFrame([(d, a), (d, b), (d, None)], "doc_id long, text string")
+        lines = sum(r.n_lines - len(r.removed) for r in line_dedup.deduplicated(docs).collect())
+        words = sum(r.n_words - r.n_removed_words for r in substring_dedup.deduplicated(docs).collect())
+        assert lines == 4 and words == 8
+
+
+def test_long_texts(spark):
+    """Above one block of 1 MiB."""
+    long = "\n".join(f"line {i} of a long text" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, long + "\nlast"), (3, "line 7 of a long text\nline 8 of a long text\nline 9 of a long text")], "doc_id long, text string")
+    got = {r.row.doc_id: r for r in line_dedup.deduplicated(docs).collect()}
+    assert [len(got[i].removed) for i in (1, 2, 3)] == [0, 60_000, 3] and got[2].kept_text == "last"
+    got = {r.row.doc_id: r for r in substring_dedup.deduplicated(docs).collect()}
+    assert [got[i].n_words - got[i].n_removed_words for i in (1, 2, 3)] == [360_000, 1, 0]
 
 
-def test_query_equals_sql(spark):
+@pytest.mark.parametrize("name", ["op3_line_dedup", "op4_substring_dedup"])
+def test_query_equals_sql(spark, name):
     import duckdb
 
     d = "/root/testdata/sf0.001"
-    got = registry.op3_line_dedup(spark, d).toPandas().sort_values("doc_id", ignore_index=True)
+    got = registry.QUERIES[name](spark, d).toPandas().sort_values("doc_id", ignore_index=True)
     with duckdb.connect() as c:
         c.execute(f"create view documents as select * from '{d}/documents.parquet'")
-        want = c.sql(registry.ORACLE_SQL["op3_line_dedup"]).df().sort_values("doc_id", ignore_index=True)
-    assert got.to_dict("list") == want[got.columns].to_dict("list") and got.n_removed.any()
+        want = c.sql(registry.ORACLE_SQL[name]).df().sort_values("doc_id", ignore_index=True)
+    assert got.to_dict("list") == want[got.columns].to_dict("list") and (got.get("n_removed", got.get("n_removed_words")) > 0).any()
