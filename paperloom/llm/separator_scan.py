@@ -5,9 +5,11 @@ byte ranges; a vectorised search finds the separators of each block. A document
 is stitched by prefix scans over the blocks of its file: the last separator before a block, and how many there were. A block is one
 row there; its separators stay an array until the lengths are known.
 
-Tokens after a file's last separator are a document that is not closed. A file without tokens has no row. Writing: a null text is
-empty, a null doc_id stays null, equal rows each have a document; in ascending order a null doc_id comes first, and rows of equal
-doc_id are ordered by a hash of the text and the text.
+Tokens after a file's last separator are a document that is not closed. A file without tokens has no row. Writing: strings of
+special tokens in a text are ordinary text, so that none of its ids is the separator; a null text is empty, a null doc_id stays
+null, equal rows each have a document; in ascending order a null doc_id comes first, and rows of equal doc_id are ordered by a hash
+of the text and the text; a very long text is encoded as one block; an empty table gives no file and no row; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
         n = len(names)
         return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(names, pa.int64())], names=["file", "number", "doc_id"])
 
-    for doc_ids, ids, offs in token_files.tokenized(batches, path):
+    for doc_ids, ids, offs in token_files.tokenized(batches, path, added=False):
         if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
             raise ValueError(f"an id does not fit {dtype}")
         names += doc_ids

@@ -5,8 +5,12 @@ which ids go on in the next level, where they keep their order. A directory of r
 bitmap) makes the place in the next level a sum of two numbers, so that token i is found by a few small reads, without decoding
 any block.
 
+The ids are those of the library for the whole text. It finds the strings of its added tokens in a text, so they are cut out
+first, unless they shall count as ordinary text.
+
 Nulls, ties and so on: a null text is empty (the end id alone); a null doc_id comes first; rows of equal doc_id are ordered by a
-hash of the text, then the text; equal rows are all kept; an empty table gives no file and no row; other columns are ignored.
+hash of the text, then the text; equal rows are all kept; a very long text is encoded as one block and gets a file of its own; an
+empty table gives no file and no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -115,6 +119,30 @@ MARK = B.table(lambda b: 0x21 <= b < 0x30 and b != 0x27 or 0x3A <= b < 0x41 or 0
 ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
+def occurrences(buf: np.ndarray, offs: np.ndarray, words: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words that lie in one document, from the left, the longer of two that begin together."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pattern = re.compile(b"|".join(map(re.escape, sorted(words, key=len, reverse=True))))
+    data, found = buf.tobytes(), []
+    if any(w in data for w in words):
+        for a, b in zip(offs.tolist(), offs[1:].tolist(), strict=False):
+            found += [m.span() for m in pattern.finditer(data, a, b)]
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def whole_units(buf: np.ndarray, offs: np.ndarray, words: tuple[bytes, ...]) -> np.ndarray:
+    """Starts of units, where each of words is one and what is around it counts as a text of its own."""
+    starts, ends = occurrences(buf, offs, words)
+    if not len(starts):
+        return space_units(buf, offs)
+    inside = np.zeros(len(buf) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    return space_units(np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, np.uint8(0), buf), np.unique(np.concatenate([offs, starts, ends])))
+
+
 def space_units(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Starts of units: at documents, at a space before something that isn't white space, between a letter (ASCII or Latin-1) and
     a mark either way, and around a single line feed beside letters or marks. The vocabulary's own splitting always cuts there."""
@@ -139,13 +167,15 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + sum(x not in shown for x in range(b))) for b in range(256)}
 
 
-@lru_cache(maxsize=2)
-def byte_bpe(path: str) -> B.UnitIds:
-    """Units that are one word go to the vocabulary's merges at once; its splitting would not cut them."""
+@lru_cache(maxsize=4)
+def byte_bpe(path: str, added: bool) -> tuple[B.UnitIds, tuple[bytes, ...]]:
+    """Units that are one word go to the vocabulary's merges at once; its splitting would not cut them. Besides, the strings that
+    get an id of their own: with added, those of the vocabulary's added tokens."""
     from tokenizers import Tokenizer
 
     made, shown = Tokenizer.from_file(path), byte_characters()
-    made.encode_special_tokens = True
+    made.encode_special_tokens = not added
+    words = tuple(t.content.encode() for t in made.get_added_tokens_decoder().values() if added or not t.special)
     merges = made.model.tokenize
 
     def encode(units: list[bytes]) -> list[list[int]]:
@@ -155,14 +185,15 @@ def byte_bpe(path: str) -> B.UnitIds:
             out[i] = e.ids
         return out
 
-    return B.UnitIds(encode)
+    return B.UnitIds(encode), words
 
 
-def tokenized(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(doc_ids, ids, offsets of documents in them) by block."""
-    codec = byte_bpe(path)
+def tokenized(batches: Iterator[pa.RecordBatch], path: str, added: bool = True) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids, offsets of documents in them) by block. added: strings of added tokens get their ids, as in the library;
+    otherwise those of special ones are ordinary text."""
+    codec, words = byte_bpe(path, added)
     for batch, buf, offs in B.blocks(batches):
-        yield batch.column(0).to_pylist(), *codec.ids(buf, offs, space_units(buf, offs))
+        yield batch.column(0).to_pylist(), *codec.ids(buf, offs, whole_units(buf, offs, words))
 
 
 def with_end(ids: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,21 +12,27 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["", None, "a  b\n\n c", " lead", "tab\t end ", "l'été ça  x", "　wide 　 x", "<|endoftext|> x", "don't  'S 12 3", "😀 😀😀", "한국어 텍스트 처리", "a" * 5000, "x\r\n y   z   q", "same", "same"]
 
 
-def whole(texts):
+#: Two words of which a polynomial modulo 2^64 has the same value, whatever its base.
+TWINS = ["".join("ab"[i.bit_count() % 2 ^ k] for i in range(1024)) for k in (0, 1)]
+
+
+def whole(texts, special=False):
     made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
+    made.encode_special_tokens = special
     return [[*e.ids, 2] for e in made.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def test_units_encode_as_whole_texts():
     rng = random.Random(3)
-    texts = TEXTS + ["".join(rng.choice(" \n\t 　abcé'1,.한😀") for _ in range(rng.randrange(40))) for _ in range(1500)]
+    texts = TEXTS + ["".join(rng.choice([*" \n\t 　abcé'1,.한😀", "<|endoftext|>", "<|endoftext"]) for _ in range(rng.randrange(40))) for _ in range(1500)] + TWINS
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
     got = [T.with_end(ids, offs, 2) for _, ids, offs in T.tokenized(iter([batch.slice(0, 700), batch.slice(700)]), PATH)]
     got = [ids[a:b].tolist() for ids, offs in got for a, b in zip(offs, offs[1:])]
     assert got == whole(texts)
+    plain = [ids for _, ids, _ in T.tokenized(iter([batch]), PATH, added=False)]
+    assert np.concatenate(plain).tolist() == [x for ids in whole(texts, True) for x in ids[:-1]] and all(50256 not in x for x in plain)
 
 
 def test_levels_give_any_token():
@@ -56,6 +62,14 @@ def test_files_and_random_access(spark):
     assert sorted(map(tuple, T.tokens_at(spark, folder, asked).collect())) == sorted((i, flat[i]) for i in [0, 7, len(flat) - 1, 50, 50])
 
 
+def test_long_text(spark):
+    text = " ".join(f"word{i} <|endoftext|>" for i in range(70_000))
+    docs = spark.createDataFrame([(1, text), (2, "a")], "doc_id long, text string")
+    got = T.read_documents(spark, T.write_token_files(docs, PATH, 2)).collect()
+    want = whole([text])[0]
+    assert {(r.doc_id, r.start, r.n_tokens) for r in got} == {(1, 0, len(want)), (2, len(want), 2)}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert T.read_documents(spark, T.write_token_files(docs, PATH, 2)).collect() == []
