@@ -2,8 +2,9 @@
 
 A file is ids of fixed width, document after document, each closed by an end-of-document id; there is no index. Files are read in
 byte ranges; a vectorised search finds the separators of each block. A document that begins in one block and ends in a later one
-is stitched by prefix scans over the blocks of its file: the last separator before a block, and how many there were. A block is one
-row there; its separators stay an array until the lengths are known.
+is stitched by prefix scans: the last separator before a block, and how many there were. A block is one row of four numbers there;
+1,024 blocks of a file are scanned together, and their sums over the file, so that a file of any size is no single task. Its
+separators stay an array until the lengths are known.
 
 Tokens after a file's last separator are a document that is not closed. A file without tokens has no row. Writing: strings of
 special tokens in a text are ordinary text, so that none of its ids is the separator; a null text is empty, a null doc_id stays
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import token_files
-from paperloom.llm._shared import Ranges, bounded_batches, new_folder, write_whole
+from paperloom.llm._shared import Ranges, bounded_batches, kept, new_folder, write_whole
 
 DTYPE, BLOCK_TOKENS, FILE_TOKENS = "<u2", 1 << 20, 1 << 23
+#: Blocks that are scanned in one task; groups of them are scanned as rows.
+GROUP_BLOCKS = 1024
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, dtype: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -80,12 +83,16 @@ def counts(spark: SparkSession, files: DataFrame, end_id: int, dtype: str = DTYP
     ranges = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block_tokens))))
     asked = ranges.select("path", "block", (F.col("block") * block_tokens).alias("start"), F.least(F.lit(block_tokens), F.col("n") - F.col("block") * block_tokens).alias("n"))
     dealt = asked.repartition(max(1, 4 * spark.sparkContext.defaultParallelism))
-    found = dealt.mapInArrow(partial(_scan, end_id=end_id, dtype=dtype), "file string, block long, until long, found long, last long, ends array<long>")
-    order = Window.partitionBy("file").orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("file")
-    scanned = found.withColumn("number0", F.coalesce(F.sum("found").over(before), F.lit(0))).withColumn("last0", F.coalesce(F.max("last").over(before), F.lit(-1)))
-    scanned = scanned.withColumn("is_end", F.col("block") == F.max("block").over(whole))
+    found = kept(dealt.mapInArrow(partial(_scan, end_id=end_id, dtype=dtype), "file string, block long, until long, found long, last long, ends array<long>"), "separators")
+    heads = found.select("file", "block", "until", "found", "last", F.floor(F.col("block") / GROUP_BLOCKS).alias("group"))
+    groups = heads.groupBy("file", "group").agg(F.sum("found").alias("found"), F.max("last").alias("last"), F.max("block").alias("top"))
+    over = lambda w: (F.coalesce(F.sum("found").over(w), F.lit(0)), F.coalesce(F.max("last").over(w), F.lit(-1)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    outer, inner = over(before(Window.partitionBy("file").orderBy("group"))), over(before(Window.partitionBy("file", "group").orderBy("block")))
+    starts = groups.select("file", "group", outer[0].alias("n"), outer[1].alias("l"), F.max("top").over(Window.partitionBy("file")).alias("top"))
+    scanned = heads.select("file", "group", "block", "until", "last", inner[0].alias("number0"), inner[1].alias("last0")).join(starts, ["file", "group"])
+    scanned = scanned.select("file", "block", "until", "last", (F.col("n") + F.col("number0")).alias("number0"), F.greatest("l", "last0").alias("last0"), (F.col("block") == F.col("top")).alias("is_end"))
+    scanned = scanned.join(found.select("file", "block", "ends"), ["file", "block"])
     # the rest of the file after its last separator ends where the file does
     rest = F.col("is_end") & (F.greatest("last0", F.coalesce("last", F.lit(-1))) < F.col("until") - 1)
     stops = scanned.select("file", "number0", "last0", F.col("ends"), F.when(rest, F.concat("ends", F.array("until"))).otherwise(F.col("ends")).alias("stops"))

@@ -11,7 +11,8 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.mark.parametrize("block", [1, 7, 1000])
-def test_scan_equals_brute_force(spark, block):
+def test_scan_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "GROUP_BLOCKS", 5)
     rng = np.random.default_rng(block)
     folder, files, want = new_folder(spark, "scan"), [], set()
     plans = [rng.choice([9, 1, 2, 3], n) for n in (0, 1, 6, 50, 300)] + [np.array([9]), np.array([9, 9, 9]), np.array([1, 2]), np.full(40, 3)]
