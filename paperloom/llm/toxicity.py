@@ -1,24 +1,29 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are a bounded sample of labelled documents, 3,000 of either label at most, without near copies of each other (which would
-make any rare word of theirs look telling). Terms are lower-cased words and their
-beginnings of four to seven bytes (stems); those that the labels depend on most (G-squared over 20, and three times as
-common with one label as with the other) make the vectors, by
-(1 + ln tf) * idf at length one, with the document frequencies of all documents. Similarity is the cosine. The 15 nearest examples are found exactly: blocks of 256 examples have
-the greatest weight of each term, blocks are scored in the order of the bound that follows, and the search ends where a bound is
-below the fifteenth similarity so far. Votes are weighted by 1 / (1.05 - cosine); isotonic regression over the examples' own votes
-(each left out of its neighbours), weighted to the labels' shares, makes them probabilities. The neighbours are the evidence.
+make any rare word of theirs look telling). Terms are lower-cased words and their beginnings of four to seven characters: all that
+the examples have, none is left out. A text is the vector of (1 + ln tf) * idf * d of its terms, at length one: idf with the
+document frequencies of all documents; d = g / (g + 20), g being the G-squared of the term and the labels in the examples, weighs
+down what the labels do not depend on (plain TF-IDF finds only half of the toxic documents, see the README).
+
+The 15 nearest examples by cosine are found exactly. The few terms that very many examples have are columns of a matrix; for all
+others blocks of 256 examples keep the greatest weight of each term. A block's bound is the greatest sum of its examples over the
+matrix plus that of its greatest weights; blocks are gone through in the order of their bounds, and the search ends where a bound
+is below the fifteenth cosine so far. Votes are weighted by 1 / (1.05 - cosine); isotonic regression over the examples' own votes
+(each left out of its neighbours), weighted to the labels' shares, makes them probabilities. All neighbours are the evidence.
 
 Null and empty texts, and those without any of the terms, have no neighbour and get the share of toxic ones among such examples; of
-equal similarities the earlier example is nearer; equal texts get equal scores; without examples of both labels every score is the
-share of toxic labels, or 0; an empty table gives none; all columns are passed on inside `row`.
+equal cosines the earlier example is nearer; equal texts get equal scores; of several texts with a labelled doc_id that with the
+least hash is the example, of several labels the highest counts; without examples of both labels every score is the share of toxic
+labels, or 0; a very long text is worked on as one block; an empty table gives none; all columns are passed on inside `row`,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import partial
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,106 +35,172 @@ from paperloom.llm import _bytes as B
 from paperloom.llm._shared import bounded_batches, kept
 from paperloom.llm.order_minhash import SEEDS, shingles
 
-#: Examples of each label, and terms, at most.
-EXAMPLES, TERMS = 3_000, 1_024
-NEIGHBOURS, BLOCK, LEAST_G2, LEAST_RATIO, EVIDENCE = 15, 256, 20.0, 3.0, 3
+#: Examples of each label, at most.
+EXAMPLES = 3_000
+NEIGHBOURS, BLOCK = 15, 256
+#: G-squared of a term that counts by half.
+HALF = 20.0
+#: Terms that are columns of the matrix, at most, and the share of examples they have at least; texts that are scored at once.
+COMMON, COMMON_SHARE, TEXTS = 512, 0.03, 128
 THRESHOLD = 0.7
 STEMS = (4, 5, 6, 7)
 IS_WORD = B.table(lambda b: 0x41 <= b < 0x5B or 0x61 <= b < 0x7B or b >= 0x80)
 LOWER = np.array([b + 32 if 0x41 <= b < 0x5B else b for b in range(256)], np.uint8)
 
 
-def terms_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, term) of all words and stems; terms are 64-bit hashes."""
-    buf = LOWER[buf]
+def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of lower-cased bytes: (text, word, count) of the distinct words of each text, and a start and an end of each word."""
     starts, ends, first = B.word_spans(buf, offs, IS_WORD)
-    owner = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    docs, terms = [owner], [B.span_hashes(buf, starts, ends)]
-    with np.errstate(over="ignore"):
-        for n in STEMS:
-            long = ends - starts >= n
-            docs.append(owner[long])
-            terms.append(B.mixed(B.span_hashes(buf, starts[long], starts[long] + n) + np.uint64(n)))
-    return np.concatenate(docs), np.concatenate(terms)
+    index, inverse = B.distinct(buf, starts, ends)
+    key, count = np.unique(np.repeat(np.arange(len(offs) - 1), np.diff(first)) * max(len(index), 1) + inverse, return_counts=True)
+    return key // max(len(index), 1), key % max(len(index), 1), count, starts[index], ends[index]
+
+
+class Terms:
+    """Numbers of words and of beginnings of words."""
+
+    def __init__(self, words: list[bytes]):
+        """words: distinct ones, of which the terms are taken."""
+        self.words = B.Vocabulary(sorted(words))
+        self.stems = B.Vocabulary(sorted({s[:n].encode() for w in words for s in (w.decode(),) for n in STEMS if len(s) >= n}))
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.stems)
+
+    def numbers(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A row for each word, a column for it and for each length of its beginnings; -1 where there is none or it is not known."""
+        out = np.full((len(starts), 1 + len(STEMS)), -1, np.int64)
+        out[:, 0] = self.words.numbers(buf, starts, ends)
+        begins = (buf & 0xC0) != 0x80
+        points, at = np.concatenate([[0], np.cumsum(begins)]), np.append(np.flatnonzero(begins), len(buf))
+        for k, n in enumerate(STEMS, 1):
+            to = at[np.minimum(points[starts] + n, len(at) - 1)]
+            long = np.flatnonzero(to <= ends)
+            long = long[points[ends[long]] - points[starts[long]] >= n]
+            found = self.stems.numbers(buf, starts[long], to[long])
+            out[long, k] = np.where(found >= 0, found + len(self.words), -1)
+        return out
+
+    def counts(self, owner: np.ndarray, word: np.ndarray, count: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count), in order, of (text, word, count); numbers: of the words' terms."""
+        terms = numbers[word]
+        known = terms >= 0
+        key = (owner[:, None] * len(self) + terms)[known]
+        order = np.argsort(key, kind="stable")
+        key, weight = key[order], np.broadcast_to(count[:, None], terms.shape)[known][order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        return key[first] // max(len(self), 1), key[first] % max(len(self), 1), np.add.reduceat(weight, first) if len(first) else first
+
+    def of_texts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        low = LOWER[buf]
+        owner, word, count, starts, ends = words_of(low, offs)
+        return self.counts(owner, word, count, self.numbers(low, starts, ends))
+
+
+def unit(weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """weights of texts, from bound to bound, at length one."""
+    if not len(weights):
+        return weights
+    total = np.concatenate([[0], np.cumsum(weights * weights)])
+    length = np.repeat(np.sqrt(np.maximum(np.diff(total[bounds]), 0)), np.diff(bounds))
+    return np.divide(weights, length, out=np.zeros_like(weights), where=length > 0)
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, buf, offs in B.blocks(batches):
-        toxic = np.array(batch.column(1).to_pylist(), bool)
-        docs, terms = terms_of(buf, offs)
-        order = np.lexsort((docs, terms))
-        once = np.ones(len(order), bool)
-        once[1:] = (terms[order][1:] != terms[order][:-1]) | (docs[order][1:] != docs[order][:-1])
-        docs, terms = docs[order][once], terms[order][once]
-        first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
-        pos = np.add.reduceat(toxic[docs].astype(np.int64), first) if len(first) else first
-        yield pa.RecordBatch.from_arrays([pa.array(terms[first].view(np.int64)), pa.array(pos), pa.array(np.diff(np.append(first, len(terms))) - pos)], names=["term", "pos", "neg"])
-
-
-def vectors(buf: np.ndarray, offs: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the given terms (sorted hashes): document, term number, count."""
-    docs, found = terms_of(buf, offs)
-    at = np.minimum(np.searchsorted(terms, found), max(len(terms) - 1, 0))
-    hit = terms[at] == found if len(terms) else np.zeros(len(found), bool)
-    key, count = np.unique(docs[hit] * max(len(terms), 1) + at[hit], return_counts=True)
-    return key // max(len(terms), 1), key % max(len(terms), 1), count
-
-
-@dataclass
 class Examples:
-    """An inverted index of examples with the greatest weight of each term in each block of BLOCK examples."""
-
-    names: list
-    toxic: np.ndarray
-    terms: np.ndarray
-    idf: np.ndarray
-    rows: list[tuple[np.ndarray, np.ndarray]]  # (term numbers, weights) of each example
-    prior: float
-    scale: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
-    lone: float = 0.0
-
-    def __post_init__(self) -> None:
-        n, m = len(self.rows), len(self.terms)
-        self.blocks = -(-n // BLOCK)
-        self.most = np.zeros((m, self.blocks))
-        self.columns: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        held: dict[tuple[int, int], list] = {}
-        for i, (terms, weights) in enumerate(self.rows):
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                held.setdefault((t, i // BLOCK), []).append((i % BLOCK, w))
-                self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
-        self.columns = {k: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for k, v in held.items()}
+    """An inverted index of examples with the greatest weight of each term in each block of BLOCK of them."""
 
-    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return w / np.sqrt((w * w).sum()) if len(w) else w
+    def __init__(self, names: list, toxic: np.ndarray, factor: np.ndarray, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray, prior: float):
+        """bounds: of each example in terms and counts, one more at the end; factor: of each term."""
+        self.names, self.toxic, self.factor, self.bounds, self.terms, self.prior, self.lone = names, toxic, factor, bounds, terms, prior, prior
+        self.values = unit(self.weights(terms, counts), bounds)
+        self.scale = np.zeros(0), np.zeros(0)
+        self.vocabulary: Terms | None = None
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the k nearest that share a term, exactly."""
-        bound = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
+    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts)) * self.factor[terms]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def built(self) -> Examples:
+        """With the index, which does not travel."""
+        n, m = len(self.names), len(self.factor)
+        self.index = True
+        self.blocks = max(1, -(-n // BLOCK))
+        owner = np.repeat(np.arange(n), np.diff(self.bounds))
+        often = np.bincount(self.terms, minlength=m)
+        top = np.argsort(-often, kind="stable")[:COMMON]
+        top = top[often[top] >= COMMON_SHARE * n]
+        self.column = np.full(m, -1)
+        self.column[top] = np.arange(len(top))
+        common = self.column[self.terms] >= 0
+        self.matrix = np.zeros((len(top), self.blocks * BLOCK))
+        self.matrix[self.column[self.terms[common]], owner[common]] = self.values[common]
+        terms, owner, values = self.terms[~common], owner[~common], self.values[~common]
+        order = np.lexsort((owner, terms, owner // BLOCK))
+        self.term, self.place, self.value = terms[order], owner[order], values[order]
+        block = self.place // BLOCK
+        self.block_at = np.searchsorted(block, np.arange(self.blocks + 1))
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(self.term) != 0) | (np.diff(block) != 0)])) if len(order) else np.zeros(0, np.int64)
+        self.most = np.zeros((m, self.blocks), np.float32)
+        if len(first):  # rounded up
+            self.most[self.term[first], block[first]] = np.nextafter(np.maximum.reduceat(self.value, first).astype(np.float32), np.float32(2))
+        return self
+
+    def nearest(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
+        """For each text, from bound to bound in terms and weights, (cosine, example) of the k nearest that share a term, exactly.
+        without: the example that each text is, which does not count."""
+        if not hasattr(self, "index"):
+            self.built()
+        out: list[list[tuple[float, int]]] = []
+        column = self.column[terms]
+        for low in range(0, len(bounds) - 1, TEXTS):
+            own = bounds[low : low + TEXTS + 1]
+            part = slice(own[0], own[-1])
+            text = np.repeat(np.arange(len(own) - 1), np.diff(own))
+            queries = np.zeros((len(own) - 1, len(self.matrix)))
+            common = column[part] >= 0
+            queries[text[common], column[part][common]] = weights[part][common]
+            sums = queries @ self.matrix
+            tops = sums.reshape(len(own) - 1, self.blocks, -1).max(axis=2, initial=0)
+            for i in range(len(own) - 1):
+                mine = slice(own[i], own[i + 1])
+                rare = column[mine] < 0
+                out.append(self._best(sums[i], tops[i], terms[mine][rare], weights[mine][rare], k, -1 if without is None else int(without[low + i])))
+        return out
+
+    def _best(self, sums: np.ndarray, tops: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+        bound = tops + weights @ self.most[terms]
+        values, places = np.zeros(0), np.zeros(0, np.int64)
+        least = 0.0
         for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
+            if bound[b] <= 0 or bound[b] < least - 1e-6:
                 break
-            total = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if (t, b) in self.columns:
-                    places, values = self.columns[t, b]
-                    total[places] += w * values
-            found = np.flatnonzero(total > (best[-1][0] - 1e-9 if len(best) == k else 0))
-            own = [(round(float(total[i]), 9), b * BLOCK + i) for i in found.tolist() if b * BLOCK + i != without]
-            best = sorted(best + own, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            total = sums[b * BLOCK : (b + 1) * BLOCK].copy()
+            low, high = self.block_at[b], self.block_at[b + 1]
+            first, to = (low + np.searchsorted(self.term[low:high], terms, side) for side in ("left", "right"))
+            size = to - first
+            if n := int(size.sum()):
+                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(n)
+                total += np.bincount(self.place[at] - b * BLOCK, np.repeat(weights, size) * self.value[at], BLOCK)
+            total = np.round(total, 9)
+            found = np.flatnonzero(total >= max(least, 1e-9))
+            found = found[found + b * BLOCK != without]
+            values, places = np.concatenate([values, total[found]]), np.concatenate([places, found + b * BLOCK])
+            order = np.lexsort((places, -values))[:k]
+            values, places = values[order], places[order]
+            least = float(values[-1]) if len(values) == k else 0.0
+        return list(zip(values.tolist(), places.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        w = np.array([1 / (1.05 - s) for s, _ in near])
+        w = np.array([1 / (1.05 - min(s, 1.0)) for s, _ in near])
         return float((w * self.toxic[[i for _, i in near]]).sum() / w.sum())
 
     def calibrate(self, share: float) -> None:
         """share: of toxic labels among all that examples were drawn from."""
         n1 = int(self.toxic.sum())
         weight = np.where(self.toxic, share / max(n1, 1), (1 - share) / max(len(self.toxic) - n1, 1))
-        near = [self.nearest(t, w, without=i) if len(t) else [] for i, (t, w) in enumerate(self.rows)]
+        near = self.nearest(self.bounds, self.terms, self.values, without=np.arange(len(self.names)))
         lone = np.array([not x for x in near])
         self.lone = float((weight * self.toxic)[lone].sum() / weight[lone].sum()) if lone.any() else self.prior
         votes = np.array([self.vote(x) for x in near if x])
@@ -164,20 +235,28 @@ def training_row(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) != 1, F.lit(True))
 
 
-def _example_rows(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each text, joined by line feeds, and their counts."""
     for batch, buf, offs in B.blocks(batches):
-        docs, numbers, counts = vectors(buf, offs, terms)
-        bounds = np.searchsorted(docs, np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(numbers.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(counts.astype(np.int32)))], names=["doc_id", "toxic", "terms", "counts"])
+        low = LOWER[buf]
+        owner, word, count, starts, ends = words_of(low, offs)
+        data, bounds = low.tobytes(), np.searchsorted(owner, np.arange(batch.num_rows + 1)).tolist()
+        names = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        joined = [b"\n".join(names[i] for i in word[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
+        counts = [count[a:b].astype("<i4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(joined, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "toxic", "words", "counts"])
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
     """Texts with each term; term -1 counts all."""
+    terms: Terms = vocabulary.value
     n = np.zeros(len(terms) + 1, np.int64)
     for batch, buf, offs in B.blocks(batches):
         n[0] += batch.num_rows
-        n[1:] += np.bincount(vectors(buf, offs, terms)[1], minlength=len(terms))
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms), dtype=np.int32)), pa.array(n)], names=["term", "n"])
+        n[1:] += np.bincount(terms.of_texts(buf, offs)[1], minlength=len(terms))
+    some = np.flatnonzero(n)
+    for low in range(0, len(some), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array((some[low : low + (1 << 16)] - 1).astype(np.int32)), pa.array(n[some[low : low + (1 << 16)]])], names=["term", "n"])
 
 
 def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,58 +279,75 @@ def _apart(rows: list) -> list[int]:
     return out
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, most_terms: int = TERMS) -> Examples:
-    """The examples of labels (doc_id, toxic 0 or 1) in training rows. Labels without a doc_id or a mark do not count; of several for one doc_id the highest does."""
+def dependence(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G-squared of terms that pos of n1 and neg of n0 examples have, as g / (g + HALF)."""
+    part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1) / np.maximum(e, 1e-12)), 0)
+    n, m = n1 + n0, pos + neg
+    g = 2 * (part(pos, m * n1 / n) + part(neg, m * n0 / n) + part(n1 - pos, (n - m) * n1 / n) + part(n0 - neg, (n - m) * n0 / n))
+    return np.maximum(g, 0) / (np.maximum(g, 0) + HALF)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Examples:
+    """The examples of labels (doc_id, toxic 0 or 1) in training rows. Labels without a doc_id or a mark do not count."""
+    context = docs.sparkSession.sparkContext
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(training_row())
     known = kept(known.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")), "labels")
-    n0, n1 = known.agg(F.count_if(~F.col("toxic")), F.count_if("toxic")).first()
-    share = n1 / max(n0 + n1, 1)
+    m0, m1 = known.agg(F.count_if(~F.col("toxic")), F.count_if("toxic")).first()
+    share = m1 / max(m0 + m1, 1)
     drawn = [known.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for mark in (False, True)]
-    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = kept(texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select("doc_id", "toxic", "text"), "examples")  # at most 2 * most rows of 9 bytes
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")  # at most 2 * most rows of 9 bytes
+    sample = kept(found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select("doc_id", "toxic", "m.text"), "examples")
     apart = _apart(sample.select("doc_id", "text").mapInArrow(_least_shingles, "doc_id long, least array<long>").collect())  # of the bounded sample
     sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in apart], "doc_id long")), "doc_id")
-    counted = sample.mapInArrow(_term_counts, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    m0, m1 = sample.agg(F.count_if(~F.col("toxic")), F.count_if("toxic")).first()
-    part = lambda o, e: F.when(F.expr(o) > 0, F.expr(f"({o}) * ln(({o}) / ({e}))")).otherwise(0.0)
-    n = max(m0 + m1, 1)
-    cells = [("pos", f"(pos + neg) * {m1 / n!r}D"), ("neg", f"(pos + neg) * {m0 / n!r}D"), (f"{m1} - pos", f"({n} - pos - neg) * {m1 / n!r}D"), (f"{m0} - neg", f"({n} - pos - neg) * {m0 / n!r}D")]
-    g2 = 2 * (part(*cells[0]) + part(*cells[1]) + part(*cells[2]) + part(*cells[3]))
-    rate1, rate0 = F.col("pos") / max(m1, 1), F.col("neg") / max(m0, 1)
-    top = counted.withColumn("g2", g2).where((F.col("g2") > LEAST_G2) & (F.greatest(rate1, rate0) >= LEAST_RATIO * F.least(rate1, rate0))).orderBy(F.desc("g2"), "term").limit(most_terms).collect() if m0 and m1 else []
-    terms = np.sort(np.array([r.term for r in top], np.int64).view(np.uint64))
-    rows = sample.mapInArrow(partial(_example_rows, terms=terms), "doc_id long, toxic boolean, terms array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r.terms, r.counts, r.doc_id))  # alike ones share blocks, so bounds are close
-    df = texts.select("text").mapInArrow(partial(_frequencies, terms=terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy("term").collect() if len(terms) else []
-    df = np.array([r.n for r in df] or [0], float)  # of all documents
-    idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
-    made = Examples([r.doc_id for r in rows], np.array([r.toxic for r in rows], bool), terms, idf, [], share)
-    made.rows = [(np.array(r.terms, np.int64), made.weights(np.array(r.terms, np.int64), np.array(r.counts, float))) for r in rows]
-    made.__post_init__()
-    made.lone = share
-    if m0 and m1:
+    rows = sorted(sample.select("doc_id", "toxic", "text").mapInArrow(_example_words, "doc_id long, toxic boolean, words binary, counts binary").collect())
+    toxic = np.array([r.toxic for r in rows], bool)
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    words = [r.words.split(b"\n") if r.words else [] for r in rows]
+    places = {w: i for i, w in enumerate(sorted({w for own in words for w in own}))}
+    terms, data = Terms(list(places)), b"".join(places)
+    ends = np.cumsum([len(w) for w in places], dtype=np.int64)
+    numbers = terms.numbers(np.frombuffer(data, np.uint8), ends - np.array([len(w) for w in places], np.int64), ends) if places else np.zeros((0, 1 + len(STEMS)), np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in words])
+    counts = np.frombuffer(b"".join(r.counts for r in rows), "<i4").astype(np.int64)
+    owner, own_terms, counts = terms.counts(owner, np.array([places[w] for own in words for w in own], np.int64), counts, numbers)
+    pos, neg = (np.bincount(own_terms[toxic[owner] == mark], minlength=len(terms)).astype(float) for mark in (True, False))
+    weight = dependence(pos, neg, n1, n0) if n1 and n0 else np.zeros(len(terms))
+    df = np.zeros(len(terms) + 1)  # of all documents
+    if n1 and n0:
+        spread = texts.select("text").coalesce(max(1, 4 * context.defaultParallelism))  # each task gives a row for each term
+        for r in spread.mapInArrow(partial(_frequencies, vocabulary=context.broadcast(terms)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow().to_batches():
+            df[r.column(0).to_numpy() + 1] = r.column(1).to_numpy()
+    factor = (np.log((1 + df[0]) / (1 + df[1:])) + 1) * weight
+    bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
+    # alike ones share blocks: by the two terms that weigh most
+    heavy = [tuple(own_terms[a:b][np.argsort(-factor[own_terms[a:b]], kind="stable")[:2]].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
+    order = sorted(range(len(rows)), key=lambda i: (heavy[i], rows[i].doc_id))
+    at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in order]).astype(np.int64) if order else np.zeros(0, np.int64)
+    made = Examples([rows[i].doc_id for i in order], toxic[order], factor, np.concatenate([[0], np.cumsum([bounds[i + 1] - bounds[i] for i in order], dtype=np.int64)]).astype(np.int64), own_terms[at], counts[at], share)
+    made.vocabulary = terms
+    if n1 and n0:
         made.calibrate(share)
     return made
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model, text: int) -> Iterator[pa.RecordBatch]:
     examples: Examples = model.value
-    seen: dict[tuple, tuple[float, list]] = {}
+    seen: dict[bytes, tuple[float, list]] = {}
     unrowed = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(text)], names=["row", "text"]) for b in batches)
     for batch, buf, offs in B.blocks(unrowed):
-        docs, numbers, counts = vectors(buf, offs, examples.terms)
-        bounds = np.searchsorted(docs, np.arange(batch.num_rows + 1)).tolist()
-        scores, evidence = [], []
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            key = (numbers[a:b].tobytes(), counts[a:b].tobytes())
-            if key not in seen:
-                near = examples.nearest(numbers[a:b], examples.weights(numbers[a:b], counts[a:b])) if b > a else []
-                if len(seen) > 20_000:
-                    seen.clear()
-                seen[key] = min(1.0, max(0.0, examples.score(near))), [{"doc_id": examples.names[i], "cosine": s, "toxic": bool(examples.toxic[i])} for s, i in near[:EVIDENCE]]
-            scores.append(seen[key][0])
-            evidence.append(seen[key][1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, EVIDENCE_ARROW)], names=["row", "score", "evidence"])
+        docs, terms, counts = examples.vocabulary.of_texts(buf, offs)
+        bounds = np.searchsorted(docs, np.arange(batch.num_rows + 1))
+        keys = [blake2b(terms[a:b].tobytes() + counts[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+        if len(seen) > 5_000:
+            seen.clear()
+        new = list({key: i for i, key in enumerate(keys) if key not in seen}.values())
+        if new:
+            at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in new])
+            own = np.concatenate([[0], np.cumsum(bounds[np.array(new) + 1] - bounds[new])])
+            for i, near in zip(new, examples.nearest(own, terms[at], unit(examples.weights(terms[at], counts[at]), own)), strict=True):
+                seen[keys[i]] = min(1.0, max(0.0, examples.score(near))), [{"doc_id": examples.names[e], "cosine": s, "toxic": bool(examples.toxic[e])} for s, e in near]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([seen[x][0] for x in keys], pa.float64()), pa.array([seen[x][1] for x in keys], EVIDENCE_ARROW)], names=["row", "score", "evidence"])
 
 
 EVIDENCE_ARROW = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.bool_())]))
@@ -259,8 +355,8 @@ EVIDENCE_TYPE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()),
 
 
 def scored(docs: DataFrame, model: Examples) -> DataFrame:
-    """row, score (0 to 1), evidence (the three nearest examples)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and TERMS
+    """row, score (0 to 1), evidence (the nearest examples, nearest first)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES
     rows = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE_TYPE)])
     return rows.mapInArrow(partial(_scored, model=sent, text=docs.columns.index("text")), schema)
