@@ -111,7 +111,6 @@ class Vocabulary:
     """Numbers of known words, by their order: found by hash, then byte by byte."""
 
     def __init__(self, words: list[bytes]):
-        self.words = words
         self.lanes = Lanes(np.frombuffer(b"".join(words), np.uint8))
         ends = np.cumsum([len(w) for w in words], dtype=np.int64) if words else np.zeros(0, np.int64)
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if words else ends
@@ -121,12 +120,24 @@ class Vocabulary:
         self.places: dict[bytes, int] | None = None
 
     def __len__(self) -> int:
-        return len(self.words)
+        return len(self.hashes)
+
+    @property
+    def words(self) -> list[bytes]:
+        data, back = self.lanes.padded.tobytes(), np.argsort(self.order)
+        return [data[a:b] for a, b in zip(self.starts[back].tolist(), self.ends[back].tolist(), strict=True)]
+
+    def __getstate__(self) -> dict:
+        return {"data": self.lanes.padded[:-8], **{k: getattr(self, k) for k in ("order", "hashes", "starts", "ends")}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.lanes, self.places = Lanes(state.pop("data")), None
+        self.__dict__ |= state
 
     def numbers(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each span, -1 of unknown ones."""
         out = np.full(len(starts), -1, np.int64)
-        if not len(self.words) or not len(starts):
+        if not len(self) or not len(starts):
             return out
         hashes = span_hashes(buf, starts, ends)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)

@@ -22,12 +22,14 @@ whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,21 +113,19 @@ class Examples:
 
     def __init__(self, names: list, toxic: np.ndarray, factor: np.ndarray, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray, prior: float):
         """bounds: of each example in terms and counts, one more at the end; factor: of each term."""
-        self.names, self.toxic, self.factor, self.bounds, self.terms, self.prior, self.lone = names, toxic, factor, bounds, terms, prior, prior
+        self.names, self.toxic, self.factor, self.bounds, self.terms, self.prior = names, toxic, factor, bounds, terms, prior
         self.values = unit(self.weights(terms, counts), bounds)
-        self.scale = np.zeros(0), np.zeros(0)
         self.vocabulary: Terms | None = None
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (1 + np.log(counts)) * self.factor[terms]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "index"}
+        return {k: self.__dict__[k] for k in ("names", "toxic", "factor", "bounds", "terms", "prior", "values", "vocabulary")}
 
     def built(self) -> Examples:
         """With the index, which does not travel."""
         n, m = len(self.names), len(self.factor)
-        self.index = True
         self.blocks = max(1, -(-n // BLOCK))
         owner = np.repeat(np.arange(n), np.diff(self.bounds))
         often = np.bincount(self.terms, minlength=m)
@@ -150,7 +150,7 @@ class Examples:
     def nearest(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
         """For each text, from bound to bound in terms and weights, (cosine, example) of the k nearest that share a term, exactly.
         without: the example that each text is, which does not count."""
-        if not hasattr(self, "index"):
+        if not hasattr(self, "blocks"):
             self.built()
         out: list[list[tuple[float, int]]] = []
         column = self.column[terms]
@@ -196,21 +196,51 @@ class Examples:
         w = np.array([1 / (1.05 - min(s, 1.0)) for s, _ in near])
         return float((w * self.toxic[[i for _, i in near]]).sum() / w.sum())
 
-    def calibrate(self, share: float) -> None:
-        """share: of toxic labels among all that examples were drawn from."""
-        n1 = int(self.toxic.sum())
-        weight = np.where(self.toxic, share / max(n1, 1), (1 - share) / max(len(self.toxic) - n1, 1))
-        near = self.nearest(self.bounds, self.terms, self.values, without=np.arange(len(self.names)))
-        lone = np.array([not x for x in near])
-        self.lone = float((weight * self.toxic)[lone].sum() / weight[lone].sum()) if lone.any() else self.prior
-        votes = np.array([self.vote(x) for x in near if x])
-        self.scale = isotonic(votes, self.toxic[~lone].astype(float), weight[~lone])
-
-    def score(self, near: list[tuple[float, int]]) -> float:
+
+@dataclass
+class Model:
+    """Examples as they are sent to tasks, and what makes votes probabilities: knots of isotonic regression, the score of texts without neighbours."""
+
+    examples: Examples
+    sent: Broadcast
+    scale: tuple[np.ndarray, np.ndarray]
+    lone: float
+
+    def score(self, near: list[tuple[float, int]], examples: Examples) -> float:
         if not near:
             return self.lone
         x, y = self.scale
-        return float(np.interp(self.vote(near), x, y)) if len(x) else self.prior
+        return float(np.interp(examples.vote(near), x, y)) if len(x) else examples.prior
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "examples"}  # tasks take them from what was sent
+
+
+def _votes(batches: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Of examples, each left out of its neighbours; null without any."""
+    examples: Examples = sent.value
+    for batch in batches:
+        own = batch.column(0).to_numpy()
+        at = np.concatenate([np.arange(examples.bounds[i], examples.bounds[i + 1]) for i in own])
+        bounds = np.concatenate([[0], np.cumsum(examples.bounds[own + 1] - examples.bounds[own])])
+        near = examples.nearest(bounds, examples.terms[at], examples.values[at], without=own)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([examples.vote(x) if x else None for x in near], pa.float64())], names=["id", "vote"])
+
+
+def calibrated(spark: SparkSession, examples: Examples, share: float) -> Model:
+    """share: of toxic labels among all that examples were drawn from."""
+    sent, toxic = spark.sparkContext.broadcast(examples), examples.toxic  # bounded by EXAMPLES
+    n1, n = int(toxic.sum()), len(toxic)
+    model = Model(examples, sent, (np.zeros(0), np.zeros(0)), examples.prior)
+    if not 0 < n1 < n:
+        return model
+    weight = np.where(toxic, share / n1, (1 - share) / (n - n1))
+    found = sorted(spark.range(0, n, 1, min(n, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(partial(_votes, sent=sent), "id long, vote double").collect())
+    lone = np.array([r.vote is None for r in found])
+    if lone.any():
+        model.lone = float((weight * toxic)[lone].sum() / weight[lone].sum())
+    model.scale = isotonic(np.array([r.vote for r in found if r.vote is not None]), toxic[~lone].astype(float), weight[~lone])
+    return model
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +317,23 @@ def dependence(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray
     return np.maximum(g, 0) / (np.maximum(g, 0) + HALF)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Examples:
+def _terms_of(rows: list) -> tuple[Terms, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of examples, and (example, term, count), in order."""
+    words = sorted({w for r in rows if r.words for w in r.words.split(b"\n")})
+    places, terms = {w: i for i, w in enumerate(words)}, Terms(words)
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    numbers = terms.numbers(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if words else np.zeros((0, 1 + len(STEMS)), np.int64)
+    found: list[tuple] = [(np.zeros(0, np.int32),) * 3]
+    for low in range(0, len(rows), 256):  # few at a time, as the driver's memory is small
+        own = [r.words.split(b"\n") if r.words else [] for r in rows[low : low + 256]]
+        owner = np.repeat(np.arange(low, low + len(own)), [len(x) for x in own])
+        word = np.fromiter((places[w] for x in own for w in x), np.int64, len(owner))
+        count = np.frombuffer(b"".join(r.counts for r in rows[low : low + 256]), "<i4")
+        found.append(tuple(x.astype(np.int32) for x in terms.counts(owner, word, count, numbers)))
+    return terms, *(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
     """The examples of labels (doc_id, toxic 0 or 1) in training rows. Labels without a doc_id or a mark do not count."""
     context = docs.sparkSession.sparkContext
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(training_row())
@@ -303,14 +349,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Examples
     rows = sorted(sample.select("doc_id", "toxic", "text").mapInArrow(_example_words, "doc_id long, toxic boolean, words binary, counts binary").collect())
     toxic = np.array([r.toxic for r in rows], bool)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    words = [r.words.split(b"\n") if r.words else [] for r in rows]
-    places = {w: i for i, w in enumerate(sorted({w for own in words for w in own}))}
-    terms, data = Terms(list(places)), b"".join(places)
-    ends = np.cumsum([len(w) for w in places], dtype=np.int64)
-    numbers = terms.numbers(np.frombuffer(data, np.uint8), ends - np.array([len(w) for w in places], np.int64), ends) if places else np.zeros((0, 1 + len(STEMS)), np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in words])
-    counts = np.frombuffer(b"".join(r.counts for r in rows), "<i4").astype(np.int64)
-    owner, own_terms, counts = terms.counts(owner, np.array([places[w] for own in words for w in own], np.int64), counts, numbers)
+    terms, owner, own_terms, counts = _terms_of(rows)
     pos, neg = (np.bincount(own_terms[toxic[owner] == mark], minlength=len(terms)).astype(float) for mark in (True, False))
     weight = dependence(pos, neg, n1, n0) if n1 and n0 else np.zeros(len(terms))
     df = np.zeros(len(terms) + 1)  # of all documents
@@ -326,13 +365,11 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Examples
     at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in order]).astype(np.int64) if order else np.zeros(0, np.int64)
     made = Examples([rows[i].doc_id for i in order], toxic[order], factor, np.concatenate([[0], np.cumsum([bounds[i + 1] - bounds[i] for i in order], dtype=np.int64)]).astype(np.int64), own_terms[at], counts[at], share)
     made.vocabulary = terms
-    if n1 and n0:
-        made.calibrate(share)
-    return made
+    return calibrated(docs.sparkSession, made, share)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model, text: int) -> Iterator[pa.RecordBatch]:
-    examples: Examples = model.value
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: int) -> Iterator[pa.RecordBatch]:
+    examples: Examples = model.sent.value
     seen: dict[bytes, tuple[float, list]] = {}
     unrowed = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).field(text)], names=["row", "text"]) for b in batches)
     for batch, buf, offs in B.blocks(unrowed):
@@ -346,7 +383,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model, text: int) -> Iterator[pa.
             at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in new])
             own = np.concatenate([[0], np.cumsum(bounds[np.array(new) + 1] - bounds[new])])
             for i, near in zip(new, examples.nearest(own, terms[at], unit(examples.weights(terms[at], counts[at]), own)), strict=True):
-                seen[keys[i]] = min(1.0, max(0.0, examples.score(near))), [{"doc_id": examples.names[e], "cosine": s, "toxic": bool(examples.toxic[e])} for s, e in near]
+                seen[keys[i]] = min(1.0, max(0.0, model.score(near, examples))), [{"doc_id": examples.names[e], "cosine": s, "toxic": bool(examples.toxic[e])} for s, e in near]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([seen[x][0] for x in keys], pa.float64()), pa.array([seen[x][1] for x in keys], EVIDENCE_ARROW)], names=["row", "score", "evidence"])
 
 
@@ -354,9 +391,8 @@ EVIDENCE_ARROW = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float
 EVIDENCE_TYPE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.BooleanType())]))
 
 
-def scored(docs: DataFrame, model: Examples) -> DataFrame:
+def scored(docs: DataFrame, model: Model) -> DataFrame:
     """row, score (0 to 1), evidence (the nearest examples, nearest first)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES
     rows = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE_TYPE)])
-    return rows.mapInArrow(partial(_scored, model=sent, text=docs.columns.index("text")), schema)
+    return rows.mapInArrow(partial(_scored, model=model, text=docs.columns.index("text")), schema)

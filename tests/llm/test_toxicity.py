@@ -72,7 +72,8 @@ def test_documents_equal_brute_force(spark):
     """Fitting and scoring over real documents against dictionaries: terms, frequencies, weights, cosines and evidence."""
     d = "/root/testdata/sf0.001"
     docs, labels = registry.table(spark, d, "documents"), registry.table(spark, d, "labels")
-    model = toxicity.fitted(docs, labels)
+    fitted = toxicity.fitted(docs, labels)
+    model = fitted.examples
     texts = {r.doc_id: brute_terms(r.text) for r in docs.collect()}
     marks = {e: bool(t) for e, t in zip(model.names, model.toxic)}
     df = Counter(t for own in texts.values() for t in own)
@@ -94,7 +95,7 @@ def test_documents_equal_brute_force(spark):
         return {t: x / length for t, x in w.items()} if length else {}
 
     sides = {e: vector(texts[e]) for e in marks}
-    for r in toxicity.scored(docs.select("doc_id", "text"), model).collect():
+    for r in toxicity.scored(docs.select("doc_id", "text"), fitted).collect():
         own = vector(texts[r.row.doc_id])
         cosines = {e: sum(x * v.get(t, 0) for t, x in own.items()) for e, v in sides.items()}
         want = sorted((c for c in cosines.values() if c > 1e-9), reverse=True)[:15]
@@ -120,13 +121,14 @@ def test_repeated_ids_labels_and_rows(spark):
     rows += [(None, "xyz xyz x")] * 70 + [(1000, None), (1001, "q"), (1002, "xyz ä " * 200_000)] + [(2, "other text of two"), rows[3]]
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)] * 2 + [(5, 0), (None, 1)], "doc_id long, toxic int")
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
-    made = toxicity.fitted(docs, labels)
+    fitted = toxicity.fitted(docs, labels)
+    made = fitted.examples
     assert len(made.names) == len(set(made.names)) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(200))
     names = names_of(made.vocabulary)
     n = len(rows)
     g = made.factor / toxicity.dependence(*(np.array([sum((w.strip("*") in (rows[e][1] if e != 2 else "")) and toxic == mark for e, toxic in zip(made.names, made.toxic)) for w in ("xyz", "uvw")], float) for mark in (True, False)), int(made.toxic.sum()), int((~made.toxic).sum()))[0]
     assert g[names.index("xyz")] == pytest.approx(math.log((1 + n) / (1 + 100 + 1 + 70 + 1)) + 1)
-    got = toxicity.scored(docs, made).collect()
+    got = toxicity.scored(docs, fitted).collect()
     assert len(got) == n
     by = {}
     for r in got:
