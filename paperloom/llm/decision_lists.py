@@ -5,8 +5,11 @@ rule grows, threshold by threshold, on two thirds of the rows that are left, as
 rises; it is pruned, last condition first, on the other third; the rows it covers go, and the next rule begins. The rules become
 one ordered conditional expression of Spark's, which is what decides about every document.
 
-Null or empty texts have zeros everywhere (and fail the base rule); equal rows each get a row; without labelled rows of both
-kinds no rule is learned and the verdict is `kept` for all; all columns of the documents are passed on inside `row`.
+Words and lines count as equal by their bytes. Null or empty texts have zeros everywhere (and fail the base rule); equal rows each
+get a row; of several texts with a labelled doc_id that with the least hash teaches, of several labels the lowest counts; of equal
+gains the earlier feature and the lower threshold win; without labelled rows of both kinds no rule is learned and all that meet the
+base rule are kept; a very long text is worked on as one block, of several times its size; an empty table gives none; all columns
+of the documents are passed on inside `row`, whatever their names.
 """
 
 from __future__ import annotations
@@ -206,8 +209,9 @@ def fitted(docs: DataFrame, labels: DataFrame, most_rows: int = FIT_ROWS) -> lis
     doc_id or a quality do not count; of several for one doc_id the lowest does."""
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).alias("bad"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = statistics(texts.join(F.broadcast(sample), "doc_id"))  # at most most_rows rows of 9 bytes
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    labelled = texts.join(F.broadcast(sample), "doc_id")  # at most most_rows rows of 9 bytes
+    found = statistics(labelled.groupBy("doc_id", "bad").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select("doc_id", "bad", "m.text"))
     table = found.select("row.doc_id", F.col("row.bad").alias("bad"), *[F.expr(f"cast({e} as double)").alias(k) for k, e in FEATURES.items()])
     rows = sorted(map(tuple, table.collect()))
     if not rows:

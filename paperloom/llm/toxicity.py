@@ -1,15 +1,15 @@
 """Toxicity by the nearest labelled examples.
 
 Examples are a bounded sample of labelled documents, 3,000 of either label at most, without near copies of each other (which would
-make any rare word of theirs look telling). Terms are lower-cased words and their beginnings of four to seven characters: all that
+make any rare word of theirs look telling). Terms are lower-cased words and their beginnings of four and of six characters: all that
 the examples have, none is left out. A text is the vector of (1 + ln tf) * idf * d of its terms, at length one: idf with the
 document frequencies of all documents; d = g / (g + 20), g being the G-squared of the term and the labels in the examples, weighs
 down what the labels do not depend on (plain TF-IDF finds only half of the toxic documents, see the README).
 
 The 15 nearest examples by cosine are found exactly. The few terms that very many examples have are columns of a matrix; for all
-others blocks of 256 examples keep the greatest weight of each term. A block's bound is the greatest sum of its examples over the
-matrix plus that of its greatest weights; blocks are gone through in the order of their bounds, and the search ends where a bound
-is below the fifteenth cosine so far. Votes are weighted by 1 / (1.05 - cosine); isotonic regression over the examples' own votes
+others blocks of 256 examples keep the greatest weight of each term and its postings. An example's cosine is at least its sum over
+the matrix; a block's bound is the greatest of these in it plus the sum of its greatest weights, and a block with a bound below
+the fifteenth least value is left out. Votes are weighted by 1 / (1.05 - cosine); isotonic regression over the examples' own votes
 (each left out of its neighbours), weighted to the labels' shares, makes them probabilities. All neighbours are the evidence.
 
 Null and empty texts, and those without any of the terms, have no neighbour and get the share of toxic ones among such examples; of
@@ -43,9 +43,9 @@ NEIGHBOURS, BLOCK = 15, 256
 #: G-squared of a term that counts by half.
 HALF = 20.0
 #: Terms that are columns of the matrix, at most, and the share of examples they have at least; texts that are scored at once.
-COMMON, COMMON_SHARE, TEXTS = 512, 0.03, 128
+COMMON, COMMON_SHARE, TEXTS = 1024, 0.01, 128
 THRESHOLD = 0.7
-STEMS = (4, 5, 6, 7)
+STEMS = (4, 6)
 IS_WORD = B.table(lambda b: 0x41 <= b < 0x5B or 0x61 <= b < 0x7B or b >= 0x80)
 LOWER = np.array([b + 32 if 0x41 <= b < 0x5B else b for b in range(256)], np.uint8)
 
@@ -138,13 +138,16 @@ class Examples:
         self.matrix[self.column[self.terms[common]], owner[common]] = self.values[common]
         terms, owner, values = self.terms[~common], owner[~common], self.values[~common]
         order = np.lexsort((owner, terms, owner // BLOCK))
-        self.term, self.place, self.value = terms[order], owner[order], values[order]
+        terms, self.place, self.value = terms[order], owner[order], values[order]
         block = self.place // BLOCK
-        self.block_at = np.searchsorted(block, np.arange(self.blocks + 1))
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(self.term) != 0) | (np.diff(block) != 0)])) if len(order) else np.zeros(0, np.int64)
+        self.begin = np.zeros((self.blocks, m + 1), np.int32)  # of a term's postings in a block
         self.most = np.zeros((m, self.blocks), np.float32)
+        for b, low, high in ((b, *np.searchsorted(block, [b, b + 1])) for b in range(self.blocks)):
+            np.cumsum(np.bincount(terms[low:high], minlength=m), out=self.begin[b, 1:])
+            self.begin[b] += low
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(terms) != 0) | (np.diff(block) != 0)])) if len(order) else np.zeros(0, np.int64)
         if len(first):  # rounded up
-            self.most[self.term[first], block[first]] = np.nextafter(np.maximum.reduceat(self.value, first).astype(np.float32), np.float32(2))
+            self.most[terms[first], block[first]] = np.nextafter(np.maximum.reduceat(self.value, first).astype(np.float32), np.float32(2))
         return self
 
     def nearest(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
@@ -170,27 +173,26 @@ class Examples:
         return out
 
     def _best(self, sums: np.ndarray, tops: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
-        bound = tops + weights @ self.most[terms]
-        values, places = np.zeros(0), np.zeros(0, np.int64)
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < least - 1e-6:
-                break
-            total = sums[b * BLOCK : (b + 1) * BLOCK].copy()
-            low, high = self.block_at[b], self.block_at[b + 1]
-            first, to = (low + np.searchsorted(self.term[low:high], terms, side) for side in ("left", "right"))
-            size = to - first
-            if n := int(size.sum()):
-                at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(n)
-                total += np.bincount(self.place[at] - b * BLOCK, np.repeat(weights, size) * self.value[at], BLOCK)
-            total = np.round(total, 9)
-            found = np.flatnonzero(total >= max(least, 1e-9))
-            found = found[found + b * BLOCK != without]
-            values, places = np.concatenate([values, total[found]]), np.concatenate([places, found + b * BLOCK])
-            order = np.lexsort((places, -values))[:k]
-            values, places = values[order], places[order]
-            least = float(values[-1]) if len(values) == k else 0.0
-        return list(zip(values.tolist(), places.tolist(), strict=True))
+        """sums over the matrix, which are least values of the cosines; tops: their greatest by block."""
+        bound = tops + weights.astype(np.float32) @ self.most[terms]
+        have = np.delete(sums, without) if without >= 0 else sums
+        least = float(np.partition(have, len(have) - k)[len(have) - k]) if len(have) >= k else 0.0
+        open_ = np.flatnonzero((bound > 0) & (bound >= least - 1e-4))
+        if not len(open_):
+            return []
+        first = self.begin[open_[:, None], terms].ravel()
+        size = self.begin[open_[:, None], terms + 1].ravel() - first
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        total = sums.copy()
+        if len(at):
+            total += np.bincount(self.place[at], np.repeat(np.tile(weights, len(open_)), size) * self.value[at], len(total))
+        if without >= 0:
+            total[without] = 0
+        total = np.round(total, 9)
+        least = max(np.partition(total, len(total) - k)[len(total) - k], 1e-9) if len(total) >= k else 1e-9
+        found = np.flatnonzero(total >= least)
+        order = np.lexsort((found, -total[found]))[:k]
+        return list(zip(total[found[order]].tolist(), found[order].tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         w = np.array([1 / (1.05 - min(s, 1.0)) for s, _ in near])
@@ -359,8 +361,10 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Model:
             df[r.column(0).to_numpy() + 1] = r.column(1).to_numpy()
     factor = (np.log((1 + df[0]) / (1 + df[1:])) + 1) * weight
     bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
-    # alike ones share blocks: by the two terms that weigh most
-    heavy = [tuple(own_terms[a:b][np.argsort(-factor[own_terms[a:b]], kind="stable")[:2]].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
+    # alike ones share blocks: by the frequent term that a text has most of (such as an article of its language), and what weighs most
+    often = np.bincount(own_terms, minlength=len(terms))
+    frequent = np.where(often >= 0.1 * len(rows), np.log((1 + len(rows)) / (1 + often)), 0.0)
+    heavy = [tuple(int(t[x.argmax()]) for x in (c * frequent[t], factor[t])) if len(t) else () for t, c in ((own_terms[a:b], counts[a:b]) for a, b in zip(bounds, bounds[1:], strict=False))]
     order = sorted(range(len(rows)), key=lambda i: (heavy[i], rows[i].doc_id))
     at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in order]).astype(np.int64) if order else np.zeros(0, np.int64)
     made = Examples([rows[i].doc_id for i in order], toxic[order], factor, np.concatenate([[0], np.cumsum([bounds[i + 1] - bounds[i] for i in order], dtype=np.int64)]).astype(np.int64), own_terms[at], counts[at], share)

@@ -10,7 +10,9 @@ The public model is trained for another way of joining pieces; its scores serve
 way but the best path over its pieces, which the tests compare with brute force and the library's own unigram search.
 
 Null and empty texts have no pieces; decoding gives the text back, but a marker that was in it becomes a space, as in the library;
-equal rows get equal results; other columns are passed on inside `row`.
+units count as equal by their bytes; equal rows get equal results; a very long text is a block of its own, and a run of it that
+nothing cuts is searched in steps of one byte, in memory of some fifty times its size; an empty table gives none; other columns are
+passed on inside `row`, whatever their names.
 """
 
 from __future__ import annotations
