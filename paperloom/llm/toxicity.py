@@ -136,18 +136,17 @@ class Examples:
         common = self.column[self.terms] >= 0
         self.matrix = np.zeros((len(top), self.blocks * BLOCK))
         self.matrix[self.column[self.terms[common]], owner[common]] = self.values[common]
-        terms, owner, values = self.terms[~common], owner[~common], self.values[~common]
-        order = np.lexsort((owner, terms, owner // BLOCK))
-        terms, self.place, self.value = terms[order], owner[order], values[order]
-        block = self.place // BLOCK
-        self.begin = np.zeros((self.blocks, m + 1), np.int32)  # of a term's postings in a block
-        self.most = np.zeros((m, self.blocks), np.float32)
-        for b, low, high in ((b, *np.searchsorted(block, [b, b + 1])) for b in range(self.blocks)):
-            np.cumsum(np.bincount(terms[low:high], minlength=m), out=self.begin[b, 1:])
-            self.begin[b] += low
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(terms) != 0) | (np.diff(block) != 0)])) if len(order) else np.zeros(0, np.int64)
+        terms, owner, values = self.terms[~common].astype(np.int64), owner[~common], self.values[~common]
+        order = np.lexsort((owner, terms))
+        self.place, self.value = owner[order], values[order]
+        cell = terms[order] * self.blocks + self.place // BLOCK
+        self.begin = np.zeros(m * self.blocks + 1, np.int32)  # of a term's postings in a block: a term's blocks side by side
+        np.cumsum(np.bincount(cell, minlength=m * self.blocks), out=self.begin[1:])
+        most = np.zeros(m * self.blocks, np.float32)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(cell) != 0])) if len(order) else np.zeros(0, np.int64)
         if len(first):  # rounded up
-            self.most[terms[first], block[first]] = np.nextafter(np.maximum.reduceat(self.value, first).astype(np.float32), np.float32(2))
+            most[cell[first]] = np.nextafter(np.maximum.reduceat(self.value, first).astype(np.float32), np.float32(2))
+        self.most = most.reshape(m, self.blocks)
         return self
 
     def nearest(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> list[list[tuple[float, int]]]:
@@ -180,12 +179,13 @@ class Examples:
         open_ = np.flatnonzero((bound > 0) & (bound >= least - 1e-4))
         if not len(open_):
             return []
-        first = self.begin[open_[:, None], terms].ravel()
-        size = self.begin[open_[:, None], terms + 1].ravel() - first
+        cells = (terms[:, None] * self.blocks + open_).ravel()
+        first = self.begin[cells]
+        size = self.begin[cells + 1] - first
         at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         total = sums.copy()
         if len(at):
-            total += np.bincount(self.place[at], np.repeat(np.tile(weights, len(open_)), size) * self.value[at], len(total))
+            total += np.bincount(self.place[at], np.repeat(np.repeat(weights, len(open_)), size) * self.value[at], len(total))
         if without >= 0:
             total[without] = 0
         total = np.round(total, 9)
