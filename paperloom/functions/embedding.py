@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,12 @@ def bucket(word: Column) -> Column:
 
 
 def sparse_vectors(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, bucket, n: the non-zero dimensions of each text."""
-    return docs.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, bucket(F.col("word")).alias("bucket")).agg(F.count("*").alias("n"))
+    """key, bucket, n: the non-zero dimensions of each text, as runs of its sorted buckets; nothing is shuffled."""
+    rows = docs.select(key, F.array_sort(F.transform(words(F.col(text)), bucket)).alias("_b")).where(F.size("_b") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("_b") - 1), lambda i: (i == 0) | (F.get("_b", i) != F.get("_b", i - 1)))
+    runs = rows.select(key, "_b", starts.alias("_s"))
+    each = F.transform("_s", lambda x, i: F.struct(F.get("_b", x).alias("bucket"), (F.coalesce(F.get("_s", i + 1), F.size("_b")) - x).cast("long").alias("n")))
+    return runs.select(key, F.inline(each))
 
 
 @lru_cache(maxsize=200_000)
@@ -36,6 +43,28 @@ def dense_vector(text: str | None) -> np.ndarray:
     return np.bincount(found, minlength=DIMENSIONS).astype(float)
 
 
+class Embedder(Protocol):
+    """A model: one vector of a fixed length for each text, null counting as empty."""
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray: ...
+
+
+def hashed_words(texts: list[str | None]) -> np.ndarray:
+    """The stand-in as an Embedder."""
+    return np.stack([dense_vector(t) for t in texts]) if texts else np.zeros((0, DIMENSIONS))
+
+
+def embedded(rows: DataFrame, embedder: Embedder = hashed_words, text: str = "text", vector: str = "embedding", batch: int = 256) -> DataFrame:
+    """rows with vectors of their texts, by so many texts at a time."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            made = [np.asarray(x, np.float32) for at in range(0, len(some), batch) for x in embedder(some.iloc[at : at + batch].tolist())]
+            yield pd.Series(made, index=some.index, dtype=object)
+
+    return rows.withColumn(vector, F.pandas_udf(run, "array<float>")(text))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays of numbers, in double; null if one has no length."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

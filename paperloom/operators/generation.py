@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.functions.text import CUT_MARK, NO_DOCUMENTS, NO_EVIDENCE, cost, cut, or_label, or_message, without_fence
+from paperloom.functions.text import CUT_MARK, NO_DOCUMENTS, NO_EVIDENCE, cost, cut, or_label, or_message, stripped, without_fence
 
 #: The texts of prompts.
 GUARDRAIL = (
@@ -78,19 +79,44 @@ def chat_prompts(queries: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("query_id", "n_hits", F.concat(F.lit(GUARDRAIL), F.coalesce("note", F.lit(""))).alias("system"), user.alias("user"))
 
 
-def answered(prompts: DataFrame, generator: Callable[[list[tuple[str, str]]], list[str]]) -> DataFrame:
-    """prompts with answer. What was not found is not asked for: it gets the fixed message, as an empty answer does."""
+class Client:
+    """A Generator over ask(system, user): a pool of calls for each batch, a time limit and attempts for each call. A call that has
+    failed so often gives `failed`."""
+
+    def __init__(self, ask: Callable[[str, str], str], pool: int = 8, seconds: float = 30.0, attempts: int = 2, failed: str = ""):
+        self.ask, self.pool, self.seconds, self.attempts, self.failed = ask, pool, seconds, attempts, failed
+
+    def __call__(self, prompts: list[tuple[str, str]]) -> list[str]:
+        out: list[str | None] = [None] * len(prompts)
+        for _ in range(self.attempts):
+            calls = ThreadPoolExecutor(self.pool)
+            waiting = {i: calls.submit(self.ask, *prompts[i]) for i, x in enumerate(out) if x is None}
+            for i, call in waiting.items():
+                try:
+                    out[i] = call.result(self.seconds)
+                except Exception:  # noqa: BLE001  whatever a provider raises, and the time limit
+                    continue
+            calls.shutdown(wait=False, cancel_futures=True)
+        return [self.failed if x is None else x for x in out]
+
+
+def answered(prompts: DataFrame, generator: Generator) -> DataFrame:
+    """prompts with answer. What was not found is not asked for: it gets the fixed message, as an empty answer does; nor is what
+    is not ready, if there is such a column: it is told so."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             asked = (rows["n_hits"] > 0).to_numpy()
+            if "ready" in rows:
+                asked &= rows["ready"].fillna(True).to_numpy(bool)
             answers = pd.Series([None] * len(rows), index=rows.index, dtype=object)
             if asked.any():
                 answers[asked] = generator(list(zip(rows["system"][asked], rows["user"][asked], strict=True)))
             yield rows.assign(answer=answers)
 
     made = prompts.mapInPandas(run, T.StructType([*prompts.schema.fields, T.StructField("answer", T.StringType())]))
-    return made.withColumn("answer", or_message(F.col("answer")))
+    answer = or_message(F.col("answer"))
+    return made.withColumn("answer", F.when(~F.col("ready"), F.lit(NOT_READY)).otherwise(answer) if "ready" in prompts.columns else answer)
 
 
 def no_hit_answer(n_hits: Column, answer: Column) -> Column:
@@ -123,7 +149,7 @@ def json_fields(answers: DataFrame, fields: tuple = DOCUMENT_FIELDS, answer: str
     """answers with the fields of the JSON object in answer, a ``` fence taken off. A field that is absent has its default, one that
     is null stays null; an answer that is no JSON becomes the field consulting. What is JSON but no object is an error if strict,
     else has the defaults."""
-    text = F.btrim(F.col(answer))
+    text = stripped(F.col(answer))
     tree = F.try_parse_json(without_fence(text))
     kind = F.schema_of_variant(tree)
     broken = tree.isNull() & text.isNotNull()
@@ -143,6 +169,30 @@ def json_fields(answers: DataFrame, fields: tuple = DOCUMENT_FIELDS, answer: str
     return rows.select(*keep, *[value(n, d) for n, d in fields])
 
 
+def _asked(rows: DataFrame, system: str, user: Column, generator: Generator, fields: tuple) -> DataFrame:
+    """rows with the fields of what a model answers; an answer that is no JSON object has the defaults."""
+    own = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
+    made = rows.select(own, answer_of(generator)(F.lit(system), user).alias("answer"))
+    return json_fields(made, fields, strict=False)
+
+
+def answer_of(generator: Generator) -> Callable[[Column, Column], Column]:
+    def run(system: pd.Series, user: pd.Series) -> pd.Series:
+        return pd.Series(generator(list(zip(system, user, strict=True))), index=user.index, dtype=object)
+
+    return F.pandas_udf(run, "string")
+
+
+def analyzed(documents: DataFrame, generator: Generator, filename: str = "name", text: str = "text") -> DataFrame:
+    """row (all columns of documents), answer, and category, tags, summary, consulting as a model says."""
+    return _asked(documents, ANALYZE_PROMPT, analyze_prompt(F.col(filename), F.col(text)), generator, DOCUMENT_FIELDS)
+
+
+def analyzed_collections(collections: DataFrame, documents: DataFrame, generator: Generator) -> DataFrame:
+    """row (id, prompt), answer, and description, category, tags, consulting as a model says."""
+    return _asked(collection_prompts(collections, documents), COLLECTION_PROMPT, F.col("prompt"), generator, COLLECTION_FIELDS)
+
+
 def provider_messages(messages: DataFrame) -> DataFrame:
     """conv_id, system (the last system message, or empty) and messages (the others, in order) for providers that want them apart."""
     system = F.expr("coalesce(max_by(text, turn) FILTER (WHERE role = 'system'), '')")

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,7 +72,7 @@ def call_ok(error: str = "error", latency: str = "latency_ms", timeout_ms: int =
 
 
 def breaker_replay(calls: DataFrame, failures: int = FAILURES, recovery: float = RECOVERY_S) -> DataFrame:
-    """calls: provider, ts (seconds), seq, ok and, if there is one, event ('call' or 'reset'). For each: whether it was attempted, and state, failures and successes after it."""
+    """calls: provider, ts (seconds), seq, ok and, if there is one, event ('call' or 'reset'). For each: whether it was attempted, and state, failures and successes after it, and ts."""
     has_event = "event" in calls.columns
 
     def step(b: Breaker, row) -> tuple:
@@ -81,31 +81,26 @@ def breaker_replay(calls: DataFrame, failures: int = FAILURES, recovery: float =
             b.reset()
         elif attempted := b.allows(row.ts):
             b.record(bool(row.ok), row.ts)
-        return row.provider, row.seq, attempted, b.state, b.failed, b.succeeded
+        return row.provider, row.seq, attempted, b.state, b.failed, b.succeeded, row.ts
 
-    schema = T.StructType([calls.schema["provider"], calls.schema["seq"], T.StructField("attempted", T.BooleanType()), T.StructField("state", T.StringType()), T.StructField("failure_count", T.IntegerType()), T.StructField("success_count", T.IntegerType())])
+    schema = T.StructType([calls.schema["provider"], calls.schema["seq"], T.StructField("attempted", T.BooleanType()), T.StructField("state", T.StringType()), T.StructField("failure_count", T.IntegerType()), T.StructField("success_count", T.IntegerType()), calls.schema["ts"]])
     return folded(calls, "provider", ["ts", "seq"], schema, lambda: Breaker(failures, recovery), step)
 
 
-@dataclass
-class Run:
-    length: int = 0
-
-
-def failure_runs(calls: DataFrame) -> DataFrame:
-    """provider, seq, run: how many calls have failed in a row, up to each."""
-
-    def step(r: Run, row) -> tuple:
-        r.length = 0 if row.ok else r.length + 1
-        return row.provider, row.seq, r.length
-
-    schema = T.StructType([calls.schema["provider"], calls.schema["seq"], T.StructField("run", T.LongType())])
-    return folded(calls, "provider", ["ts", "seq"], schema, Run, step)
+def failure_runs(calls: DataFrame, span: float = 3600.0) -> DataFrame:
+    """provider, seq, run: how many calls have failed in a row, up to each. Successes are counted within spans of seconds and over
+    them, so that a provider with very many calls is no single task; calls after the same success are a run."""
+    rows = calls.select("provider", "ts", "seq", "ok", F.floor(F.col("ts") / span).alias("_span"))
+    won = rows.groupBy("provider", "_span").agg(F.count_if("ok").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("provider").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = F.col("_before") + F.count_if("ok").over(Window.partitionBy("provider", "_span").orderBy("ts", "seq"))
+    counted = rows.join(won.select("provider", "_span", before.alias("_before")), ["provider", "_span"]).withColumn("_wins", wins)
+    return counted.select("provider", "seq", F.count_if(~F.col("ok")).over(Window.partitionBy("provider", "_wins").orderBy("ts", "seq")).alias("run"))
 
 
 def breaker_status(replayed: DataFrame, providers: DataFrame) -> DataFrame:
     """provider, state, failure_count, success_count, available: the last state of each of providers (provider, available); closed if it never had a call. Reading the status moves nothing."""
-    last = replayed.groupBy("provider").agg(F.max_by(F.struct("state", "failure_count", "success_count"), "seq").alias("s"))
+    last = replayed.groupBy("provider").agg(F.max_by(F.struct("state", "failure_count", "success_count"), F.struct("ts", "seq")).alias("s"))
     return providers.join(last, "provider", "left").select("provider", F.coalesce("s.state", F.lit(CLOSED)).alias("state"), F.coalesce("s.failure_count", F.lit(0)).alias("failure_count"), F.coalesce("s.success_count", F.lit(0)).alias("success_count"), "available")
 
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import partial, reduce
+import io
+from collections.abc import Iterator
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.functions.embedding import cosine, dense_vector
+from paperloom.functions.embedding import Embedder, cosine
+from paperloom.sources.shared import Ranges, new_folder, write_whole
 
 TOP_K = 5
-#: Queries that are compared at once; more are taken in blocks.
-QUERY_BLOCK = 2048
+#: Queries of a block, and points that are compared with a block at once.
+QUERY_BLOCK, POINT_BLOCK = 2048, 16_384
 
 
 def payload_filter(points: DataFrame, filters: dict | None, mode: str = "strict") -> Column:
@@ -48,54 +52,101 @@ def nearest(points: DataFrame, query: list[float], k: int = TOP_K, vector: str =
     return points.where(payload_filter(points, filters, mode)).withColumn("score", score).where("score IS NOT NULL").orderBy(F.desc("score"), key).limit(k)
 
 
-def _best(batches: Iterator[pd.DataFrame], names: list, vectors: np.ndarray, k: int, key: str, of: str, embed: Callable | None) -> Iterator[pd.DataFrame]:
-    best: list[list[tuple]] = [[] for _ in names]
-    lengths = np.linalg.norm(vectors, axis=1)
+def _nearer(best: list[list[tuple]], vectors: np.ndarray, own: np.ndarray, keys: np.ndarray, k: int) -> None:
+    """Puts those of own that are among the k nearest of each of vectors into best. Cosines count to nine places, as in the end: equal points tie wherever they stand."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        scores = np.round(vectors @ own.T / (np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(own, axis=1)), 9)
+    for q, row in enumerate(scores):
+        usable = np.flatnonzero(~np.isnan(row))
+        if len(usable) > k:
+            usable = usable[row[usable] >= np.partition(row[usable], len(usable) - k)[len(usable) - k]]
+        best[q] = sorted(best[q] + [(-row[i], keys[i]) for i in usable])[:k]
+
+
+def _store(rows: Iterator[pd.DataFrame], folder: str, size: int, embedder: Embedder | None) -> Iterator[pd.DataFrame]:
+    """Queries as files of so many at most: ids, and vectors."""
+    context, made, waiting = TaskContext.get(), [], pd.DataFrame()
+
+    def put(block: pd.DataFrame) -> None:
+        ids, of = block.iloc[:, 0].tolist(), block.iloc[:, 1].tolist()
+        vectors = np.asarray(embedder(of) if embedder else of, float)
+        out = io.BytesIO()
+        np.savez(out, vectors=vectors, ids=np.frombuffer(_packed(ids), np.uint8))
+        made.append(f"{folder}/{context.partitionId():06d}-{len(made):06d}.npz")
+        write_whole(made[-1], [out.getvalue()], context.taskAttemptId())
+
+    for batch in rows:
+        waiting = pd.concat([waiting, batch[[x is not None for x in batch.iloc[:, 1]] if not embedder else slice(None)]])
+        while len(waiting) >= size:
+            put(waiting.iloc[:size])
+            waiting = waiting.iloc[size:]
+    if len(waiting):
+        put(waiting)
+    yield pd.DataFrame({"path": made}, dtype=object)
+
+
+def _packed(ids: list) -> bytes:
+    out = pa.BufferOutputStream()
+    table = pa.table({"id": pa.array(ids)})
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+@lru_cache(maxsize=8)
+def _loaded(path: str) -> tuple[list, np.ndarray]:
+    source = Ranges(path)
+    with np.load(io.BytesIO(source.read(0, source.size)), allow_pickle=False) as x:
+        found = pa.ipc.open_stream(x["ids"].tobytes()).read_all().column("id").to_pylist(), x["vectors"]
+    source.close()
+    return found
+
+
+def _best(batches: Iterator[pd.DataFrame], paths: list[str], k: int, key: str, of: str, embedder: Embedder | None) -> Iterator[pd.DataFrame]:
+    """Points are gathered to POINT_BLOCK before blocks of queries are read, so a block is read once for many points."""
+    best: dict[str, list[list[tuple]]] = {}
+    waiting, n = [], 0
+
+    def compare() -> None:
+        keys = np.concatenate([w[0] for w in waiting])
+        own = np.concatenate([w[1] for w in waiting])
+        for path in paths:
+            ids, vectors = _loaded(path)
+            if own.shape[1] == vectors.shape[1]:
+                _nearer(best.setdefault(path, [[] for _ in ids]), vectors, own, keys, k)
+
     for rows in batches:
         for at in range(0, len(rows), 1024):
             part = rows.iloc[at : at + 1024]
-            values = [embed(x) if embed else x for x in part[of]]
-            keep = [i for i, x in enumerate(values) if x is not None and len(x) == vectors.shape[1]]
-            if not keep:
-                continue
-            own, keys = np.array([values[i] for i in keep], float), part[key].to_numpy()[keep]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = vectors @ own.T / (lengths[:, None] * np.linalg.norm(own, axis=1))
-            for q in range(len(names)):
-                row = scores[q]
-                usable = np.flatnonzero(~np.isnan(row))
-                if len(usable) > k:
-                    limit = np.partition(row[usable], len(usable) - k)[len(usable) - k]
-                    usable = usable[row[usable] >= limit]
-                found = best[q] + [(-row[i], keys[i]) for i in usable]
-                best[q] = sorted(found)[:k]
-    out = [(names[q], x, -s) for q in range(len(names)) for s, x in best[q]]
-    yield pd.DataFrame(out, columns=["query_id", key, "score"])
-
-
-def nearest_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "embedding", key: str = "point_id", embed: bool = False) -> DataFrame:
-    """query_id, key, score, rank: the k nearest points of each query (query_id, vector). With embed the columns hold texts.
-
-    Queries go to all tasks in blocks of QUERY_BLOCK; a task keeps k points for each query, so what is ranked in the end is k rows
-    a task and query. Points or queries without length have no neighbours."""
-    sent, names, out = 0, [], None
-    made = queries.select("query_id", vector).orderBy("query_id").toLocalIterator()
+            values = embedder(part[of].tolist()) if embedder else part[of].tolist()
+            keep = [i for i, x in enumerate(values) if x is not None and len(x)]
+            if keep:
+                waiting.append((part[key].to_numpy()[keep], np.array([values[i] for i in keep], float)))
+                n += len(keep)
+            if n >= POINT_BLOCK:
+                compare()
+                waiting, n = [], 0
+    if waiting:
+        compare()
+    for path, found in best.items():
+        out = [(name, x, -s) for name, own in zip(_loaded(path)[0], found, strict=True) for s, x in own]
+        yield pd.DataFrame(out, columns=["query_id", key, "score"])
+
+
+def nearest_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "embedding", key: str = "point_id", embedder: Embedder | None = None) -> DataFrame:
+    """query_id, key, score, rank: the k nearest points of each query (query_id, vector). With an embedder the columns hold texts.
+
+    Queries, however many, are files of QUERY_BLOCK in the shared folder; one pass over the points compares them with each block.
+    A task keeps k points for each query, so what is ranked in the end is k rows a task and query. Points or queries without length
+    or vector have no neighbours; equal cosines (to nine places) go by key; vectors of one table have one length."""
+    spark = points.sparkSession
+    folder = new_folder(spark, "queries")
     schema = T.StructType([queries.schema["query_id"], points.schema[key], T.StructField("score", T.DoubleType())])
-
-    def block(rows: list) -> DataFrame:
-        vectors = np.array([dense_vector(r[1]) if embed else r[1] for r in rows], float)
-        run = partial(_best, names=[r[0] for r in rows], vectors=vectors, k=k, key=key, of=vector, embed=dense_vector if embed else None)
-        return points.select(key, vector).mapInPandas(run, schema)
-
-    for row in made:
-        names.append(row)
-        if len(names) == QUERY_BLOCK:
-            out = block(names) if out is None else out.union(block(names))
-            names, sent = [], sent + 1
-    if names or out is None:
-        found = block(names) if names else points.sparkSession.createDataFrame([], schema)
-        out = found if out is None else out.union(found)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
+    paths = sorted(r.path for r in queries.select("query_id", vector).mapInPandas(partial(_store, folder=folder, size=QUERY_BLOCK, embedder=embedder), "path string").collect())  # a path a block
+    if not paths:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    out = points.select(key, vector).mapInPandas(partial(_best, paths=paths, k=k, key=key, of=vector, embedder=embedder), schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -11,6 +11,7 @@ from paperloom.functions import chunking, embedding, text
 from paperloom.operators import agents, catalog, generation, router, search
 from paperloom.plans import views as V
 from paperloom.sources import sinks
+from paperloom.sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,9 +63,11 @@ def s5(spark, d):
     return files(spark, d).select("page_id", text.reject_reason(F.col("name"), F.col("size")).alias("reject_reason"))
 
 
-@query("s6_decode", "SELECT doc_id, length(text)::BIGINT AS n, md5(text) AS text_md5 FROM documents")
+@query("s6_decode", "SELECT doc_id, length(t)::BIGINT AS n, md5(t) AS text_md5 FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || chr(65533) || 'A' WHEN 1 THEN chr(65533) || text ELSE text END AS t FROM documents)")
 def s6(spark, d):
-    made = text.decoded(F.encode("text", "UTF-8"))
+    """Every third text has a byte that is never valid, and every third begins with one that only goes on."""
+    content, k = F.encode("text", "UTF-8"), F.col("doc_id") % 3
+    made = text.decoded(F.when(k == 0, F.concat(content, F.unhex(F.lit("FF41")))).when(k == 1, F.concat(F.unhex(F.lit("80")), content)).otherwise(content))
     return V.table(spark, d, "documents").select("doc_id", F.length(made).cast("long").alias("n"), md5(made, "text_md5"))
 
 
@@ -165,7 +168,7 @@ def f10(spark, d):
     return fenced(spark, d).select("event_id", text.without_fence(F.col("answer")).alias("inside"))
 
 
-ANSWERS_SQL = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"category":"' || event_type || '","tags":["a","b"],"summary":null}' WHEN 1 THEN 'not json' || event_id WHEN 2 THEN '```json' || chr(10) || '{"consulting":"x"}' || chr(10) || '```' WHEN 3 THEN ' ' || props ELSE '{"tags":[' END AS answer FROM events"""
+ANSWERS_SQL = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"category":"' || event_type || '","tags":["a","b"],"summary":null}' WHEN 1 THEN 'not json' || event_id WHEN 2 THEN '```json' || chr(10) || '{"consulting":"x"}' || chr(10) || '```' WHEN 3 THEN chr(10) || ' ' || props || chr(9) WHEN 4 THEN chr(160) || chr(10) || '```json' || chr(10) || '{"summary":"y"}' || chr(10) || '```' || chr(12) ELSE '{"tags":[' END AS answer FROM events"""
 
 
 @query(
@@ -173,14 +176,14 @@ ANSWERS_SQL = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"category":"'
     f"""SELECT event_id, CASE WHEN ok THEN CASE WHEN json_exists(j, '$.category') THEN json_extract_string(j, '$.category') ELSE '' END ELSE '' END AS category,
   CASE WHEN ok AND json_exists(j, '$.tags') THEN json_extract(j, '$.tags')::VARCHAR ELSE '[]' END AS tags,
   CASE WHEN ok AND json_exists(j, '$.summary') THEN json_extract_string(j, '$.summary') ELSE '' END AS summary,
-  CASE WHEN NOT ok THEN trim(answer) WHEN json_exists(j, '$.consulting') THEN json_extract_string(j, '$.consulting') ELSE '' END AS consulting
+  CASE WHEN NOT ok THEN answer WHEN json_exists(j, '$.consulting') THEN json_extract_string(j, '$.consulting') ELSE '' END AS consulting
 FROM (SELECT *, json_valid(inside) AS ok, CASE WHEN json_valid(inside) THEN inside ELSE '{{}}' END AS j FROM (
-  SELECT *, CASE WHEN starts_with(trim(answer), '```') THEN regexp_replace(regexp_replace(trim(answer), '^```[a-z]*\\n?', ''), '\\n?```$', '') ELSE trim(answer) END AS inside FROM ({ANSWERS_SQL})))""",
+  SELECT *, CASE WHEN starts_with(answer, '```') THEN regexp_replace(regexp_replace(answer, '^```[a-z]*\\n?', ''), '\\n?```$', '') ELSE answer END AS inside FROM (SELECT event_id, trim(answer, '{V.WS}') AS answer FROM ({ANSWERS_SQL}))))""",
 )
 def f11(spark, d):
-    e = F.col("event_id") % 5
+    e = F.col("event_id") % 6
     made = F.when(e == 0, F.concat(F.lit('{"category":"'), "event_type", F.lit('","tags":["a","b"],"summary":null}'))).when(e == 1, F.concat(F.lit("not json"), F.col("event_id").cast("string")))
-    made = made.when(e == 2, '```json\n{"consulting":"x"}\n```').when(e == 3, F.concat(F.lit(" "), "props")).otherwise('{"tags":[')
+    made = made.when(e == 2, '```json\n{"consulting":"x"}\n```').when(e == 3, F.concat(F.lit("\n "), "props", F.lit("\t"))).when(e == 4, '\xa0\n```json\n{"summary":"y"}\n```\x0c').otherwise('{"tags":[')
     return generation.json_fields(V.table(spark, d, "events").select("event_id", made.alias("answer"))).drop("answer")
 
 
@@ -261,7 +264,7 @@ def t2(spark, d):
 def t3(spark, d):
     p = V.points(spark, d)
     celled, centres = search.cells(p, 16)
-    return search.nearest_in_cells(celled, centres, p.where("point_id = 7").select("embedding").first()[0], probes=8).select("point_id", "score")
+    return search.nearest_in_cells(celled, centres, p.where("point_id = 7").select("embedding").first()[0], probes=12).select("point_id", "score")
 
 
 @query("g1_hash_embed", rf"SELECT doc_id, b::BIGINT AS bucket, count(*) AS n FROM (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 1024 AS b FROM (SELECT doc_id, {V.WORDS} AS w FROM documents) WHERE w <> '') GROUP BY ALL")
@@ -322,11 +325,41 @@ def g3(spark, d):
     return generation.answered(prompts(spark, d), lambda pairs: ["answered"] * len(pairs)).select("query_id", "answer")
 
 
-@query("g2_answers")
+@query("g2_answers", f"WITH {V.HITS}, first AS (SELECT query_id, trim(split_part(text, '. ', 1), '{V.WS}') AS a FROM hits WHERE rank = 1) SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 OR query_id IS NULL THEN 0 ELSE 5 END::BIGINT AS n_hits, CASE WHEN item_id % 3 = 0 OR coalesce(a, '') = '' THEN {quoted(text.NO_EVIDENCE)} ELSE a END AS answer FROM benchmark LEFT JOIN first ON query_id = item_id")
 def g2_answers(spark, d):
     return generation.answered(prompts(spark, d), generation.first_sentence).select("query_id", "n_hits", "answer")
 
 
+@query("p11_not_ready", f"SELECT item_id AS query_id, CASE WHEN item_id % 4 = 0 THEN {quoted(generation.NOT_READY)} WHEN item_id % 3 = 0 THEN {quoted(text.NO_EVIDENCE)} ELSE 'answered' END AS answer FROM benchmark")
+def p11_not_ready(spark, d):
+    """Collections without a processed document are told so before anything is asked."""
+    asked = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 4 != 0).alias("ready"), F.when(F.col("item_id") % 3 == 0, 0).otherwise(5).alias("n_hits"), F.lit("s").alias("system"), F.lit("u").alias("user"))
+    return generation.answered(asked, lambda pairs: ["answered"] * len(pairs)).select("query_id", "answer")
+
+
+STORED_SQL = f"""WITH {V.CHUNKS},
+p AS (SELECT *, sha256(collection || chr(31) || name || chr(31) || chunk_index || chr(31) || text) AS point_id FROM chunks),
+qv AS (SELECT query_id, b, count(*)::DOUBLE AS n FROM (SELECT item_id AS query_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 1024 AS b FROM (SELECT item_id, {V.WORDS} AS w FROM benchmark) WHERE w <> '') GROUP BY ALL),
+pv AS (SELECT point_id, b, count(*)::DOUBLE AS n FROM (SELECT point_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 1024 AS b FROM (SELECT point_id, {V.WORDS} AS w FROM p) WHERE w <> '') GROUP BY ALL),
+qn AS (SELECT query_id, sqrt(sum(n * n)) AS r FROM qv GROUP BY ALL), pn AS (SELECT point_id, sqrt(sum(n * n)) AS r FROM pv GROUP BY ALL),
+scored AS (SELECT query_id, point_id, dot / (qn.r * pn.r) AS score FROM (SELECT query_id, point_id, sum(qv.n * pv.n) AS dot FROM qv JOIN pv USING (b) GROUP BY ALL) JOIN qn USING (query_id) JOIN pn USING (point_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, point_id) AS rank FROM scored)
+SELECT query_id, rank, name AS source, chunk_index, round(score, 6) AS score, md5(text) AS text_md5 FROM ranked JOIN p USING (point_id) WHERE rank <= 5"""
+
+
+@query("k1_ingest_search", STORED_SQL)
+def k1_ingest_search(spark, d):
+    """Documents to chunks, vectors and points, upserted twice; then questions against what was stored."""
+    made = sinks.as_points(chunk_rows(spark, d).withColumn("source", F.col("name")), F.col("collection"), embedder=embedding.hashed_words)
+    path = new_folder(spark, "points")
+    sinks.upsert_points(made.where("chunk_index = 0").withColumn("page", F.lit("old")), path)
+    sinks.upsert_points(made, path)
+    stored = sinks.read_points(spark, path)
+    asked = embedding.embedded(V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    found = search.nearest_batch(stored, asked.select("query_id", "embedding")).join(stored.drop("embedding"), "point_id")
+    return found.where("page <> 'old'").select("query_id", F.col("rank").cast("long").alias("rank"), "source", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"), md5("text", "text_md5"))
+
+
 @query("ag7_sources_footer", f"WITH {V.HITS} SELECT item_id AS query_id, md5('a' || CASE WHEN f IS NULL THEN '' ELSE chr(10) || chr(10) || '📌 참고 문서:' || chr(10) || f END) AS answer_md5 FROM benchmark LEFT JOIN (SELECT query_id, string_agg('  - [' || source || '] 유사도: ' || s, chr(10) ORDER BY rank) AS f FROM (SELECT *, round(score, 3)::VARCHAR AS s FROM hits WHERE source <> '' AND rank <= 5) GROUP BY query_id) ON query_id = item_id")
 def ag7(spark, d):
     answers = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("a").alias("answer"))
@@ -497,6 +530,22 @@ def ag8(spark, d):
     return V.docs(spark, d).select("id", md5(generation.tool_analyze_prompt(F.col("text")), "prompt_md5"))
 
 
+def _says(pairs: list[tuple[str, str]]) -> list[str]:
+    """A model that tells the length of what it is asked, fenced, or no JSON."""
+    return [f'```json\n{{"category": "c{len(u)}", "tags": ["t"], "description": "d{len(u)}"}}\n```' if len(u) % 2 else f"no {len(u)}" for _, u in pairs]
+
+
+@query("g10_analysis", f"WITH {V.DOCS}, p AS (SELECT id, length('파일명: ' || name || chr(10) || chr(10) || '내용:' || chr(10) || CASE WHEN length(text) > 8000 THEN left(text, 8000) || {quoted(text.CUT_MARK)} ELSE text END) AS n FROM docs) SELECT id, CASE WHEN n % 2 = 1 THEN 'c' || n ELSE '' END AS category, CASE WHEN n % 2 = 1 THEN '[\"t\"]' ELSE '[]' END AS tags, '' AS summary, CASE WHEN n % 2 = 1 THEN '' ELSE 'no ' || n END AS consulting FROM p")
+def g10_analysis(spark, d):
+    return generation.analyzed(V.docs(spark, d), _says).select("row.id", "category", "tags", "summary", "consulting")
+
+
+@query("g11_analysis", f"WITH {V.DOCS}, p AS (SELECT c.id, length('컬렉션 이름: ' || c.name || chr(10) || '현재 설명: (없음)' || chr(10) || '현재 카테고리: (없음)' || chr(10) || '현재 태그: ' || c.name || chr(10) || '문서 수: ' || count(d.id) || chr(10) || chr(10) || '포함된 문서 목록:' || chr(10) || string_agg('- ' || d.name || ' (상태: ' || d.status || ')', chr(10) ORDER BY d.id)) AS n FROM collections c JOIN docs d ON d.collection_id = c.id GROUP BY c.id, c.name) SELECT id, CASE WHEN n % 2 = 1 THEN 'd' || n ELSE '' END AS description, CASE WHEN n % 2 = 1 THEN 'c' || n ELSE '' END AS category, CASE WHEN n % 2 = 1 THEN '' ELSE 'no ' || n END AS consulting FROM p")
+def g11_analysis(spark, d):
+    known = V.collections(spark, d).select("id", "name", F.lit("").alias("description"), F.lit(None).cast("string").alias("category"), F.col("name").alias("tags"))
+    return generation.analyzed_collections(known, V.docs(spark, d), _says).select("row.id", "description", "category", "consulting")
+
+
 @query("f20_point_ids", f"WITH {V.CHUNKS} SELECT id, chunk_index, sha256(collection || chr(31) || name || chr(31) || chunk_index || chr(31) || text) AS point_id FROM chunks")
 def f20(spark, d):
     rows = chunk_rows(spark, d)
@@ -520,15 +569,16 @@ def g13(spark, d):
     return generation.usage_events(asked, "primary", 1.0, 2.0).withColumn("cost_usd", F.round("cost_usd", 9))
 
 
-BREAKER_SQL = f"""WITH RECURSIVE {V.CALLS},
+BREAKER = f"""WITH RECURSIVE {V.CALLS},
 r AS (
   SELECT provider, 0::BIGINT AS n, NULL::BIGINT AS seq, false AS attempted, 'closed' AS state, 0 AS failed, 0 AS succeeded, NULL::DOUBLE AS opened FROM (SELECT DISTINCT provider FROM calls)
   UNION ALL
-  SELECT provider, n, seq, att, CASE WHEN NOT att THEN 'open' WHEN ok THEN 'closed' WHEN failed + 1 >= 3 OR state = 'open' THEN 'open' ELSE 'closed' END,
-    CASE WHEN NOT att THEN failed WHEN ok THEN 0 ELSE failed + 1 END, CASE WHEN att AND ok THEN succeeded + 1 ELSE succeeded END,
+  SELECT provider, n, seq, att, CASE WHEN reset THEN 'closed' WHEN NOT att THEN 'open' WHEN ok THEN 'closed' WHEN failed + 1 >= 3 OR state = 'open' THEN 'open' ELSE 'closed' END,
+    CASE WHEN reset THEN 0 WHEN NOT att THEN failed WHEN ok THEN 0 ELSE failed + 1 END, CASE WHEN att AND ok THEN succeeded + 1 ELSE succeeded END,
     CASE WHEN att AND NOT ok AND (failed + 1 >= 3 OR state = 'open') THEN ts ELSE opened END
-  FROM (SELECT c.provider, c.n, c.seq, c.ok, c.ts, r.state, r.failed, r.succeeded, r.opened, r.state <> 'open' OR c.ts - r.opened >= 3600 AS att FROM r JOIN calls c ON c.provider = r.provider AND c.n = r.n + 1))
+  FROM (SELECT c.provider, c.n, c.seq, c.ok, c.ts, r.state, r.failed, r.succeeded, r.opened, RESET AS reset, NOT RESET AND (r.state <> 'open' OR c.ts - r.opened >= 3600) AS att FROM r JOIN calls c ON c.provider = r.provider AND c.n = r.n + 1))
 """
+BREAKER_SQL = BREAKER.replace("RESET", "false")
 
 
 def replayed(spark, d):
@@ -537,7 +587,7 @@ def replayed(spark, d):
 
 @query("st1_breaker_replay", BREAKER_SQL + "SELECT provider, seq, attempted, state, failed AS failure_count, succeeded AS success_count FROM r WHERE n > 0")
 def st1(spark, d):
-    return replayed(spark, d)
+    return replayed(spark, d).drop("ts")
 
 
 @query("w4_failure_runs", f"WITH {V.CALLS}, g AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY provider ORDER BY n) AS wins FROM calls) SELECT provider, seq, count(*) FILTER (WHERE NOT ok) OVER (PARTITION BY provider, wins ORDER BY n) AS run FROM g")
@@ -545,14 +595,14 @@ def w4(spark, d):
     return router.failure_runs(V.calls(spark, d))
 
 
-@query("g9_reset_replay")
+@query("g9_reset_replay", BREAKER.replace("RESET", "(c.seq % 1000 = 0)") + "SELECT provider, seq, attempted, state, failed AS failure_count, succeeded AS success_count FROM r WHERE n > 0")
 def g9(spark, d):
     """Breakers with a manual reset at every thousandth event."""
     rows = V.calls(spark, d).withColumn("event", F.when(F.col("seq") % 1000 == 0, "reset").otherwise("call"))
-    return router.breaker_replay(rows, recovery=3600.0)
+    return router.breaker_replay(rows, recovery=3600.0).drop("ts")
 
 
-@query("g8_breaker_status", BREAKER_SQL + "SELECT provider, state, failed AS failure_count, succeeded AS success_count, true AS available FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY seq DESC) AS k FROM r WHERE n > 0) WHERE k = 1 UNION ALL SELECT 'p9', 'closed', 0, 0, true")
+@query("g8_breaker_status", BREAKER_SQL + "SELECT provider, state, failed AS failure_count, succeeded AS success_count, true AS available FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY n DESC) AS k FROM r WHERE n > 0) WHERE k = 1 UNION ALL SELECT 'p9', 'closed', 0, 0, true")
 def g8(spark, d):
     known = V.calls(spark, d).select("provider").distinct().union(spark.sql("SELECT 'p9'")).withColumn("available", F.lit(True))
     return router.breaker_status(replayed(spark, d), known)
@@ -570,11 +620,34 @@ def st4(spark, d):
     return e.select("event_id", router.call_ok().alias("ok"))
 
 
-@query("g6_route_fallback")
+NAMES = ("local", "fast", "strong")
+
+
+def _route_sql() -> str:
+    """One row a call and the three breakers' state in it; a provider is tried if all before it were not, or have failed."""
+    ok = [f"substr(md5(event_id || ':{x}'), 1, 1) > '3'" for x in NAMES]
+    asked = ", ".join(f"{x} AS ok{i}" for i, x in enumerate(ok))
+    start = ", ".join(f"'closed' AS s{i}, 0 AS f{i}, NULL::DOUBLE AS o{i}" for i in range(3))
+    allowed = ", ".join(f"r.s{i} <> 'open' OR q.ts - r.o{i} >= 3600 AS a{i}" for i in range(3))
+    tried = ", ".join(f"a{i}" + "".join(f" AND NOT (a{j} AND ok{j})" for j in range(i)) + f" AS t{i}" for i in range(3))
+    trips = lambda i: f"t{i} AND NOT ok{i} AND (f{i} + 1 >= 3 OR s{i} = 'open')"
+    after = ", ".join(f"CASE WHEN NOT t{i} THEN s{i} WHEN {trips(i)} THEN 'open' ELSE 'closed' END AS s{i}, CASE WHEN NOT t{i} THEN f{i} WHEN ok{i} THEN 0 ELSE f{i} + 1 END AS f{i}, CASE WHEN {trips(i)} THEN ts ELSE o{i} END AS o{i}" for i in range(3))
+    winner = "CASE " + " ".join(f"WHEN t{i} AND ok{i} THEN '{x}'" for i, x in enumerate(NAMES)) + " END"
+    names = "concat_ws(',', " + ", ".join(f"CASE WHEN t{i} THEN '{x}' END" for i, x in enumerate(NAMES)) + ")"
+    return f"""WITH RECURSIVE q AS (SELECT user_id % 16 AS router, epoch_us(ts) / 1e6 AS ts, event_id AS seq, row_number() OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS n, {asked} FROM events),
+r AS (
+  SELECT router, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS provider, '' AS tried, {start} FROM (SELECT DISTINCT router FROM q)
+  UNION ALL
+  SELECT router, n, seq, {winner} AS provider, {names} AS tried, {after}
+  FROM (SELECT *, {tried} FROM (SELECT q.*, r.s0, r.f0, r.o0, r.s1, r.f1, r.o1, r.s2, r.f2, r.o2, {allowed} FROM r JOIN q ON q.router = r.router AND q.n = r.n + 1)))
+SELECT router, seq, provider, tried FROM r WHERE n > 0"""
+
+
+@query("g6_route_fallback", _route_sql())
 def g6(spark, d):
-    outcome = lambda n: F.hash("event_id", F.lit(n)) % 4 != 0
-    asked = V.table(spark, d, "events").select((F.col("user_id") % 16).alias("router"), V.seconds().alias("ts"), F.col("event_id").alias("seq"), F.create_map(*[x for n in ("local", "fast", "strong") for x in (F.lit(n), outcome(n))]).alias("outcomes"))
-    return router.routed(asked, ["local", "fast", "strong"], recovery=3600.0)
+    outcome = lambda n: F.substring(F.md5(F.concat(F.col("event_id").cast("string"), F.lit(f":{n}"))), 1, 1) > "3"
+    asked = V.table(spark, d, "events").select((F.col("user_id") % 16).alias("router"), V.seconds().alias("ts"), F.col("event_id").alias("seq"), F.create_map(*[x for n in NAMES for x in (F.lit(n), outcome(n))]).alias("outcomes"))
+    return router.routed(asked, list(NAMES), recovery=3600.0)
 
 
 @query("g7_available", "SELECT nation.n_nationkey AS provider, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 2 = 0 ELSE n_nationkey % 5 <> 0 END AS available FROM nation")
@@ -610,12 +683,27 @@ def ag10(spark, d):
     return out
 
 
-@query("ag3_research_crew", "SELECT item_id AS run_id, 'research_crew_3agent' AS mode, t AS task, CASE t WHEN 'research' THEN 'researcher(' || item_id || ')' WHEN 'fact_check' THEN 'fact_checker(' || item_id || ')<researcher(' || item_id || ')>' ELSE 'report_writer(' || item_id || ')<researcher(' || item_id || ')|fact_checker(' || item_id || ')<researcher(' || item_id || ')>>' END AS output FROM benchmark, (VALUES ('research'), ('fact_check'), ('report')) s(t)")
-def ag3(spark, d):
+def _crew(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """Every stage says who it is and what it has seen."""
     runs = V.table(spark, d, "benchmark").select(F.col("item_id").alias("run_id"), F.col("text").alias("query"), F.lit("fr").alias("collection"))
 
     def stage(role: str, rows: DataFrame) -> DataFrame:
         seen = F.when(F.col("context") != "", F.concat(F.lit("<"), F.replace("context", F.lit("\n\n"), F.lit("|")), F.lit(">"))).otherwise("")
         return rows.withColumn("output", F.concat(F.lit(f"{role}("), F.col("run_id").cast("string"), F.lit(")"), seen))
 
-    return agents.run_mode(runs, "research_crew", stage).select("run_id", "mode", "task", "output")
+    return agents.run_mode(runs, mode, stage).select("run_id", "mode", "task", "output")
+
+
+@query("ag1_single", "SELECT item_id AS run_id, 'single_agent' AS mode, 'answer' AS task, 'assistant(' || item_id || ')' AS output FROM benchmark")
+def ag1(spark, d):
+    return _crew(spark, d, "single")
+
+
+@query("ag2_rag_crew", "SELECT item_id AS run_id, 'rag_crew_2agent' AS mode, t AS task, CASE t WHEN 'research' THEN 'researcher(' || item_id || ')' ELSE 'analyst(' || item_id || ')<researcher(' || item_id || ')>' END AS output FROM benchmark, (VALUES ('research'), ('analysis')) s(t)")
+def ag2(spark, d):
+    return _crew(spark, d, "rag_crew")
+
+
+@query("ag3_research_crew", "SELECT item_id AS run_id, 'research_crew_3agent' AS mode, t AS task, CASE t WHEN 'research' THEN 'researcher(' || item_id || ')' WHEN 'fact_check' THEN 'fact_checker(' || item_id || ')<researcher(' || item_id || ')>' ELSE 'report_writer(' || item_id || ')<researcher(' || item_id || ')|fact_checker(' || item_id || ')<researcher(' || item_id || ')>>' END AS output FROM benchmark, (VALUES ('research'), ('fact_check'), ('report')) s(t)")
+def ag3(spark, d):
+    return _crew(spark, d, "research_crew")

@@ -15,15 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.functions.text import MAX_UPLOAD_BYTES, WHITE_SPACE, accepted, basename, is_blank, suffix
+from paperloom.functions.text import WHITE_SPACE, accepted, basename, is_blank, suffix
 
 WORD_TEXT = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, length, content of all files of an accepted kind under a folder. Files of over 100 MiB, empty ones, and those whose names begin with _ or . are not listed by Spark; for the last see listed_files."""
+    """path, name, length, content of all files of an accepted kind under a folder, of any size that a row can hold. Those whose names begin with _ or . are not listed by Spark; for them see listed_files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", basename(F.col("path")).alias("name"), "length", "content").where(accepted(F.col("name")) & (F.col("length") <= MAX_UPLOAD_BYTES))
+    return files.select("path", basename(F.col("path")).alias("name"), "length", "content").where(accepted(F.col("name")))
 
 
 def listed_files(spark: SparkSession, root: str) -> DataFrame:

@@ -2,35 +2,52 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.embedding import Embedder, embedded
+
 
 def point_id(*parts: Column) -> Column:
     """The same parts give the same id, so a run that is repeated replaces its points."""
     return F.sha2(F.concat_ws("\x1f", *[p.cast("string") for p in parts]), 256)
 
 
-def as_points(chunks: DataFrame, collection: Column, extra: Column | None = None) -> DataFrame:
-    """Chunks (source, chunk_index, total_chunks, page, text, ...) as points. A key of extra that is also a fixed one overrides it."""
+def as_points(chunks: DataFrame, collection: Column, extra: Column | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """Chunks (source, chunk_index, total_chunks, page, text, ...) as points, with vectors if there is an embedder. A key of extra
+    that is also a fixed one overrides it. Files of one name in several folders have points of their own if filepath is there."""
     extra = extra if extra is not None else F.create_map().cast("map<string,string>")
     over = lambda c: F.coalesce(extra[c], F.col(c).cast("string")).alias(c) if c in ("text", "source", "page") else F.coalesce(extra[c].cast("int"), F.col(c)).alias(c)
     optional = [F.nullif(F.col(c), F.lit("")).alias(c) if c == "category" else F.col(c) for c in ("filepath", "category", "tags") if c in chunks.columns]
-    return chunks.select(collection.alias("collection"), point_id(collection, F.col("source"), F.col("chunk_index"), F.col("text")).alias("point_id"), *[over(c) for c in ("text", "source", "page", "chunk_index", "total_chunks")], *optional, extra.alias("extra"))
+    place = F.col("filepath") if "filepath" in chunks.columns else F.col("source")
+    made = chunks.select(collection.alias("collection"), point_id(collection, place, F.col("chunk_index"), F.col("text")).alias("point_id"), *[over(c) for c in ("text", "source", "page", "chunk_index", "total_chunks")], *optional, extra.alias("extra"))
+    return made if embedder is None else embedded(made, embedder)
+
 
+def upsert_points(points: DataFrame, path: str, version: int | None = None) -> None:
+    """Adds points; one that is there already, by collection and id, is replaced for readers, all others stay. version: greater ones
+    win; by default the clock of the driver in nanoseconds."""
+    stamp = F.lit(time.time_ns() if version is None else version).cast("long")
+    points.dropDuplicates(["collection", "point_id"]).withColumn("_version", stamp).write.mode("append").partitionBy("collection").parquet(path)
 
-def upsert_points(points: DataFrame, path: str) -> None:
-    """Replaces the points of the collections that are written, in one folder each; others stay."""
-    points.dropDuplicates(["collection", "point_id"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
 
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """The latest of each point. Only ids and versions are gathered; points that were written once do not move if the others are few."""
+    rows = spark.read.parquet(path)
+    again = rows.groupBy(F.col("collection").alias("_c"), F.col("point_id").alias("_p")).agg(F.count("*").alias("_n"), F.max("_version").alias("_last")).where("_n > 1")
+    return rows.join(again, (F.col("collection") == F.col("_c")) & (F.col("point_id") == F.col("_p")), "left").where("_last IS NULL OR _version = _last").drop("_c", "_p", "_n", "_last", "_version")
 
-def append_points(points: DataFrame, path: str) -> None:
-    points.write.mode("append").partitionBy("collection").parquet(path)
 
+def compact_points(spark: SparkSession, path: str, to: str) -> None:
+    """Writes the latest points only."""
+    upsert_points(read_points(spark, path), to, 0)
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """The last written of points with one id in a collection is not known; ids hold the text, so equal ids are equal points."""
-    return spark.read.parquet(path).dropDuplicates(["collection", "point_id"])
+
+def append_usage(events: DataFrame, path: str) -> None:
+    """Adds usage events to a table by day of writing, which is never rewritten."""
+    events.withColumn("day", F.current_date()).write.mode("append").partitionBy("day").parquet(path)
 
 
 def append_versions(rows: DataFrame, path: str, version: int, deleted: bool = False) -> None:

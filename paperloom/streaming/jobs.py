@@ -11,18 +11,19 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from paperloom.functions.chunking import chunks
+from paperloom.functions.embedding import Embedder, hashed_words
 from paperloom.functions.text import accepted, basename
 from paperloom.operators.router import CACHE_TTL_S, FAILURES, RECOVERY_S, Breaker
 from paperloom.sources.files import extracted
-from paperloom.sources.sinks import append_points, as_points
+from paperloom.sources.sinks import as_points, upsert_points
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 CALLS = "provider string, ts double, seq long, ok boolean"
 REQUESTS = "key string, ts double, seq long"
 
 
-def ingest_folder(spark: SparkSession, incoming: str, points: str, status: str, checkpoint: str, collection: str) -> StreamingQuery:
-    """Takes in what is new in a folder, then ends. points gets the chunks of each file, status one row for it: processed with a
+def ingest_folder(spark: SparkSession, incoming: str, points: str, status: str, checkpoint: str, collection: str, embedder: Embedder | None = hashed_words) -> StreamingQuery:
+    """Takes in what is new in a folder, then ends. points gets the chunks of each file with their vectors, status one row for it: processed with a
     chunk, else failed. Files that cannot be taken in are failed, the batch goes on; ids make a repeated batch harmless to readers."""
     found = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(incoming)
     files = found.select("path", basename(F.col("path")).alias("name"), "length", "content").where(accepted(F.col("name")))
@@ -30,7 +31,7 @@ def ingest_folder(spark: SparkSession, incoming: str, points: str, status: str,
     def store(batch: DataFrame, number: int) -> None:
         texts = extracted(batch).withColumnsRenamed({"name": "source", "path": "filepath"})
         made = chunks(texts, key="filepath")
-        append_points(as_points(made, F.lit(collection)), points)
+        upsert_points(as_points(made, F.lit(collection), embedder=embedder), points)
         counts = made.groupBy("filepath").agg(F.count("*").alias("n_chunks"))
         rows = texts.select("filepath", "source").join(counts, "filepath", "left")
         rows.select("filepath", F.col("source").alias("name"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.when(F.col("n_chunks") > 0, "processed").otherwise("failed").alias("status"), F.lit(number).alias("batch")).write.mode("append").parquet(status)
@@ -39,7 +40,8 @@ def ingest_folder(spark: SparkSession, incoming: str, points: str, status: str,
 
 
 class BreakerState(StatefulProcessor):
-    """One breaker for each provider. Rows of a batch are ordered by (ts, seq); batches come as they arrive."""
+    """One breaker for each provider. Rows of a batch are ordered by (ts, seq); batches come as they arrive,
+    and a key's rows of one batch are held at once: maxFilesPerTrigger bounds them."""
 
     failures, recovery = FAILURES, RECOVERY_S
 
@@ -71,6 +73,8 @@ def breaker_stream(calls: DataFrame, failures: int = FAILURES, recovery: float =
 
 
 class CacheState(StatefulProcessor):
+    """When the answer of each key was stored. Rows of a batch as in BreakerState."""
+
     ttl = CACHE_TTL_S
 
     def init(self, handle: StatefulProcessorHandle) -> None:

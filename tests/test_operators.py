@@ -102,15 +102,16 @@ def test_batch_search_is_exact_and_by_blocks(spark, monkeypatch):
     assert search.nearest_batch(points, queries.limit(0)).collect() == []
 
 
-def test_cells_recall(spark):
-    points = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("point_id"), "embedding")
-    celled, centres = search.cells(points, 8)
+@pytest.mark.parametrize(("n_cells", "probes"), [(8, 6), (16, 12)])
+def test_cells_recall(spark, n_cells, probes):
+    points = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("point_id"), "embedding")
+    celled, centres = search.cells(points, n_cells)
     found = 0
     celled = celled.cache()
     queries = points.where("point_id % 100 = 0").collect()
     for q in queries:
         exact = {r.point_id for r in search.nearest(points, q.embedding).collect()}
-        found += len(exact & {r.point_id for r in search.nearest_in_cells(celled, centres, q.embedding, probes=6).collect()})
+        found += len(exact & {r.point_id for r in search.nearest_in_cells(celled, centres, q.embedding, probes=probes).collect()})
     assert found >= 0.9 * 5 * len(queries)
 
 
@@ -138,6 +139,24 @@ def test_prompts_and_contexts(spark):
     assert {r.answer for r in generation.answered(generation.chat_prompts(asked, found), model).collect()} == {text.NO_EVIDENCE}
 
 
+def test_client():
+    import time
+
+    tried = []
+
+    def ask(system, user):
+        tried.append(user)
+        if user == "slow":
+            time.sleep(1.5)
+        if user == "bad" or user == "once" and tried.count("once") == 1:
+            raise ValueError(user)
+        return system + user
+
+    client = generation.Client(ask, pool=4, seconds=0.4, attempts=2, failed="?")
+    assert client([("s", "a"), ("s", "bad"), ("s", "once"), ("s", "slow")]) == ["sa", "?", "sonce", "?"]
+    assert tried.count("bad") == 2 and tried.count("a") == 1
+
+
 def test_messages(spark):
     rows = spark.createDataFrame([(1, 0, "system", "one"), (1, 1, "user", "hi"), (1, 2, "system", "two"), (1, 3, "assistant", "yo"), (2, 0, "user", "x")], "conv_id int, turn int, role string, text string")
     got = {r.conv_id: (r.system, [tuple(m) for m in r.messages]) for r in generation.provider_messages(rows).collect()}
