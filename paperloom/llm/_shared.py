@@ -1,37 +1,12 @@
-"""Folders and files that the driver and all executors share."""
+"""What operators need besides the shared folder: tables that end lineage, and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from paperloom.sources.shared import Ranges, file_system, new_folder, remove_folders, shared_folder, write_whole
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where none is set (tests, local mode) a temporary one is made."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
-
-
-_MADE: list[str] = []
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    _MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
-
-
-def remove_folders(spark: SparkSession) -> None:
-    """Deletes what this process has put into the shared folder. Results read it until they are written, so call this after."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _MADE:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["Ranges", "bounded_batches", "file_system", "kept", "new_folder", "remove_folders", "shared_folder", "write_whole"]
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -41,25 +16,6 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    """Python's view of a path of the shared folder; Hadoop's names of schemes are mapped to Arrow's."""
-    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://")):
-        uri = uri.replace(hadoop, arrow, 1) if uri.startswith(hadoop) else uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
-def write_whole(uri: str, parts: list[bytes], attempt: int) -> None:
-    """Writes a file under another name and moves it in place, so that a task that is run twice leaves one whole file."""
-    store, path = file_system(uri)
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    with store.open_output_stream(draft := f"{path}.{attempt}.draft") as out:
-        for x in parts:
-            out.write(x)
-    store.move(draft, path)
-
-
 #: Rows of an Arrow batch, at most: texts can be long.
 BATCH_ROWS = 1_000
 
@@ -70,18 +26,3 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, BATCH_ROWS)
     return df
-
-
-class Ranges:
-    """Positional reads of a file."""
-
-    def __init__(self, uri: str):
-        store, path = file_system(uri)
-        self.file = store.open_input_file(path)
-        self.size = self.file.size()
-
-    def read(self, offset: int, n: int) -> bytes:
-        return self.file.read_at(n, offset)
-
-    def close(self) -> None:
-        self.file.close()
