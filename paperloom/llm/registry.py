@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decision_lists, fm_index, line_dedup, order_minhash, separator_scan, substring_dedup, token_files, toxicity, unigram, warc_zip
+from paperloom.llm import decision_lists, fm_index, line_dedup, order_minhash, separator_scan, source_divergence, substring_dedup, token_files, toxicity, unigram, warc_zip
 
 BYTE_BPE, END_OF_DOCUMENT = "byte_bpe_50k.json", 2
 #: <|endoftext|> of the byte-level vocabulary, which op8 has no text encode to.
@@ -146,6 +146,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (~toxicity.training_row("row.doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), evidence.alias("evidence"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audited(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT k, lang, source, term, count(*) AS n FROM (SELECT k, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS total FROM t GROUP BY ALL HAVING count(*) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, sum(n)::HUGEINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(total) AS total FROM kept GROUP BY lang),
+own AS (SELECT lang, source, sum(n) AS own FROM c GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2) // (coalesce(own, 0) + 2 * v) AS p,
+    1 + 1000000000 * (kept.total + 2) // (v.total + 2 * v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN own USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pair UNION ALL FROM term))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_warc_zip": op2_warc_zip,
@@ -157,6 +186,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_separator_scan": op8_separator_scan,
     "op9_decision_lists": op9_decision_lists,
     "op10_toxicity": op10_toxicity,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -164,4 +194,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op7_fm_index": OP7_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
