@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decision_lists, fm_index, line_dedup, order_minhash, separator_scan, source_divergence, substring_dedup, token_files, toxicity, unigram, warc_zip
+from paperloom.llm import decision_lists, fm_index, hard_negatives, line_dedup, minimax_shards, order_minhash, separator_scan, source_divergence, substring_dedup, token_files, toxicity, unigram, warc_zip
 
 BYTE_BPE, END_OF_DOCUMENT = "byte_bpe_50k.json", 2
 #: <|endoftext|> of the byte-level vocabulary, which op8 has no text encode to.
@@ -146,6 +146,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (~toxicity.training_row("row.doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), evidence.alias("evidence"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mined(rows.withColumn("label", moved))
+
+
+OP11_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.k AS ak, a.vec_id AS anchor_id, a.label = b.label AS same, b.k, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.k <> b.k WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY ak ORDER BY score DESC, vec_id) AS nth FROM s WHERE same QUALIFY nth <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.ak, p.nth ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.ak = s.ak AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n
+"""
+
+
+def op12_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minimax_shards.sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audited(table(spark, sf_dir, "documents"))
 
@@ -186,6 +212,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_separator_scan": op8_separator_scan,
     "op9_decision_lists": op9_decision_lists,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_minimax_shards": op12_minimax_shards,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -194,5 +222,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op7_fm_index": OP7_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op13_source_divergence": OP13_SQL,
 }
