@@ -1,69 +1,23 @@
 """Circuit breakers, routes over providers and a cache with a life time, replayed over logs.
 
-State depends on all that was before, so a key's events are one ordered stream: they are dealt by key and sorted by Spark, and
-read as a stream of batches of which only the state is kept, however long a key's log is."""
+A breaker's log is replayed in segments (operators.segments). State of the others depends on all that was before, so a key's events are
+one ordered stream: they are dealt by key and sorted by Spark, and read as a stream of batches of which only the state is kept, however
+long a key's log is."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FAILURES, TIMEOUT_MS, RECOVERY_S, CACHE_TTL_S = 3, 30_000, 60.0, 300.0
-CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
+from paperloom.operators import segments
+from paperloom.operators.breaker import CLOSED, FAILURES, HALF_OPEN, OPEN, RECOVERY_S, Breaker, folded
 
+__all__ = ["CACHE_TTL_S", "CLOSED", "FAILURES", "HALF_OPEN", "OPEN", "RECOVERY_S", "TIMEOUT_MS", "Breaker", "available", "breaker_replay", "breaker_status", "cache_replay", "call_ok", "failure_runs", "folded", "routed"]
 
-@dataclass
-class Breaker:
-    """Opens at the third failure in a row; after the recovery time one call tries it; its outcome closes or opens it again."""
-
-    failures: int = FAILURES
-    recovery: float = RECOVERY_S
-    state: str = CLOSED
-    failed: int = 0
-    succeeded: int = 0
-    opened_at: float | None = None
-
-    def allows(self, now: float) -> bool:
-        if self.state == OPEN:
-            if now - (self.opened_at or 0.0) < self.recovery:
-                return False
-            self.state = HALF_OPEN
-        return True
-
-    def record(self, ok: bool, now: float) -> None:
-        if ok:
-            self.state, self.failed, self.succeeded = CLOSED, 0, self.succeeded + 1
-            return
-        self.failed += 1
-        if self.failed >= self.failures or self.state == HALF_OPEN:
-            self.state, self.opened_at = OPEN, now
-
-    def reset(self) -> None:
-        self.state, self.failed = CLOSED, 0
-
-
-def folded(events: DataFrame, key: str, order: list[str], schema: str | T.StructType, start: Callable[[], object], step: Callable) -> DataFrame:
-    """step(state, row) -> output row, over each key's events in order. Keys are dealt by hash; one key is one stream."""
-    columns = events.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, current = None, object()
-        for rows in batches:
-            out = []
-            for row in rows.itertuples(index=False):
-                if (k := getattr(row, key)) != current:
-                    state, current = start(), k
-                out.append(step(state, row))
-            yield pd.DataFrame(out, columns=names)
-
-    made = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    names = made.fieldNames()
-    return events.select(*columns).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, made)
+TIMEOUT_MS, CACHE_TTL_S = 30_000, 300.0
 
 
 def call_ok(error: str = "error", latency: str = "latency_ms", timeout_ms: int = TIMEOUT_MS):
@@ -73,18 +27,8 @@ def call_ok(error: str = "error", latency: str = "latency_ms", timeout_ms: int =
 
 def breaker_replay(calls: DataFrame, failures: int = FAILURES, recovery: float = RECOVERY_S) -> DataFrame:
     """calls: provider, ts (seconds), seq, ok and, if there is one, event ('call' or 'reset'). For each: whether it was attempted, and state, failures and successes after it, and ts."""
-    has_event = "event" in calls.columns
-
-    def step(b: Breaker, row) -> tuple:
-        attempted = False
-        if has_event and row.event == "reset":
-            b.reset()
-        elif attempted := b.allows(row.ts):
-            b.record(bool(row.ok), row.ts)
-        return row.provider, row.seq, attempted, b.state, b.failed, b.succeeded, row.ts
-
-    schema = T.StructType([calls.schema["provider"], calls.schema["seq"], T.StructField("attempted", T.BooleanType()), T.StructField("state", T.StringType()), T.StructField("failure_count", T.IntegerType()), T.StructField("success_count", T.IntegerType()), calls.schema["ts"]])
-    return folded(calls, "provider", ["ts", "seq"], schema, lambda: Breaker(failures, recovery), step)
+    reset = F.coalesce(F.col("event") == "reset", F.lit(False)) if "event" in calls.columns else F.lit(False)
+    return segments.replayed(calls.select("provider", F.col("ts").cast("double").alias("ts"), "seq", F.coalesce("ok", F.lit(False)).alias("ok"), reset.alias("reset")), failures, recovery)
 
 
 def failure_runs(calls: DataFrame, span: float = 3600.0) -> DataFrame:
