@@ -11,36 +11,45 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 1024
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[ \t\n]+"), lambda w: w != "")
+@lru_cache(maxsize=400_000)
+def bucket(word: str, n: int = DIMENSIONS) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % n
 
 
-def bucket(word: Column) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(DIMENSIONS))
+def buckets(text: str | None, n: int = DIMENSIONS) -> list[int]:
+    """Of each word; words are lower-cased and end at spaces, tabs and line feeds."""
+    return [bucket(w, n) for w in (text or "").lower().replace("\t", " ").replace("\n", " ").split(" ") if w]
 
 
-def sparse_vectors(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, bucket, n: the non-zero dimensions of each text, as runs of its sorted buckets; nothing is shuffled."""
-    rows = docs.select(key, F.array_sort(F.transform(words(F.col(text)), bucket)).alias("_b")).where(F.size("_b") > 0)
-    starts = F.filter(F.sequence(F.lit(0), F.size("_b") - 1), lambda i: (i == 0) | (F.get("_b", i) != F.get("_b", i - 1)))
-    runs = rows.select(key, "_b", starts.alias("_s"))
-    each = F.transform("_s", lambda x, i: F.struct(F.get("_b", x).alias("bucket"), (F.coalesce(F.get("_s", i + 1), F.size("_b")) - x).cast("long").alias("n")))
-    return runs.select(key, F.inline(each))
+def dense_vector(text: str | None) -> np.ndarray:
+    """Counts of hashed words."""
+    return np.bincount(buckets(text), minlength=DIMENSIONS).astype(float)
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(word: str) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % DIMENSIONS
+def counted(texts: list[str | None], n: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts that are not zero: numbers of texts, buckets, counts."""
+    own = [np.array(buckets(t, n), np.int64) for t in texts]
+    place = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    both, count = np.unique(place * n + np.concatenate([*own, np.zeros(0, np.int64)]), return_counts=True)
+    return both // n, both % n, count
 
 
-def dense_vector(text: str | None) -> np.ndarray:
-    """The same counts, as an array."""
-    found = [_bucket(w) for w in (text or "").lower().replace("\t", " ").replace("\n", " ").split(" ") if w]
-    return np.bincount(found, minlength=DIMENSIONS).astype(float)
+def sparse_vectors(docs: DataFrame, key: str, text: str = "text", n: int = DIMENSIONS, batch: int = 256) -> DataFrame:
+    """key, bucket, n: the counts of each text that are not zero, in one pass over its words; nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for some in (rows.iloc[at : at + batch] for at in range(0, len(rows), batch)):
+                place, own, count = counted(some.iloc[:, 1].tolist(), n)
+                yield pd.DataFrame({key: some.iloc[:, 0].to_numpy()[place], "bucket": own, "n": count})
+
+    schema = T.StructType([docs.schema[key], T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType())])
+    return docs.select(key, text).mapInPandas(run, schema)
 
 
 class Embedder(Protocol):

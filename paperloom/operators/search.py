@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
-from functools import lru_cache, partial, reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.functions.embedding import Embedder, cosine
-from paperloom.sources.shared import Ranges, new_folder, write_whole
+from paperloom.functions.embedding import Embedder, cosine, embedded
+from paperloom.operators.tiles import arrays, packed, to_files, values
+from paperloom.sources.shared import kept, new_folder, write_whole
 
 TOP_K = 5
-#: Queries of a block, and points that are compared with a block at once.
-QUERY_BLOCK, POINT_BLOCK = 2048, 16_384
+#: Queries of a file, those compared at once, and bytes of vectors in a file of points (in double).
+QUERY_BLOCK, SLICE, POINT_BYTES = 512, 64, 16 << 20
+#: Files of a tile, at least; tiles that a file of queries has, and tasks, at most.
+TILE_FILES, MOST_TILES, MOST_TASKS = 4, 64, 20_000
+#: Hits that are broadcast to fetch what they carry, at most.
+FETCHED = 100_000
 
 
 def payload_filter(points: DataFrame, filters: dict | None, mode: str = "strict") -> Column:
@@ -52,114 +55,128 @@ def nearest(points: DataFrame, query: list[float], k: int = TOP_K, vector: str =
     return points.where(payload_filter(points, filters, mode)).withColumn("score", score).where("score IS NOT NULL").orderBy(F.desc("score"), key).limit(k)
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; those without a length are not a number."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def _nearer(best: list[list[tuple]], vectors: np.ndarray, own: np.ndarray, keys: np.ndarray, k: int) -> None:
     """Puts those of own that are among the k nearest of each of vectors into best. Cosines count to nine places, as in the end: equal points tie wherever they stand."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        scores = np.round(vectors @ own.T / (np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(own, axis=1)), 9)
-    for q, row in enumerate(scores):
-        usable = np.flatnonzero(~np.isnan(row))
-        if len(usable) > k:
-            usable = usable[row[usable] >= np.partition(row[usable], len(usable) - k)[len(usable) - k]]
-        best[q] = sorted(best[q] + [(-row[i], keys[i]) for i in usable])[:k]
-
-
-def _store(rows: Iterator[pd.DataFrame], folder: str, size: int, embedder: Embedder | None) -> Iterator[pd.DataFrame]:
-    """Queries as files of so many at most: ids, and vectors."""
-    context, made, waiting = TaskContext.get(), [], pd.DataFrame()
-
-    def put(block: pd.DataFrame) -> None:
-        ids, of = block.iloc[:, 0].tolist(), block.iloc[:, 1].tolist()
-        vectors = np.asarray(embedder(of) if embedder else of, float)
-        out = io.BytesIO()
-        np.savez(out, vectors=vectors, ids=np.frombuffer(_packed(ids), np.uint8))
-        made.append(f"{folder}/{context.partitionId():06d}-{len(made):06d}.npz")
-        write_whole(made[-1], [out.getvalue()], context.taskAttemptId())
-
-    for batch in rows:
-        waiting = pd.concat([waiting, batch[[x is not None for x in batch.iloc[:, 1]] if not embedder else slice(None)]])
-        while len(waiting) >= size:
-            put(waiting.iloc[:size])
-            waiting = waiting.iloc[size:]
-    if len(waiting):
-        put(waiting)
+    for low in range(0, len(vectors), SLICE):
+        some = vectors[low : low + SLICE]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scores = np.round(some @ own.T / (np.linalg.norm(some, axis=1)[:, None] * np.linalg.norm(own, axis=1)), 9)
+        for q, row in enumerate(scores, low):
+            usable = np.flatnonzero(~np.isnan(row))
+            if len(usable) > k:
+                usable = usable[row[usable] >= np.partition(row[usable], len(usable) - k)[len(usable) - k]]
+            best[q] = sorted(best[q] + [(-row[i], keys[i]) for i in usable])[:k]
+
+
+def _point_files(batches: Iterator[pd.DataFrame], folder: str, embedder: Embedder | None) -> Iterator[pd.DataFrame]:
+    """Points (key, vector or text) as files of POINT_BYTES of vectors; where they are."""
+    context, made, held = TaskContext.get(), [], []
+    size = 0
+
+    def put() -> None:
+        path = f"{folder}/points-{context.partitionId():06d}-{len(made):06d}"
+        vectors = np.concatenate([v for _, v in held])
+        narrow = vectors.astype(np.float32)
+        vectors = narrow if np.array_equal(narrow, vectors, equal_nan=True) else vectors
+        write_whole(path, [packed(keys=values(np.concatenate([x for x, _ in held])), vectors=vectors)], context.taskAttemptId())
+        made.append(path)
+
+    for batch in batches:
+        for rows in (batch.iloc[at : at + 1024] for at in range(0, len(batch), 1024)):
+            found = embedder(rows.iloc[:, 1].tolist()) if embedder else rows.iloc[:, 1].tolist()
+            keep = [i for i, x in enumerate(found) if x is not None and len(x)]
+            if not keep:
+                continue
+            if len({len(found[i]) for i in keep}) > 1 or held and held[0][1].shape[1] != len(found[keep[0]]):
+                raise ValueError("vectors of one table have one length")
+            held.append((rows.iloc[:, 0].to_numpy()[keep], np.array([found[i] for i in keep], float)))
+            size += held[-1][1].nbytes
+            if size >= POINT_BYTES:
+                put()
+                held, size = [], 0
+    if held:
+        put()
     yield pd.DataFrame({"path": made}, dtype=object)
 
 
-def _packed(ids: list) -> bytes:
-    out = pa.BufferOutputStream()
-    table = pa.table({"id": pa.array(ids)})
-    with pa.ipc.new_stream(out, table.schema) as w:
-        w.write_table(table)
-    return out.getvalue().to_pybytes()
-
-
-@lru_cache(maxsize=8)
-def _loaded(path: str) -> tuple[list, np.ndarray]:
-    source = Ranges(path)
-    with np.load(io.BytesIO(source.read(0, source.size)), allow_pickle=False) as x:
-        found = pa.ipc.open_stream(x["ids"].tobytes()).read_all().column("id").to_pylist(), x["vectors"]
-    source.close()
-    return found
-
-
-def _best(batches: Iterator[pd.DataFrame], paths: list[str], k: int, key: str, of: str, embedder: Embedder | None) -> Iterator[pd.DataFrame]:
-    """Points are gathered to POINT_BLOCK before blocks of queries are read, so a block is read once for many points."""
-    best: dict[str, list[list[tuple]]] = {}
-    waiting, n = [], 0
-
-    def compare() -> None:
-        keys = np.concatenate([w[0] for w in waiting])
-        own = np.concatenate([w[1] for w in waiting])
-        for path in paths:
-            ids, vectors = _loaded(path)
-            if own.shape[1] == vectors.shape[1]:
-                _nearer(best.setdefault(path, [[] for _ in ids]), vectors, own, keys, k)
-
-    for rows in batches:
-        for at in range(0, len(rows), 1024):
-            part = rows.iloc[at : at + 1024]
-            values = embedder(part[of].tolist()) if embedder else part[of].tolist()
-            keep = [i for i, x in enumerate(values) if x is not None and len(x)]
-            if keep:
-                waiting.append((part[key].to_numpy()[keep], np.array([values[i] for i in keep], float)))
-                n += len(keep)
-            if n >= POINT_BLOCK:
-                compare()
-                waiting, n = [], 0
-    if waiting:
-        compare()
-    for path, found in best.items():
-        out = [(name, x, -s) for name, own in zip(_loaded(path)[0], found, strict=True) for s, x in own]
-        yield pd.DataFrame(out, columns=["query_id", key, "score"])
+def _tiles(batches: Iterator[pd.DataFrame], folder: str, k: int, key: str) -> Iterator[pd.DataFrame]:
+    """Rows (file, tile, path), sorted: the k nearest points of each query of a file among those of a tile."""
+    best: list[list[tuple]] = []
+    a: dict[str, np.ndarray] = {}
+    at = None
+
+    def found() -> pd.DataFrame:
+        out = [(q, x, -s) for q, own in zip(a["q"], best, strict=True) for s, x in own]
+        return pd.DataFrame(out, columns=["q", key, "score"])
+
+    for batch in batches:
+        for number, tile, path in zip(batch["file"], batch["tile"], batch["path"], strict=True):
+            if at != (number, tile):
+                if at:
+                    yield found()
+                a, at = arrays(f"{folder}/queries-{number:06d}"), (number, tile)
+                best = [[] for _ in a["q"]]
+            points = arrays(path)
+            if points["vectors"].shape[1] != a["v"].shape[1]:
+                raise ValueError("queries and points have vectors of one length")
+            keys = points["keys"]
+            _nearer(best, a["v"], points["vectors"].astype(float), [x[1:] for x in keys.tolist()] if keys.dtype.kind == "U" else keys.tolist(), k)
+    if at:
+        yield found()
 
 
 def nearest_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "embedding", key: str = "point_id", embedder: Embedder | None = None) -> DataFrame:
     """query_id, key, score, rank: the k nearest points of each query (query_id, vector). With an embedder the columns hold texts.
 
-    Queries, however many, are files of QUERY_BLOCK in the shared folder; one pass over the points compares them with each block.
-    A task keeps k points for each query, so what is ranked in the end is k rows a task and query. Points or queries without length
-    or vector have no neighbours; equal cosines (to nine places) go by key; vectors of one table have one length."""
+    Vectors are written to files in the shared folder, queries to others. A task has a tile, a file of queries and some tens of files
+    of points, and hands on k rows a query, so that neither its memory nor what is ranked in the end grows with the number of tasks
+    times that of queries. Points or queries without length or vector have no neighbours; equal cosines (to nine places) go by key;
+    vectors of different lengths are an error."""
     spark = points.sparkSession
-    folder = new_folder(spark, "queries")
-    schema = T.StructType([queries.schema["query_id"], points.schema[key], T.StructField("score", T.DoubleType())])
-    paths = sorted(r.path for r in queries.select("query_id", vector).mapInPandas(partial(_store, folder=folder, size=QUERY_BLOCK, embedder=embedder), "path string").collect())  # a path a block
-    if not paths:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    out = points.select(key, vector).mapInPandas(partial(_best, paths=paths, k=k, key=key, of=vector, embedder=embedder), schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    folder = new_folder(spark, "search")
+    stored = kept(points.select(key, vector).mapInPandas(partial(_point_files, folder=folder, embedder=embedder), "path string"), "point-files")
+    asked = kept(queries.select("query_id", F.col(vector).alias("v")).withColumn("q", F.monotonically_increasing_id()), "asked")
+    n_queries, n_files = asked.count(), stored.count()
+    as_vectors = embedded(asked, embedder, "v", "v") if embedder else asked.where("v IS NOT NULL AND size(v) > 0").withColumn("v", F.col("v").cast("array<double>"))
+    number = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n_queries // QUERY_BLOCK)))).cast("int")
+    files = kept(to_files(as_vectors.select(number.alias("file"), "q", F.col("v").cast("array<double>").alias("v")), folder, "queries"), "query-files")
+    n_tiles = min(MOST_TILES, max(1, -(-n_files // TILE_FILES)))
+    tiles = files.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))).join(stored.withColumn("tile", F.pmod(F.xxhash64("path"), F.lit(n_tiles)).cast("int")), "tile")
+    schema = T.StructType([T.StructField("q", T.LongType()), points.schema[key], T.StructField("score", T.DoubleType())])
+    near = tiles.select("file", "tile", "path").repartition(min(max(1, files.count() * n_tiles), MOST_TASKS), "file", "tile").sortWithinPartitions("file", "tile", "path").mapInPandas(partial(_tiles, folder=folder, k=k, key=key), schema)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), key)
+    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.join(asked.select("q", "query_id"), "q").select("query_id", key, "score", "rank")
+
+
+def with_payload(found: DataFrame, points: DataFrame, key: str = "point_id") -> DataFrame:
+    """Hits with what points carry besides. Up to FETCHED hits are broadcast, and points stay where they are; more are joined by key."""
+    hits = kept(found, "hits")
+    return points.join(F.broadcast(hits) if hits.count() <= FETCHED else hits, key)
+
+
+def fitted_centres(points: DataFrame, n_cells: int, vector: str, sample: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of at most `sample` points, and centres of spherical k-means over them."""
+    rows = [r[0] for r in points.select(vector).orderBy(F.xxhash64(vector)).limit(sample).collect()]
+    drawn = unit(np.array(rows, float)) if rows else np.zeros((0, 0))
+    drawn = drawn[np.isfinite(drawn).all(axis=1)]
+    centres = drawn[np.random.default_rng(seed).choice(len(drawn), min(n_cells, len(drawn)), replace=False)] if len(drawn) else drawn
+    for _ in range(10):
+        own = (drawn @ centres.T).argmax(axis=1) if len(drawn) else []
+        centres = np.array([drawn[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))]).reshape(centres.shape)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return drawn, centres
 
 
 def cells(points: DataFrame, n_cells: int, vector: str = "embedding", sample: int = 10_000, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """points with `cell`, and the centres: spherical k-means on a sample of at most `sample` points; every point is assigned."""
-    drawn = np.array([r[0] for r in points.select(vector).orderBy(F.xxhash64(vector)).limit(sample).collect()], float)
-    drawn /= np.maximum(np.linalg.norm(drawn, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(seed)
-    centres = drawn[rng.choice(len(drawn), min(n_cells, len(drawn)), replace=False)]
-    for _ in range(10):
-        own = (drawn @ centres.T).argmax(axis=1)
-        centres = np.array([drawn[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    """points with `cell`, and the centres, fitted on at most `sample` points; every point is assigned."""
+    centres = fitted_centres(points, n_cells, vector, sample, seed)[1]
 
     def assign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:

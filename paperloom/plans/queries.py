@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import chunking, embedding, text
-from paperloom.operators import agents, catalog, generation, router, search
+from paperloom.operators import agents, catalog, generation, index, latent, router, search
 from paperloom.plans import views as V
 from paperloom.sources import sinks
 from paperloom.sources.shared import new_folder
@@ -267,6 +267,50 @@ def t3(spark, d):
     return search.nearest_in_cells(celled, centres, p.where("point_id = 7").select("embedding").first()[0], probes=12).select("point_id", "score")
 
 
+T3_SQL = "SELECT query_id, point_id, round(score, 6) AS score, rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS point_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0 AND PASSES) WHERE rank <= 5"
+
+
+def indexed(spark, d, category, probes=None):
+    """Every vector whose id is divisible by 100 asks the index of all; category: what it asks them to be of."""
+    p = V.points(spark, d)
+    index.build_index(p, path := new_folder(spark, "index"), filters=("category",))
+    asked = p.where("point_id % 100 = 0").select(F.col("point_id").alias("query_id"), "embedding", category.alias("category"))
+    found = index.nearest_indexed(spark, path, asked, probes=probes)
+    return found.select("query_id", "point_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("t3_index_topk", T3_SQL.replace("PASSES", "true"))
+def t3i(spark, d):
+    return indexed(spark, d, F.lit(None).cast("string"))
+
+
+@query("t3_index_filtered", T3_SQL.replace("PASSES", "(b.vec_id % 300 = 0 OR a.label = b.label)"))
+def t3f(spark, d):
+    """Two thirds of the queries ask for their own category, the others for none."""
+    return indexed(spark, d, F.when(F.col("point_id") % 300 != 0, F.col("category")))
+
+
+@query("t3_index_probed")
+def t3p(spark, d):
+    return indexed(spark, d, F.lit(None).cast("string"), probes=40)
+
+
+@query("g1_tfidf_counts", rf"SELECT doc_id, b::BIGINT AS bucket, count(*) AS n FROM (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 16384 AS b FROM (SELECT doc_id, {V.WORDS} AS w FROM documents) WHERE w <> '') GROUP BY ALL")
+def g1c(spark, d):
+    """What the latent embedding is fitted on."""
+    return embedding.sparse_vectors(V.table(spark, d, "documents"), "doc_id", n=latent.FEATURES)
+
+
+@query("g1_latent_topk")
+def g1l(spark, d):
+    """Benchmark texts against documents, by an embedding that is fitted on these."""
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    latent.fit(docs, path := new_folder(spark, "projection"))
+    asked = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = search.nearest_batch(docs, asked, vector="text", key="doc_id", embedder=latent.LatentWords(path))
+    return found.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
 @query("g1_hash_embed", rf"SELECT doc_id, b::BIGINT AS bucket, count(*) AS n FROM (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::UBIGINT % 1024 AS b FROM (SELECT doc_id, {V.WORDS} AS w FROM documents) WHERE w <> '') GROUP BY ALL")
 def g1(spark, d):
     return embedding.sparse_vectors(V.table(spark, d, "documents"), "doc_id")
@@ -356,7 +400,7 @@ def k1_ingest_search(spark, d):
     sinks.upsert_points(made, path)
     stored = sinks.read_points(spark, path)
     asked = embedding.embedded(V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    found = search.nearest_batch(stored, asked.select("query_id", "embedding")).join(stored.drop("embedding"), "point_id")
+    found = search.with_payload(search.nearest_batch(stored, asked.select("query_id", "embedding")), stored.drop("embedding"))
     return found.where("page <> 'old'").select("query_id", F.col("rank").cast("long").alias("rank"), "source", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 6).alias("score"), md5("text", "text_md5"))
 
 
