@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows are cut from the texts; a document of which nothing is left goes. n_chars follows the text.
-    Of equal windows that in the document of least doc_id stays, of one doc_id that in the text of least hash; null texts stay."""
+    Of equal windows that in the document of least doc_id stays, of one doc_id, or none, that in the row that is read first; null texts stay."""
     found = line_dedup.deduplicated(docs).where("size(removed) = 0 OR kept_text <> ''")
     row = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("kept_text")}
     if "n_chars" in row:
