@@ -130,14 +130,21 @@ def replayed(calls: DataFrame, failures: int, recovery: float) -> DataFrame:
     """calls: provider, seq, ts (not null), ok, reset. For each: attempted, state, failure_count and success_count after it."""
     if failures < 1:
         raise ValueError("failures: one at least")
+
+    def tabled(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _tables(key, rows, failures, recovery)
+
+    def again(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _replayed(key, rows, failures, recovery)
+
     order = ("provider", "ts", "seq")
     placed = calls.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     placed = kept(placed.withColumn("segment", F.shiftright("at", SEGMENT_BITS)), "segments")
     kinds = f"provider {calls.schema['provider'].dataType.simpleString()}, segment long"
-    tables = placed.groupBy("provider", "segment").applyInPandas(partial(_tables, failures=failures, recovery=recovery), f"{kinds}, {TABLE}, recovery double")
+    tables = placed.groupBy("provider", "segment").applyInPandas(tabled, f"{kinds}, {TABLE}, recovery double")
     before = kept(folded(tables, "provider", ["segment"], f"{kinds}, f int, opened_at double", State, State.step), "states")
     kinds += f", seq {calls.schema['seq'].dataType.simpleString()}, ts double, at long, attempted boolean, state string, failed int, succeeded int, carried boolean"
-    done = kept(joined(placed, before).groupBy("provider", "segment").applyInPandas(partial(_replayed, failures=failures, recovery=recovery), kinds), "replayed")
+    done = kept(joined(placed, before).groupBy("provider", "segment").applyInPandas(again, kinds), "replayed")
 
     own = done.groupBy("provider", "segment").agg(F.max("succeeded").alias("won"), F.max_by(F.struct("failed", "carried"), "at").alias("last"))
     in_order = Window.partitionBy("provider").orderBy("segment")
