@@ -36,8 +36,12 @@ SCALE, ANCHOR_EVERY = 256, 100
 POSITIVES, NEGATIVES = 5, 10
 #: A negative's score lies between these hundredths of the positive's.
 WINDOW = (30, 90)
-#: Rows of a block, blocks of a file, anchors of a file; anchors that are compared at once.
-BLOCK_ROWS, FILE_ROWS, ANCHORS, SLICE = 1024, 1 << 14, 512, 64
+#: Rows of a block, rows of a file, anchors of a file; anchors that are compared at once.
+BLOCK_ROWS, FILE_ROWS, ANCHORS, SLICE = 1024, 1 << 12, 256, 64
+#: Files of a tile, at least; tiles that a file of anchors has at most, so that what tasks hand on of an anchor is bounded.
+TILE_FILES, MOST_TILES = 8, 64
+#: Tasks of a search, at most.
+MOST_TASKS = 20_000
 #: The curve's dimensions, and bits for each.
 CURVE, BITS = 16, 4
 #: Whole numbers up to here are exact as doubles.
@@ -233,11 +237,6 @@ class Blocks:
         return self.held[g]
 
 
-@lru_cache(maxsize=2)
-def _blocks(path: str) -> Blocks:
-    return Blocks(path)
-
-
 def _compared(a: dict[str, np.ndarray], b: Blocks, need: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each anchor that needs a block (anchors by blocks): its number, and scores, ids, labels and rows of what was read for it and its neighbours."""
     wanted = np.flatnonzero(need.any(axis=1))
@@ -250,35 +249,72 @@ def _compared(a: dict[str, np.ndarray], b: Blocks, need: np.ndarray) -> Iterator
             yield i, scores, ids, labels, rows
 
 
-def _positives(batches: Iterator[pd.DataFrame], folder: str, k: int) -> Iterator[pd.DataFrame]:
+def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[int]]]:
+    """Sorted rows (file, tile, part): each file of anchors with the files of blocks of a tile."""
+    at, parts = None, []
     for batch in batches:
-        for number, part in zip(batch["file"], batch["part"], strict=True):
-            a, b = _arrays(f"{folder}/anchors-{number:06d}"), _blocks(f"{folder}/blocks-{part:06d}")
+        for number, tile, part in zip(batch["file"], batch["tile"], batch["part"], strict=True):
+            if parts and at != (number, tile):
+                yield at[0], parts
+                parts = []
+            at = number, tile
+            parts.append(part)
+    if parts:
+        yield at[0], parts
+
+
+class Best:
+    """The k best of each of n, merged as they come."""
+
+    def __init__(self, n: int, k: int):
+        self.k, none = k, np.zeros(0, np.int64)
+        self.held = [(none, none)] * n
+
+    def add(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        at = best(scores, ids, self.k)
+        scores, ids = np.concatenate([self.held[i][0], scores[at]]), np.concatenate([self.held[i][1], ids[at]])
+        at = best(scores, ids, self.k)
+        self.held[i] = scores[at], ids[at]
+
+    def frame(self, columns: dict[str, np.ndarray]) -> pd.DataFrame:
+        n = [len(s) for s, _ in self.held]
+        scores, ids = (np.concatenate([x[c] for x in self.held]) for c in (0, 1))
+        return pd.DataFrame({c: np.repeat(x, n) for c, x in columns.items()} | {"score": scores, "id": ids})
+
+
+def _positives(batches: Iterator[pd.DataFrame], folder: str, k: int) -> Iterator[pd.DataFrame]:
+    for number, parts in _tiles(batches):
+        a = _arrays(f"{folder}/anchors-{number:06d}")
+        found = Best(len(a["row"]), k)
+        for part in parts:
+            b = Blocks(f"{folder}/blocks-{part:06d}")
             need = (a["label"][:, None] == b.label) & (intervals(a["v"], b.low, b.high)[1] >= a["floor"][:, None])
             for i, scores, ids, labels, rows in _compared(a, b, need):
                 own = np.flatnonzero((labels == a["label"][i]) & (rows != a["row"][i]))
-                own = own[best(scores[own], ids[own], k)]
-                yield pd.DataFrame({"file": number, "row": a["row"][i], "anchor_id": a["vec_id"][i], "score": scores[own], "id": ids[own]})
+                found.add(i, scores[own], ids[own])
+        yield found.frame({"file": np.full(len(a["row"]), number), "row": a["row"], "anchor_id": a["vec_id"]})
 
 
 def _negatives(batches: Iterator[pd.DataFrame], folder: str, k: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for number, part in zip(batch["file"], batch["part"], strict=True):
-            a, w, b = _arrays(f"{folder}/anchors-{number:06d}"), _arrays(f"{folder}/windows-{number:06d}"), _blocks(f"{folder}/blocks-{part:06d}")
-            order = np.argsort(a["row"])
-            of = order[np.searchsorted(a["row"], w["row"], sorter=order)]  # the anchor of each window
-            first = np.searchsorted(w["row"], a["row"]), np.searchsorted(w["row"], a["row"], "right")
+    for number, parts in _tiles(batches):
+        a, w = _arrays(f"{folder}/anchors-{number:06d}"), _arrays(f"{folder}/windows-{number:06d}")
+        order = np.argsort(a["row"])
+        of = order[np.searchsorted(a["row"], w["row"], sorter=order)]  # the anchor of each window
+        first, end = (np.searchsorted(w["row"], a["row"], side) for side in ("left", "right"))
+        found = Best(len(of), k)
+        for part in parts:
+            b = Blocks(f"{folder}/blocks-{part:06d}")
             low, high = intervals(a["v"], b.low, b.high)
             meets = (low[of] <= w["most"][:, None]) & (high[of] >= w["least"][:, None]) & (a["label"][of][:, None] != b.label)
             need = np.zeros(low.shape, bool)
             np.logical_or.at(need, of, meets)
             for i, scores, ids, labels, _ in _compared(a, b, need):
                 other = labels != a["label"][i]
-                for x in range(first[0][i], first[1][i]):
+                for x in range(first[i], end[i]):
                     own = np.flatnonzero(other & (scores >= w["least"][x]) & (scores <= w["most"][x]))
                     if len(own):
-                        own = own[best(scores[own], ids[own], k)]
-                        yield pd.DataFrame({c: w[c][x] for c in ("row", "anchor_id", "positive_id", "nth", "positive_score")} | {"score": scores[own], "id": ids[own]})
+                        found.add(x, scores[own], ids[own])
+        yield found.frame({c: w[c] for c in ("row", "anchor_id", "positive_id", "nth", "positive_score")})
 
 
 def limits(score: Column) -> list[Column]:
@@ -304,7 +340,7 @@ def mined(rows: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVE
     ordered = keyed.repartitionByRange(max(1, -(-n_rows // FILE_ROWS)), "label", "key", "vec_id", "row").sortWithinPartitions("label", "key", "vec_id", "row")
     made = kept(ordered.mapInPandas(partial(_write, folder=folder, width=len(dims), positives=positives, block_rows=block_rows), "part int, row long, vec_id long, label long, v array<double>, floor long"), "anchors")
     parts, anchors = made.where("row IS NULL").select("part"), made.where("row IS NOT NULL")
-    sizes = anchors.agg(F.count("*").alias("n")).first()
+    sizes = made.agg(F.count("row").alias("n"), (F.max("part") + 1).alias("parts")).first()
     result = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not sizes.n:
         return spark.createDataFrame([], result)
@@ -313,8 +349,10 @@ def mined(rows: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVE
 
     def tiles(of: DataFrame) -> DataFrame:
         """Each file of anchors with each file of blocks: the numbers of the files, no rows."""
-        last = parts.agg(F.max("part")).first()[0]
-        return of.select("file", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("part")).join(parts, "part").repartition("file", "part")
+        per_tile = max(TILE_FILES, -(-sizes.parts // MOST_TILES))
+        n = of.count() * -(-sizes.parts // per_tile)
+        each = of.select("file", F.explode(F.sequence(F.lit(0), F.lit(sizes.parts - 1))).alias("part")).join(parts, "part").withColumn("tile", F.floor(F.col("part") / per_tile).cast("int"))
+        return each.select("file", "tile", "part").repartition(min(max(n, 1), MOST_TASKS), "file", "tile").sortWithinPartitions("file", "tile", "part")
 
     near = tiles(files).mapInPandas(partial(_positives, folder=folder, k=positives), "file int, row long, anchor_id long, score long, id long")
     nth = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "id"))

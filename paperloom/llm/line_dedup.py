@@ -5,9 +5,9 @@ document with the least doc_id, and there the first, stays; all lines that anoth
 windows merged. A line that is removed is in an earlier place, so nothing is lost from the whole.
 
 Lines end at line feeds; windows without a character other than white space do not count; texts of under three lines have none.
-Null texts stay null. Rows without a doc_id come last. Of rows with one doc_id, or without one, the text with the least hash comes
-first; rows that are equal in both are not compared with each other and get equal results. A very long text is worked on as one
-block, of several times its size. An empty table gives none. All columns are passed on inside `row`, whatever their names.
+Null texts stay null. Rows without a doc_id come last. Each row is a document of its own: of rows with one doc_id, or without one, that
+which is read first comes first, so of equal rows one keeps its lines. A very long text is worked on as one block, of several times its
+size. An empty table gives none. All columns are passed on inside `row`, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,8 +51,8 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         at = at[words[ends[at + size - 1]] > words[starts[at]]]
         h, g = B.digests(buf.tobytes(), starts[at], ends[at + size - 1])  # three lines with their feeds
         again = B.seen_before(owner[at], h, g)
-        d, t = (batch.column(i).take(pa.array(owner[at])) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), d, t, pa.array((at - first[owner[at]]).astype(np.int32)), pa.array(again)], names=["h", "g", "d", "t", "at", "again"])
+        d, u = (batch.column(i).take(pa.array(owner[at])) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), d, u, pa.array((at - first[owner[at]]).astype(np.int32)), pa.array(again)], names=["h", "g", "d", "u", "at", "again"])
 
 
 def _without(batches: Iterator[pa.RecordBatch], size: int, text: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -72,8 +72,8 @@ def deduplicated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     rows = ranked(docs)
-    units = kept(rows.select("d", "t", F.col("row.text").cast("string").alias("text")).mapInArrow(partial(_windows, size=size), "h long, g long, d long, t long, at int, again boolean"), "windows")
+    units = kept(rows.select("d", "u", F.col("row.text").cast("string").alias("text")).mapInArrow(partial(_windows, size=size), "h long, g long, d long, u long, at int, again boolean"), "windows")
     places = gathered(later(units, ["h", "g"]))
-    joined = rows.join(places.hint("shuffle_hash"), ["d", "t"], "left").select("row", "later")
+    joined = rows.join(places.hint("shuffle_hash"), "u", "left").select("row", "later")
     schema = T.StructType([rows.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
     return joined.mapInArrow(partial(_without, size=size, text=docs.columns.index("text"), schema=to_arrow_schema(schema)), schema)

@@ -6,10 +6,9 @@ Digests of 128 bits are grouped globally; the occurrence of least rank stays, an
 spans in the original text kept. By default whatever repeats goes, however short; least_words bounds it: of adjoining repeated
 units those go that have so many words together.
 
-Null texts stay null, texts without words have no unit. Rows without a rank come last; of rows with one rank, or without one, the
-text with the least hash comes first; rows that are equal in both are not compared with each other and get equal results. A very
-long text is worked on as one block, of several times its size. An empty table gives none. All columns are passed on inside `row`,
-whatever their names.
+Null texts stay null, texts without words have no unit. Rows without a rank come last. Each row is a document of its own: of rows with
+one rank, or without one, that which is read first comes first, so of equal rows one keeps its units. A very long text is worked on as
+one block, of several times its size. An empty table gives none. All columns are passed on inside `row`, whatever their names.
 """
 
 from __future__ import annotations
@@ -68,8 +67,8 @@ def _units(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[pa.RecordBa
         h, g = B.digests(*normalised(buf, starts, ends, begin))
         owner = np.searchsorted(first, begin[:-1], "right") - 1
         again = B.seen_before(owner, h, g)
-        d, t = (batch.column(i).take(pa.array(owner)) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), d, t, pa.array((begin[:-1] - first[owner]).astype(np.int32)), pa.array(again)], names=["h", "g", "d", "t", "at", "again"])
+        d, u = (batch.column(i).take(pa.array(owner)) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), d, u, pa.array((begin[:-1] - first[owner]).astype(np.int32)), pa.array(again)], names=["h", "g", "d", "u", "at", "again"])
 
 
 def _runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -109,8 +108,8 @@ def deduplicated(docs: DataFrame, unit: str = "line", rank: str = "doc_id", leas
     if unit not in UNITS:
         raise ValueError(unit)
     rows = ranked(docs, rank)
-    units = kept(rows.select("d", "t", F.col("row.text").cast("string").alias("text")).mapInArrow(partial(_units, unit=unit), "h long, g long, d long, t long, at int, again boolean"), "units")
-    joined = rows.join(gathered(later(units, ["h", "g"])).hint("shuffle_hash"), ["d", "t"], "left").select("row", "later")
+    units = kept(rows.select("d", "u", F.col("row.text").cast("string").alias("text")).mapInArrow(partial(_units, unit=unit), "h long, g long, d long, u long, at int, again boolean"), "units")
+    joined = rows.join(gathered(later(units, ["h", "g"])).hint("shuffle_hash"), "u", "left").select("row", "later")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([rows.schema["row"], T.StructField("kept_text", T.StringType()), *(T.StructField(k, T.LongType()) for k in ("n_units", "n_words", "n_removed_words")), T.StructField("removed", T.ArrayType(span))])
     return joined.mapInArrow(partial(_cut, unit=unit, least=least_words, text=docs.columns.index("text"), schema=to_arrow_schema(schema)), schema)
