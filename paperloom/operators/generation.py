@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions.text import CUT_MARK, NO_DOCUMENTS, NO_EVIDENCE, cost, cut, or_label, or_message, stripped, without_fence
+from paperloom.operators.completion import timed
 
 #: The texts of prompts.
 GUARDRAIL = (
@@ -80,24 +81,23 @@ def chat_prompts(queries: DataFrame, found: DataFrame) -> DataFrame:
 
 
 class Client:
-    """A Generator over ask(system, user): a pool of calls for each batch, a time limit and attempts for each call. A call that has
-    failed so often gives `failed`."""
+    """A Generator over ask(system, user): at most pool calls in flight, and for each a time limit, from its own start, and attempts. A call
+    that has failed so often gives `failed`; a call that hangs holds up no other."""
 
     def __init__(self, ask: Callable[[str, str], str], pool: int = 8, seconds: float = 30.0, attempts: int = 2, failed: str = ""):
         self.ask, self.pool, self.seconds, self.attempts, self.failed = ask, pool, seconds, attempts, failed
 
-    def __call__(self, prompts: list[tuple[str, str]]) -> list[str]:
-        out: list[str | None] = [None] * len(prompts)
+    def one(self, prompt: tuple[str, str]) -> str:
         for _ in range(self.attempts):
-            calls = ThreadPoolExecutor(self.pool)
-            waiting = {i: calls.submit(self.ask, *prompts[i]) for i, x in enumerate(out) if x is None}
-            for i, call in waiting.items():
-                try:
-                    out[i] = call.result(self.seconds)
-                except Exception:  # noqa: BLE001  whatever a provider raises, and the time limit
-                    continue
-            calls.shutdown(wait=False, cancel_futures=True)
-        return [self.failed if x is None else x for x in out]
+            try:
+                return timed(self.ask, prompt, self.seconds)
+            except Exception:  # noqa: BLE001  whatever a provider raises, and the time limit
+                continue
+        return self.failed
+
+    def __call__(self, prompts: list[tuple[str, str]]) -> list[str]:
+        with ThreadPoolExecutor(self.pool) as calls:
+            return list(calls.map(self.one, prompts))
 
 
 def answered(prompts: DataFrame, generator: Generator) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions import chunking, embedding, text
+from paperloom.functions import chunking, embedding, tables, text
 from paperloom.operators import agents, catalog, generation, index, latent, router, search
 from paperloom.plans import views as V
 from paperloom.sources import sinks
@@ -99,6 +99,14 @@ def f1(spark, d):
     return chunk_rows(spark, d).select("id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), "page", F.length("text").cast("long").alias("n"), md5("text", "text_md5"))
 
 
+@query("f1_chunks_udtf", f"WITH {V.CHUNKS} SELECT id, chunk_index, total_chunks, (chunk_index + 1)::VARCHAR AS page, length(text)::BIGINT AS n, md5(text) AS text_md5 FROM chunks")
+def f1_udtf(spark, d):
+    """The same rows by the table function, in SQL."""
+    tables.register(spark)
+    rows = spark.sql("SELECT * FROM chunk_text(TABLE({docs}) PARTITION BY (id), 512, 64)", docs=V.docs(spark, d).select("id", "text"))
+    return rows.select("id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), "page", F.length("text").cast("long").alias("n"), md5("text", "text_md5"))
+
+
 @query("a9_chunk_totals", f"WITH {V.CHUNKS} SELECT id, count(*) AS chunks, max(total_chunks) AS total_chunks FROM chunks GROUP BY id")
 def a9(spark, d):
     return chunk_rows(spark, d).groupBy("id").agg(F.count("*").alias("chunks"), F.max("total_chunks").cast("long").alias("total_chunks"))

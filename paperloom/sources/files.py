@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import re
 import zipfile
 import zlib
@@ -15,30 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.functions.text import WHITE_SPACE, accepted, basename, is_blank, suffix
+from paperloom.functions.text import EXTENSIONS, WHITE_SPACE, accepted, basename, is_blank, suffix
+from paperloom.sources.folders import FolderSource
 
 WORD_TEXT = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, length, content of all files of an accepted kind under a folder, of any size that a row can hold. Those whose names begin with _ or . are not listed by Spark; for them see listed_files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", basename(F.col("path")).alias("name"), "length", "content").where(accepted(F.col("name")))
+    """path, directory, name, length, content of all files of an accepted kind under a folder, of any size that a row can hold; those whose names begin with _ or . too. Tasks list them and read them."""
+    spark.dataSource.register(FolderSource)
+    files = spark.read.format(FolderSource.name()).option("suffixes", ",".join(EXTENSIONS)).load(path)
+    return files.select("path", "directory", "name", "length", "content").where(accepted(F.col("name")))
 
 
 def listed_files(spark: SparkSession, root: str) -> DataFrame:
-    """As folder, for a local or mounted folder, with names that begin with _ or . too; in the order of folders, then names."""
-    names = [os.path.join(at, f) for at, _, files in os.walk(root) for f in sorted(files)]
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "number long, path string").where(accepted(basename(F.col("path"))))
+    """As folder, in the order of folders, then names."""
+    return folder(spark, root).orderBy("directory", "name")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                with open(row.path, "rb") as f:
-                    content = f.read()
-                yield pd.DataFrame([(row.number, row.path, os.path.basename(row.path), len(content), content)], columns=["number", "path", "name", "length", "content"])
 
-    return rows.repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism))).mapInPandas(read, "number long, path string, name string, length long, content binary")
+def visible_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, length, content by Spark's own listing, for stores that only Spark reads; it leaves out names that begin with _ or ."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", basename(F.col("path")).alias("name"), "length", "content").where(accepted(F.col("name")))
 
 
 def single_file(spark: SparkSession, path: str) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.functions.embedding import Embedder, embedded
+from paperloom.sources.shared import file_system, write_whole
+
+#: Files of each write to a collection of points: by a hash of their ids.
+BUCKETS = 16
 
 
 def point_id(*parts: Column) -> Column:
@@ -26,18 +32,48 @@ def as_points(chunks: DataFrame, collection: Column, extra: Column | None = None
     return made if embedder is None else embedded(made, embedder)
 
 
-def upsert_points(points: DataFrame, path: str, version: int | None = None) -> None:
+def points_table(spark: SparkSession, path: str, columns: T.StructType | None = None, buckets: int = BUCKETS) -> str:
+    """The name of the table of points at path: a directory a collection, files by a hash of point_id and sorted by it. A session that does
+    not know the table yet learns its columns from the files; the number of buckets is kept beside them."""
+    name = "points_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+    if spark.catalog.tableExists(name):
+        return name
+    store, at = file_system(f"{path}/_buckets")
+    if store.get_file_info(at).is_file:
+        with store.open_input_file(at) as f:
+            buckets = int(f.read())
+    else:
+        write_whole(f"{path}/_buckets", [str(buckets).encode()], 0)
+    columns = columns or spark.read.parquet(path).schema
+    ddl = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in columns)
+    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet PARTITIONED BY (collection) CLUSTERED BY (point_id) SORTED BY (point_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    spark.catalog.recoverPartitions(name)
+    return name
+
+
+def upsert_points(points: DataFrame, path: str, version: int | None = None, buckets: int = BUCKETS) -> None:
     """Adds points; one that is there already, by collection and id, is replaced for readers, all others stay. version: greater ones
-    win; by default the clock of the driver in nanoseconds."""
+    win; by default the clock of the driver in nanoseconds. Of one version each point counts once, however often it is written. Only
+    the new points are shuffled, to their buckets."""
+    spark = points.sparkSession
     stamp = F.lit(time.time_ns() if version is None else version).cast("long")
-    points.dropDuplicates(["collection", "point_id"]).withColumn("_version", stamp).write.mode("append").partitionBy("collection").parquet(path)
+    rows = points.withColumn("_version", stamp)
+    name = points_table(spark, path, rows.schema, buckets)
+    known = spark.table(name).columns
+    if extra := set(rows.columns) - set(known):
+        raise ValueError(f"the table of points has no {', '.join(sorted(extra))}")
+    held = int(spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first().data_type)
+    placed = rows.dropDuplicates(["collection", "point_id"]).select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in known])
+    placed.repartition(held, "point_id").write.insertInto(name)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """The latest of each point. Only ids and versions are gathered; points that were written once do not move if the others are few."""
-    rows = spark.read.parquet(path)
-    again = rows.groupBy(F.col("collection").alias("_c"), F.col("point_id").alias("_p")).agg(F.count("*").alias("_n"), F.max("_version").alias("_last")).where("_n > 1")
-    return rows.join(again, (F.col("collection") == F.col("_c")) & (F.col("point_id") == F.col("_p")), "left").where("_last IS NULL OR _version = _last").drop("_c", "_p", "_n", "_last", "_version")
+    """The latest of each point. Points lie in buckets by id, so nothing is shuffled."""
+    name = points_table(spark, path)
+    spark.catalog.refreshTable(name)
+    spark.catalog.recoverPartitions(name)
+    last = F.row_number().over(Window.partitionBy("collection", "point_id").orderBy(F.desc("_version")))
+    return spark.table(name).withColumn("_n", last).where("_n = 1").drop("_n", "_version")
 
 
 def compact_points(spark: SparkSession, path: str, to: str) -> None:
@@ -45,9 +81,10 @@ def compact_points(spark: SparkSession, path: str, to: str) -> None:
     upsert_points(read_points(spark, path), to, 0)
 
 
-def append_usage(events: DataFrame, path: str) -> None:
-    """Adds usage events to a table by day of writing, which is never rewritten."""
-    events.withColumn("day", F.current_date()).write.mode("append").partitionBy("day").parquet(path)
+def append_usage(events: DataFrame, path: str, batch: str | int) -> None:
+    """Adds usage events to a table, as the events of a batch. A batch that is written again replaces itself, so a job or a stream's
+    batch that is run twice leaves its events once."""
+    events.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def append_versions(rows: DataFrame, path: str, version: int, deleted: bool = False) -> None:

@@ -39,10 +39,30 @@ WANT = {"a.txt": "A�B", "b.MD": "본문", "d.docx": "one\ntwo", "e.pdf": "[Pag
 
 def test_folder(spark, incoming):
     rows = files.extracted(files.folder(spark, incoming))
-    assert {r.name: r.text for r in rows.collect()} == WANT
-    assert {r.name for r in files.with_text(rows).collect()} == set(WANT) - {"blank.txt"}
-    listed = files.extracted(files.listed_files(spark, incoming))
-    assert {r.name: r.text for r in listed.collect()} == WANT | {"_hidden.txt": "hid"}
+    assert {r.name: r.text for r in rows.collect()} == WANT | {"_hidden.txt": "hid"}
+    assert {r.name for r in files.with_text(rows).collect()} == {*WANT, "_hidden.txt"} - {"blank.txt"}
+    assert [r.name for r in files.listed_files(spark, incoming).collect()] == ["_hidden.txt", "a.txt", "blank.txt", "d.docx", "e.pdf", "f.pdf", "g.doc", "b.MD"]
+    assert {r.name: r.text for r in files.extracted(files.visible_files(spark, incoming)).collect()} == WANT
+
+
+def test_folders_are_partitions(tmp_path):
+    """The driver finds folders until it has enough; what lies below the last level is listed with it. Every file is read once."""
+    from paperloom.sources import folders
+
+    for at in ("", "a", "a/b", "a/b/c", "d", "d/.e"):
+        (tmp_path / at).mkdir(exist_ok=True)
+        for name in ("2.txt", "_1.md", "x.html"):
+            (tmp_path / at / name).write_text(at + name)
+    for wanted in (1, 2, 3, 100):
+        reader = folders.Reader({"path": str(tmp_path), "partitions": str(wanted), "suffixes": ".txt,.md"})
+        found = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        assert len(found) == 12 and len({r["path"] for r in found}) == 12
+        assert all(r["content"].decode() == r["path"].removeprefix(str(tmp_path)).lstrip("/").replace("/" + r["name"], r["name"]) for r in found)
+    assert [p.deep for p in folders.Reader({"path": str(tmp_path), "partitions": "100"}).partitions()] == [False] * 6
+    own = [r["name"] for b in reader.read(reader.partitions()[0]) for r in b.to_pylist()]
+    assert own == ["2.txt", "_1.md"]
+    with pytest.raises(ValueError, match="path"):
+        folders.Reader({})
 
 
 def test_uploads_and_single_file(spark, incoming):
@@ -63,7 +83,7 @@ def test_points_are_replaced_not_repeated(spark, incoming, tmp_path):
         sinks.upsert_points(sinks.as_points(made, F.lit("c1"), extra), path)
     sinks.upsert_points(sinks.as_points(made.limit(1), F.lit("c2")), path)
     got = sinks.read_points(spark, path).collect()
-    assert sorted(r.collection for r in got) == ["c1"] * 6 + ["c2"]
+    assert sorted(r.collection for r in got) == ["c1"] * 7 + ["c2"]
     assert {r.source for r in got if r.collection == "c1"} == {"over"} and got[0].extra is not None
 
 

@@ -157,6 +157,16 @@ def test_client():
     assert tried.count("bad") == 2 and tried.count("a") == 1
 
 
+def test_hung_calls_fail_alone():
+    """Two calls that hang fill the pool; the six behind them are answered."""
+    import time
+
+    client = generation.Client(lambda s, u: time.sleep(60) if u == "hang" else u, pool=2, seconds=0.3, attempts=2, failed="FAILED")
+    start = time.time()
+    assert client([("s", "hang")] * 2 + [("s", str(i)) for i in range(6)]) == ["FAILED"] * 2 + list("012345")
+    assert time.time() - start < 3
+
+
 def test_messages(spark):
     rows = spark.createDataFrame([(1, 0, "system", "one"), (1, 1, "user", "hi"), (1, 2, "system", "two"), (1, 3, "assistant", "yo"), (2, 0, "user", "x")], "conv_id int, turn int, role string, text string")
     got = {r.conv_id: (r.system, [tuple(m) for m in r.messages]) for r in generation.provider_messages(rows).collect()}
