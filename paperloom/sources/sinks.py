@@ -14,6 +14,8 @@ from paperloom.sources.shared import file_system, write_whole
 
 #: Files of each write to a collection of points: by a hash of their ids.
 BUCKETS = 16
+#: How these are written: row groups of 16 MB, which a bloom filter of their ids lets a lookup skip.
+FILES = {"parquet.block.size": 16 << 20, "parquet.bloom.filter.enabled#point_id": "true", "parquet.bloom.filter.expected.ndv#point_id": 20_000, "parquet.bloom.filter.max.bytes": 1 << 16}
 
 
 def point_id(*parts: Column) -> Column:
@@ -33,8 +35,8 @@ def as_points(chunks: DataFrame, collection: Column, extra: Column | None = None
 
 
 def points_table(spark: SparkSession, path: str, columns: T.StructType | None = None, buckets: int = BUCKETS) -> str:
-    """The name of the table of points at path: a directory a collection, files by a hash of point_id and sorted by it. A session that does
-    not know the table yet learns its columns from the files; the number of buckets is kept beside them."""
+    """The name of the table of points at path: a directory a collection, files by a hash of point_id, sorted by source and id. A session that
+    does not know the table yet learns its columns from the files; the number of buckets is kept beside them."""
     name = "points_" + hashlib.sha256(path.encode()).hexdigest()[:24]
     if spark.catalog.tableExists(name):
         return name
@@ -46,7 +48,9 @@ def points_table(spark: SparkSession, path: str, columns: T.StructType | None =
         write_whole(f"{path}/_buckets", [str(buckets).encode()], 0)
     columns = columns or spark.read.parquet(path).schema
     ddl = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in columns)
-    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet PARTITIONED BY (collection) CLUSTERED BY (point_id) SORTED BY (point_id) INTO {buckets} BUCKETS LOCATION '{path}'")
+    order = ", ".join(c for c in ("source", "point_id") if c in columns.fieldNames())
+    options = ", ".join(f"'{k}' '{v}'" for k, v in FILES.items())
+    spark.sql(f"CREATE TABLE {name} ({ddl}) USING parquet OPTIONS ({options}) PARTITIONED BY (collection) CLUSTERED BY (point_id) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{path}'")
     spark.catalog.recoverPartitions(name)
     return name
 
@@ -76,6 +80,11 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.table(name).withColumn("_n", last).where("_n = 1").drop("_n", "_version")
 
 
+def points_by_id(spark: SparkSession, path: str, *ids: str) -> DataFrame:
+    """The latest of some points. Only the files of their buckets are opened, and of these only row groups whose bloom filter may have them."""
+    return read_points(spark, path).where(F.col("point_id").isin(*ids))
+
+
 def compact_points(spark: SparkSession, path: str, to: str) -> None:
     """Writes the latest points only."""
     upsert_points(read_points(spark, path), to, 0)

@@ -62,6 +62,34 @@ def test_points_are_read_without_a_shuffle(spark, tmp_path):
     assert again.groupBy("collection").count().collect()[0]["count"] == 120
 
 
+def scanned(frame):
+    """Rows that a plan's scans gave."""
+    frame.collect()
+    leaves = frame._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_a_lookup_reads_few_row_groups(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setitem(sinks.FILES, "parquet.block.size", 1 << 16)
+    monkeypatch.setitem(sinks.FILES, "parquet.page.size.row.check.min", 10)
+    path = str(tmp_path / "points")
+    rows = spark.range(40_000).selectExpr("'c' AS collection", "sha2(string(id), 256) AS point_id", "concat('s', id % 50) AS source", "id AS n")
+    sinks.upsert_points(rows, path, 1)
+    groups = [pq.ParquetFile(p).metadata.num_row_groups for p in (tmp_path / "points").rglob("*.parquet")]
+    assert len(groups) == 16 and min(groups) > 3
+    wanted = rows.where("n = 777").first().point_id
+    found = sinks.points_by_id(spark, path, wanted)
+    assert [r.n for r in found.collect()] == [777]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # adaptive plans hide their scans
+    try:
+        assert 0 < scanned(sinks.points_by_id(spark, path, wanted)) < 0.05 * 40_000
+        assert scanned(sinks.points_by_id(spark, path, "nowhere")) < 0.02 * 40_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_state_of_what_has_expired_goes(spark, tmp_path):
     """Forty keys ask once; long after, one key asks again and again: only it is in the state in the end."""
     for k in range(4):
