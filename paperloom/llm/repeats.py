@@ -21,9 +21,9 @@ def ranked(docs: DataFrame, rank: str = "doc_id") -> DataFrame:
 def later(units: DataFrame, keys: list[str]) -> DataFrame:
     """units (keys, d, u, at, again) that are not the first of their keys: again marks those that their own text has before, the
     others are compared by d, and those of one d by u. Least ranks are gathered before rows move; only keys that two rows have
-    are joined back, and a common key is a large partition of a plain join, which Spark can split."""
+    are joined back, and a common key is a large partition of a plain join, which Spark can split. A row has a key once that is not again."""
     first = units.where("not again").withColumn("r", F.struct("d", "u"))
-    shared = first.groupBy(*keys).agg(F.min("r").alias("low"), F.max("r").alias("high")).where("low < high").select(*keys, "low")
+    shared = first.groupBy(*keys).agg(F.min("r").alias("low"), F.count("*").alias("n")).where("n > 1").select(*keys, "low")
     return first.join(shared, keys).where("r > low").select("u", "at").union(units.where("again").select("u", "at"))
 
 
