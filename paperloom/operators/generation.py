@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.functions.text import CUT_MARK, NO_DOCUMENTS, NO_EVIDENCE, cost, cut, or_label, or_message, stripped, without_fence
+from paperloom.functions.text import CUT_MARK, NO_DOCUMENTS, NO_EVIDENCE, WHITE_SPACE, cost, cut, or_label, or_message, stripped, without_fence
 from paperloom.operators.completion import timed
 
 #: The texts of prompts.
@@ -38,6 +39,8 @@ COLLECTION_PROMPT = """당신은 문서 컬렉션 온톨로지 구축을 돕는
   "tags": "태그1, 태그2, 태그3",
   "consulting": "이 컬렉션을 온톨로지에 통합할 때 고려할 점"
 }"""
+TOOL_DEFAULTS = {"category": "", "tags": [], "summary": "", "consulting": ""}
+TOOL_FAILED = "분석 실패: "
 NOT_READY = "인덱싱된 문서가 없습니다. 먼저 문서를 업로드하고 인제스트를 기다려 주세요."
 CONTEXT_BREAK = "\n\n---\n\n"
 DOCUMENT_FIELDS = (("category", ""), ("tags", "[]"), ("summary", ""), ("consulting", ""))
@@ -131,16 +134,21 @@ def tool_analyze_prompt(text: Column) -> Column:
     return F.concat(F.lit("다음 문서를 분석하세요:\n\n"), cut(text, 4000))
 
 
-def document_lists(documents: DataFrame) -> DataFrame:
-    """id (of a collection), lines (its documents, a line each, by id) and n."""
+def document_lists(documents: DataFrame, most_lines: int | None = None) -> DataFrame:
+    """id (of a collection), lines (its documents, a line each, by id) and n. most_lines: of them the first so many, for a prompt that is
+    bounded; n counts all. The others are left out before rows move, so that a large collection is no large group."""
     line = F.concat(F.lit("- "), "name", F.lit(" (상태: "), "status", F.lit(")"))
-    rows = documents.select("collection_id", "id", line.alias("line"))
-    return rows.groupBy(F.col("collection_id").alias("id")).agg(F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY id)").alias("lines"), F.count("*").alias("n"))
+    rows, order = documents.select("collection_id", "id", line.alias("line")), F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY id)").alias("lines")
+    if most_lines is None:
+        return rows.groupBy(F.col("collection_id").alias("id")).agg(order, F.count("*").alias("n"))
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("collection_id").orderBy("id", "line"))).where(F.col("k") <= most_lines)
+    listed = first.groupBy(F.col("collection_id").alias("id")).agg(order)
+    return rows.groupBy(F.col("collection_id").alias("id")).agg(F.count("*").alias("n")).join(listed, "id", "left").select("id", "lines", "n")
 
 
-def collection_prompts(collections: DataFrame, documents: DataFrame) -> DataFrame:
-    """id, prompt: a collection's fields and its documents, by id."""
-    rows = collections.join(document_lists(documents), "id", "left")
+def collection_prompts(collections: DataFrame, documents: DataFrame, most_lines: int | None = None) -> DataFrame:
+    """id, prompt: a collection's fields and its documents, by id, or the first most_lines of them."""
+    rows = collections.join(document_lists(documents, most_lines), "id", "left")
     parts = [F.lit("컬렉션 이름: "), F.col("name"), F.lit("\n현재 설명: "), or_label(F.col("description")), F.lit("\n현재 카테고리: "), or_label(F.col("category")), F.lit("\n현재 태그: "), or_label(F.col("tags")), F.lit("\n문서 수: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit("\n\n포함된 문서 목록:\n"), F.coalesce("lines", F.lit(NO_DOCUMENTS))]
     return rows.select("id", F.concat(*parts).alias("prompt"))
 
@@ -193,6 +201,25 @@ def analyzed_collections(collections: DataFrame, documents: DataFrame, generator
     return _asked(collection_prompts(collections, documents), COLLECTION_PROMPT, F.col("prompt"), generator, COLLECTION_FIELDS)
 
 
+def analyzed_by_tool(rows: DataFrame, ask: Callable[[str, str], str], text: str = "text", pool: int = 8, seconds: float = 30.0) -> DataFrame:
+    """row (all columns of rows) and answer: what ask(system, user) says of the first 4000 characters of each text, stripped. A call that
+    fails or takes longer gives the JSON of defaults, with the reason in its last field; the others go on."""
+
+    def one(prompt: tuple[str, str]) -> str:
+        try:
+            return timed(ask, prompt, seconds).strip(WHITE_SPACE)
+        except Exception as e:  # noqa: BLE001  whatever a provider raises
+            return json.dumps(TOOL_DEFAULTS | {"consulting": f"{TOOL_FAILED}{e}"}, ensure_ascii=False)
+
+    def run(users: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with ThreadPoolExecutor(pool) as calls:
+            for some in users:
+                yield pd.Series(list(calls.map(one, [(ANALYZE_PROMPT, u) for u in some])), index=some.index, dtype=object)
+
+    own = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
+    return rows.select(own, F.pandas_udf(run, "string")(tool_analyze_prompt(F.coalesce(text, F.lit("")))).alias("answer"))
+
+
 def provider_messages(messages: DataFrame) -> DataFrame:
     """conv_id, system (the last system message, or empty) and messages (the others, in order) for providers that want them apart."""
     system = F.expr("coalesce(max_by(text, turn) FILTER (WHERE role = 'system'), '')")

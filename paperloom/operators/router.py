@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,15 +31,9 @@ def breaker_replay(calls: DataFrame, failures: int = FAILURES, recovery: float =
     return segments.replayed(calls.select("provider", F.col("ts").cast("double").alias("ts"), "seq", F.coalesce("ok", F.lit(False)).alias("ok"), reset.alias("reset")), failures, recovery)
 
 
-def failure_runs(calls: DataFrame, span: float = 3600.0) -> DataFrame:
-    """provider, seq, run: how many calls have failed in a row, up to each. Successes are counted within spans of seconds and over
-    them, so that a provider with very many calls is no single task; calls after the same success are a run."""
-    rows = calls.select("provider", "ts", "seq", "ok", F.floor(F.col("ts") / span).alias("_span"))
-    won = rows.groupBy("provider", "_span").agg(F.count_if("ok").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("provider").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = F.col("_before") + F.count_if("ok").over(Window.partitionBy("provider", "_span").orderBy("ts", "seq"))
-    counted = rows.join(won.select("provider", "_span", before.alias("_before")), ["provider", "_span"]).withColumn("_wins", wins)
-    return counted.select("provider", "seq", F.count_if(~F.col("ok")).over(Window.partitionBy("provider", "_wins").orderBy("ts", "seq")).alias("run"))
+def failure_runs(calls: DataFrame) -> DataFrame:
+    """calls: provider, ts, seq, ok. provider, seq, run: how many calls have failed in a row, up to each."""
+    return segments.failure_runs(calls.select("provider", F.col("ts").cast("double").alias("ts"), "seq", F.coalesce("ok", F.lit(False)).alias("ok")))
 
 
 def breaker_status(replayed: DataFrame, providers: DataFrame) -> DataFrame:

@@ -119,6 +119,27 @@ def _replayed(key: tuple, rows: pd.DataFrame, failures: int, recovery: float) ->
     return pd.concat([rows[["provider", "segment", "seq", "ts", "at"]], made], axis=1)
 
 
+def segmented(calls: DataFrame) -> DataFrame:
+    """calls in the order of provider, ts and seq, with their places (at) and the numbers of their segments, which may hold several providers."""
+    order = ("provider", "ts", "seq")
+    placed = calls.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    return kept(placed.withColumn("segment", F.shiftright("at", SEGMENT_BITS)), "segments")
+
+
+def failure_runs(calls: DataFrame) -> DataFrame:
+    """provider, seq, run: how many calls of a provider have failed in a row, up to each. Runs are counted within segments; what the segments
+    before hand on is added to those that no success of their own has begun, so that a run over many segments is no single task."""
+    within = Window.partitionBy("provider", "segment").orderBy("at")
+    counted = segmented(calls).withColumn("wins", F.count_if("ok").over(within))
+    counted = counted.withColumn("run", F.count_if(~F.col("ok")).over(Window.partitionBy("provider", "segment", "wins").orderBy("at")))
+    own = counted.groupBy("provider", "segment").agg(F.max("wins").alias("won"), F.max_by("run", "at").alias("last"))
+    in_order = Window.partitionBy("provider").orderBy("segment")
+    since = own.withColumn("since", F.count_if(F.col("won") > 0).over(in_order))
+    ends = since.withColumn("end", F.sum("last").over(Window.partitionBy("provider", "since").orderBy("segment")))
+    before = ends.select("provider", "segment", F.coalesce(F.lag("end").over(in_order), F.lit(0)).alias("before"))
+    return joined(counted, before).select("provider", "seq", (F.col("run") + F.when(F.col("wins") == 0, F.col("before")).otherwise(0)).alias("run"))
+
+
 def joined(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """rows with what is known of their segments; a provider may be null."""
     known = segments.withColumnsRenamed({"provider": "_provider", "segment": "_segment"})
@@ -136,9 +157,7 @@ def replayed(calls: DataFrame, failures: int, recovery: float) -> DataFrame:
     def again(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _replayed(key, rows, failures, recovery)
 
-    order = ("provider", "ts", "seq")
-    placed = calls.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    placed = kept(placed.withColumn("segment", F.shiftright("at", SEGMENT_BITS)), "segments")
+    placed = segmented(calls)
     kinds = f"provider {calls.schema['provider'].dataType.simpleString()}, segment long"
     tables = placed.groupBy("provider", "segment").applyInPandas(tabled, f"{kinds}, {TABLE}, recovery double")
     before = kept(folded(tables, "provider", ["segment"], f"{kinds}, f int, opened_at double", State, State.step), "states")

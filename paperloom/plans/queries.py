@@ -582,6 +582,18 @@ def ag8(spark, d):
     return V.docs(spark, d).select("id", md5(generation.tool_analyze_prompt(F.col("text")), "prompt_md5"))
 
 
+def _tells(system: str, user: str) -> str:
+    """A model that fails for every other length of what it is asked."""
+    if len(user) % 2 == 0:
+        raise ValueError(f"n {len(user)}")
+    return f" ok {len(user)}\n"
+
+
+@query("ag8_tool_analysis", f"WITH {V.DOCS}, p AS (SELECT id, length('다음 문서를 분석하세요:' || chr(10) || chr(10) || left(text, 4000)) AS n FROM docs) SELECT id, CASE WHEN n % 2 = 1 THEN 'ok ' || n ELSE '{{\"category\": \"\", \"tags\": [], \"summary\": \"\", \"consulting\": \"분석 실패: n ' || n || '\"}}' END AS answer FROM p")
+def ag8_analysis(spark, d):
+    return generation.analyzed_by_tool(V.docs(spark, d).select("id", "text"), _tells).select("row.id", "answer")
+
+
 def _says(pairs: list[tuple[str, str]]) -> list[str]:
     """A model that tells the length of what it is asked, fenced, or no JSON."""
     return [f'```json\n{{"category": "c{len(u)}", "tags": ["t"], "description": "d{len(u)}"}}\n```' if len(u) % 2 else f"no {len(u)}" for _, u in pairs]
@@ -718,9 +730,12 @@ def ag4(spark, d):
     return V.table(spark, d, "events").select("event_id", agents.given_mode(asked).alias("mode"))
 
 
-@query("ag5_role_tools", "SELECT * FROM (VALUES ('researcher', 'rag_search_tool'), ('researcher', 'list_collections_tool'), ('analyst', NULL), ('fact_checker', 'rag_search_tool'), ('report_writer', 'document_analyze_tool')) t(key, tool)")
+@query("ag5_role_tools", "SELECT e.event_id, t.key, t.tool FROM events e JOIN (VALUES (0, 'researcher', 'rag_search_tool'), (0, 'researcher', 'list_collections_tool'), (1, 'analyst', NULL), (2, 'fact_checker', 'rag_search_tool'), (3, 'report_writer', 'document_analyze_tool')) t(n, key, tool) ON e.event_id % 4 = t.n")
 def ag5(spark, d):
-    return agents.role_table(spark).select("key", F.explode_outer("tools").alias("tool"))
+    """The tools that the role of each event may use."""
+    names = F.array(*[F.lit(k) for k, *_ in agents.ROLES])
+    asked = V.table(spark, d, "events").select("event_id", F.get(names, (F.col("event_id") % 4).cast("int")).alias("key"))
+    return asked.join(agents.role_table(spark), "key").select("event_id", "key", F.explode_outer("tools").alias("tool"))
 
 
 AG10_SQL = " UNION ALL ".join(f"SELECT item_id, {quoted(k)} AS kind, md5(replace(replace(replace({quoted(v)}, '{{query}}', text), '{{collection}}', 'fr'), '{{text}}', left(text, 3000))) AS task_md5 FROM benchmark" for k, v in agents.TASKS.items())

@@ -167,6 +167,30 @@ def test_hung_calls_fail_alone():
     assert time.time() - start < 3
 
 
+def test_tool_answers_and_defaults(spark):
+    def ask(system, user):
+        if "bad" in user:
+            raise ValueError('no "way"')
+        if "slow" in user:
+            import time
+
+            time.sleep(30)
+        return "  fine \n"
+
+    rows = spark.createDataFrame([(1, "ok", 5), (2, "bad", 6), (3, "slow", 7), (4, None, 8)], "id int, text string, answer int")
+    got = {r.row.id: r.answer for r in generation.analyzed_by_tool(rows, ask, seconds=0.5).collect()}
+    assert got[1] == got[4] == "fine"
+    assert got[2] == '{"category": "", "tags": [], "summary": "", "consulting": "분석 실패: no \\"way\\""}'
+    assert got[3].startswith('{"category": ""') and "0.5 s" in got[3]
+
+
+def test_bounded_lists(spark):
+    rows = spark.createDataFrame([(c, i, f"d{i}", "processed") for c in (1, 2) for i in range(c * 4)], "collection_id int, id int, name string, status string")
+    whole = {r.id: (r.lines.split("\n"), r.n) for r in generation.document_lists(rows).collect()}
+    first = {r.id: (r.lines.split("\n"), r.n) for r in generation.document_lists(rows, 3).collect()}
+    assert first == {c: (lines[:3], n) for c, (lines, n) in whole.items()} and whole[2][1] == 8
+
+
 def test_messages(spark):
     rows = spark.createDataFrame([(1, 0, "system", "one"), (1, 1, "user", "hi"), (1, 2, "system", "two"), (1, 3, "assistant", "yo"), (2, 0, "user", "x")], "conv_id int, turn int, role string, text string")
     got = {r.conv_id: (r.system, [tuple(m) for m in r.messages]) for r in generation.provider_messages(rows).collect()}

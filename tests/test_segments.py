@@ -82,3 +82,18 @@ def test_a_hot_provider_is_many_tasks(spark, monkeypatch):
     placed = dict(groups)["segments"]
     assert placed.groupBy("provider", "segment").count().agg({"count": "max"}).first()[0] <= 64
     assert dict(groups)["states"].count() >= 79
+
+
+@pytest.mark.parametrize("bits", [1, 4, 15])
+def test_failure_runs_over_segments(spark, monkeypatch, bits):
+    monkeypatch.setattr(segments, "SEGMENT_BITS", bits)
+    rng = random.Random(bits)
+    logs = {"never": [(float(i), i, False) for i in range(200)], "mixed": [(float(i // 2), i, rng.random() < 0.2) for i in range(200)], None: [(1.0, i, i == 5) for i in range(40)]}
+    calls = spark.createDataFrame([(p, *x) for p, own in logs.items() for x in own], "provider string, ts double, seq long, ok boolean").repartition(3)
+    got = {(r.provider, r.seq): r.run for r in router.failure_runs(calls).collect()}
+    for p, own in logs.items():
+        run = 0
+        for _, seq, ok in sorted(own):
+            run = 0 if ok else run + 1
+            assert got[p, seq] == run
+    assert len(got) == 440
