@@ -4,9 +4,8 @@ Texts of equal bytes are one node, so a group of copies is one row from the star
 their occurrence; each of 32 sketches takes the four labelled shingles with the least hashes and keeps them in the order of the
 text. Nodes with an equal sketch are candidates. A candidate pair is verified by banded alignment of its words: the longest chain
 of equal labelled shingles in the order of both texts, no match further off the diagonal than a pair of the wanted similarity can
-have, anchors the alignment; the words between two anchors are aligned by their longest common subsequence (a gap of over 4,096
-words on one side, in which no five words agree, counts as different). Similarity is the share of the longer text's words that are
-aligned, 0.8 or more; words are compared themselves, not by hash.
+have, anchors the alignment; the words between two anchors, however many, are aligned by their longest common subsequence. Similarity
+is the share of the longer text's words that are aligned, 0.8 or more; words are compared themselves, not by hash.
 
 Nodes of a bucket are not paired off as rows. First each is compared with a central node (the one that shares most sketches with
 others) of one of its buckets, that with which it shares most; links so found are joined to classes. Only buckets that still hold
@@ -40,8 +39,8 @@ SKETCHES, SAMPLED = 32, 4
 SHORT, SHORT_SKETCHES, SHORT_SAMPLED = 64, 12, 2
 #: Nodes of a bucket that are compared with as many others at once, and shingles of these; rows and shingles that go to one call.
 BLOCK, BLOCK_SHINGLES, GROUP_ROWS, GROUP_SHINGLES = 512, 1 << 20, 4096, 1 << 23
-#: Words between anchors that are aligned at most, and words of texts that a task remembers.
-GAP, CACHED = 4096, 1 << 22
+#: Words of texts that a task remembers.
+CACHED = 1 << 22
 NO_ID = -(1 << 63)
 IS_WORD = B.table(lambda b: not (b == 0x20 or 0x09 <= b < 0x0E))
 LOWER = np.array([b + 32 if 0x41 <= b < 0x5B else b for b in range(256)], np.uint8)
@@ -195,7 +194,7 @@ def aligned(words_a: np.ndarray, shingles_a: np.ndarray, words_b: np.ndarray, sh
             total += n - over
             at_a, at_b = first_a + n, first_b + n
     gaps.append((at_a, len(words_a), at_b, len(words_b)))
-    gaps = [g for g in gaps if 0 < g[1] - g[0] <= GAP and 0 < g[3] - g[2] <= GAP]
+    gaps = [g for g in gaps if g[1] > g[0] and g[3] > g[2]]
     if q * (total + sum(min(g[1] - g[0], g[3] - g[2]) for g in gaps)) < p * longer:
         return False, 0
     total += sum(common(words_a[g[0] : g[1]].tolist(), words_b[g[2] : g[3]].tolist()) for g in gaps)
@@ -210,7 +209,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
