@@ -10,14 +10,15 @@ The public model is trained for another way of joining pieces; its scores serve
 way but the best path over its pieces, which the tests compare with brute force and the library's own unigram search.
 
 Null and empty texts have no pieces; decoding gives the text back, but a marker that was in it becomes a space, as in the library;
-units count as equal by their bytes; equal rows get equal results; a very long text is a block of its own, and a run of it that
-nothing cuts is searched in steps of one byte, in memory of some fifty times its size; an empty table gives none; other columns are
-passed on inside `row`, whatever their names.
+units count as equal by their bytes; equal rows get equal results; a very long text is a block of its own, and a run of over 2,048
+bytes that nothing cuts is searched by itself, a few microseconds a byte and in memory of some twenty times its size; an empty table gives
+none; other columns are passed on inside `row`, whatever their names.
 """
 
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -33,8 +34,8 @@ from paperloom.llm._shared import bounded_batches
 MARKER = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNKNOWN_PENALTY = 10.0
-#: Units times bytes that are searched at once.
-CELLS = 1 << 18
+#: Units times bytes that are searched at once, and bytes of a unit that is searched by itself.
+CELLS, LONG = 1 << 18, 2048
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -130,6 +131,7 @@ class Unigram:
         self.pieces = read_pieces(path)
         known = [i for i, (_, _, kind) in enumerate(self.pieces) if kind in (NORMAL, USER)]
         self.ids = np.array(known)
+        self.as_lists = None
         self.trie = DoubleArray([self.pieces[i][0] for i in known])
         self.scores = np.array([self.pieces[i][1] for i in known], np.float64)
         worst = min((self.pieces[i][1] for i in known if self.pieces[i][2] == NORMAL), default=0.0)
@@ -158,16 +160,48 @@ class Unigram:
         marked = [u.replace(b" ", MARKER) for u in units]
         order = sorted(range(len(units)), key=lambda i: len(marked[i]))
         at = 0
-        while at < len(order):
+        while at < len(order) and len(marked[order[at]]) <= LONG:
             longest = max(16, 2 * len(marked[order[at]]))
             to = at + 1
-            while to < len(order) and (to - at) * longest < CELLS and len(marked[order[to]]) <= longest:
+            while to < len(order) and (to - at) * longest < CELLS and len(marked[order[to]]) <= min(longest, LONG):
                 to += 1
             for i, ids in zip(order[at:to], self._best([marked[i] for i in order[at:to]]), strict=True):
                 out[i] = ids
             at = to
+        for i in order[at:]:
+            out[i] = self._best_of_long(marked[i])
         return out
 
+    def _best_of_long(self, unit: bytes) -> list[int]:
+        """As _best, of one unit, byte by byte: a few microseconds each, and 16 bytes of memory."""
+        n, (base, check, value, scores) = len(unit), self.lists()
+        best, came, piece = array("d", [-np.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            own = best[start]
+            if own == -np.inf:
+                continue
+            lead = unit[start]
+            whole = start + (1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            node, k, single = 0, start, False
+            while k < n:
+                to = base[node] + unit[k] + 1
+                if check[to] != node:
+                    break
+                node, k = to, k + 1
+                if (v := value[node]) >= 0:
+                    if own + scores[v] > best[k]:
+                        best[k], came[k], piece[k] = own + scores[v], start, v
+                    single |= k == whole
+            if not single and own + self.unknown > best[end := min(whole, n)]:
+                best[end], came[end], piece[end] = own + self.unknown, start, -1
+        return self._back(unit, came, piece)
+
+    def lists(self) -> tuple[list, ...]:
+        if self.as_lists is None:
+            self.as_lists = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.scores.tolist()
+        return self.as_lists
+
     def _best(self, units: list[bytes]) -> list[list[int]]:
         n, width = len(units), max(map(len, units), default=0)
         if not width:
@@ -209,17 +243,21 @@ class Unigram:
         out = []
         came_, piece_ = came.T.tolist(), piece.T.tolist()
         for i, unit in enumerate(units):
-            end, ids = len(unit), []
-            while end:
-                start = came_[i][end]
-                if (value := piece_[i][end]) >= 0:
-                    ids.append(int(self.ids[value]))
-                else:
-                    ids += [self.bytes.get(b, self.unknown_id) for b in reversed(unit[start:end])]
-                end = start
-            out.append(ids[::-1])
+            out.append(self._back(unit, came_[i], piece_[i]))
         return out
 
+    def _back(self, unit: bytes, came, piece) -> list[int]:
+        """The ids of the best path, from its end."""
+        end, ids = len(unit), []
+        while end:
+            start = came[end]
+            if (value := piece[end]) >= 0:
+                ids.append(int(self.ids[value]))
+            else:
+                ids += [self.bytes.get(b, self.unknown_id) for b in reversed(unit[start:end])]
+            end = start
+        return ids[::-1]
+
     @staticmethod
     def _better(best, came, piece, start: int, end: int, at: np.ndarray, scores: np.ndarray, values: np.ndarray) -> None:
         won = scores > best[end, at]

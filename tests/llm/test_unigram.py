@@ -106,3 +106,19 @@ def test_query_on_documents(spark):
         ids = ids_of([short])[0]
         assert ids == brute(short)
         assert score(ids) >= score(library(short))  # its search misses some sums by a little
+
+
+def test_long_runs():
+    """A run that nothing cuts is searched by itself: the same path, and a megabyte within seconds."""
+    import time
+
+    rng = random.Random(12)
+    model = unigram.codec(PATH)[0]
+    for alphabet in ("abcdefghij", "aaab", "aé日😀b", "\x01ab"):
+        unit = "".join(rng.choice(alphabet) for _ in range(rng.randrange(2100, 3000))).encode()
+        assert model._best_of_long(unit) == model._best([unit])[0] == model.encode_units([unit, b"ab"])[0]
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1 << 20))
+    start = time.time()
+    ids, offs = unigram.encoded(pa.array([text, "short"]), PATH)
+    assert time.time() - start < 12
+    assert model.decode(ids[: offs[1]].tolist()) == text and model.decode(ids[offs[1] :].tolist()) == "short"
