@@ -172,6 +172,44 @@ def op12_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: crc32 by its table; the capacity by one recursion, a greedy step a row; then the cuts from behind and from the front.
+OP12_SQL = """
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+c AS MATERIALIZED (
+  SELECT k, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) AS crc FROM d, tab),
+g AS MATERIALIZED (SELECT t, sum(size)::BIGINT AS bytes, min(doc_id) AS low, row_number() OVER (ORDER BY sum(size) DESC, sha256(t)) - 1 AS i FROM d GROUP BY t),
+big AS (SELECT i, bytes * (16 - i) > sum(bytes) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own FROM g),
+n AS MATERIALIZED (SELECT least(coalesce(min(i), 15), 15)::BIGINT AS n FROM big WHERE NOT own),
+rest AS MATERIALIZED (SELECT t, bytes, (sum(bytes) OVER (ORDER BY low) - bytes)::BIGINT AS pos FROM g, n WHERE i >= n),
+p AS MATERIALIZED (SELECT pos FROM rest UNION ALL SELECT coalesce(sum(bytes), 0)::BIGINT FROM rest),
+z AS MATERIALIZED (SELECT max(pos) AS r, 16 - any_value(n) AS m, (SELECT coalesce(max(bytes), 0) FROM rest) AS most FROM p, n),
+search AS (
+  SELECT greatest(most, (r + m - 1) // m)::BIGINT AS low, greatest(r, 1)::BIGINT AS high, 0::BIGINT AS pos, 0::BIGINT AS k FROM z
+  UNION ALL
+  SELECT CASE WHEN k < m OR pos >= r THEN low ELSE (low + high) // 2 + 1 END, CASE WHEN k < m OR pos < r THEN high ELSE (low + high) // 2 END,
+    CASE WHEN k < m THEN (SELECT max(p.pos) FROM p WHERE p.pos <= search.pos + (low + high) // 2) ELSE 0 END, CASE WHEN k < m THEN k + 1 ELSE 0 END
+  FROM search, z WHERE low < high),
+cap AS MATERIALIZED (SELECT low AS c FROM search WHERE low = high LIMIT 1),
+behind AS (
+  SELECT 0 AS j, r AS pos FROM z UNION ALL SELECT j + 1, (SELECT min(p.pos) FROM p WHERE p.pos >= behind.pos - c) FROM behind, cap, z WHERE j + 1 < m),
+cut AS (
+  SELECT 0 AS k, 0::BIGINT AS pos UNION ALL
+  SELECT k + 1, CASE WHEN near < low THEN low WHEN near > high THEN high ELSE near END
+  FROM (
+    SELECT k, low, high, CASE WHEN wanted - below <= above - wanted THEN below ELSE above END AS near
+    FROM (
+      SELECT cut.k, greatest(cut.pos, (SELECT b.pos FROM behind b WHERE b.j = m - cut.k - 1)) AS low, (SELECT max(p.pos) FROM p WHERE p.pos <= cut.pos + c) AS high, r * (cut.k + 1) // m AS wanted,
+        (SELECT max(p.pos) FROM p WHERE p.pos <= r * (cut.k + 1) // m) AS below, (SELECT min(p.pos) FROM p WHERE p.pos >= r * (cut.k + 1) // m) AS above
+      FROM cut, cap, z WHERE cut.k + 1 < m))),
+s AS (
+  SELECT g.t, g.low, CASE WHEN g.i < n THEN g.i ELSE n + (SELECT count(*) FROM cut WHERE cut.k > 0 AND cut.pos <= rest.pos) END AS shard FROM g JOIN n ON true LEFT JOIN rest ON rest.t = g.t)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY low, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM d JOIN c USING (k) JOIN s USING (t)
+"""
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audited(table(spark, sf_dir, "documents"))
 
@@ -223,5 +261,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": OP4_SQL,
     "op7_fm_index": OP7_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_minimax_shards": OP12_SQL,
     "op13_source_divergence": OP13_SQL,
 }

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 from paperloom.llm import minimax_shards
+from tests.llm.test_source_divergence import sql_rows
 
 SCHEMA = "doc_id long, text string"
 D = "/root/testdata/sf0.001"
@@ -104,6 +105,11 @@ def test_columns_of_other_names(spark):
     checked([r[:2] for r in rows], minimax_shards.sharded(frame, 3, 10).collect(), 3)
 
 
+def test_query_equals_sql(spark):
+    got, want = sql_rows(spark, "op12_minimax_shards")
+    assert got == want and len(got) == 200
+
+
 def test_query(spark):
     from paperloom.llm import registry
 
