@@ -360,11 +360,13 @@ def f13(spark, d):
 
 
 def prompts(spark, d):
-    asked = V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("").alias("note"))
-    return generation.chat_prompts(asked, generation.contexts(V.hits(spark, d).where("query_id % 3 <> 0")))
+    """Half of the questions have no words, so nothing is found for them."""
+    asked = V.questions(spark, d)
+    rows = asked.select("query_id", F.col("text").alias("question"), F.lit("").alias("note"))
+    return generation.chat_prompts(rows, generation.contexts(V.hits(spark, d, asked=asked)))
 
 
-PROMPT_SQL = f"WITH {V.HITS}, {CONTEXT_SQL}, prompts AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN 0 ELSE coalesce(n_hits, 0) END AS n_hits, '다음은 검색된 문서 컨텍스트입니다:' || chr(10) || chr(10) || CASE WHEN item_id % 3 = 0 THEN '' ELSE coalesce(context, '') END || chr(10) || chr(10) || '질문: ' || text AS u FROM benchmark LEFT JOIN context ON query_id = item_id)"
+PROMPT_SQL = f"WITH {V.HITS}, {CONTEXT_SQL}, {V.QUESTIONS}, prompts AS (SELECT query_id, coalesce(n_hits, 0) AS n_hits, '다음은 검색된 문서 컨텍스트입니다:' || chr(10) || chr(10) || coalesce(context, '') || chr(10) || chr(10) || '질문: ' || text AS u FROM questions LEFT JOIN context USING (query_id))"
 
 
 @query("f14_prompt", PROMPT_SQL + f" SELECT query_id, n_hits, md5({quoted(generation.GUARDRAIL)}) AS system_md5, md5(u) AS user_md5 FROM prompts")
@@ -377,7 +379,7 @@ def g3(spark, d):
     return generation.answered(prompts(spark, d), lambda pairs: ["answered"] * len(pairs)).select("query_id", "answer")
 
 
-@query("g2_answers", f"WITH {V.HITS}, first AS (SELECT query_id, trim(split_part(text, '. ', 1), '{V.WS}') AS a FROM hits WHERE rank = 1) SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 OR query_id IS NULL THEN 0 ELSE 5 END::BIGINT AS n_hits, CASE WHEN item_id % 3 = 0 OR coalesce(a, '') = '' THEN {quoted(text.NO_EVIDENCE)} ELSE a END AS answer FROM benchmark LEFT JOIN first ON query_id = item_id")
+@query("g2_answers", f"WITH {V.HITS}, {V.QUESTIONS}, first AS (SELECT query_id, trim(split_part(text, '. ', 1), '{V.WS}') AS a FROM hits WHERE rank = 1) SELECT query_id, CASE WHEN a IS NULL THEN 0 ELSE 5 END::BIGINT AS n_hits, CASE WHEN coalesce(a, '') = '' THEN {quoted(text.NO_EVIDENCE)} ELSE a END AS answer FROM questions LEFT JOIN first USING (query_id)")
 def g2_answers(spark, d):
     return generation.answered(prompts(spark, d), generation.first_sentence).select("query_id", "n_hits", "answer")
 

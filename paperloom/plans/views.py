@@ -45,15 +45,22 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding", F.col("label").cast("string").alias("category"))
 
 
-def hits(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """The k documents nearest to each benchmark text, with what a hit carries."""
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, text: the benchmark texts, and for each a question without words, which has no hit."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"), "text").union(b.select(-1 - F.col("item_id"), F.lit(" \n")))
+
+
+def hits(spark: SparkSession, sf_dir: str, k: int = 5, asked: DataFrame | None = None) -> DataFrame:
+    """The k documents nearest to each of asked (query_id, text), or each benchmark text, with what a hit carries."""
     d = docs(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text") if asked is None else asked
     found = nearest_batch(d.select("id", "text"), asked, k, vector="text", key="id", embedder=hashed_words)
     source = F.when(F.col("id") % 7 == 0, "").otherwise(F.col("name")).alias("source")
     return found.join(d, "id").select("query_id", "rank", "id", "score", F.left("text", F.lit(600)).alias("text"), source, (F.col("id") % 9).cast("string").alias("page"))
 
 
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT -1 - item_id, ' ' || chr(10) FROM benchmark)"
 WS = WHITE_SPACE.replace("'", "''")
 COLLECTIONS = "collections AS (SELECT dense_rank() OVER (ORDER BY lang)::BIGINT AS id, lang AS name, lang AS xai_id FROM (SELECT DISTINCT lang FROM documents))"
 DOCS = (
