@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from paperloom.operators import segments
 from paperloom.operators.breaker import CLOSED, FAILURES, HALF_OPEN, OPEN, RECOVERY_S, Breaker, folded
 
-__all__ = ["CACHE_TTL_S", "CLOSED", "FAILURES", "HALF_OPEN", "OPEN", "RECOVERY_S", "TIMEOUT_MS", "Breaker", "available", "breaker_replay", "breaker_status", "cache_replay", "call_ok", "failure_runs", "folded", "routed"]
+__all__ = ["CACHE_TTL_S", "CLOSED", "FAILURES", "HALF_OPEN", "OPEN", "RECOVERY_S", "TIMEOUT_MS", "Breaker", "available", "breaker_replay", "breaker_status", "cache_lookups", "cache_replay", "call_ok", "failure_runs", "folded", "routed"]
 
 TIMEOUT_MS, CACHE_TTL_S = 30_000, 300.0
 
@@ -80,16 +80,23 @@ def routed(requests: DataFrame, order: list[str], failures: int = FAILURES, reco
 @dataclass
 class Entry:
     since: float | None = None
+    seq: int | None = None
 
 
-def cache_replay(requests: DataFrame, ttl: float = CACHE_TTL_S) -> DataFrame:
-    """requests: key, ts (seconds), seq. hit: whether an answer that was stored less than ttl before is there; a miss stores one. Eviction at a number of entries couples all keys and is left out."""
+def cache_lookups(requests: DataFrame, ttl: float = CACHE_TTL_S) -> DataFrame:
+    """requests: key, ts (seconds), seq. hit: whether an answer that was stored less than ttl before is there; a miss stores one. stored: the
+    seq of the request whose answer it is. Eviction at a number of entries couples all keys and is left out."""
 
     def step(e: Entry, row) -> tuple:
         hit = e.since is not None and row.ts - e.since < ttl
         if not hit:
-            e.since = row.ts
-        return row.key, row.seq, hit
+            e.since, e.seq = row.ts, row.seq
+        return row.key, row.seq, hit, e.seq
 
-    schema = T.StructType([requests.schema["key"], requests.schema["seq"], T.StructField("hit", T.BooleanType())])
+    schema = T.StructType([requests.schema["key"], requests.schema["seq"], T.StructField("hit", T.BooleanType()), T.StructField("stored", requests.schema["seq"].dataType)])
     return folded(requests, "key", ["ts", "seq"], schema, Entry, step)
+
+
+def cache_replay(requests: DataFrame, ttl: float = CACHE_TTL_S) -> DataFrame:
+    """key, seq, hit of cache_lookups."""
+    return cache_lookups(requests, ttl).drop("stored")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import chunking, embedding, tables, text
-from paperloom.operators import agents, catalog, generation, index, latent, router, search
+from paperloom.operators import agents, catalog, generation, index, latent, router, search, serving
+from paperloom.operators.completion import Provider
 from paperloom.plans import views as V
 from paperloom.sources import sinks
 from paperloom.sources.shared import new_folder
@@ -680,6 +681,17 @@ def st2(spark, d):
     return router.cache_replay(asked, ttl=172800.0)
 
 
+@query("g12_cached_answers", "WITH RECURSIVE q AS (SELECT user_id % 4 AS c, event_type AS e, user_id % 3 AS f, epoch_us(ts) / 1e6 AS ts, event_id AS seq, user_id % 5 <> 0 AS ready FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY c, e, f ORDER BY ts, seq) AS n FROM q WHERE ready), r AS (SELECT c, e, f, n, seq, ts AS since, seq AS stored FROM k WHERE n = 1 UNION ALL SELECT k.c, k.e, k.f, k.n, k.seq, CASE WHEN k.ts - r.since < 7200 THEN r.since ELSE k.ts END, CASE WHEN k.ts - r.since < 7200 THEN r.stored ELSE k.seq END FROM r JOIN k ON k.c = r.c AND k.e = r.e AND k.f = r.f AND k.n = r.n + 1) SELECT q.seq AS query_id, CASE WHEN q.ready THEN 'told ' || stored ELSE " + quoted(generation.NOT_READY) + " END AS answer, coalesce(stored <> q.seq, false) AS cached FROM q LEFT JOIN r ON r.seq = q.seq")
+def g12(spark, d):
+    """Requests of one collection, query and filter within two hours share an answer, which tells whose it is; filters are part of the key."""
+    e = V.table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.col("event_id").alias("seq"), V.seconds().alias("ts"), (F.col("user_id") % 5 != 0).alias("ready"), (F.col("user_id") % 4).alias("collection"), F.lit("m").alias("model"), F.col("event_type").alias("query"), F.create_map(F.lit("version"), (F.col("user_id") % 3).cast("string")).alias("filters"), F.lit("s").alias("system"), F.col("event_id").cast("string").alias("user"), F.lit(1).alias("n_hits"))
+    return serving.served(e, [Provider("stub", _told)], ttl=7200.0).select("query_id", "answer", "cached")
+
+
+def _told(system: str, user: str) -> str:
+    return f"told {user}"
+
+
 @query("st4_timeout_failures", "SELECT event_id, event_type <> 'error' AND trunc(value * 1000) <= 30000 AS ok FROM events")
 def st4(spark, d):
     e = V.table(spark, d, "events").select("event_id", (F.col("event_type") == "error").alias("error"), (F.col("value") * 1000).cast("long").alias("latency_ms"))

@@ -2,7 +2,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import completion, generation, router
+from paperloom.operators import completion, generation, router, serving
 from paperloom.operators.completion import Provider
 
 
@@ -64,3 +64,15 @@ def test_cache_key(spark):
     assert keys[1] == keys[2] and len(set(keys.values())) == 5
     hits = router.cache_replay(made.select(completion.cache_key(F.col("c"), F.col("m"), F.col("q"), F.col("f")).alias("key"), F.lit(0.0).alias("ts"), F.col("id").alias("seq"))).collect()
     assert {r.seq for r in hits if r.hit} == {2}
+
+
+def test_a_batch_is_answered_cached_and_metered_once(spark, tmp_path):
+    rows = [(1, "c1", {"a": "1"}, 0.0, True, "q"), (2, "c1", {"a": "1"}, 10.0, True, "q"), (3, "c1", {"a": "2"}, 11.0, True, "q"), (4, "c1", {"a": "1"}, 400.0, True, "q"), (5, "c2", None, 5.0, False, "q"), (6, "c1", None, 6.0, True, "all down"), (7, "c1", None, 7.0, True, "all down")]
+    requests = spark.createDataFrame([(i, i, c, "m", q, f, ts, ready, "s", f"{q} {i}", 1) for i, c, f, ts, ready, q in rows], "query_id int, seq int, collection string, model string, query string, filters map<string,string>, ts double, ready boolean, system string, user string, n_hits int")
+    for _ in range(2):
+        done = serving.serve(requests, PROVIDERS, str(tmp_path / "answers"), str(tmp_path / "usage"), 0, (1.0, 1.0))
+    got = {r.query_id: (r.answer, r.cached) for r in done.collect()}
+    assert got[1] == ("local q 1", False) and got[2] == ("local q 1", True) and got[3] == ("local q 3", False) and got[4] == ("local q 4", False)
+    assert got[5] == (generation.NOT_READY, False) and got[6] == (generation.NO_EVIDENCE, False) and got[7] == (generation.NO_EVIDENCE, True)
+    usage = spark.read.parquet(str(tmp_path / "usage")).collect()
+    assert sorted(r.id for r in usage) == [1, 3, 4, 6] and {r.model for r in usage} == {"m"}
