@@ -47,6 +47,68 @@ def test_rules_find_thresholds():
     assert (said == bad).mean() > 0.98 and 2 <= len(rules) <= 5
 
 
+def slow_grown(rows, bad, names):
+    """Conditions by trying every threshold between two values that occur."""
+    inside, out = np.ones(len(rows), bool), []
+    while len(out) < L.MOST_CONDITIONS and 0 < bad[inside].sum() < inside.sum():
+        p0, n0 = int(bad[inside].sum()), int(inside.sum())
+        best = None
+        for k, name in enumerate(names):
+            values = sorted(set(rows[inside, k]))
+            for side in ("<=", ">"):
+                for low, high in zip(values, values[1:]):
+                    limit = (low + high) / 2
+                    said = inside & ((rows[:, k] <= limit) if side == "<=" else (rows[:, k] > limit))
+                    p, n = int(bad[said].sum()), int(said.sum())
+                    gain = p * (np.log2(p / n) - np.log2(p0 / n0)) if p else -1
+                    if gain > (best[0] if best else 0) + 1e-9:
+                        best = gain, (name, side, limit), said
+        if best is None:
+            break
+        out.append(best[1])
+        inside = best[2]
+    return out
+
+
+def test_growing_equals_trying_every_threshold():
+    rng = np.random.default_rng(3)
+    names = list(L.FEATURES)[:4]
+    for _ in range(20):
+        rows = rng.integers(0, 12, (90, 4)).astype(float)
+        bad = (rows[:, rng.integers(4)] > rng.integers(3, 9)) ^ (rng.random(90) < 0.1)
+        assert L._grown(rows, bad, names) == slow_grown(rows, bad, names)
+
+
+def test_verdicts_of_the_query_by_brute_force(spark):
+    """Every document of the query: its statistics, the base rule and the first rule that matches, worked out in Python."""
+    d = "/root/testdata/sf0.01"
+    docs = registry.table(spark, d, "documents").select("doc_id", "text")
+    rules = L.fitted(docs, registry.table(spark, d, "labels"))
+    features = {r.doc_id: np.array(list(r)[1:], float) for r in L.statistics(docs).selectExpr("row.doc_id", *[f"cast({e} as double) AS f{k}" for k, e in enumerate(L.FEATURES.values())]).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = registry.op9_decision_lists(spark, d).collect()
+    assert len(got) == len(texts) and rules
+    for r in got:
+        want = brute(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == want
+        rejected = any(x.matches(features[r.doc_id][None, :], list(L.FEATURES))[0] for x in rules)
+        assert r.kept == (not want[5] and not rejected)
+
+
+def test_repeated_labels_ids_and_long_texts(spark):
+    """Of several labels of one doc_id the lowest counts, of several texts the one of least hash; a long text is judged whole."""
+    good, bad = "plain words stand here in a row and say a thing " * 8, "## $$ %% && ** <> || # $ % & * " * 20
+    rows = [(i, good + str(i)) for i in range(40)] + [(100 + i, bad + str(i)) for i in range(40)]
+    labels = [(i, 1) for i in range(40)] + [(100 + i, q) for i in range(40) for q in (0, 1)] + [(100, 0)] * 3
+    docs = spark.createDataFrame(rows + rows[:5] + [(None, good), (7, "another text of seven")], "doc_id long, text string")
+    made = lambda own: [str(r) for r in L.fitted(own, spark.createDataFrame(labels, "doc_id long, quality int"))]
+    rules = L.fitted(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert rules and made(docs) == made(docs.repartition(5)) == [str(r) for r in rules]
+    long = spark.createDataFrame([(1, "word and other things " * 100_000), (2, bad * 3000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in L.judged(long, []).select("row.doc_id", "row.text", *L.STATS[:5], "base_failed").collect()}
+    assert all(tuple(r)[2:] == brute(r.text) for r in got.values())
+
+
 def test_columns_equal_rules(spark):
     rules = [L.Rule((("symbols_per_word", ">", 0.5),), 1, 1), L.Rule((("words", "<=", 3.0), ("upper_share", ">", 0.1)), 1, 1)]
     docs = spark.createDataFrame([(1, "a## b"), (2, "A b"), (3, "a b c d")], "doc_id long, text string")

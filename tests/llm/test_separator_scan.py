@@ -42,6 +42,14 @@ def test_documents(spark):
         S.write_flat_files(docs, PATH, 50256, dtype="<u1")
 
 
+def test_long_texts(spark):
+    """Above one block of 1 MiB, in files of fewer tokens than it has."""
+    texts = ["many words of a long text, " * 50_000, "short", "x" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = S.document_counts(spark, S.write_flat_files(docs, PATH, 50256, file_tokens=1000), 50256, block_tokens=4096).collect()
+    assert {r.doc_id: r.n_tokens for r in found} == {i: len(ids) - 1 for i, ids in enumerate(whole(texts, True))}
+
+
 def test_counts_are_those_of_the_token_files(spark):
     """op8 counts what op1 writes, but for op1's end id, where no text has the string of a special token."""
     d = "/root/testdata/sf0.001"

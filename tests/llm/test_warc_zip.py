@@ -65,6 +65,14 @@ def test_round_trip(spark):
     assert large and all(r.payload_bytes >= 100 for r in large)
 
 
+def test_large_payloads_and_clashing_columns(spark):
+    """Above one block of 1 MiB; columns of the result's names in the input are not read."""
+    rows = [(1, "u", "é" * 800_000), (2, "u", "é" * 800_000), (3, "u", "x" * 3_000_000)]
+    pages = spark.createDataFrame([(*r, 5, "z", "z") for r in rows], "page_id long, url string, html string, payload_bytes int, record_type string, path string")
+    got = W.read_records(spark, W.write_packages(pages, package_bytes=1 << 20)).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload_digest, r.payload_bytes) for r in got), key=str) == brute(rows)
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert W.read_records(spark, W.write_packages(pages)).collect() == []
