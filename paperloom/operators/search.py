@@ -61,12 +61,16 @@ def unit(v: np.ndarray) -> np.ndarray:
         return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _nearer(best: list[list[tuple]], vectors: np.ndarray, own: np.ndarray, keys: np.ndarray, k: int) -> None:
-    """Puts those of own that are among the k nearest of each of vectors into best. Cosines count to nine places, as in the end: equal points tie wherever they stand."""
+def _nearer(best: list[list[tuple]], vectors: np.ndarray, own: np.ndarray, keys: list, k: int, filters: list[tuple[np.ndarray, np.ndarray]] = ()) -> None:
+    """Puts those of own that are among the k nearest of each of vectors into best. Cosines count to nine places, as in the end: equal
+    points tie wherever they stand. filters: what vectors ask for (empty: anything) and what own has."""
     for low in range(0, len(vectors), SLICE):
         some = vectors[low : low + SLICE]
         with np.errstate(divide="ignore", invalid="ignore"):
             scores = np.round(some @ own.T / (np.linalg.norm(some, axis=1)[:, None] * np.linalg.norm(own, axis=1)), 9)
+        for asked, has in filters:
+            wanted = asked[low : low + SLICE, None]
+            scores[(wanted != "") & (wanted != has)] = np.nan
         for q, row in enumerate(scores, low):
             usable = np.flatnonzero(~np.isnan(row))
             if len(usable) > k:
@@ -74,17 +78,18 @@ def _nearer(best: list[list[tuple]], vectors: np.ndarray, own: np.ndarray, keys:
             best[q] = sorted(best[q] + [(-row[i], keys[i]) for i in usable])[:k]
 
 
-def _point_files(batches: Iterator[pd.DataFrame], folder: str, embedder: Embedder | None) -> Iterator[pd.DataFrame]:
-    """Points (key, vector or text) as files of POINT_BYTES of vectors; where they are."""
+def _point_files(batches: Iterator[pd.DataFrame], folder: str, embedder: Embedder | None, filters: list[str]) -> Iterator[pd.DataFrame]:
+    """Points (key, vector or text, filters) as files of POINT_BYTES of vectors; where they are."""
     context, made, held = TaskContext.get(), [], []
     size = 0
 
     def put() -> None:
         path = f"{folder}/points-{context.partitionId():06d}-{len(made):06d}"
-        vectors = np.concatenate([v for _, v in held])
+        vectors = np.concatenate([v for _, v, _ in held])
+        has = pd.concat([f for _, _, f in held])
         narrow = vectors.astype(np.float32)
         vectors = narrow if np.array_equal(narrow, vectors, equal_nan=True) else vectors
-        write_whole(path, [packed(keys=values(np.concatenate([x for x, _ in held])), vectors=vectors)], context.taskAttemptId())
+        write_whole(path, [packed(keys=values(np.concatenate([x for x, _, _ in held])), vectors=vectors, **{c: values(has[c]) for c in filters})], context.taskAttemptId())
         made.append(path)
 
     for batch in batches:
@@ -95,7 +100,7 @@ def _point_files(batches: Iterator[pd.DataFrame], folder: str, embedder: Embedde
                 continue
             if len({len(found[i]) for i in keep}) > 1 or held and held[0][1].shape[1] != len(found[keep[0]]):
                 raise ValueError("vectors of one table have one length")
-            held.append((rows.iloc[:, 0].to_numpy()[keep], np.array([found[i] for i in keep], float)))
+            held.append((rows.iloc[:, 0].to_numpy()[keep], np.array([found[i] for i in keep], float), rows.iloc[keep, 2:]))
             size += held[-1][1].nbytes
             if size >= POINT_BYTES:
                 put()
@@ -105,7 +110,7 @@ def _point_files(batches: Iterator[pd.DataFrame], folder: str, embedder: Embedde
     yield pd.DataFrame({"path": made}, dtype=object)
 
 
-def _tiles(batches: Iterator[pd.DataFrame], folder: str, k: int, key: str) -> Iterator[pd.DataFrame]:
+def _tiles(batches: Iterator[pd.DataFrame], folder: str, k: int, key: str, filters: list[str]) -> Iterator[pd.DataFrame]:
     """Rows (file, tile, path), sorted: the k nearest points of each query of a file among those of a tile."""
     best: list[list[tuple]] = []
     a: dict[str, np.ndarray] = {}
@@ -126,13 +131,14 @@ def _tiles(batches: Iterator[pd.DataFrame], folder: str, k: int, key: str) -> It
             if points["vectors"].shape[1] != a["v"].shape[1]:
                 raise ValueError("queries and points have vectors of one length")
             keys = points["keys"]
-            _nearer(best, a["v"], points["vectors"].astype(float), [x[1:] for x in keys.tolist()] if keys.dtype.kind == "U" else keys.tolist(), k)
+            _nearer(best, a["v"], points["vectors"].astype(float), [x[1:] for x in keys.tolist()] if keys.dtype.kind == "U" else keys.tolist(), k, [(a[c], points[c]) for c in filters])
     if at:
         yield found()
 
 
-def nearest_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "embedding", key: str = "point_id", embedder: Embedder | None = None) -> DataFrame:
-    """query_id, key, score, rank: the k nearest points of each query (query_id, vector). With an embedder the columns hold texts.
+def nearest_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector: str = "embedding", key: str = "point_id", embedder: Embedder | None = None, filters: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, key, score, rank: the k nearest points of each query (query_id, vector). With an embedder the columns hold texts. filters:
+    columns of both; a point has to equal those of a query that are not null.
 
     Vectors are written to files in the shared folder, queries to others. A task has a tile, a file of queries and some tens of files
     of points, and hands on k rows a query, so that neither its memory nor what is ranked in the end grows with the number of tasks
@@ -140,16 +146,18 @@ def nearest_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector:
     vectors of different lengths are an error."""
     spark = points.sparkSession
     folder = new_folder(spark, "search")
-    stored = kept(points.select(key, vector).mapInPandas(partial(_point_files, folder=folder, embedder=embedder), "path string"), "point-files")
-    asked = kept(queries.select("query_id", F.col(vector).alias("v")).withColumn("q", F.monotonically_increasing_id()), "asked")
+    named = [f"f_{c}" for c in filters]
+    has = [F.col(c).cast("string").alias(f"f_{c}") for c in filters]
+    stored = kept(points.select(key, vector, *has).mapInPandas(partial(_point_files, folder=folder, embedder=embedder, filters=named), "path string"), "point-files")
+    asked = kept(queries.select("query_id", F.col(vector).alias("v"), *has).withColumn("q", F.monotonically_increasing_id()), "asked")
     n_queries, n_files = asked.count(), stored.count()
     as_vectors = embedded(asked, embedder, "v", "v") if embedder else asked.where("v IS NOT NULL AND size(v) > 0").withColumn("v", F.col("v").cast("array<double>"))
     number = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n_queries // QUERY_BLOCK)))).cast("int")
-    files = kept(to_files(as_vectors.select(number.alias("file"), "q", F.col("v").cast("array<double>").alias("v")), folder, "queries"), "query-files")
+    files = kept(to_files(as_vectors.select(number.alias("file"), "q", F.col("v").cast("array<double>").alias("v"), *named), folder, "queries"), "query-files")
     n_tiles = min(MOST_TILES, max(1, -(-n_files // TILE_FILES)))
     tiles = files.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))).join(stored.withColumn("tile", F.pmod(F.xxhash64("path"), F.lit(n_tiles)).cast("int")), "tile")
     schema = T.StructType([T.StructField("q", T.LongType()), points.schema[key], T.StructField("score", T.DoubleType())])
-    near = tiles.select("file", "tile", "path").repartition(min(max(1, files.count() * n_tiles), MOST_TASKS), "file", "tile").sortWithinPartitions("file", "tile", "path").mapInPandas(partial(_tiles, folder=folder, k=k, key=key), schema)
+    near = tiles.select("file", "tile", "path").repartition(min(max(1, files.count() * n_tiles), MOST_TASKS), "file", "tile").sortWithinPartitions("file", "tile", "path").mapInPandas(partial(_tiles, folder=folder, k=k, key=key, filters=named), schema)
     order = Window.partitionBy("q").orderBy(F.desc("score"), key)
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.join(asked.select("q", "query_id"), "q").select("query_id", key, "score", "rank")

@@ -299,6 +299,15 @@ def t3f(spark, d):
     return indexed(spark, d, F.when(F.col("point_id") % 300 != 0, F.col("category")))
 
 
+@query("t2_topk_filtered_batch", T3_SQL.replace("PASSES", "(b.vec_id % 300 = 0 OR a.label = b.label)"))
+def t2_filtered(spark, d):
+    """The same by a scan of all points."""
+    p = V.points(spark, d)
+    asked = p.where("point_id % 100 = 0").select(F.col("point_id").alias("query_id"), "embedding", F.when(F.col("point_id") % 300 != 0, F.col("category")).alias("category"))
+    found = search.nearest_batch(p, asked, filters=("category",))
+    return found.select("query_id", "point_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("t3_index_probed")
 def t3p(spark, d):
     return indexed(spark, d, F.lit(None).cast("string"), probes=40)

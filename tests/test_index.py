@@ -101,6 +101,9 @@ def test_batch_search_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(search, "QUERY_BLOCK", 10)
     monkeypatch.setattr(search, "TILE_FILES", 2)
     assert got(search.nearest_batch(frame, queries, 4)) == brute(points, asked, 4, None)
+    wanted = [(q, v, (f"c{q % 4}" if q % 2 else None, ["de", "", None][q % 3])) for q, v, _ in asked]
+    filtered = spark.createDataFrame([(q, v, *f) for q, v, f in wanted], "query_id long, embedding array<double>, category string, lang string")
+    assert got(search.nearest_batch(frame, filtered, 4, filters=("category", "lang"))) == brute(points, wanted, 4, None)
     with pytest.raises(Exception, match="one length"):
         search.nearest_batch(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "point_id long, embedding array<double>").coalesce(1), queries, 4).collect()
     with pytest.raises(Exception, match="one length"):
