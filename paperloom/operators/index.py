@@ -38,8 +38,8 @@ from paperloom.sources.shared import file_system, kept, new_folder, write_whole
 SAMPLE, ROUNDS, PART, CODES = 4096, 8, 2, 256
 #: Rows of a row group, rows of a file, queries of a file, and queries that are compared at once.
 GROUP_ROWS, FILE_ROWS, QUERIES, SLICE = 1024, 1 << 13, 256, 64
-#: Files of a tile, at least; tiles that a file of queries has, and tasks, at most.
-TILE_FILES, MOST_TILES, MOST_TASKS = 8, 64, 20_000
+#: Files of a tile, at least; tiles that a file of queries has, tasks, and files of an index, at most.
+TILE_FILES, MOST_TILES, MOST_TASKS, MOST_FILES = 8, 64, 20_000, 50_000
 #: Cosines count to nine places; limits are widened by more than sums of doubles are off.
 PLACES, SLACK = 9, 1e-7
 
@@ -136,7 +136,7 @@ def build_index(points: DataFrame, path: str, n_cells: int = 64, key: str = "poi
 
     schema = T.StructType([*[f for f in used.schema if f.name != "v"], T.StructField("cell", T.IntegerType()), T.StructField("code", T.BinaryType()), T.StructField("off", T.DoubleType()), T.StructField("vector", T.BinaryType())])
     encoded = kept(used.mapInPandas(partial(_encoded, model=f"{path}/model", vector="v", width=drawn.shape[1]), schema), "encoded")
-    n_files = max(1, -(-encoded.count() // FILE_ROWS))
+    n_files = max(1, min(MOST_FILES, -(-encoded.count() // FILE_ROWS)))
     ordered = encoded.repartitionByRange(n_files, "cell", "key").sortWithinPartitions("cell", "key")
     ordered.mapInArrow(partial(_write, folder=path), "file int, n_points long").write.parquet(f"{path}/files")
 
