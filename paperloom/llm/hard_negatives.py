@@ -40,8 +40,8 @@ WINDOW = (30, 90)
 BLOCK_ROWS, FILE_ROWS, ANCHORS, SLICE = 1024, 1 << 12, 256, 64
 #: Files of a tile, at least; tiles that a file of anchors has at most, so that what tasks hand on of an anchor is bounded.
 TILE_FILES, MOST_TILES = 8, 64
-#: Tasks of a search, at most.
-MOST_TASKS = 20_000
+#: Files of blocks, and tasks of a search, at most; files of more rows are written then.
+MOST_FILES, MOST_TASKS = 50_000, 20_000
 #: The curve's dimensions, and bits for each.
 CURVE, BITS = 16, 4
 #: Whole numbers up to here are exact as doubles.
@@ -337,7 +337,7 @@ def mined(rows: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVE
     keyed = whole.mapInPandas(partial(_keyed, dims=widest, low=(mean[widest] - 2 * spread[widest]).tolist(), step=step.tolist()), ROWS + ", key long")
     keyed = kept(keyed.withColumn("row", F.monotonically_increasing_id()), "keyed")
 
-    ordered = keyed.repartitionByRange(max(1, -(-n_rows // FILE_ROWS)), "label", "key", "vec_id", "row").sortWithinPartitions("label", "key", "vec_id", "row")
+    ordered = keyed.repartitionByRange(max(1, min(MOST_FILES, -(-n_rows // FILE_ROWS))), "label", "key", "vec_id", "row").sortWithinPartitions("label", "key", "vec_id", "row")
     made = kept(ordered.mapInPandas(partial(_write, folder=folder, width=len(dims), positives=positives, block_rows=block_rows), "part int, row long, vec_id long, label long, v array<double>, floor long"), "anchors")
     parts, anchors = made.where("row IS NULL").select("part"), made.where("row IS NOT NULL")
     sizes = made.agg(F.count("row").alias("n"), (F.max("part") + 1).alias("parts")).first()
