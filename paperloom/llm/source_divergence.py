@@ -32,6 +32,8 @@ LEAST_DOCS, TOP_TERMS = 10, 10
 SOURCES, TERMS = 8, 1024
 #: Distinct terms of sources that a task counts before it hands them on.
 ENTRIES = 1 << 20
+#: Rows of languages or sources that are broadcast, at most.
+FEW = 100_000
 SHARE = 1_000_000_000
 LETTER = B.table(lambda b: 0x41 <= b < 0x5B or 0x61 <= b < 0x7B or b >= 0x80)
 LOWER = np.array([b + 32 if 0x41 <= b < 0x5B else b for b in range(256)], np.uint8)
@@ -115,6 +117,12 @@ def apart(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
+def small(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table, which is broadcast where it has few rows, so that a language or source with most terms is no large partition."""
+    table = kept(rows, name)
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
 def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // np.maximum(p + q, 1)
 
@@ -157,9 +165,9 @@ def audited(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_
     of_lang = known.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all"))
     blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / sources).cast("int").alias("n_blocks"))
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
-    langs = blocks.join(of_lang, "lang", "left").select("lang", "n_blocks", count("v").alias("v"), (count("all") + 2 * count("v")).alias("lang_whole"), F.greatest(F.ceil(count("v") / terms), F.lit(1)).cast("int").alias("n_slices"))
+    langs = small(blocks.join(of_lang, "lang", "left").select("lang", "n_blocks", count("v").alias("v"), (count("all") + 2 * count("v")).alias("lang_whole"), F.greatest(F.ceil(count("v") / terms), F.lit(1)).cast("int").alias("n_slices")), "langs")
     sized = groups.join(of_source, ["lang", "source"], "left").join(langs, "lang").select("lang", "source", (count("own") + 2 * F.col("v")).alias("whole"), "lang_whole", "n_blocks", "n_slices", F.pmod(F.xxhash64("source"), "n_blocks").cast("int").alias("block"))
-    sized = kept(sized, "sources")
+    sized = small(sized, "sources")
 
     shares = entries.join(sized, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("whole")))
     to_lang = shares.withColumn("q", share(F.col("total"), F.col("lang_whole"))).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
