@@ -39,6 +39,12 @@ COLLECTION_PROMPT = """당신은 문서 컬렉션 온톨로지 구축을 돕는
   "tags": "태그1, 태그2, 태그3",
   "consulting": "이 컬렉션을 온톨로지에 통합할 때 고려할 점"
 }"""
+CONTEXT_HEAD, QUESTION_HEAD = "다음은 검색된 문서 컨텍스트입니다:\n\n", "\n\n질문: "
+NUMBERED_SOURCE, FILTER_HEAD = "[문서 ", "\n필터 조건: "
+FILE_HEAD, CONTENT_HEAD, TOOL_HEAD = "파일명: ", "\n\n내용:\n", "다음 문서를 분석하세요:\n\n"
+STATUS_HEAD, STATUS_END = " (상태: ", ")"
+COLLECTION_HEADS = ("컬렉션 이름: ", "\n현재 설명: ", "\n현재 카테고리: ", "\n현재 태그: ", "\n문서 수: ", "\n\n포함된 문서 목록:\n")
+SOURCES_HEAD, SOURCE_SCORE = "\n\n📌 참고 문서:\n", "] 유사도: "
 TOOL_DEFAULTS = {"category": "", "tags": [], "summary": "", "consulting": ""}
 TOOL_FAILED = "분석 실패: "
 NOT_READY = "인덱싱된 문서가 없습니다. 먼저 문서를 업로드하고 인제스트를 기다려 주세요."
@@ -64,7 +70,7 @@ def first_sentence(prompts: list[tuple[str, str]]) -> list[str]:
 
 def contexts(hits: DataFrame) -> DataFrame:
     """query_id, context, n_hits: hits (query_id, rank, source, page, text) as one text, in the order of rank."""
-    name = F.when(F.coalesce("source", F.lit("")) != "", F.concat(F.lit("["), "source", F.lit("]"))).otherwise(F.concat(F.lit("[문서 "), F.col("rank").cast("string"), F.lit("]")))
+    name = F.when(F.coalesce("source", F.lit("")) != "", F.concat(F.lit("["), "source", F.lit("]"))).otherwise(F.concat(F.lit(NUMBERED_SOURCE), F.col("rank").cast("string"), F.lit("]")))
     page = F.when(F.coalesce("page", F.lit("")) != "", F.concat(F.lit(" p."), "page")).otherwise("")
     block = F.concat(name, page, F.lit("\n"), F.coalesce("text", F.lit("")))
     return hits.select("query_id", "rank", block.alias("block")).groupBy("query_id").agg(F.expr(f"listagg(block, '{CONTEXT_BREAK.encode('unicode_escape').decode()}') WITHIN GROUP (ORDER BY rank)").alias("context"), F.count("*").alias("n_hits"))
@@ -73,13 +79,13 @@ def contexts(hits: DataFrame) -> DataFrame:
 def filter_note(filters: Column) -> Column:
     """filters: array of (key, value), in order. Blank values are not told of."""
     told = F.filter(filters, lambda f: F.coalesce(f["value"], F.lit("")) != "")
-    return F.when(F.size(told) > 0, F.concat(F.lit("\n필터 조건: "), F.array_join(F.transform(told, lambda f: F.concat(f["key"], F.lit("="), f["value"])), ", "))).otherwise("")
+    return F.when(F.size(told) > 0, F.concat(F.lit(FILTER_HEAD), F.array_join(F.transform(told, lambda f: F.concat(f["key"], F.lit("="), f["value"])), ", "))).otherwise("")
 
 
 def chat_prompts(queries: DataFrame, found: DataFrame) -> DataFrame:
     """queries (query_id, question, note) with context: system, user and n_hits (0 where nothing was found)."""
     rows = queries.join(found, "query_id", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long")))
-    user = F.concat(F.lit("다음은 검색된 문서 컨텍스트입니다:\n\n"), F.coalesce("context", F.lit("")), F.lit("\n\n질문: "), "question")
+    user = F.concat(F.lit(CONTEXT_HEAD), F.coalesce("context", F.lit("")), F.lit(QUESTION_HEAD), "question")
     return rows.select("query_id", "n_hits", F.concat(F.lit(GUARDRAIL), F.coalesce("note", F.lit(""))).alias("system"), user.alias("user"))
 
 
@@ -127,17 +133,17 @@ def no_hit_answer(n_hits: Column, answer: Column) -> Column:
 
 
 def analyze_prompt(filename: Column, text: Column) -> Column:
-    return F.concat(F.lit("파일명: "), filename, F.lit("\n\n내용:\n"), cut(text, 8000, CUT_MARK))
+    return F.concat(F.lit(FILE_HEAD), filename, F.lit(CONTENT_HEAD), cut(text, 8000, CUT_MARK))
 
 
 def tool_analyze_prompt(text: Column) -> Column:
-    return F.concat(F.lit("다음 문서를 분석하세요:\n\n"), cut(text, 4000))
+    return F.concat(F.lit(TOOL_HEAD), cut(text, 4000))
 
 
 def document_lists(documents: DataFrame, most_lines: int | None = None) -> DataFrame:
     """id (of a collection), lines (its documents, a line each, by id) and n. most_lines: of them the first so many, for a prompt that is
     bounded; n counts all. The others are left out before rows move, so that a large collection is no large group."""
-    line = F.concat(F.lit("- "), "name", F.lit(" (상태: "), "status", F.lit(")"))
+    line = F.concat(F.lit("- "), "name", F.lit(STATUS_HEAD), "status", F.lit(STATUS_END))
     rows, order = documents.select("collection_id", "id", line.alias("line")), F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY id)").alias("lines")
     if most_lines is None:
         return rows.groupBy(F.col("collection_id").alias("id")).agg(order, F.count("*").alias("n"))
@@ -149,8 +155,8 @@ def document_lists(documents: DataFrame, most_lines: int | None = None) -> DataF
 def collection_prompts(collections: DataFrame, documents: DataFrame, most_lines: int | None = None) -> DataFrame:
     """id, prompt: a collection's fields and its documents, by id, or the first most_lines of them."""
     rows = collections.join(document_lists(documents, most_lines), "id", "left")
-    parts = [F.lit("컬렉션 이름: "), F.col("name"), F.lit("\n현재 설명: "), or_label(F.col("description")), F.lit("\n현재 카테고리: "), or_label(F.col("category")), F.lit("\n현재 태그: "), or_label(F.col("tags")), F.lit("\n문서 수: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit("\n\n포함된 문서 목록:\n"), F.coalesce("lines", F.lit(NO_DOCUMENTS))]
-    return rows.select("id", F.concat(*parts).alias("prompt"))
+    fields = F.col("name"), or_label(F.col("description")), or_label(F.col("category")), or_label(F.col("tags")), F.coalesce("n", F.lit(0)).cast("string"), F.coalesce("lines", F.lit(NO_DOCUMENTS))
+    return rows.select("id", F.concat(*(x for head, own in zip(COLLECTION_HEADS, fields, strict=True) for x in (F.lit(head), own))).alias("prompt"))
 
 
 def json_fields(answers: DataFrame, fields: tuple = DOCUMENT_FIELDS, answer: str = "answer", strict: bool = True) -> DataFrame:
@@ -241,6 +247,6 @@ def usage_events(requests: DataFrame, model: str, per_million_in: float, per_mil
 
 def sources_footer(answers: DataFrame, cited: DataFrame, most: int = 5) -> DataFrame:
     """query_id, answer with its first citations (query_id, rank, text, score) below."""
-    line = F.concat(F.lit("  - ["), "text", F.lit("] 유사도: "), F.col("score").cast("string"))
+    line = F.concat(F.lit("  - ["), "text", F.lit(SOURCE_SCORE), F.col("score").cast("string"))
     foot = cited.where(F.col("rank") <= most).select("query_id", "rank", line.alias("line")).groupBy("query_id").agg(F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY rank)").alias("foot"))
-    return answers.join(foot, "query_id", "left").select("query_id", F.when(F.col("foot").isNotNull(), F.concat("answer", F.lit("\n\n📌 참고 문서:\n"), "foot")).otherwise(F.col("answer")).alias("answer"))
+    return answers.join(foot, "query_id", "left").select("query_id", F.when(F.col("foot").isNotNull(), F.concat("answer", F.lit(SOURCES_HEAD), "foot")).otherwise(F.col("answer")).alias("answer"))

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from paperloom.functions.text import EXTENSIONS, WHITE_SPACE, accepted, basename, is_blank, suffix
 from paperloom.sources.folders import FolderSource
 
+#: What marks a page, and what stands for a PDF without text or one that cannot be read.
+PAGE_MARK, NO_TEXT, BROKEN = "[Page {}]\n", "[PDF 텍스트 없음: {}]", "[PDF: {}]"
 WORD_TEXT = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -111,11 +113,11 @@ def file_text(content: bytes, name: str, kind: str, mode: str = "ingest", pages:
         try:
             found = pages(content)
         except (ValueError, zlib.error):
-            return f"[PDF: {name}]"
+            return BROKEN.format(name)
         if mode == "analyze":
             return "\n".join(found)
-        marked = [f"[Page {i + 1}]\n{t}" for i, t in enumerate(found) if t.strip(WHITE_SPACE)]
-        return "\n\n".join(marked) if marked else f"[PDF 텍스트 없음: {name}]"
+        marked = [PAGE_MARK.format(i + 1) + t for i, t in enumerate(found) if t.strip(WHITE_SPACE)]
+        return "\n\n".join(marked) if marked else NO_TEXT.format(name)
     return content.decode("utf-8", errors="replace")
 
 
