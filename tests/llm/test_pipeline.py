@@ -28,9 +28,9 @@ def test_each_stage_against_brute_force(spark):
 
     got = stages["line_dedup"](spark, docs, D).collect()
     gone = brute_lines([(r.doc_id, r.text) for r in rows.values()])
-    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(g)) for (d, t), g in gone.items()}
+    want = {d: "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in set(g)) for (d, r), g in zip(rows.items(), gone, strict=True)}
     assert {r.doc_id: r.text for r in got} == {d: t for d, t in want.items() if t or rows[d].text == ""}
-    assert any(gone.values()) and all(r.n_chars == len(r.text) for r in got)
+    assert any(gone) and all(r.n_chars == len(r.text) for r in got)
     docs, rows = spark.createDataFrame(got, docs.schema), {r.doc_id: r for r in got}
 
     got = stages["order_minhash"](spark, docs, D).collect()
