@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -16,26 +15,43 @@ from pyspark.sql import types as T
 DIMENSIONS = 1024
 
 
-@lru_cache(maxsize=400_000)
+#: Characters of texts whose words are held at once, if there are several.
+CHARACTERS = 1 << 20
+
+
+def words(text: str | None) -> list[str]:
+    """Lower-cased; they end at spaces, tabs and line feeds."""
+    return [w for w in (text or "").lower().replace("\t", " ").replace("\n", " ").split(" ") if w]
+
+
 def bucket(word: str, n: int = DIMENSIONS) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % n
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % n
 
 
-def buckets(text: str | None, n: int = DIMENSIONS) -> list[int]:
-    """Of each word; words are lower-cased and end at spaces, tabs and line feeds."""
-    return [bucket(w, n) for w in (text or "").lower().replace("\t", " ").replace("\n", " ").split(" ") if w]
+def buckets(texts: list[str | None], n: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """Of all words: numbers of texts, buckets. A word is hashed once for some texts, and none is remembered: a corpus has ever more of them."""
+    places, found, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHARACTERS):
+            size, end = size + len(texts[end] or ""), end + 1
+        own = [words(t) for t in texts[at:end]]
+        code, distinct = pd.factorize(np.array([w for x in own for w in x], object))
+        places.append(np.repeat(np.arange(at, end), [len(x) for x in own]))
+        found.append(np.fromiter((bucket(w, n) for w in distinct), np.int64, len(distinct))[code])
+        at = end
+    return np.concatenate(places), np.concatenate(found)
 
 
 def dense_vector(text: str | None) -> np.ndarray:
     """Counts of hashed words."""
-    return np.bincount(buckets(text), minlength=DIMENSIONS).astype(float)
+    return hashed_words([text])[0]
 
 
 def counted(texts: list[str | None], n: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The counts that are not zero: numbers of texts, buckets, counts."""
-    own = [np.array(buckets(t, n), np.int64) for t in texts]
-    place = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    both, count = np.unique(place * n + np.concatenate([*own, np.zeros(0, np.int64)]), return_counts=True)
+    place, own = buckets(texts, n)
+    both, count = np.unique(place * n + own, return_counts=True)
     return both // n, both % n, count
 
 
@@ -60,7 +76,8 @@ class Embedder(Protocol):
 
 def hashed_words(texts: list[str | None]) -> np.ndarray:
     """The stand-in as an Embedder."""
-    return np.stack([dense_vector(t) for t in texts]) if texts else np.zeros((0, DIMENSIONS))
+    place, own = buckets(texts)
+    return np.bincount(place * DIMENSIONS + own, minlength=len(texts) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(float)
 
 
 def embedded(rows: DataFrame, embedder: Embedder = hashed_words, text: str = "text", vector: str = "embedding", batch: int = 256) -> DataFrame:

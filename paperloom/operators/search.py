@@ -7,6 +7,8 @@ from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ from paperloom.operators.tiles import arrays, packed, to_files, values
 from paperloom.sources.shared import kept, new_folder, write_whole
 
 TOP_K = 5
-#: Queries of a file, those compared at once, and bytes of vectors in a file of points (in double).
-QUERY_BLOCK, SLICE, POINT_BYTES = 512, 64, 16 << 20
+#: Queries of a file, those compared at once, points that a scan holds at once, and bytes of vectors in a file of points (in double).
+QUERY_BLOCK, SLICE, SCANNED, POINT_BYTES = 512, 64, 256, 16 << 20
 #: Files of a tile, at least; tiles that a file of queries has, and tasks, at most.
 TILE_FILES, MOST_TILES, MOST_TASKS = 4, 64, 20_000
 #: Hits that are broadcast to fetch what they carry, at most.
@@ -64,20 +66,52 @@ def unit(v: np.ndarray) -> np.ndarray:
 def _nearer(best: list[list[tuple]], vectors: np.ndarray, own: np.ndarray, keys: list, k: int, filters: list[tuple[np.ndarray, np.ndarray]] = ()) -> None:
     """Puts those of own that are among the k nearest of each of vectors into best. Cosines count to nine places, as in the end: equal
     points tie wherever they stand. filters: what vectors ask for (empty: anything) and what own has."""
+    lengths = np.linalg.norm(own, axis=1)
     for low in range(0, len(vectors), SLICE):
         some = vectors[low : low + SLICE]
         with np.errstate(divide="ignore", invalid="ignore"):
-            scores = np.round(some @ own.T / (np.linalg.norm(some, axis=1)[:, None] * np.linalg.norm(own, axis=1)), 9)
+            scores = np.round(some @ own.T / (np.linalg.norm(some, axis=1)[:, None] * lengths), 9)
         for asked, has in filters:
             wanted = asked[low : low + SLICE, None]
             scores[(wanted != "") & (wanted != has)] = np.nan
-        for q, row in enumerate(scores, low):
-            usable = np.flatnonzero(~np.isnan(row))
+        least = np.array([-b[k - 1][0] if len(b) == k else -np.inf for b in best[low : low + SLICE]])
+        reach = scores >= least[:, None]
+        for i in np.flatnonzero(reach.any(axis=1)):
+            q, row, usable = low + i, scores[i], np.flatnonzero(reach[i])
             if len(usable) > k:
                 usable = usable[row[usable] >= np.partition(row[usable], len(usable) - k)[len(usable) - k]]
             best[q] = sorted(best[q] + [(-row[i], keys[i]) for i in usable])[:k]
 
 
+def _scanned(batches: Iterator[pa.RecordBatch], path: str, k: int, embedder: Embedder | None, filters: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (q, key, score): the k nearest of the task's points (key, vector or text, filters) of each query of a file. Only SCANNED points
+    at once are taken out of a batch."""
+    best: list[list[tuple]] = []
+    schema = None
+    for batch in batches:
+        if schema is None:
+            a, schema = arrays(path), pa.schema([("q", pa.int64()), batch.schema.field(0).with_nullable(True), ("score", pa.float64())])
+            best = [[] for _ in a["q"]]
+        for at in range(0, batch.num_rows, SCANNED):
+            rows = batch.slice(at, SCANNED)
+            if embedder:
+                own = np.asarray(embedder(rows.column(1).to_pylist()), float)
+            else:
+                rows = rows.filter(pc.fill_null(pc.greater(pc.list_value_length(rows.column(1)), 0), False))
+                if not rows.num_rows:
+                    continue
+                if pc.count_distinct(pc.list_value_length(rows.column(1))).as_py() > 1:
+                    raise ValueError("vectors of one table have one length")
+                own = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows.num_rows, -1)
+            if own.shape[1] != a["v"].shape[1]:
+                raise ValueError("queries and points have vectors of one length")
+            has = [values(pd.Series(rows.column(2 + i).to_pylist(), dtype=object)) for i in range(len(filters))]
+            _nearer(best, a["v"], own, rows.column(0).to_pylist(), k, [(a[c], x) for c, x in zip(filters, has, strict=True)])
+    if schema:
+        found = [(q, x, -s) for q, own in zip(a["q"].tolist(), best, strict=True) for s, x in own]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True) if found else [[]] * 3, schema, strict=True)], schema=schema)
+
+
 def _point_files(batches: Iterator[pd.DataFrame], folder: str, embedder: Embedder | None, filters: list[str]) -> Iterator[pd.DataFrame]:
     """Points (key, vector or text, filters) as files of POINT_BYTES of vectors; where they are."""
     context, made, held = TaskContext.get(), [], []
@@ -140,24 +174,30 @@ def nearest_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector:
     """query_id, key, score, rank: the k nearest points of each query (query_id, vector). With an embedder the columns hold texts. filters:
     columns of both; a point has to equal those of a query that are not null.
 
-    Vectors are written to files in the shared folder, queries to others. A task has a tile, a file of queries and some tens of files
-    of points, and hands on k rows a query, so that neither its memory nor what is ranked in the end grows with the number of tasks
+    Queries are written to files in the shared folder. Those of one file are compared where the points are: a task goes through its points
+    once and hands on k rows a query. For more queries the points' vectors are written to files too: a task has a tile, a file of
+    queries and some tens of files of points, so that neither its memory nor what is ranked in the end grows with the number of tasks
     times that of queries. Points or queries without length or vector have no neighbours; equal cosines (to nine places) go by key;
     vectors of different lengths are an error."""
     spark = points.sparkSession
     folder = new_folder(spark, "search")
     named = [f"f_{c}" for c in filters]
     has = [F.col(c).cast("string").alias(f"f_{c}") for c in filters]
-    stored = kept(points.select(key, vector, *has).mapInPandas(partial(_point_files, folder=folder, embedder=embedder, filters=named), "path string"), "point-files")
+    owned = points.select(key, vector, *has)
     asked = kept(queries.select("query_id", F.col(vector).alias("v"), *has).withColumn("q", F.monotonically_increasing_id()), "asked")
-    n_queries, n_files = asked.count(), stored.count()
+    n_queries = asked.count()
     as_vectors = embedded(asked, embedder, "v", "v") if embedder else asked.where("v IS NOT NULL AND size(v) > 0").withColumn("v", F.col("v").cast("array<double>"))
     number = F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n_queries // QUERY_BLOCK)))).cast("int")
     files = kept(to_files(as_vectors.select(number.alias("file"), "q", F.col("v").cast("array<double>").alias("v"), *named), folder, "queries"), "query-files")
-    n_tiles = min(MOST_TILES, max(1, -(-n_files // TILE_FILES)))
-    tiles = files.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))).join(stored.withColumn("tile", F.pmod(F.xxhash64("path"), F.lit(n_tiles)).cast("int")), "tile")
     schema = T.StructType([T.StructField("q", T.LongType()), points.schema[key], T.StructField("score", T.DoubleType())])
-    near = tiles.select("file", "tile", "path").repartition(min(max(1, files.count() * n_tiles), MOST_TASKS), "file", "tile").sortWithinPartitions("file", "tile", "path").mapInPandas(partial(_tiles, folder=folder, k=k, key=key, filters=named), schema)
+    if n_queries <= QUERY_BLOCK:
+        some = owned if files.count() else owned.limit(0)
+        near = some.mapInArrow(partial(_scanned, path=f"{folder}/queries-000000", k=k, embedder=embedder, filters=named), schema)
+    else:
+        stored = kept(owned.mapInPandas(partial(_point_files, folder=folder, embedder=embedder, filters=named), "path string"), "point-files")
+        n_tiles = min(MOST_TILES, max(1, -(-stored.count() // TILE_FILES)))
+        tiles = files.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))).join(stored.withColumn("tile", F.pmod(F.xxhash64("path"), F.lit(n_tiles)).cast("int")), "tile")
+        near = tiles.select("file", "tile", "path").repartition(min(max(1, files.count() * n_tiles), MOST_TASKS), "file", "tile").sortWithinPartitions("file", "tile", "path").mapInPandas(partial(_tiles, folder=folder, k=k, key=key, filters=named), schema)
     order = Window.partitionBy("q").orderBy(F.desc("score"), key)
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.join(asked.select("q", "query_id"), "q").select("query_id", key, "score", "rank")

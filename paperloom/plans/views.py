@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.embedding import hashed_words
 from paperloom.functions.text import WHITE_SPACE
-from paperloom.operators.search import nearest_batch
+from paperloom.operators.search import nearest_batch, with_payload
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     status = F.when(F.col("quality").isNull(), "processing").when(F.col("quality") == 1, "processed").otherwise("failed")
     own = collections(spark, sf_dir).select(F.col("id").alias("collection_id"), F.col("name").alias("lang"))
-    rows = d.join(marks, "doc_id", "left").join(own, "lang")
+    rows = d.join(marks, "doc_id", "left").join(F.broadcast(own), "lang")  # texts are not dealt by language
     return rows.select(F.col("doc_id").alias("id"), F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("lang").alias("collection"), "collection_id", F.col("source").alias("category"), "text", status.alias("status"))
 
 
@@ -57,7 +57,8 @@ def hits(spark: SparkSession, sf_dir: str, k: int = 5, asked: DataFrame | None =
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text") if asked is None else asked
     found = nearest_batch(d.select("id", "text"), asked, k, vector="text", key="id", embedder=hashed_words)
     source = F.when(F.col("id") % 7 == 0, "").otherwise(F.col("name")).alias("source")
-    return found.join(d, "id").select("query_id", "rank", "id", "score", F.left("text", F.lit(600)).alias("text"), source, (F.col("id") % 9).cast("string").alias("page"))
+    rows = with_payload(found, d.select("id", "name", F.left("text", F.lit(600)).alias("text")), "id")
+    return rows.select("query_id", "rank", "id", "score", "text", source, (F.col("id") % 9).cast("string").alias("page"))
 
 
 QUESTIONS = "questions AS (SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT -1 - item_id, ' ' || chr(10) FROM benchmark)"

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import embedding
 from paperloom.operators import index, search
 from paperloom.plans import views
 from paperloom.sources.shared import new_folder
@@ -117,3 +118,30 @@ def test_payload_of_few_and_of_many_hits(spark, monkeypatch):
     for most in (100_000, 1):
         monkeypatch.setattr(search, "FETCHED", most)
         assert {(r.query_id, r.point_id, r.text) for r in search.with_payload(found, points).collect()} == want
+
+
+def test_one_file_of_queries_is_a_scan(spark, monkeypatch):
+    """Points stay where they are, and give what tiles give."""
+    rng = np.random.default_rng(6)
+    points = points_of(rng, 300)
+    asked = [(q, rng.normal(size=9).tolist(), (f"c{q % 4}" if q % 2 else None, ["de", "", None][q % 3])) for q in range(70)]
+    frame = spark.createDataFrame(points, SCHEMA).repartition(7)
+    queries = spark.createDataFrame([(q, v, *f) for q, v, f in asked], "query_id long, embedding array<double>, category string, lang string")
+    monkeypatch.setattr(search, "SCANNED", 16)
+    with monkeypatch.context() as m:
+        m.setattr(search, "_point_files", None)  # no files of points
+        found = search.nearest_batch(frame, queries, 4)
+        assert got(found) == brute(points, [(q, v, (None, None)) for q, v, _ in asked], 4, None)
+        assert got(search.nearest_batch(frame, queries, 4, filters=("category", "lang"))) == brute(points, asked, 4, None)
+        assert search.nearest_batch(frame, queries.limit(0)).collect() == []
+        with pytest.raises(Exception, match="one length"):
+            search.nearest_batch(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "point_id long, embedding array<double>").coalesce(1), queries, 4).collect()
+    scores = {(r.query_id, r["rank"]): r.score for r in found.collect()}
+    monkeypatch.setattr(search, "QUERY_BLOCK", 10)
+    assert {(r.query_id, r["rank"]): r.score for r in search.nearest_batch(frame, queries, 4).collect()} == pytest.approx(scores, abs=1e-9)
+
+
+def test_no_word_is_remembered():
+    """What a process holds does not grow with the words of a corpus."""
+    embedding.hashed_words([f"a{i} b{i}" for i in range(100)])
+    assert not [x for x in vars(embedding).values() if hasattr(x, "cache_info") and x.cache_info().currsize]
