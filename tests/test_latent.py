@@ -1,4 +1,8 @@
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from paperloom.functions.embedding import counted, embedded
@@ -65,3 +69,32 @@ def test_few_and_empty_texts(spark):
     assert latent.fit(docs.limit(0), new_folder(spark, "projection"), n_features=64, dimensions=8).max() < 1e-9
     with pytest.raises(ValueError, match="dimensions"):
         latent.fit(docs, path, n_features=4)
+
+
+def test_texts_are_split_once(spark, monkeypatch):
+    """All passes read the counts; their number of tasks does not grow with that of files."""
+    docs = views.table(spark, D, "documents").where("doc_id < 200").select("doc_id", "text").repartition(20)
+    total, made = latent._total, []
+
+    def seen(parts, *size):
+        made.append((parts.rdd.getNumPartitions(), "text#" in parts._jdf.queryExecution().toString()))
+        return total(parts, *size)
+
+    monkeypatch.setattr(latent, "_total", seen)
+    values = latent.fit(docs, new_folder(spark, "projection"), n_features=512, dimensions=8)
+    assert len(made) == 6 and all(n <= 2 * spark.sparkContext.defaultParallelism and not texts for n, texts in made)
+    assert np.abs(values / np.linalg.svd(dense([r.text for r in docs.collect()], 512), compute_uv=False)[:8] - 1).max() < 0.01
+
+
+def test_counts_in_several_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(latent, "DOCUMENTS", 2)
+    monkeypatch.setattr(latent, "COUNTS", 4)
+    monkeypatch.setattr(latent.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3, taskAttemptId=lambda: 0))
+    texts = ["a b c", None, "a a", "c d", "", "e"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    paths = next(latent._counts(iter([batch]), str(tmp_path), 64)).column(0).to_pylist()
+    assert len(paths) == 2
+    found = list(latent._read(iter([pd.DataFrame({"path": paths})])))
+    assert [x[3] for x in found] == [2, 2, 2]
+    for at, own in zip((0, 2, 4), found, strict=True):
+        assert all((x == y).all() for x, y in zip(own, counted(texts[at : at + 2], 64), strict=False))
