@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import chunking, embedding, text
 from paperloom.operators import agents, catalog, generation, router, search
+from paperloom.plans import views
 
 
 def column(spark, values, make, kind="string"):
@@ -249,3 +250,13 @@ def test_catalog(spark):
     assert tuple(catalog.stats(none, none, none, none).first()) == (0, 0, 0, 0, 0, 0.0)
     with pytest.raises(LookupError):
         catalog.require(catalog.by_id(none, 1))
+
+
+def test_documents_are_not_dealt_by_language(spark):
+    """A language with most texts would be one task's."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = views.docs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [lang" not in plan and "BroadcastHashJoin [lang" in plan
