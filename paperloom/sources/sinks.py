@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from paperloom.functions.embedding import Embedder, embedded
 from paperloom.sources.shared import file_system, write_whole
 
-#: Files of each write to a collection of points: by a hash of their ids.
-BUCKETS = 16
+#: Buckets of a collection of points, by a hash of their ids; tasks of a write for each core, at least, which share out the buckets' ids.
+BUCKETS, TASKS = 16, 2
 #: How these are written: row groups of 16 MB, which a bloom filter of their ids lets a lookup skip.
 FILES = {"parquet.block.size": 16 << 20, "parquet.bloom.filter.enabled#point_id": "true", "parquet.bloom.filter.expected.ndv#point_id": 20_000, "parquet.bloom.filter.max.bytes": 1 << 16}
 
@@ -58,7 +58,7 @@ def points_table(spark: SparkSession, path: str, columns: T.StructType | None =
 def upsert_points(points: DataFrame, path: str, version: int | None = None, buckets: int = BUCKETS) -> None:
     """Adds points; one that is there already, by collection and id, is replaced for readers, all others stay. version: greater ones
     win; by default the clock of the driver in nanoseconds. Of one version each point counts once, however often it is written. Only
-    the new points are shuffled, to their buckets."""
+    the new points are shuffled, once: to parts of their buckets, where equal ones meet."""
     spark = points.sparkSession
     stamp = F.lit(time.time_ns() if version is None else version).cast("long")
     rows = points.withColumn("_version", stamp)
@@ -67,8 +67,9 @@ def upsert_points(points: DataFrame, path: str, version: int | None = None, buck
     if extra := set(rows.columns) - set(known):
         raise ValueError(f"the table of points has no {', '.join(sorted(extra))}")
     held = int(spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first().data_type)
-    placed = rows.dropDuplicates(["collection", "point_id"]).select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in known])
-    placed.repartition(held, "point_id").write.insertInto(name)
+    parts = held * max(1, -(-spark.sparkContext.defaultParallelism * TASKS // held))
+    placed = rows.repartition(parts, "point_id").dropDuplicates(["collection", "point_id"])
+    placed.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in known]).write.insertInto(name)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import router
 from paperloom.sources import sinks
+from paperloom.sources.shared import new_folder
 from paperloom.streaming import jobs
 
 
@@ -135,3 +136,14 @@ def test_breaker_and_cache_streams_equal_batches(spark, tmp_path):
     asked.where("seq >= 100").coalesce(1).write.mode("append").parquet(str(tmp_path / "asked"))
     got = collected(spark, jobs.cache_stream(read(jobs.REQUESTS, "asked")), "cached").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, router.cache_replay(asked).collect())) and any(r.hit for r in got)
+
+
+def test_a_write_has_more_tasks_than_buckets(spark, monkeypatch):
+    """Points of a bucket are shared out, and each still counts once."""
+    monkeypatch.setattr(sinks, "TASKS", 8)
+    rows = spark.range(400).selectExpr("'c' AS collection", "sha2(string(id % 200), 256) AS point_id", "'s' AS source")
+    sinks.upsert_points(rows, path := new_folder(spark, "points"), 1)
+    assert len({r.f for r in spark.read.parquet(path).selectExpr("input_file_name() AS f").collect()}) > sinks.BUCKETS
+    sinks.upsert_points(rows.where("point_id < '8'").withColumn("source", F.lit("t")), path, 2)
+    found = [(r.point_id, r.source) for r in sinks.read_points(spark, path).collect()]
+    assert len(found) == 200 and all((s == "t") == (p < "8") for p, s in found)
