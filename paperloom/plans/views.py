@@ -19,12 +19,26 @@ def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select(F.dense_rank().over(Window.orderBy("name")).cast("long").alias("id"), "name", F.col("name").alias("xai_id"))  # a row for each language
 
 
+def labelled(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """rows (doc_id, lang, ...) with quality and collection_id: a row for each label of a document, or one; none without a language."""
+    marks = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    own = collections(spark, sf_dir).select(F.col("id").alias("collection_id"), F.col("name").alias("lang"))
+    return rows.join(marks, "doc_id", "left").join(F.broadcast(own), "lang")  # texts are not dealt by language
+
+
+def file_name():
+    return F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What docs have of documents alone; labelled() joins what is made of a text, so that no text is shuffled."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", file_name(), "text")
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     status = F.when(F.col("quality").isNull(), "processing").when(F.col("quality") == 1, "processed").otherwise("failed")
-    own = collections(spark, sf_dir).select(F.col("id").alias("collection_id"), F.col("name").alias("lang"))
-    rows = d.join(marks, "doc_id", "left").join(F.broadcast(own), "lang")  # texts are not dealt by language
-    return rows.select(F.col("doc_id").alias("id"), F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("lang").alias("collection"), "collection_id", F.col("source").alias("category"), "text", status.alias("status"))
+    rows = labelled(spark, sf_dir, table(spark, sf_dir, "documents"))
+    return rows.select(F.col("doc_id").alias("id"), file_name(), F.col("lang").alias("collection"), "collection_id", F.col("source").alias("category"), "text", status.alias("status"))
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:

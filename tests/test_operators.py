@@ -1,7 +1,9 @@
 """Cases that the test tables do not have, and properties."""
 
 import random
+import re
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import chunking, embedding, text
 from paperloom.operators import agents, catalog, generation, router, search
 from paperloom.plans import views
+from paperloom.plans.queries import ORACLE_SQL, QUERIES
 
 
 def column(spark, values, make, kind="string"):
@@ -260,3 +263,28 @@ def test_documents_are_not_dealt_by_language(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin [lang" not in plan and "BroadcastHashJoin [lang" in plan
+
+
+@pytest.mark.parametrize("name", ["ag8_tool_analysis", "ag8_tool_prompt", "g10_analysis", "g10_analyze_prompt"])
+def test_analysis_shuffles_no_text(spark, tmp_path, name):
+    """Labels too many to be broadcast meet what is made of a text. A document with two labels, with none, or twice there counts as in
+    SQL, one without a language does not."""
+    d = str(tmp_path)
+    texts = [(1, "a b", "en", "s"), (1, "a b c", "fr", "s"), (2, "no language", None, "s"), (3, "é " * 5000, "fr", "t"), (4, "", "en", "t")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, None), (None, 1)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = QUERIES[name](spark, d)
+        plan = spark._jvm.PythonSQLUtils.explainString(made._jdf.queryExecution(), "formatted")
+        got = sorted(map(tuple, made.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert "SortMergeJoin" in plan and len(shuffled) > 2
+    assert not any(re.search(r"\b(text|row)#", x) for x in shuffled)
+    with duckdb.connect() as db:
+        for t in ("documents", "labels"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+        want = db.sql(ORACLE_SQL[name])
+        assert want.columns == made.columns and len(got) == 6 and got == sorted(want.fetchall())
