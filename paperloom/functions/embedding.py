@@ -20,8 +20,11 @@ CHARACTERS = 1 << 20
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-cased; they end at spaces, tabs and line feeds."""
-    return [w for w in (text or "").lower().replace("\t", " ").replace("\n", " ").split(" ") if w]
+    """Lower-cased letter by letter, as in SQL; they end at spaces, tabs and line feeds."""
+    text = text or ""
+    if not text.isascii():
+        text = text.replace("İ", "i").replace("Σ", "σ")  # lower() makes two letters of one, and goes by its place
+    return [w for w in text.lower().replace("\t", " ").replace("\n", " ").split(" ") if w]
 
 
 def bucket(word: str, n: int = DIMENSIONS) -> int:
@@ -97,5 +100,19 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """As SQL's round of a double: its product with a power of ten, half away from zero. F.round goes by the digits that are shown."""
+    y = F.abs(x) * 10.0**places
+    whole = F.floor(y)
+    return F.signum(x) * (whole + F.when(y - whole >= 0.5, 1).otherwise(0)) / 10.0**places
+
+
+def rounded_values(x: np.ndarray, places: int) -> np.ndarray:
+    """rounded() of an array."""
+    y = np.abs(x) * 10.0**places
+    whole = np.floor(y)
+    return np.copysign(whole + (y - whole >= 0.5), x) / 10.0**places
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.operators.search import TOP_K, fitted_centres, unit
+from paperloom.functions.embedding import rounded, rounded_values
+from paperloom.operators.search import PLACES, TOP_K, fitted_centres, unit
 from paperloom.operators.tiles import arrays, packed, to_files, values
 from paperloom.sources.shared import file_system, kept, new_folder, write_whole
 
@@ -40,8 +41,8 @@ SAMPLE, ROUNDS, PART, CODES = 4096, 8, 2, 256
 GROUP_ROWS, FILE_ROWS, QUERIES, SLICE = 1024, 1 << 13, 256, 64
 #: Files of a tile, at least; tiles that a file of queries has, tasks, and files of an index, at most.
 TILE_FILES, MOST_TILES, MOST_TASKS, MOST_FILES = 8, 64, 20_000, 50_000
-#: Cosines count to nine places; limits are widened by more than sums of doubles are off.
-PLACES, SLACK = 9, 1e-7
+#: Limits are widened by this, more than sums of doubles are off.
+SLACK = 1e-7
 
 
 def cut(v: np.ndarray) -> np.ndarray:
@@ -231,13 +232,14 @@ def _reranked(batches: Iterator[pd.DataFrame], path: str, folder: str, files: in
                 own = np.linalg.norm(v, axis=1)
                 for row, x in zip(can, some, strict=True):
                     if len(p := np.flatnonzero(row)):
-                        scores = np.round(v[p] @ a["v"][x] / (own[p] * norms[x]), PLACES)
+                        whole = v[p] @ a["v"][x] / (own[p] * norms[x])
+                        scores = rounded_values(whole, PLACES)
                         if read is not None:
                             read.add(len(p))
                         if len(p) > k:
                             top = np.flatnonzero(scores >= np.partition(scores, len(p) - k)[len(p) - k])
-                            p, scores = p[top], scores[top]
-                        yield pd.DataFrame({"q": a["q"][x], "key": keys.take(pa.array(p)).to_pandas(), "score": scores})
+                            p, whole = p[top], whole[top]
+                        yield pd.DataFrame({"q": a["q"][x], "key": keys.take(pa.array(p)).to_pandas(), "score": whole})
 
 
 def _files(path: str, tile: int, files: int, per_tile: int) -> list[str]:
@@ -276,6 +278,6 @@ def nearest_indexed(spark: SparkSession, path: str, queries: DataFrame, k: int =
     bounded = kept(to_files(least, folder, "bounds"), "bounds")
     schema = f"q long, key {m['key_type']}, score double"
     found = tiles(bounded).mapInPandas(partial(_reranked, path=path, folder=folder, files=files, per_tile=per_tile, probes=probes, k=k, read=read), schema)
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "key")
+    order = Window.partitionBy("q").orderBy(rounded(F.col("score"), PLACES).desc(), "key")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.join(asked.select("q", "query_id"), "q").select("query_id", F.col("key").alias("point_id"), "score", "rank")

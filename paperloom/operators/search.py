@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.functions.embedding import Embedder, cosine, embedded
+from paperloom.functions.embedding import Embedder, cosine, embedded, rounded, rounded_values
 from paperloom.operators.tiles import arrays, packed, to_files, values
 from paperloom.sources.shared import kept, new_folder, write_whole
 
 TOP_K = 5
+#: Places to which cosines count when they are ranked.
+PLACES = 9
 #: Queries of a file, those compared at once, points that a scan holds at once, and bytes of vectors in a file of points (in double).
 QUERY_BLOCK, SLICE, SCANNED, POINT_BYTES = 512, 64, 256, 16 << 20
 #: Files of a tile, at least; tiles that a file of queries has, and tasks, at most.
@@ -64,23 +66,23 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def _nearer(best: list[list[tuple]], vectors: np.ndarray, own: np.ndarray, keys: list, k: int, filters: list[tuple[np.ndarray, np.ndarray]] = ()) -> None:
-    """Puts those of own that are among the k nearest of each of vectors into best. Cosines count to nine places, as in the end: equal
-    points tie wherever they stand. filters: what vectors ask for (empty: anything) and what own has."""
+    """Puts those of own that are among the k nearest of each of vectors into best: by the cosine to nine places, as in the end, so that
+    equal points tie wherever they stand; the whole cosine is the third of each. filters: what vectors ask for (empty: anything) and what own has."""
     lengths = np.linalg.norm(own, axis=1)
     for low in range(0, len(vectors), SLICE):
         some = vectors[low : low + SLICE]
         with np.errstate(divide="ignore", invalid="ignore"):
-            scores = np.round(some @ own.T / (np.linalg.norm(some, axis=1)[:, None] * lengths), 9)
+            scores = some @ own.T / (np.linalg.norm(some, axis=1)[:, None] * lengths)
         for asked, has in filters:
             wanted = asked[low : low + SLICE, None]
             scores[(wanted != "") & (wanted != has)] = np.nan
         least = np.array([-b[k - 1][0] if len(b) == k else -np.inf for b in best[low : low + SLICE]])
-        reach = scores >= least[:, None]
+        reach = scores >= least[:, None] - 10.0**-PLACES
         for i in np.flatnonzero(reach.any(axis=1)):
-            q, row, usable = low + i, scores[i], np.flatnonzero(reach[i])
+            q, row, usable = low + i, rounded_values(scores[i], PLACES), np.flatnonzero(reach[i])
             if len(usable) > k:
                 usable = usable[row[usable] >= np.partition(row[usable], len(usable) - k)[len(usable) - k]]
-            best[q] = sorted(best[q] + [(-row[i], keys[i]) for i in usable])[:k]
+            best[q] = sorted(best[q] + [(-row[j], keys[j], scores[i, j]) for j in usable])[:k]
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], path: str, k: int, embedder: Embedder | None, filters: list[str]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +110,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], path: str, k: int, embedder: Emb
             has = [values(pd.Series(rows.column(2 + i).to_pylist(), dtype=object)) for i in range(len(filters))]
             _nearer(best, a["v"], own, rows.column(0).to_pylist(), k, [(a[c], x) for c, x in zip(filters, has, strict=True)])
     if schema:
-        found = [(q, x, -s) for q, own in zip(a["q"].tolist(), best, strict=True) for s, x in own]
+        found = [(q, x, s) for q, own in zip(a["q"].tolist(), best, strict=True) for _, x, s in own]
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True) if found else [[]] * 3, schema, strict=True)], schema=schema)
 
 
@@ -151,7 +153,7 @@ def _tiles(batches: Iterator[pd.DataFrame], folder: str, k: int, key: str, filte
     at = None
 
     def found() -> pd.DataFrame:
-        out = [(q, x, -s) for q, own in zip(a["q"], best, strict=True) for s, x in own]
+        out = [(q, x, s) for q, own in zip(a["q"], best, strict=True) for _, x, s in own]
         return pd.DataFrame(out, columns=["q", key, "score"])
 
     for batch in batches:
@@ -198,7 +200,7 @@ def nearest_batch(points: DataFrame, queries: DataFrame, k: int = TOP_K, vector:
         n_tiles = min(MOST_TILES, max(1, -(-stored.count() // TILE_FILES)))
         tiles = files.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))).join(stored.withColumn("tile", F.pmod(F.xxhash64("path"), F.lit(n_tiles)).cast("int")), "tile")
         near = tiles.select("file", "tile", "path").repartition(min(max(1, files.count() * n_tiles), MOST_TASKS), "file", "tile").sortWithinPartitions("file", "tile", "path").mapInPandas(partial(_tiles, folder=folder, k=k, key=key, filters=named), schema)
-    order = Window.partitionBy("q").orderBy(F.desc("score"), key)
+    order = Window.partitionBy("q").orderBy(rounded(F.col("score"), PLACES).desc(), key)
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.join(asked.select("q", "query_id"), "q").select("query_id", key, "score", "rank")
 
@@ -247,11 +249,11 @@ def hit_rows(hits: DataFrame) -> DataFrame:
 
 
 def citations(hits: DataFrame) -> DataFrame:
-    """Of hits with a source: it as text, page, score to three places. Repeated ones stay."""
+    """Of hits with a source: it as text, page, score to three places, rounded once from the whole cosine. Repeated ones stay."""
     keep = [c for c in ("query_id", "rank") if c in hits.columns]
-    return hits.where(F.coalesce("source", F.lit("")) != "").select(*keep, F.col("source").alias("text"), "page", F.round("score", 3).alias("score"))
+    return hits.where(F.coalesce("source", F.lit("")) != "").select(*keep, F.col("source").alias("text"), "page", rounded(F.col("score"), 3).alias("score"))
 
 
 def previews(hits: DataFrame) -> DataFrame:
     keep = [c for c in ("query_id", "rank") if c in hits.columns]
-    return hits.select(*keep, "source", "page", F.round("score", 3).alias("score"), F.left("text", F.lit(500)).alias("text"))
+    return hits.select(*keep, "source", "page", rounded(F.col("score"), 3).alias("score"), F.left("text", F.lit(500)).alias("text"))

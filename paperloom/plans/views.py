@@ -66,12 +66,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf_dir: str, k: int = 5, asked: DataFrame | None = None) -> DataFrame:
-    """The k documents nearest to each of asked (query_id, text), or each benchmark text, with what a hit carries."""
-    d = docs(spark, sf_dir)
+    """The k documents nearest to each of asked (query_id, text), or each benchmark text, with what a hit carries; none that shares no bucket."""
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND lang IS NOT NULL").select(F.col("doc_id").alias("id"), file_name(), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text") if asked is None else asked
-    found = nearest_batch(d.select("id", "text"), asked, k, vector="text", key="id", embedder=hashed_words)
+    found = nearest_batch(d.select("id", "text"), asked, k, vector="text", key="id", embedder=hashed_words).where("score > 0")
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     source = F.when(F.col("id") % 7 == 0, "").otherwise(F.col("name")).alias("source")
-    rows = with_payload(found, d.select("id", "name", F.left("text", F.lit(600)).alias("text")), "id")
+    rows = with_payload(found, d.select("id", "name", F.left("text", F.lit(600)).alias("text")), "id").join(marks, "id", "left")  # a hit for each label of a document, as docs have
     return rows.select("query_id", "rank", "id", "score", "text", source, (F.col("id") % 9).cast("string").alias("page"))
 
 

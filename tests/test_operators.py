@@ -288,3 +288,41 @@ def test_analysis_shuffles_no_text(spark, tmp_path, name):
             db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
         want = db.sql(ORACLE_SQL[name])
         assert want.columns == made.columns and len(got) == 6 and got == sorted(want.fetchall())
+
+
+def test_rounded_as_in_sql(spark):
+    """Halves, what is next to them, and no number; numpy's round goes to the even one, F.round by the digits that are shown."""
+    x = np.array([y for k in range(2000) for h in [(2 * k + 1) / 2000] for y in (h, np.nextafter(h, 0), np.nextafter(h, 9))] + [k / 1024 for k in range(1025)] + [0.0, np.nan])
+    x = np.concatenate([x, -x])
+    frame = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(len(x), None)], "i int, x double").coalesce(1)
+    for places in (3, 6, 9):
+        with duckdb.connect() as db:
+            want = [v[0] for v in db.execute("SELECT round(x, ?) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [places, x.tolist()]).fetchall()]
+        np.testing.assert_array_equal(embedding.rounded_values(x, places), want)
+        got = [r[0] for r in frame.orderBy("i").select(embedding.rounded(F.col("x"), places)).collect()]
+        assert got.pop() is None
+        np.testing.assert_array_equal(got, want)
+
+
+@pytest.mark.parametrize("block", [512, 2])
+@pytest.mark.parametrize("name", ["ag7_sources_footer", "p9_citations", "p10_previews", "g2_text_topk"])
+def test_hits_are_those_of_sql(spark, tmp_path, monkeypatch, name, block):
+    """Cosines that are a half in the fourth place but for the last bit; letters whose lower case is two or goes by their place; a document
+    with two labels is found once and listed twice."""
+    d, seen = str(tmp_path), set()
+    w = [x for x in (f"w{i}" for i in range(400)) if embedding.bucket(x) not in seen and not seen.add(embedding.bucket(x))]
+    texts = [" ".join([w[0]] * n + w[2 : 2 + 128 - n * n]) for n in (11, 9, 7)]  # 128 as the square of their length
+    texts += ["ΟΔΟΣ ΟΔΟΣ İx a", "οδοσ ix b", "", None, "οδος i̇x"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts, 1)] + [(20, w[0], None, "s"), (None, w[0], "en", "s")]
+    asked = [(1, f"{w[0]} {w[1]}"), (2, "ΟΔΟΣ İX"), (3, " \n"), (4, None), (5, w[0])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    made = QUERIES[name](spark, d)
+    with duckdb.connect() as db:
+        for t in ("documents", "labels", "benchmark"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+        assert db.sql(f"WITH {views.HITS} SELECT count_if(round(round(score, 9), 3) <> round(score, 3)) FROM hits").fetchall()[0][0] >= 3
+        want = db.sql(ORACLE_SQL[name])
+        assert sorted(map(tuple, made.select(*want.columns).collect())) == sorted(want.fetchall())
